@@ -15,7 +15,7 @@ from ..functions.states import PRIORITY_ORDER, rank_of
 from ..functions.timing import elapsed_seconds, moment_like, stamp_text
 from ..functions.wording import fill
 from .cost import cost_spikes, month_usage
-from .health import failure_reasons, run_stats_with_last
+from .health import run_stats_with_last
 from .jobs import BUDGET_TAG, SLA_TAG, latest_jobs, tag_int, tag_number, with_job_names
 from .utilization import run_dbu_rate
 
@@ -35,14 +35,21 @@ ACK_HOURS = 24
 
 
 def _alert(
-    df: DataFrame, category: str, severity: Column, title: Column, description: Column, remediation: Column,
-    condition: Column, identity: Column | None = None,
+    df: DataFrame,
+    jobs: DataFrame | None,
+    category: str,
+    severity: Column,
+    title: Column,
+    description: Column,
+    remediation: Column,
+    condition: Column,
+    identity: Column | None = None,
 ) -> DataFrame:
+    """Alert columns of ``df``; names are left out where the caller adds them to a whole union."""
     suffix = F.lower(severity) if identity is None else identity
-    return df.select(
+    unnamed = df.select(
         condition_key(category, suffix).alias("alert_id"),
         *JOB_KEY,
-        "job_name",
         F.lit(category).alias("category"),
         severity.alias("severity"),
         title.alias("title"),
@@ -50,13 +57,17 @@ def _alert(
         remediation.alias("remediation"),
         condition_key(category, condition).alias("condition_key"),
     )
+    return unnamed if jobs is None else named(unnamed, jobs)
 
 
-def failure_alerts(runs: DataFrame, jobs: DataFrame, as_of: date, days: int = 7) -> DataFrame:
+def named(alerts: DataFrame, jobs: DataFrame) -> DataFrame:
+    return with_job_names(alerts, jobs).select(*ALERT_COLUMNS)
+
+
+def failure_alerts(runs: DataFrame, jobs: DataFrame | None, as_of: date, days: int = 7) -> DataFrame:
     """Two failures in a row, a failed last run, or a success rate of 70 to 89.9 percent."""
     last, previous, rate = F.col("last_failed"), F.col("previous_failed"), F.col("success_rate")
-    hits = run_stats_with_last(runs, as_of, days).filter(last | rate.between(70, 89.9))
-    named = with_job_names(hits, jobs).join(failure_reasons(runs, as_of, days), JOB_KEY, "left")
+    hits = run_stats_with_last(runs, as_of, days, reasons=True).filter(last | rate.between(70, 89.9))
     percent_text = fixed_text(rate, 1)
     when = stamp_text(F.col("last_run_time"))
     both = last & previous
@@ -73,18 +84,16 @@ def failure_alerts(runs: DataFrame, jobs: DataFrame, as_of: date, days: int = 7)
     )
     condition = F.when(both, "consecutive").when(last, "single").otherwise("yellow")
     advice = wording.failure_remediation(F.col("failure_reasons"))
-    return _alert(named, "failure", severity, title, description, advice, condition)
+    return _alert(hits, jobs, "failure", severity, title, description, advice, condition)
 
 
-def sla_alerts(active: DataFrame, jobs: DataFrame, as_of_ts: datetime) -> DataFrame:
+def sla_alerts(active: DataFrame, jobs: DataFrame, as_of_ts: datetime, names: bool = True) -> DataFrame:
     """Running jobs at 80 percent of their SLA or beyond.
 
     One alert per run; the feed later keeps one per condition.
     """
     targets = (
-        latest_jobs(jobs)
-        .select(*JOB_KEY, F.col("name").alias("job_name"), tag_int(SLA_TAG).alias("sla_minutes"))
-        .filter("sla_minutes > 0")
+        latest_jobs(jobs).select(*JOB_KEY, tag_int(SLA_TAG).alias("sla_minutes")).filter("sla_minutes > 0")
     )
     seconds = elapsed_seconds(F.col("start_time"), moment_like(active, "start_time", as_of_ts))
     late = (
@@ -93,7 +102,6 @@ def sla_alerts(active: DataFrame, jobs: DataFrame, as_of_ts: datetime) -> DataFr
         .join(targets, JOB_KEY)
         .withColumn("pct", F.col("elapsed") * 100.0 / (F.col("sla_minutes") * 60))
         .filter("pct >= 80")
-        .withColumn("job_name", F.coalesce("job_name", F.concat(F.lit("job-"), F.col("job_id").cast("string"))))
     )
     breached = F.col("pct") >= 100
     target = F.col("sla_minutes").cast("string")
@@ -118,14 +126,18 @@ def sla_alerts(active: DataFrame, jobs: DataFrame, as_of_ts: datetime) -> DataFr
         )
     )
     advice = wording.sla_remediation(F.col("pct"), F.col("sla_minutes"))
-    return _alert(late, "sla", severity, title, description, advice, F.when(breached, "breach").otherwise("risk"))
+    condition = F.when(breached, "breach").otherwise("risk")
+    return _alert(late, jobs if names else None, "sla", severity, title, description, advice, condition)
 
 
-def spike_alerts(usage: DataFrame, jobs: DataFrame, as_of: date, limit: int | None = None) -> DataFrame:
-    spikes = cost_spikes(usage, jobs, as_of, limit=limit)
+def spike_alerts(
+    usage: DataFrame, jobs: DataFrame | None, as_of: date, limit: int | None = None
+) -> DataFrame:
+    spikes = cost_spikes(usage, None, as_of, limit=limit)
     times, base = fixed_text(F.col("multiplier"), 1), fixed_text(F.col("baseline_p90_dbus"), 1)
     return _alert(
         spikes,
+        jobs,
         "cost",
         F.lit("P2"),
         fill("Cost spike ({x}x baseline)", x=times),
@@ -141,25 +153,21 @@ def spike_alerts(usage: DataFrame, jobs: DataFrame, as_of: date, limit: int | No
     )
 
 
-def budget_alerts(usage: DataFrame, jobs: DataFrame, as_of: date) -> DataFrame:
+def budget_alerts(usage: DataFrame, jobs: DataFrame, as_of: date, names: bool = True) -> DataFrame:
     """Current jobs with a budget tag at 80 percent of it or beyond in this month."""
-    budgets = (
-        latest_jobs(jobs)
-        .select(*JOB_KEY, F.col("name").alias("job_name"), tag_number(BUDGET_TAG).alias("budget"))
-        .filter("budget > 0")
-    )
+    budgets = latest_jobs(jobs).select(*JOB_KEY, tag_number(BUDGET_TAG).alias("budget")).filter("budget > 0")
     spent = (
         budgets.join(month_usage(usage, as_of), JOB_KEY, "left")
         .withColumn("used", F.coalesce(F.col("month_dbus").cast("double"), F.lit(0.0)))
         .withColumn("pct", F.col("used") / F.col("budget") * 100)
         .filter("pct >= 80")
-        .withColumn("job_name", F.coalesce("job_name", F.concat(F.lit("job-"), F.col("job_id").cast("string"))))
     )
     over = F.col("pct") >= 100
     pct = fixed_text(F.col("pct"), 0)
     used, budget = fixed_text(F.col("used"), 1), fixed_text(F.col("budget"), 1)
     return _alert(
         spent,
+        jobs if names else None,
         "cost",
         F.when(over, "P1").otherwise("P2"),
         F.when(over, fill("Budget exceeded ({p}%)", p=pct)).otherwise(fill("Approaching budget ({p}%)", p=pct)),
@@ -173,17 +181,23 @@ def budget_alerts(usage: DataFrame, jobs: DataFrame, as_of: date) -> DataFrame:
 
 
 def overprovision_alerts(
-    runs: DataFrame, usage: DataFrame, jobs: DataFrame, as_of: date, threshold: float = 1.0, limit: int | None = None
+    runs: DataFrame,
+    usage: DataFrame,
+    jobs: DataFrame | None,
+    as_of: date,
+    threshold: float = 1.0,
+    limit: int | None = None,
 ) -> DataFrame:
     """Jobs below ``threshold`` DBU per hour over at least three runs."""
     rates = run_dbu_rate(runs, usage, as_of).filter(F.col("avg_dbus_per_hour") < threshold)
     if limit is not None:
         rates = rates.orderBy(F.round("avg_dbus_per_hour", 9).asc(), *JOB_KEY).limit(limit)
     estimate = F.coalesce(worker_utilization(F.col("avg_dbus_per_hour")), F.lit(20.0))
-    named = with_job_names(rates, jobs).withColumn("utilization", estimate)
+    low = rates.withColumn("utilization", estimate)
     pct, analyzed = fixed_text(F.col("utilization"), 0), F.col("runs_analyzed").cast("string")
     return _alert(
-        named,
+        low,
+        jobs,
         "cluster",
         F.lit("P3"),
         fill("Over-provisioned (~{p}% utilization)", p=pct),

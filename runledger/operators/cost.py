@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from ..functions.keys import JOB_KEY
 from ..functions.naming import sku_category
 from ..functions.numbers import trend_percent
-from ..functions.timing import since, trailing
+from ..functions.timing import trailing
 from ..sources.readers import job_usage
-from .jobs import UNTAGGED, with_job_names, with_teams
+from .jobs import UNTAGGED, with_job_names
 
 MIN_BASELINE_DAYS = 5
 SPIKE_FACTOR = 2
+ZOMBIE_MIN_DBUS = 10
+ZOMBIE_DBUS_PER_RUN = 5
 
 
 def usage_daily(usage: DataFrame, as_of: date, days: int = 30, limit: int | None = 1000) -> DataFrame:
@@ -202,7 +204,7 @@ def job_costs(usage: DataFrame, jobs: DataFrame, as_of: date, days: int = 30, db
     dollars = total * dbu_rate if dbu_rate > 0 else F.lit(None).cast("double")
     joined = totals.join(cost_baseline(usage, as_of, history), JOB_KEY, "left")
     spike = current > SPIKE_FACTOR * F.col("baseline_p90_dbus")
-    return with_teams(with_job_names(joined, jobs), jobs).select(
+    return with_job_names(joined, jobs, team=True).select(
         *JOB_KEY,
         "job_name",
         "team",
@@ -260,19 +262,21 @@ def cost_totals(costs: DataFrame, dbu_rate: float = 0.0) -> DataFrame:
 
 
 def month_usage(usage: DataFrame, as_of: date) -> DataFrame:
-    """Net usage since the first of the month, where positive."""
-    month_start = as_of.replace(day=1)
+    """Net usage since the first of the month, where positive.
+
+    The month to date never starts before the 30-day window, so it is summed from the same
+    daily totals the other cost results use.
+    """
+    in_month = F.col("usage_date") >= F.lit(as_of.replace(day=1))
+    month = F.when(in_month, F.col("dbus")).otherwise(F.lit(0).cast("decimal(18,5)"))
     return (
-        job_usage(usage.filter(since("usage_date", month_start) & (F.col("usage_date") <= F.lit(as_of))))
-        .groupBy(*JOB_KEY)
-        .agg(F.sum("usage_quantity").alias("month_dbus"))
-        .filter("month_dbus > 0")
+        daily_job(usage, as_of, 30).groupBy(*JOB_KEY).agg(F.sum(month).alias("month_dbus")).filter("month_dbus > 0")
     )
 
 
 def cost_spikes(
     usage: DataFrame,
-    jobs: DataFrame,
+    jobs: DataFrame | None,
     as_of: date,
     factor: float = SPIKE_FACTOR,
     unit: str = "week_sum",
@@ -280,7 +284,8 @@ def cost_spikes(
 ) -> DataFrame:
     """Jobs whose current week exceeds ``factor`` times their p90 day, worst first.
 
-    ``unit='daily_mean'`` compares the mean day of the week instead of its sum.
+    ``unit='daily_mean'`` compares the mean day of the week instead of its sum. Without
+    ``jobs`` the result carries no names.
     """
     if unit not in ("week_sum", "daily_mean"):
         raise ValueError(f"unknown unit {unit!r}")
@@ -303,12 +308,12 @@ def cost_spikes(
         .filter(F.col("current_dbus") > factor * F.col("baseline_p90_dbus"))
         .withColumn("multiplier", F.col("current_dbus") / F.nullif(F.col("baseline_p90_dbus"), F.lit(0.0)))
     )
-    result = with_job_names(spikes, jobs).select(
-        *JOB_KEY, "job_name", "current_dbus", "baseline_p90_dbus", "multiplier"
-    )
-    if limit is None:
-        return result
-    return result.orderBy(F.round("multiplier", 9).desc(), *JOB_KEY).limit(limit)
+    if limit is not None:
+        spikes = spikes.orderBy(F.round("multiplier", 9).desc(), *JOB_KEY).limit(limit)
+    columns = [*JOB_KEY, "current_dbus", "baseline_p90_dbus", "multiplier"]
+    if jobs is None:
+        return spikes.select(*columns)
+    return with_job_names(spikes, jobs).select(*columns[:2], "job_name", *columns[2:])
 
 
 def zombie_jobs(
@@ -318,7 +323,10 @@ def zombie_jobs(
     from .health import run_stats
 
     costs = (
-        daily_job(usage, as_of, days).groupBy(*JOB_KEY).agg(F.sum("dbus").alias("total")).filter("total > 10")
+        daily_job(usage, as_of, days)
+        .groupBy(*JOB_KEY)
+        .agg(F.sum("dbus").alias("total"))
+        .filter(F.col("total") > ZOMBIE_MIN_DBUS)
     )
     output = run_stats(runs, as_of, days).select(
         *JOB_KEY, F.col("total_runs").alias("run_count"), "success_count"
@@ -330,11 +338,15 @@ def zombie_jobs(
         .withColumn("success_count", F.coalesce("success_count", zero))
         .withColumn("total_dbus", F.col("total").cast("double"))
     )
-    per_run = F.col("total_dbus") / F.nullif(F.col("run_count"), zero)
-    found = joined.filter((F.col("success_count") == 0) | F.coalesce(per_run > 5, F.lit(False)))
-    result = with_job_names(found, jobs).select(
-        *JOB_KEY, "job_name", "total_dbus", "run_count", "success_count"
+    found = joined.filter(little_output(F.col("total_dbus")))
+    if limit is not None:
+        found = found.orderBy(F.col("total_dbus").desc(), *JOB_KEY).limit(limit)
+    return with_job_names(found, jobs).select(*JOB_KEY, "job_name", "total_dbus", "run_count", "success_count")
+
+
+def little_output(total: Column) -> Column:
+    """More than 10 DBU, and no successful run or more than 5 DBU per run."""
+    per_run = total / F.nullif(F.col("run_count").cast("double"), F.lit(0.0))
+    return (total > ZOMBIE_MIN_DBUS) & (
+        (F.col("success_count") == 0) | F.coalesce(per_run > ZOMBIE_DBUS_PER_RUN, F.lit(False))
     )
-    if limit is None:
-        return result
-    return result.orderBy(F.col("total_dbus").desc(), *JOB_KEY).limit(limit)

@@ -28,39 +28,50 @@ def day_bits(as_of: date, condition: Column) -> Column:
     return F.bit_or(F.when(condition, F.call_function("shiftleft", F.lit(1).cast("long"), offset)))
 
 
-def run_stats(runs: DataFrame, as_of: date, days: int = 7) -> DataFrame:
-    """Finished and open runs, successes, rate and retries of every job in one aggregate."""
+def run_stats(runs: DataFrame, as_of: date, days: int = 7, reasons: bool = False) -> DataFrame:
+    """Finished and open runs, successes, rate and retries of every job from one pass.
+
+    With ``reasons`` the distinct termination codes of failed runs come along: rows are first
+    counted per (job, code), so duplicates are gone before a job's codes are collected, and
+    codes are a closed vocabulary.
+    """
     if days > MAX_BIT_DAYS:
         raise ValueError(f"days must be at most {MAX_BIT_DAYS}")
-    counted = (
-        runs.filter(trailing("period_start_time", as_of, days))
-        .groupBy(*JOB_KEY)
-        .agg(
-            F.count_if(is_finished()).alias("total_runs"),
-            F.count_if(is_success()).alias("success_count"),
-            F.count_if(is_failed()).alias("failed_count"),
-            F.count_if(~is_finished()).alias("open_runs"),
-            day_bits(as_of, is_finished()).alias("days"),
+    counters = {
+        "total_runs": is_finished(),
+        "success_count": is_success(),
+        "failed_count": is_failed(),
+        "open_runs": ~is_finished(),
+    }
+    counts = [F.count_if(condition).alias(name) for name, condition in counters.items()]
+    in_window = runs.filter(trailing("period_start_time", as_of, days))
+    extra: list[Column] = []
+    if reasons:
+        code = F.when(is_failed(), F.col("termination_code")).alias("code")
+        pieces = in_window.groupBy(*JOB_KEY, code).agg(*counts, day_bits(as_of, is_finished()).alias("days"))
+        per_job = pieces.groupBy(*JOB_KEY).agg(
+            *[F.sum(name).alias(name) for name in counters],
+            F.bit_or("days").alias("days"),
+            F.sort_array(F.collect_list("code")).alias("failure_reasons"),
         )
-        .filter("total_runs > 0")
-    )
-    return counted.select(
+        extra.append(F.col("failure_reasons"))
+    else:
+        per_job = in_window.groupBy(*JOB_KEY).agg(*counts, day_bits(as_of, is_finished()).alias("days"))
+    return per_job.filter("total_runs > 0").select(
         *JOB_KEY,
-        "total_runs",
-        "success_count",
-        "failed_count",
-        "open_runs",
+        *counters,
         percent(F.col("success_count"), F.col("total_runs")).alias("success_rate"),
         (F.col("total_runs") - F.bit_count("days")).alias("retry_count"),
+        *extra,
     )
 
 
-def run_stats_with_last(runs: DataFrame, as_of: date, days: int = 7) -> DataFrame:
+def run_stats_with_last(runs: DataFrame, as_of: date, days: int = 7, reasons: bool = False) -> DataFrame:
     """Run statistics plus the newest finished run and the two failure flags.
 
     Both sides are hash partitioned by job after their own shuffle, so the join adds none.
     """
-    return run_stats(runs, as_of, days).join(last_two(runs, as_of, days), JOB_KEY)
+    return run_stats(runs, as_of, days, reasons).join(last_two(runs, as_of, days), JOB_KEY)
 
 
 def success_rates(runs: DataFrame, as_of: date, days: int = 30) -> DataFrame:

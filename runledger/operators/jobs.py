@@ -66,28 +66,21 @@ def job_tags(jobs: DataFrame) -> DataFrame:
     )
 
 
-def job_names(jobs: DataFrame) -> DataFrame:
-    return latest_jobs(jobs).select(*JOB_KEY, F.col("name").alias("job_name"))
-
-
-def with_job_names(df: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Adds ``job_name``, ``job-<id>`` where the job is unknown or deleted.
+def with_job_names(df: DataFrame, jobs: DataFrame, team: bool = False) -> DataFrame:
+    """Adds ``job_name``, ``job-<id>`` where the job is unknown or deleted, and its team if asked.
 
     No broadcast hint: the size of the job list decides, and beyond the threshold the
     left side of a left join is split by the adaptive skew rule.
     """
+    columns = [F.col("name").alias("job_name")]
+    if team:
+        columns.append(tag_text(TEAM_TAG).alias("team"))
     fallback = F.concat(F.lit("job-"), F.col("job_id").cast("string"))
-    return df.join(job_names(jobs), JOB_KEY, "left").withColumn(
+    return df.join(latest_jobs(jobs).select(*JOB_KEY, *columns), JOB_KEY, "left").withColumn(
         "job_name", F.coalesce(F.col("job_name"), fallback)
     )
 
 
-def with_teams(df: DataFrame, jobs: DataFrame, default: str | None = None) -> DataFrame:
-    teams = latest_jobs(jobs).select(*JOB_KEY, tag_text(TEAM_TAG).alias("team"))
-    joined = df.join(teams, JOB_KEY, "left")
-    return joined if default is None else joined.withColumn("team", F.coalesce("team", F.lit(default)))
-
-
 def jobs_of_team(jobs: DataFrame, team: str) -> DataFrame:
     return latest_jobs(jobs).filter(tag_text(TEAM_TAG) == team).select(*JOB_KEY)
 

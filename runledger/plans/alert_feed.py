@@ -20,22 +20,26 @@ def all_alerts(
     as_of_ts: datetime,
     categories: list[str] | None = None,
 ) -> DataFrame:
-    """Union of the requested generators; the others are not even planned."""
+    """Union of the requested generators; the others are not even planned.
+
+    Names are joined to the union once. All usage-based generators start from the same daily
+    totals, whose shuffle is planned once and reused.
+    """
     wanted = {c.lower() for c in categories} if categories else set(A.CATEGORIES)
     unknown = wanted - set(A.CATEGORIES)
     if unknown:
         raise ValueError(f"unknown categories {sorted(unknown)}")
     parts: list[DataFrame] = []
     if "failure" in wanted:
-        parts.append(A.failure_alerts(runs, jobs, as_of))
+        parts.append(A.failure_alerts(runs, None, as_of))
     if "sla" in wanted:
-        parts.append(A.sla_alerts(active, jobs, as_of_ts))
+        parts.append(A.sla_alerts(active, jobs, as_of_ts, names=False))
     if "cost" in wanted:
-        parts.append(A.spike_alerts(usage, jobs, as_of))
-        parts.append(A.budget_alerts(usage, jobs, as_of))
+        parts.append(A.spike_alerts(usage, None, as_of))
+        parts.append(A.budget_alerts(usage, jobs, as_of, names=False))
     if "cluster" in wanted:
-        parts.append(A.overprovision_alerts(runs, usage, jobs, as_of))
-    return reduce(DataFrame.unionByName, parts)
+        parts.append(A.overprovision_alerts(runs, usage, None, as_of))
+    return A.named(reduce(DataFrame.unionByName, parts), jobs)
 
 
 def alert_feed(

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import JOB_KEY
-from ..functions.numbers import fixed_text
+from ..functions.numbers import fixed_text, ratio
 from ..functions.wording import fill
-from ..operators.cost import SPIKE_FACTOR, job_costs, with_teams, zombie_jobs
+from ..operators.cost import SPIKE_FACTOR, job_costs, little_output
+from ..operators.health import run_stats
 
 
 def cost_anomalies(
@@ -18,46 +19,50 @@ def cost_anomalies(
 ) -> DataFrame:
     """Spiking jobs, and idle-cost jobs that are not already spiking.
 
-    The multiplier of a spike relates the week to the baseline, as its alert does.
+    Both rules are read off one row per job with its costs and run counts, so neither a union
+    nor an anti-join is needed. The multiplier of a spike relates the week to the baseline, as
+    its alert does.
     """
-    multiplier = F.col("current_7d_dbus") / F.col("baseline_p90_dbus")
-    spikes = (
+    zero = F.lit(0).cast("long")
+    output = run_stats(runs, as_of, days).select(*JOB_KEY, F.col("total_runs").alias("run_count"), "success_count")
+    rows = (
         job_costs(usage, jobs, as_of, days)
-        .filter((F.col("current_7d_dbus") > SPIKE_FACTOR * F.col("baseline_p90_dbus")) & (F.col("baseline_p90_dbus") > 0))
-        .withColumn("multiplier", multiplier)
-        .select(
-            *JOB_KEY,
-            "job_name",
-            "team",
-            F.lit("cost_spike").alias("anomaly_type"),
-            fill("Cost {x}x higher than p90 baseline", x=fixed_text(F.col("multiplier"), 1)).alias("reason"),
-            F.col("current_7d_dbus").alias("current_dbus"),
-            "baseline_p90_dbus",
-            "multiplier",
-        )
+        .join(output, JOB_KEY, "left")
+        .withColumn("run_count", F.coalesce("run_count", zero))
+        .withColumn("success_count", F.coalesce("success_count", zero))
     )
-    total, count = fixed_text(F.col("total_dbus"), 1), F.col("run_count").cast("string")
-    reason = (
-        F.when(
-            (F.col("success_count") == 0) & (F.col("run_count") > 0),
-            fill("High cost ({t} DBUs) with 0 successful runs out of {n} attempts", t=total, n=count),
+    total, week, base = F.col("total_dbus_30d"), F.col("current_7d_dbus"), F.col("baseline_p90_dbus")
+    spike = F.coalesce((week > SPIKE_FACTOR * base) & (base > 0), F.lit(False))
+    kind = F.when(spike, "cost_spike").when(little_output(total), "zombie")
+    spiking = F.col("anomaly_type") == "cost_spike"
+    amount, count = fixed_text(total, 1), F.col("run_count").cast("string")
+    idle = (
+        F.when(F.col("run_count") == 0, fill("High cost ({t} DBUs) with no detected runs", t=amount))
+        .when(
+            F.col("success_count") == 0,
+            fill("High cost ({t} DBUs) with 0 successful runs out of {n} attempts", t=amount, n=count),
         )
-        .when(F.col("run_count") == 0, fill("High cost ({t} DBUs) with no detected runs", t=total))
         .otherwise(
             fill(
                 "High cost per run ({r} DBUs/run) may indicate inefficiency",
-                r=fixed_text(F.col("total_dbus") / F.nullif(F.col("run_count"), F.lit(0).cast("long")), 1),
+                r=fixed_text(ratio(total, F.col("run_count")), 1),
             )
         )
     )
-    zombies = with_teams(zombie_jobs(usage, runs, jobs, as_of, days), jobs).select(
-        *JOB_KEY,
-        "job_name",
-        "team",
-        F.lit("zombie").alias("anomaly_type"),
-        reason.alias("reason"),
-        F.col("total_dbus").alias("current_dbus"),
-        F.lit(None).cast("double").alias("baseline_p90_dbus"),
-        F.lit(None).cast("double").alias("multiplier"),
+    return (
+        rows.withColumn("anomaly_type", kind)
+        .filter("anomaly_type IS NOT NULL")
+        .withColumn("multiplier", F.when(spiking, ratio(week, base)))
+        .select(
+            *JOB_KEY,
+            "job_name",
+            "team",
+            "anomaly_type",
+            F.when(spiking, fill("Cost {x}x higher than p90 baseline", x=fixed_text(F.col("multiplier"), 1)))
+            .otherwise(idle)
+            .alias("reason"),
+            F.when(spiking, week).otherwise(total).alias("current_dbus"),
+            F.when(spiking, base).alias("baseline_p90_dbus"),
+            "multiplier",
+        )
     )
-    return spikes.unionByName(zombies.join(spikes.select(*JOB_KEY), JOB_KEY, "left_anti"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import JOB_KEY, in_workspace
 from ..functions.states import PRIORITY_ORDER, rank_of
-from ..operators.alerts import failure_alerts, spike_alerts
+from ..operators.alerts import failure_alerts, named, spike_alerts
 from ..operators.cost import job_costs
 from ..operators.ordering import health_order
 from .health import health_rollup
@@ -30,7 +30,7 @@ def with_refresh_time(df: DataFrame, refreshed_at: datetime) -> DataFrame:
 
 def alerts_rollup(runs: DataFrame, usage: DataFrame, jobs: DataFrame, as_of: date) -> DataFrame:
     """Failure and spike alerts, whole; the remaining categories depend on live state."""
-    return failure_alerts(runs, jobs, as_of).unionByName(spike_alerts(usage, jobs, as_of))
+    return named(failure_alerts(runs, None, as_of).unionByName(spike_alerts(usage, None, as_of)), jobs)
 
 
 def build(runs: DataFrame, usage: DataFrame, jobs: DataFrame, as_of: date, refreshed_at: datetime) -> dict[str, DataFrame]:
