@@ -58,7 +58,7 @@ def usage_by_job(usage: DataFrame, as_of: date, days: int = 30) -> DataFrame:
 
 
 def daily_job_sku(usage: DataFrame, as_of: date, days: int = 30) -> DataFrame:
-    """Net usage per (job, product, day): the one pass over usage every cost result starts from.
+    """Net usage per (job, product, day): the one pass over usage the cost table starts from.
 
     Results built on it share the shuffle, and a hot job is already reduced to days x products.
     """
@@ -70,10 +70,11 @@ def daily_job_sku(usage: DataFrame, as_of: date, days: int = 30) -> DataFrame:
 
 
 def daily_job(usage: DataFrame, as_of: date, days: int = 30) -> DataFrame:
+    """Net usage per (job, day): the one pass all usage-based alerts start from."""
     return (
-        daily_job_sku(usage, as_of, days)
+        job_usage(usage.filter(trailing("usage_date", as_of, days)))
         .groupBy(*JOB_KEY, "usage_date")
-        .agg(F.sum("dbus").alias("dbus"))
+        .agg(F.sum("usage_quantity").alias("dbus"))
     )
 
 
@@ -142,10 +143,12 @@ def cost_baseline(usage: DataFrame, as_of: date, days: int = 30, positive_only:
 
     Days that net to zero do not count; ``positive_only`` also leaves out negative days.
     """
-    keep = "dbus > 0" if positive_only else "dbus <> 0"
+    return baseline_of(daily_job(usage, as_of, days), positive_only)
+
+
+def baseline_of(daily: DataFrame, positive_only: bool = False) -> DataFrame:
     return (
-        daily_job(usage, as_of, days)
-        .filter(keep)
+        daily.filter("dbus > 0" if positive_only else "dbus <> 0")
         .groupBy(*JOB_KEY)
         .agg(
             F.percentile(F.col("dbus").cast("double"), 0.9).alias("baseline_p90_dbus"),
@@ -202,7 +205,8 @@ def job_costs(usage: DataFrame, jobs: DataFrame, as_of: date, days: int = 30, db
     current = F.col("current_7d_dbus").cast("double")
     total = F.col("total_dbus_30d").cast("double")
     dollars = total * dbu_rate if dbu_rate > 0 else F.lit(None).cast("double")
-    joined = totals.join(cost_baseline(usage, as_of, history), JOB_KEY, "left")
+    by_day = daily_job_sku(usage, as_of, history).groupBy(*JOB_KEY, "usage_date").agg(F.sum("dbus").alias("dbus"))
+    joined = totals.join(baseline_of(by_day), JOB_KEY, "left")
     spike = current > SPIKE_FACTOR * F.col("baseline_p90_dbus")
     return with_job_names(joined, jobs, team=True).select(
         *JOB_KEY,

@@ -23,11 +23,15 @@ def latest_jobs(jobs: DataFrame, include_deleted: bool = False) -> DataFrame:
     Versions are ranked before deleted jobs are dropped, so a deleted job does not come
     back through an older version. ``row_number() = 1`` alone in its window becomes a
     group limit on the map side: a job with millions of versions ships one row per task.
+    The key columns are required here so that every use has the same scan and shuffle.
     """
     newest = Window.partitionBy(*JOB_KEY).orderBy(
-        F.col("change_time").desc_nulls_last(), F.col("delete_time").desc_nulls_last(), F.col("name").asc_nulls_last()
+        F.col("change_time").desc_nulls_last(),
+        F.col("delete_time").desc_nulls_last(),
+        F.col("name").asc_nulls_last(),
     )
-    current = jobs.withColumn("rn", F.row_number().over(newest)).filter("rn = 1").drop("rn")
+    keyed = jobs.filter("workspace_id IS NOT NULL AND job_id IS NOT NULL")
+    current = keyed.withColumn("rn", F.row_number().over(newest)).filter("rn = 1").drop("rn")
     return current if include_deleted else current.filter(F.col("delete_time").isNull())
 
 

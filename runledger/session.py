@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Recording a Python call site for every column expression dominates plan building.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 SHARED_FOLDER = "spark.checkpoint.dir"
 

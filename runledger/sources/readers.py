@@ -37,18 +37,19 @@ def read_presets(spark: SparkSession, location: str, fmt: str = "parquet") -> Da
 
 
 def job_usage(usage: DataFrame) -> DataFrame:
-    """Flat usage rows of jobs. The BIGINT/STRING mismatch of job ids is settled here, once."""
-    return (
-        usage.select(
-            "workspace_id",
-            F.col("usage_metadata.job_id").alias("job_id"),
-            "usage_date",
-            "sku_name",
-            "usage_quantity",
-        )
-        .filter(F.col("job_id").isNotNull())
-        .withColumn("job_id", F.col("job_id").cast("bigint"))
+    """Flat usage rows of jobs. The BIGINT/STRING mismatch of job ids is settled here, once.
+
+    The key columns are required explicitly. Joins above would demand the same and push it
+    down, which would make otherwise equal scans differ and keep their shuffles from being reused.
+    """
+    flat = usage.select(
+        "workspace_id",
+        F.col("usage_metadata.job_id").cast("bigint").alias("job_id"),
+        "usage_date",
+        "sku_name",
+        "usage_quantity",
     )
+    return flat.filter("workspace_id IS NOT NULL AND job_id IS NOT NULL AND usage_date IS NOT NULL")
 
 
 def live_runs(feed: DataFrame, unknown_state: str = "UNKNOWN") -> DataFrame:
