@@ -78,59 +78,77 @@ def _pattern_gram(pattern: Column) -> Column:
     return F.substring(F.get(stretches, F.lit(0)), 1, GRAM)
 
 
+def _all_salts() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(BLOCK_SALTS - 1)))
+
+
+def _salt(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(BLOCK_SALTS)).cast("int")
+
+
+def matching_names(patterns: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs of distinct ``pattern`` and distinct ``job_name`` where the name matches.
+
+    A pattern meets only names that contain a letter triple it demands, as an equi-join; a
+    pattern without one meets all names through the '*' block. Every block of names is spread
+    by a salt, for which the (short) pattern list is repeated.
+    """
+    pattern = F.col("pattern")
+    wanted = patterns.select(
+        "pattern",
+        column_regex(pattern).alias("regex"),
+        F.coalesce(_pattern_gram(pattern), F.lit("*")).alias("block"),
+        _all_salts().alias("salt"),
+    )
+    blocks = F.concat(F.array(F.lit("*")), _grams(F.lower("job_name")))
+    offered = names.select("job_name", _salt("job_name").alias("salt"), F.explode(blocks).alias("block"))
+    return (
+        offered.join(wanted, ["block", "salt"])
+        .filter(F.rlike(F.col("job_name"), F.col("regex")))
+        .select("pattern", "job_name")
+    )
+
+
 def apply_presets(presets: DataFrame, jobs: DataFrame, as_of: date) -> DataFrame:
     """Jobs selected by every preset: its team, its job and any of its name patterns.
 
-    A preset meets only jobs it shares a block with: its job, its team, or a letter triple
-    that its pattern demands; a preset without any of these selects all jobs and meets them in
-    the 'all' block. That is an equi-join whose every block is salted, and the full condition
-    is checked on the pairs. A job matched by several patterns is kept for the first one only,
-    which needs no distinct afterwards.
+    Patterns are matched once per distinct pattern and name, then joined back; a preset without
+    patterns meets the jobs of its team or its job, or all jobs, in salted blocks. Every join is
+    an equi-join.
     """
-    patterns = pattern_list(F.col("job_name_patterns"))
-    wanted = (
-        preset_ranges(presets, as_of)
-        .withColumn("patterns", patterns)
-        .select(
-            F.col("id").alias("preset_id"),
-            F.col("team").alias("preset_team"),
-            F.col("job_id").alias("preset_job"),
-            "patterns",
-            "range_start",
-            "range_end",
-            F.posexplode_outer("patterns").alias("position", "pattern"),
-        )
+    wanted = preset_ranges(presets, as_of).select(
+        F.col("id").alias("preset_id"),
+        F.col("team").alias("preset_team"),
+        F.col("job_id").alias("preset_job"),
+        pattern_list(F.col("job_name_patterns")).alias("patterns"),
+        "range_start",
+        "range_end",
     )
+    name = F.coalesce("name", F.concat(F.lit("job-"), F.col("job_id").cast("string")))
+    known = latest_jobs(jobs).select(*JOB_KEY, name.alias("job_name"), tag_text(TEAM_TAG).alias("team"))
+    selected = (F.col("preset_team").isNull() | F.col("team").eqNullSafe(F.col("preset_team"))) & (
+        F.col("preset_job").isNull() | (F.col("job_id").cast("string") == F.col("preset_job"))
+    )
+    columns = ["preset_id", *JOB_KEY, "job_name", "range_start", "range_end"]
+
+    by_pattern = wanted.withColumn("pattern", F.explode("patterns")).drop("patterns")
+    pairs = matching_names(by_pattern.select("pattern").distinct(), known.select("job_name").distinct())
+    named = by_pattern.join(pairs, "pattern").drop("pattern").distinct()
+    with_patterns = known.join(named, "job_name").filter(selected).select(*columns)
+
     block = (
         F.when(F.col("preset_job").isNotNull(), F.concat(F.lit("job:"), "preset_job"))
         .when(F.col("preset_team").isNotNull(), F.concat(F.lit("team:"), "preset_team"))
-        .when(_pattern_gram(F.col("pattern")).isNotNull(), F.concat(F.lit("gram:"), _pattern_gram(F.col("pattern"))))
         .otherwise("all")
     )
-    salts = F.explode(F.sequence(F.lit(0), F.lit(BLOCK_SALTS - 1)))
-    wanted = wanted.withColumn("block", block).withColumn("salt", salts)
-
-    name = F.coalesce("name", F.concat(F.lit("job-"), F.col("job_id").cast("string")))
-    known = latest_jobs(jobs).select(*JOB_KEY, name.alias("job_name"), tag_text(TEAM_TAG).alias("team"))
-    blocks = F.concat(
-        F.array(F.lit("all"), F.concat(F.lit("job:"), F.col("job_id").cast("string"))),
-        F.transform(_grams(F.lower("job_name")), lambda g: F.concat(F.lit("gram:"), g)),
-        F.when(F.col("team").isNotNull(), F.array(F.concat(F.lit("team:"), "team"))).otherwise(
-            F.array().cast("array<string>")
-        ),
-    )
-    salt = F.pmod(F.xxhash64(*JOB_KEY), F.lit(BLOCK_SALTS)).cast("int")
-    offered = known.withColumn("salt", salt).withColumn("block", F.explode(blocks))
-
-    hits = F.transform("patterns", lambda p: F.rlike(F.col("job_name"), column_regex(p)))
-    first_hit = F.array_position(hits, F.lit(True)) == F.col("position") + 1
-    selected = (
-        (F.col("preset_team").isNull() | F.col("team").eqNullSafe(F.col("preset_team")))
-        & (F.col("preset_job").isNull() | (F.col("job_id").cast("string") == F.col("preset_job")))
-        & (F.col("position").isNull() | first_hit)
-    )
-    return (
-        offered.join(wanted, ["block", "salt"])
-        .filter(selected)
-        .select("preset_id", *JOB_KEY, "job_name", "range_start", "range_end")
+    plain = wanted.filter(F.size("patterns") == 0).withColumn("block", block).withColumn("salt", _all_salts())
+    blocks = F.array_compact(
+        F.array(
+            F.lit("all"),
+            F.concat(F.lit("job:"), F.col("job_id").cast("string")),
+            F.concat(F.lit("team:"), F.col("team")),
+        )
     )
+    offered = known.withColumn("salt", _salt(*JOB_KEY)).withColumn("block", F.explode(blocks))
+    without_patterns = offered.join(plain, ["block", "salt"]).filter(selected).select(*columns)
+    return with_patterns.unionByName(without_patterns)
