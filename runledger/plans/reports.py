@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,17 +53,17 @@ def report_daily_alerts(alerts: DataFrame) -> DataFrame:
     )
 
 
-def one_row(df: DataFrame, single: DataFrame) -> DataFrame:
-    """Adds the columns of a global aggregate to every row; one row is all that is broadcast."""
-    key = F.lit(1).alias("one")
-    return df.select("*", key).join(F.broadcast(single.select("*", key)), "one").drop("one")
+def one_row(*parts: DataFrame) -> DataFrame:
+    """Several global aggregates as one row: their rows are stacked and folded, nothing is joined."""
+    stacked = reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), parts)
+    return stacked.agg(*[F.max(name).alias(name) for name in stacked.columns])
 
 
 def report_weekly_teams(teams: DataFrame) -> DataFrame:
-    """Every team with its share of all usage."""
-    total = teams.agg(F.sum(F.col("total_dbus_30d").cast("decimal(28,5)")).cast("double").alias("total"))
+    """Every team with its share of all usage; the total is a scalar subquery."""
+    total = teams.agg(F.sum(F.col("total_dbus_30d").cast("decimal(28,5)")).cast("double").alias("total")).scalar()
     share = F.col("total_dbus_30d") / F.nullif(F.col("total"), F.lit(0.0)) * 100
-    return one_row(teams, total).select(
+    return teams.withColumn("total", total).select(
         "team",
         "total_dbus_30d",
         "job_count",
@@ -132,7 +134,7 @@ def dashboard(health: DataFrame, alerts: DataFrame, costs: DataFrame) -> DataFra
         .agg(F.array_join(F.sort_array(F.collect_list("condition_key")), ",").alias("recent_alerts"))
     )
     spent = cost_totals(costs).select(F.col("total_dbus_30d").alias("total_cost"))
-    return one_row(one_row(one_row(jobs, counts), spent), first)
+    return one_row(jobs, counts, spent, first)
 
 
 def formatted_report(costs: DataFrame, durations: DataFrame, dbu_rate: float) -> DataFrame:
