@@ -23,6 +23,16 @@ def in_workspace(df: DataFrame, workspace_id: str | int | None = None) -> DataFr
     return df if predicate is None else df.filter(predicate)
 
 
+def together(df: DataFrame) -> DataFrame:
+    """One shuffle that brings the rows of a job together.
+
+    Only for rows that an aggregate has already reduced to a bounded number per job (days,
+    products, distinct durations): every later aggregate and join per job is then local, where
+    each would otherwise shuffle the same rows again.
+    """
+    return df.repartition(*JOB_KEY)
+
+
 def condition_key(category: str, suffix: str | Column) -> Column:
     """Stable identity of an alert condition, e.g. ``failure_1000_17_single``."""
     tail = F.lit(suffix) if isinstance(suffix, str) else suffix

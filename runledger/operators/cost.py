@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import JOB_KEY
+from ..functions.keys import JOB_KEY, together
 from ..functions.naming import sku_category
 from ..functions.numbers import trend_percent
 from ..functions.timing import trailing
@@ -60,9 +60,10 @@ def usage_by_job(usage: DataFrame, as_of: date, days: int = 30) -> DataFrame:
 def daily_job_sku(usage: DataFrame, as_of: date, days: int = 30) -> DataFrame:
     """Net usage per (job, product, day): the one pass over usage the cost table starts from.
 
-    Results built on it share the shuffle, and a hot job is already reduced to days x products.
+    A hot job is reduced to days x products here, then its rows are brought together, so the
+    results built on it need no further shuffle.
     """
-    return (
+    return together(
         job_usage(usage.filter(trailing("usage_date", as_of, days)))
         .groupBy(*JOB_KEY, "sku_name", "usage_date")
         .agg(F.sum("usage_quantity").alias("dbus"))
@@ -71,7 +72,7 @@ def daily_job_sku(usage: DataFrame, as_of: date, days: int = 30) -> DataFrame:
 
 def daily_job(usage: DataFrame, as_of: date, days: int = 30) -> DataFrame:
     """Net usage per (job, day): the one pass all usage-based alerts start from."""
-    return (
+    return together(
         job_usage(usage.filter(trailing("usage_date", as_of, days)))
         .groupBy(*JOB_KEY, "usage_date")
         .agg(F.sum("usage_quantity").alias("dbus"))

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import JOB_KEY
+from ..functions.keys import JOB_KEY, together
 from ..functions.numbers import percent
 from ..functions.states import is_failed, is_finished, is_success, priority
 from ..functions.timing import effective_seconds, trailing
@@ -121,7 +121,7 @@ def duration_histogram(
 ) -> DataFrame:
     """Rows per job and duration in seconds: an exact, mergeable form of the distribution."""
     keys = [*JOB_KEY, "run_date", "seconds"] if by_day else [*JOB_KEY, "seconds"]
-    return duration_rows(runs, as_of, days, effective).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return together(duration_rows(runs, as_of, days, effective).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
 
 
 def percentiles(value: Column, points: list[float], weight: Column, approximate: bool) -> Column:

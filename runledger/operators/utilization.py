@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import JOB_KEY
+from ..functions.keys import JOB_KEY, together
 from ..functions.load import driver_utilization, right_sizing, worker_utilization
 from ..functions.states import is_finished
 from ..functions.timing import effective_seconds, trailing
@@ -43,10 +43,12 @@ def run_dbu_rate(runs: DataFrame, usage: DataFrame, as_of: date, days: int = 30,
     (job, day) before usage is joined, so no run-level join on a hot job takes place.
     """
     measured = measured_runs(runs, as_of, days)
-    by_day = measured.groupBy(*JOB_KEY, "usage_date").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.lit(3600.0) / F.col("seconds")).alias("inverse_hours"),
-        F.sum("seconds").alias("day_seconds"),
+    by_day = together(
+        measured.groupBy(*JOB_KEY, "usage_date").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(F.lit(3600.0) / F.col("seconds")).alias("inverse_hours"),
+            F.sum("seconds").alias("day_seconds"),
+        )
     )
     spend = daily_job(usage, as_of, days).filter("dbus > 0")
     dbus = F.coalesce(F.col("dbus").cast("double"), F.lit(0.0))

@@ -4,20 +4,18 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import JOB_KEY, in_workspace
+from ..functions.keys import JOB_KEY, in_workspace, together
 from ..functions.numbers import percent
-from ..functions.states import PRIORITY_ORDER, is_finished, is_success, priority, traffic_light
+from ..functions.states import PRIORITY_ORDER, is_failed, is_finished, is_success, priority, traffic_light
 from ..functions.timing import effective_seconds, trailing
 from ..operators.health import (
+    MIN_RUNS_FOR_STATS,
     day_bits,
-    duration_stats,
-    failure_reasons,
     job_priorities,
     percentiles,
-    retry_counts_distinct,
     run_stats_with_last,
 )
 from ..operators.jobs import with_job_names
@@ -65,7 +63,7 @@ def health_rollup(runs: DataFrame, jobs: DataFrame, as_of: date, approximate: bo
     """
     week = trailing("period_start_time", as_of, 7)
     recorded = F.col("run_duration_seconds").cast("long")
-    pieces = (
+    pieces = together(
         runs.filter(trailing("period_start_time", as_of, 30))
         .groupBy(*JOB_KEY, F.when(is_finished(), recorded).alias("seconds"))
         .agg(
@@ -143,46 +141,72 @@ def mean_rate(column: str = "success_rate"):
 def job_details(runs: DataFrame, jobs: DataFrame, as_of: date) -> DataFrame:
     """Latest runs with anomaly flags, duration statistics, retries and failure reasons of every job.
 
-    The run list holds at most ten entries per job; everything else is an aggregate.
+    Everything but the run list comes from one pass that counts rows per (job, duration,
+    termination code); the run list holds at most ten entries per job.
     """
-    stats = duration_stats(runs, as_of, 30, effective=True).withColumnRenamed("run_count", "measured_runs")
+    week = trailing("period_start_time", as_of, 7)
+    ended = is_finished() & F.col("period_end_time").isNotNull()
+    seconds = F.when(ended & (effective_seconds() > 0), effective_seconds())
+    pieces = together(
+        runs.filter(trailing("period_start_time", as_of, 30))
+        .groupBy(*JOB_KEY, seconds.alias("seconds"), F.when(is_failed(), F.col("termination_code")).alias("code"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(is_finished() & week).alias("n7"),
+            day_bits(as_of, is_finished() & week).alias("days"),
+        )
+    )
+    measured = F.when(F.col("seconds").isNotNull(), F.col("n")).otherwise(F.lit(0).cast("long"))
+    stats = (
+        pieces.withColumn("measured", measured)
+        .groupBy(*JOB_KEY)
+        .agg(
+            F.percentile("seconds", [0.5, 0.9], F.col("measured")).alias("q"),
+            (F.sum(F.col("seconds") * F.col("measured")).cast("double") / F.nullif(F.sum("measured"), F.lit(0))).alias(
+                "avg_duration_seconds"
+            ),
+            F.max("seconds").cast("double").alias("max_duration_seconds"),
+            F.sum("measured").alias("run_count"),
+            (F.sum("n7") - F.coalesce(F.bit_count(F.bit_or("days")), F.lit(0))).alias("retry_count_7d"),
+            F.sort_array(F.collect_set("code")).alias("failure_reasons"),
+        )
+        .withColumn("median_duration_seconds", F.col("q")[0])
+    )
     window = runs.filter(trailing("period_start_time", as_of, 30)).select(
         *JOB_KEY, "run_id", "period_start_time", "period_end_time", "result_state", effective_seconds().alias("seconds")
     )
-    latest = recent_runs(window, DETAIL_RUNS, finished_only=False).join(
-        stats.select(*JOB_KEY, F.col("median_duration_seconds").alias("median")), JOB_KEY, "left"
-    )
-    slow = (F.col("median") > 0) & (F.col("seconds") > ANOMALY_FACTOR * F.col("median"))
+    latest = recent_runs(window, DETAIL_RUNS, finished_only=False)
     lists = latest.groupBy(*JOB_KEY).agg(
         F.sort_array(
             F.collect_list(
-                F.struct(
-                    "rn",
-                    "run_id",
-                    F.col("period_start_time").alias("start_time"),
-                    F.col("period_end_time").alias("end_time"),
-                    F.col("seconds").alias("duration_seconds"),
-                    "result_state",
-                    F.coalesce(slow, F.lit(False)).alias("is_anomaly"),
-                )
+                F.struct("rn", "run_id", "period_start_time", "period_end_time", "seconds", "result_state")
             )
-        ).alias("recent_runs")
-    )
-    joined = (
-        lists.join(stats, JOB_KEY, "left")
-        .join(retry_counts_distinct(runs, as_of, 7), JOB_KEY, "left")
-        .join(failure_reasons(runs, as_of, 30), JOB_KEY, "left")
+        ).alias("latest")
     )
-    return with_job_names(joined, jobs).select(
+    median = F.col("median_duration_seconds")
+
+    def detail(entry: Column) -> Column:
+        slow = (median > 0) & (entry.seconds > ANOMALY_FACTOR * median)
+        return F.struct(
+            entry.rn.alias("rn"),
+            entry.run_id.alias("run_id"),
+            entry.period_start_time.alias("start_time"),
+            entry.period_end_time.alias("end_time"),
+            entry.seconds.alias("duration_seconds"),
+            entry.result_state.alias("result_state"),
+            F.coalesce(slow, F.lit(False)).alias("is_anomaly"),
+        )
+
+    return with_job_names(lists.join(stats, JOB_KEY), jobs).select(
         *JOB_KEY,
         "job_name",
-        "recent_runs",
+        F.transform("latest", detail).alias("recent_runs"),
         "median_duration_seconds",
-        "p90_duration_seconds",
+        F.col("q")[1].alias("p90_duration_seconds"),
         "avg_duration_seconds",
         "max_duration_seconds",
-        F.coalesce("measured_runs", F.lit(0).cast("long")).alias("run_count"),
-        F.coalesce("has_sufficient_data", F.lit(False)).alias("has_sufficient_data"),
-        F.coalesce("retry_count", F.lit(0).cast("long")).alias("retry_count_7d"),
-        F.coalesce("failure_reasons", F.array().cast("array<string>")).alias("failure_reasons"),
+        "run_count",
+        (F.col("run_count") >= MIN_RUNS_FOR_STATS).alias("has_sufficient_data"),
+        "retry_count_7d",
+        "failure_reasons",
     )
