@@ -167,6 +167,9 @@ WHERE n IN (2, 3)""",
 SELECT {KEY}, run_id, CASE WHEN period_end_time IS NULL THEN 'RUNNING' ELSE 'TERMINATED' END AS state, result_state,
   CAST(DATE_TRUNC('milliseconds', period_start_time) AS TIMESTAMP) AS start_time,
   CAST(DATE_TRUNC('milliseconds', period_end_time) AS TIMESTAMP) AS end_time FROM runs""",
+    "refresh_rollups": """
+SELECT 'job_health' AS rollup, COUNT(*) AS rows_written FROM health30 UNION ALL SELECT 'cost', COUNT(*) FROM costs
+UNION ALL SELECT 'alerts', (SELECT COUNT(*) FROM failure_alerts) + (SELECT COUNT(*) FROM spike_alerts)""",
     "read_health_rollup": _health_read(7),
     "read_health_rollup_30d": _health_read(30),
     "read_cost_rollup": rounded(

@@ -87,8 +87,9 @@ def sla_advice(pct: str, minutes: str) -> str:
 
 def spike_advice(multiplier: str, base: str) -> str:
     return (
-        f"'Cost is ' || {fixed(multiplier, 1)} || 'x higher than p90 baseline (' || {fixed(base, 1)} || "
-        f"' DBUs). Check for increased data volume, cluster misconfiguration, or inefficient operations.'"
+        f"CASE WHEN {multiplier} = 0 OR {base} = 0 THEN 'Cost anomaly detected. Review job resource usage and recent changes.' "
+        f"ELSE 'Cost is ' || {fixed(multiplier, 1)} || 'x higher than p90 baseline (' || {fixed(base, 1)} || "
+        f"' DBUs). Check for increased data volume, cluster misconfiguration, or inefficient operations.' END"
     )
 
 

@@ -295,6 +295,13 @@ def wide_health(t: SampleTables) -> DataFrame:
     return RU.with_refresh_time(PH.health_rollup(t.runs, t.jobs, t.as_of), t.as_of_ts)
 
 
+def refreshed(t: SampleTables) -> DataFrame:
+    """Refreshes all three rollups; rows written per table as counted by the write."""
+    tables = RU.build(t.runs, t.usage, t.jobs, t.as_of, t.as_of_ts)
+    counts = RU.refresh(tables, shared_folder(t.spark))
+    return t.spark.createDataFrame(list(counts.items()), "rollup string, rows_written long")
+
+
 def stored_costs(t: SampleTables) -> DataFrame:
     return RU.read_cost(stored(t, RU.COST, costs(t)))
 
@@ -341,6 +348,7 @@ CATALOGUE: dict[str, Callable[[SampleTables], DataFrame]] = {
     "active_runs": lambda t: R.open_runs(t.runs),
     "job_tags": lambda t: J.job_tags(t.jobs),
     "epoch_ms_to_ts": lambda t: readers.live_runs(live_feed(t)).drop("run_name"),
+    "refresh_rollups": refreshed,
     "read_health_rollup": lambda t: RU.read_health(stored(t, RU.HEALTH, wide_health(t)), 7),
     "read_health_rollup_30d": lambda t: RU.read_health(stored(t, RU.HEALTH, wide_health(t)), 30),
     "read_cost_rollup": stored_costs,
