@@ -22,6 +22,8 @@ ZOMBIE_DBUS_PER_RUN = 5
 
 def usage_daily(usage: DataFrame, as_of: date, days: int = 30, limit: int | None = 1000) -> DataFrame:
     """Net usage per day, job, cluster and product; fully retracted groups drop out."""
+    if not 1 <= days <= 365:
+        raise ValueError("days must be between 1 and 365")
     result = (
         usage.filter(trailing("usage_date", as_of, days))
         .groupBy(

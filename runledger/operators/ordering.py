@@ -109,7 +109,8 @@ def alert_order() -> list[Column]:
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """Page ``number`` (from 1) of a total order, as a top-k followed by an offset.
 
-    ``limit(number * size)`` keeps only that many rows per task; no full sort takes place.
+    Every task keeps only its first ``number * size`` rows and no full sort takes place. Meant
+    for tables at job grain; to go far beyond the first pages, filter by the order's last key.
     """
     if number < 1 or size < 1:
         raise ValueError("page number and size start at 1")

@@ -208,7 +208,7 @@ def reason_advice(t: SampleTables) -> DataFrame:
 
 
 def alert_advice(t: SampleTables) -> DataFrame:
-    """SLA, spike, budget and cluster advice for every active run's elapsed time and a ten minute target."""
+    """SLA, spike, budget and cluster advice for every active run, measured against 300 minutes."""
     minutes = F.lit(300)
     seconds = elapsed_seconds(F.col("start_time"), moment_like(t.active_runs, "start_time", t.as_of_ts))
     pct = F.col("elapsed") * 100.0 / (minutes * 60)
@@ -311,15 +311,20 @@ def stored_alerts(t: SampleTables) -> DataFrame:
     return RU.read_alerts(table, 1001)
 
 
+def state_size(t: SampleTables) -> int:
+    return t.spark.sparkContext.defaultParallelism
+
+
 def streamed_counts(t: SampleTables) -> DataFrame:
     path = shared_folder(t.spark)
-    runner.drain_append(run_counts.stream_run_counts(stream_of_runs(t)), path)
+    runner.drain_append(run_counts.stream_run_counts(stream_of_runs(t)), path, state_size(t))
     return t.spark.read.parquet(f"{path}/rows")
 
 
 def streamed_failures(t: SampleTables) -> DataFrame:
     path = shared_folder(t.spark)
-    runner.drain_batches(SF.stream_consecutive_failures(stream_of_runs(t)), path, runner.write_batch(path), "update")
+    states = SF.stream_consecutive_failures(stream_of_runs(t))
+    runner.drain_batches(states, path, runner.write_batch(path), "update", state_size(t))
     return SF.latest_per_job(t.spark.read.parquet(f"{path}/rows"))
 
 
@@ -331,7 +336,8 @@ def streamed_rollup(t: SampleTables) -> DataFrame:
 
 def streamed_conditions(t: SampleTables) -> DataFrame:
     path = shared_folder(t.spark)
-    runner.drain_append(suppress.suppress_repeats(suppress.failure_conditions(stream_of_runs(t))), path)
+    conditions = suppress.failure_conditions(stream_of_runs(t))
+    runner.drain_append(suppress.suppress_repeats(conditions), path, state_size(t))
     return t.spark.read.parquet(f"{path}/rows").select("condition_key")
 
 

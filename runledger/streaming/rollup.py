@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import JOB_KEY
+from ..functions.timing import trailing
 from ..plans.health import job_health
 
 # Jobs are spread over this many partitions; a batch rewrites only those it touches.
-BUCKETS = 64
-WRITERS_PER_BUCKET = 8
+BUCKETS = 32
 RUN_COLUMNS = [
     *JOB_KEY, "run_id", "period_start_time", "period_end_time", "run_duration_seconds", "result_state",
     "termination_code",
@@ -25,7 +25,10 @@ def job_bucket() -> Column:
 
 
 def _swap(df: DataFrame, path: str, *partitions: str) -> None:
-    """Replaces exactly the partitions present in ``df``, so a repeated batch writes the same files."""
+    """Replaces exactly the partitions present in ``df``, so a repeated batch leaves the same rows.
+
+    Callers add a rebalance hint: small partitions are merged and large ones split while writing.
+    """
     (
         df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -34,25 +37,35 @@ def _swap(df: DataFrame, path: str, *partitions: str) -> None:
     )
 
 
+def _history(spark: SparkSession, path: str, as_of: date, days: int) -> DataFrame:
+    """Stored runs of the window; only its day folders are listed."""
+    window = ",".join(str(as_of - timedelta(days=back)) for back in range(days + 1))
+    return spark.read.option("basePath", path).parquet(f"{path}/run_date={{{window}}}")
+
+
 def refresh_touched(jobs: DataFrame, as_of: date, path: str, days: int = 7) -> Callable[[DataFrame, int], None]:
-    """Batch handler: stores the new runs, then recomputes the buckets they fall into.
+    """Batch handler: stores the new runs, then recomputes the buckets of jobs they fall into.
 
-    The touched buckets are at most ``BUCKETS`` integers; history is pruned to them by partition.
+    Runs are stored by day and batch, so a refresh lists and reads the window's days only; rows
+    of untouched buckets are dropped in the scan, before any shuffle. The touched buckets are at
+    most ``BUCKETS`` integers.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
         spark: SparkSession = batch.sparkSession
-        rows = batch.select(*RUN_COLUMNS, job_bucket().alias("job_bucket"), F.lit(batch_id).alias("batch_id"))
-        # A few files per bucket, and a hot job's bucket is written by several tasks.
-        rows = rows.repartition("job_bucket", F.pmod(F.xxhash64("run_id"), F.lit(WRITERS_PER_BUCKET)))
-        _swap(rows, f"{path}/history", "job_bucket", "batch_id")
-        history = spark.read.parquet(f"{path}/history")
-        mine = history.filter(F.col("batch_id") == batch_id).select("job_bucket").distinct()
-        touched = [row.job_bucket for row in mine.collect()]
-        runs = history.filter(F.col("job_bucket").isin(touched)).drop("job_bucket", "batch_id")
-        fresh = job_health(runs, jobs, as_of, days).withColumn("job_bucket", job_bucket())
-        _swap(fresh, f"{path}/health", "job_bucket")
+        rows = batch.select(
+            *RUN_COLUMNS, F.to_date("period_start_time").alias("run_date"), F.lit(batch_id).alias("batch_id")
+        )
+        _swap(rows.hint("rebalance", "run_date"), f"{path}/history", "run_date", "batch_id")
+        mine = spark.read.parquet(f"{path}/history/run_date=*/batch_id={batch_id}")
+        current = mine.filter(trailing("period_start_time", as_of, days))
+        touched = [row.job_bucket for row in current.select(job_bucket().alias("job_bucket")).distinct().collect()]
+        if not touched:
+            return
+        runs = _history(spark, f"{path}/history", as_of, days).filter(job_bucket().isin(touched))
+        fresh = job_health(runs.drop("run_date", "batch_id"), jobs, as_of, days)
+        _swap(fresh.withColumn("job_bucket", job_bucket()).hint("rebalance", "job_bucket"), f"{path}/health", "job_bucket")
 
     return handle

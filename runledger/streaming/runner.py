@@ -2,33 +2,57 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+PARTITIONS = "spark.sql.shuffle.partitions"
 
-def drain_append(stream: DataFrame, path: str) -> None:
+
+@contextmanager
+def state_partitions(spark: SparkSession, count: int | None) -> Iterator[None]:
+    """Partitions of a stream's state: fixed for the life of its checkpoint, so chosen at the start
+    of the stream instead of taken from the setting for batch shuffles."""
+    before = spark.conf.get(PARTITIONS)
+    if count is not None:
+        spark.conf.set(PARTITIONS, str(count))
+    try:
+        yield
+    finally:
+        spark.conf.set(PARTITIONS, before)
+
+
+def drain_append(stream: DataFrame, path: str, partitions: int | None = None) -> None:
     """Appends final rows through the file sink, which commits every batch exactly once."""
-    query = (
+    writer = (
         stream.writeStream.format("parquet")
         .outputMode("append")
         .option("checkpointLocation", f"{path}/_state")
         .trigger(availableNow=True)
-        .start(f"{path}/rows")
     )
+    with state_partitions(stream.sparkSession, partitions):
+        query = writer.start(f"{path}/rows")
     query.awaitTermination()
 
 
-def drain_batches(stream: DataFrame, path: str, handle: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+def drain_batches(
+    stream: DataFrame,
+    path: str,
+    handle: Callable[[DataFrame, int], None],
+    mode: str = "append",
+    partitions: int | None = None,
+) -> None:
     """Calls ``handle`` for every batch; it must overwrite what an earlier try of the batch wrote."""
-    query = (
+    writer = (
         stream.writeStream.outputMode(mode)
         .foreachBatch(handle)
         .option("checkpointLocation", f"{path}/_state")
         .trigger(availableNow=True)
-        .start()
     )
+    with state_partitions(stream.sparkSession, partitions):
+        query = writer.start()
     query.awaitTermination()
 
 

@@ -57,7 +57,9 @@ def test_a_repeated_batch_changes_nothing(small, tmp_path):
     assert small.spark.read.parquet(f"{tmp_path}/history").count() == small.runs.count()
     stored = small.spark.read.parquet(f"{tmp_path}/health")
     assert stored.count() == job_health(small.runs, small.jobs, small.as_of).count()
+    # neither an empty batch nor one before the window touches the rollup
     handler(small.runs.limit(0), 1)
+    handler(small.runs.filter("period_start_time < DATE'2024-01-05'"), 2)
     assert small.spark.read.parquet(f"{tmp_path}/health").count() == stored.count()
 
 
