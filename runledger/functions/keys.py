@@ -33,6 +33,15 @@ def together(df: DataFrame) -> DataFrame:
     return df.repartition(*JOB_KEY)
 
 
+def join_jobs(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Join of two sides whose rows already lie together by job.
+
+    The merge hint keeps it local: turning one side into a broadcast at run time would save no
+    shuffle and cost a round trip through the driver.
+    """
+    return left.join(right.hint("merge"), JOB_KEY, how)
+
+
 def condition_key(category: str, suffix: str | Column) -> Column:
     """Stable identity of an alert condition, e.g. ``failure_1000_17_single``."""
     tail = F.lit(suffix) if isinstance(suffix, str) else suffix

@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import JOB_KEY, together
+from ..functions.keys import JOB_KEY, join_jobs, together
 from ..functions.naming import sku_category
 from ..functions.numbers import trend_percent
 from ..functions.timing import trailing
@@ -170,7 +170,7 @@ def cost_by_sku(usage: DataFrame, as_of: date, days: int = 30) -> DataFrame:
     )
     totals = by_category.groupBy(*JOB_KEY).agg(F.sum("category_dbus").alias("job_dbus")).filter("job_dbus > 0")
     share = F.col("category_dbus").cast("double") / F.col("job_dbus").cast("double") * 100
-    return by_category.join(totals, JOB_KEY).select(
+    return join_jobs(by_category, totals).select(
         *JOB_KEY,
         "sku_category",
         F.col("category_dbus").cast("double").alias("total_dbus"),
@@ -209,7 +209,7 @@ def job_costs(usage: DataFrame, jobs: DataFrame, as_of: date, days: int = 30, db
     total = F.col("total_dbus_30d").cast("double")
     dollars = total * dbu_rate if dbu_rate > 0 else F.lit(None).cast("double")
     by_day = daily_job_sku(usage, as_of, history).groupBy(*JOB_KEY, "usage_date").agg(F.sum("dbus").alias("dbus"))
-    joined = totals.join(baseline_of(by_day), JOB_KEY, "left")
+    joined = join_jobs(totals, baseline_of(by_day), "left")
     spike = current > SPIKE_FACTOR * F.col("baseline_p90_dbus")
     return with_job_names(joined, jobs, team=True).select(
         *JOB_KEY,
@@ -340,7 +340,7 @@ def zombie_jobs(
     )
     zero = F.lit(0).cast("long")
     joined = (
-        costs.join(output, JOB_KEY, "left")
+        join_jobs(costs, output, "left")
         .withColumn("run_count", F.coalesce("run_count", zero))
         .withColumn("success_count", F.coalesce("success_count", zero))
         .withColumn("total_dbus", F.col("total").cast("double"))

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import JOB_KEY, together
+from ..functions.keys import JOB_KEY, join_jobs, together
 from ..functions.numbers import percent
 from ..functions.states import is_failed, is_finished, is_success, priority
 from ..functions.timing import effective_seconds, trailing
@@ -71,7 +71,7 @@ def run_stats_with_last(runs: DataFrame, as_of: date, days: int = 7, reasons: bo
 
     Both sides are hash partitioned by job after their own shuffle, so the join adds none.
     """
-    return run_stats(runs, as_of, days, reasons).join(last_two(runs, as_of, days), JOB_KEY)
+    return join_jobs(run_stats(runs, as_of, days, reasons), last_two(runs, as_of, days))
 
 
 def success_rates(runs: DataFrame, as_of: date, days: int = 30) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import JOB_KEY, together
+from ..functions.keys import JOB_KEY, join_jobs, together
 from ..functions.load import driver_utilization, right_sizing, worker_utilization
 from ..functions.states import is_finished
 from ..functions.timing import effective_seconds, trailing
@@ -57,7 +57,7 @@ def run_dbu_rate(runs: DataFrame, usage: DataFrame, as_of: date, days: int = 30,
     else:
         day_sum = dbus * F.col("inverse_hours")
     rates = (
-        by_day.join(spend, [*JOB_KEY, "usage_date"], "left")
+        by_day.join(spend.hint("merge"), [*JOB_KEY, "usage_date"], "left")
         .groupBy(*JOB_KEY)
         .agg((F.sum(day_sum) / F.sum("n")).alias("avg_dbus_per_hour"))
     )
@@ -67,7 +67,7 @@ def run_dbu_rate(runs: DataFrame, usage: DataFrame, as_of: date, days: int = 30,
         .agg(F.count_distinct("run_id").alias("runs_analyzed"))
         .filter(F.col("runs_analyzed") >= MIN_RUNS)
     )
-    return rates.join(analyzed, JOB_KEY)
+    return join_jobs(rates, analyzed)
 
 
 def cluster_utilization(runs: DataFrame, usage: DataFrame, as_of: date, last_runs: int = 5) -> DataFrame:

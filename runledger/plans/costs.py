@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import JOB_KEY
+from ..functions.keys import JOB_KEY, join_jobs
 from ..functions.numbers import fixed_text, ratio
 from ..functions.wording import fill
 from ..operators.cost import SPIKE_FACTOR, job_costs, little_output
@@ -26,8 +26,7 @@ def cost_anomalies(
     zero = F.lit(0).cast("long")
     output = run_stats(runs, as_of, days).select(*JOB_KEY, F.col("total_runs").alias("run_count"), "success_count")
     rows = (
-        job_costs(usage, jobs, as_of, days)
-        .join(output, JOB_KEY, "left")
+        join_jobs(job_costs(usage, jobs, as_of, days), output, "left")
         .withColumn("run_count", F.coalesce("run_count", zero))
         .withColumn("success_count", F.coalesce("success_count", zero))
     )

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import JOB_KEY, in_workspace, together
+from ..functions.keys import JOB_KEY, in_workspace, join_jobs, together
 from ..functions.numbers import percent
 from ..functions.states import PRIORITY_ORDER, is_failed, is_finished, is_success, priority, traffic_light
 from ..functions.timing import effective_seconds, trailing
@@ -94,7 +94,7 @@ def health_rollup(runs: DataFrame, jobs: DataFrame, as_of: date, approximate: bo
     )
     flags = last_two(runs, as_of, 30, recent_days=7)
     rate_7d = percent(F.col("success_count_7d"), F.col("total_runs_7d"))
-    joined = with_job_names(totals.join(flags, JOB_KEY), jobs)
+    joined = with_job_names(join_jobs(totals, flags), jobs)
     return joined.select(
         *JOB_KEY,
         "job_name",
@@ -197,7 +197,7 @@ def job_details(runs: DataFrame, jobs: DataFrame, as_of: date) -> DataFrame:
             F.coalesce(slow, F.lit(False)).alias("is_anomaly"),
         )
 
-    return with_job_names(lists.join(stats, JOB_KEY), jobs).select(
+    return with_job_names(join_jobs(lists, stats), jobs).select(
         *JOB_KEY,
         "job_name",
         F.transform("latest", detail).alias("recent_runs"),
