@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runledger.llm import pii, quality
+from runledger.llm import language, packing, pii, quality, token_files
 from runledger.llm.storage import over_tables
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_pii_spans": over_tables(pii.digest, "documents"),
+        "op3_best_fit_packing": over_tables(packing.pack, "documents"),
+        "op4_language_id": over_tables(language.identify, "documents"),
         "op5_quality_rules": over_tables(quality.judge, "documents", "labels"),
+        "op6_token_files": over_tables(token_files.round_trip, "documents"),
     }
 
 
