@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runledger.llm import decontamination, language, packing, pii, quality, token_files
+from runledger.llm import debruijn, decontamination, language, packing, pii, quality, token_files
 from runledger.llm.storage import over_tables
 
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": over_tables(quality.judge, "documents", "labels"),
         "op6_token_files": over_tables(token_files.round_trip, "documents"),
         "op9_decontamination": over_tables(decontamination.contamination, "documents", "benchmark"),
+        "op10_substring_dedup": over_tables(debruijn.remove_repeats, "documents"),
     }
 
 
