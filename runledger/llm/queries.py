@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runledger.llm import debruijn, decontamination, language, packing, pii, quality, suffix_dedup, token_files
+from runledger.llm import debruijn, decontamination, language, packing, pii, quality, suffix_dedup, token_files, toxicity
 from runledger.llm.storage import over_tables
 
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": over_tables(language.identify, "documents"),
         "op5_quality_rules": over_tables(quality.judge, "documents", "labels"),
         "op6_token_files": over_tables(token_files.round_trip, "documents"),
+        "op7_toxicity": over_tables(toxicity.score, "documents", "labels"),
         "op8_suffix_array_dedup": over_tables(suffix_dedup.remove_repeats, "documents"),
         "op9_decontamination": over_tables(decontamination.contamination, "documents", "benchmark"),
         "op10_substring_dedup": over_tables(debruijn.remove_repeats, "documents"),
