@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runledger.llm import debruijn, decontamination, language, packing, pii, quality, suffix_dedup, token_files, toxicity
+from runledger.llm import debruijn, decontamination, language, ngram_join, packing, pii, quality, suffix_dedup, token_files, toxicity
 from runledger.llm.storage import over_tables
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard_join": over_tables(ngram_join.join, "documents"),
         "op2_pii_spans": over_tables(pii.digest, "documents"),
         "op3_best_fit_packing": over_tables(packing.pack, "documents"),
         "op4_language_id": over_tables(language.identify, "documents"),
