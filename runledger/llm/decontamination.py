@@ -269,4 +269,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no window of the benchmark, with their columns."""
     found = contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.join(found.withColumnRenamed("doc_id", "_hit"), F.col("doc_id").cast("long").eqNullSafe(F.col("_hit")), "left_anti")
+    return docs.alias("d").join(found.alias("f"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("f.doc_id")), "left_anti")

@@ -25,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from runledger.llm import arrays
 from runledger.llm.storage import plain_documents, stored
@@ -272,3 +273,16 @@ def _links(texts: DataFrame, described: DataFrame, k: int, similarity: Fraction,
         tied = components(ties, ties.select(F.col("a").alias("node")).union(ties.select("b")).distinct())
         several = several.join(tied, F.col("a") == F.col("node"), "left").select("doc_id", F.coalesce("root", "a").alias("a"))
     return several.select("doc_id", F.col("a").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
+    """The document with the smallest doc_id of each component, with its columns as they were. Of rows with one doc_id the one
+    whose text sorts first stays; rows without doc_id all stay."""
+    found = join(docs, k, similarity)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    names = docs.columns
+    plain = docs.select(*(F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(names)), F.col("doc_id").cast("long").alias("kept_id"), F.col("text").alias("kept_text"))
+    first = Window.partitionBy("kept_id").orderBy("kept_text")
+    chosen = plain.join(kept, "kept_id", "left_semi").withColumn("kept_rank", F.row_number().over(first)).where("kept_rank = 1")
+    back = [F.col(f"in_{i}").alias(c) for i, c in enumerate(names)]
+    return chosen.select(*back).unionByName(plain.where("kept_id IS NULL").select(*back))
