@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -180,17 +180,12 @@ def compact(edges: DataFrame) -> DataFrame:
 def _spans(places: DataFrame, edges: DataFrame, window: int) -> DataFrame:
     """Stretches along one path that a document shares with a smaller one."""
     met = places.select("edge", "doc_id", "digest", "at").join(edges, "edge").where(F.col("source_id") < F.col("doc_id"))
-    along = ["doc_id", "digest", "source_id", "source_digest", "path", (F.col("at") - F.col("source_at")).alias("shift")]
-    return met.groupBy(*along).agg(F.collect_list("at").alias("ats")).select(
-        "doc_id", "digest", "source_id", "source_digest", "shift", F.explode(_stretches(F.array_sort(F.array_distinct("ats")))).alias("s")
-    ).select("doc_id", "digest", "source_id", "source_digest", F.col("s.start").alias("start"), (F.col("s.start") - F.col("shift")).alias("source_start"), (F.col("s.n") + (window - 1)).cast("int").alias("length"))
-
-
-def _stretches(ats: Column) -> Column:
-    """Runs of consecutive numbers of a sorted list as (start, n)."""
-    starts = F.filter(ats, lambda x, i: F.coalesce(F.get(ats, i - 1) != x - 1, F.lit(True)))
-    ends = F.filter(ats, lambda x, i: F.coalesce(F.get(ats, i + 1) != x + 1, F.lit(True)))
-    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("n")))
+    met = met.withColumn("shift", F.col("at") - F.col("source_at"))
+    along = ["doc_id", "digest", "source_id", "source_digest", "path", "shift"]
+    # Places that follow each other differ from their rank by the same number.
+    ranked = met.withColumn("stretch", F.col("at") - F.dense_rank().over(Window.partitionBy(*along).orderBy("at")))
+    runs = ranked.groupBy(*along, "stretch").agg(F.min("at").alias("start"), (F.max("at") - F.min("at") + window).cast("int").alias("length"))
+    return runs.select("doc_id", "digest", "source_id", "source_digest", "start", (F.col("start") - F.col("shift")).alias("source_start"), "length")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
