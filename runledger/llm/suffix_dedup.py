@@ -106,7 +106,7 @@ def common_prefixes(data: np.ndarray, ends: np.ndarray, order: np.ndarray, rank:
     before[order[1:]] = order[:-1]
     tied = np.zeros(n, bool)
     tied[order[1:]] = rank[order[1:]] == rank[order[:-1]]
-    shared = np.where(tied, cap, 0)
+    shared = np.where(tied, np.minimum(ends - np.arange(n), cap), 0)
     height = np.zeros(-(-n // lane), np.int64)
     for step in range(lane):
         at = np.arange(step, n, lane)
