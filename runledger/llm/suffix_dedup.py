@@ -31,10 +31,10 @@ from runledger.llm import arrays
 from runledger.llm.storage import partitions, plain_documents
 
 WINDOW, ANCHOR = 50, 16
-BLOCK_BYTES = 4 << 20
-SHARD_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Anchors that meet in one bucket, about.
-BUCKET_ANCHORS = 400_000
+BUCKET_ANCHORS = 100_000
 HOT_BLOCKS = 4096
 #: Stands for a null doc_id inside the operator.
 NO_ID = (1 << 63) - 1
