@@ -39,8 +39,9 @@ def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY
         encode, end = encoder(path), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             doc, number, start, length, crc = [], [], [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encode(text or "") + end
+            texts = [text or "" for text in batch.column("text").to_pylist()]
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
+                ids += end
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     doc.append(doc_id), number.append(i), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))

@@ -48,7 +48,7 @@ def train_dictionary(docs: DataFrame, path: str, width: int) -> bytes:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_serialized(encoder(path)(t or ""), width) for t in batch.column("text").to_pylist()], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([_serialized(ids, width) for ids in encoder(path)([t or "" for t in batch.column("text").to_pylist()])], pa.binary())], ["ids"])
 
     rows = docs.where(F.col("doc_id").isin(sample)).mapInArrow(run, "ids binary").limit(2 * SAMPLE_DOCUMENTS).collect() if sample else []
     # Frames hold few ids, so samples of their usual size serve best.
@@ -85,8 +85,9 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 2
             return pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip(values, types, strict=True)], names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encode(text or "") + end
+            texts = [text or "" for text in batch.column("text").to_pylist()]
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
+                ids += end
                 frame = compressor.compress(_serialized(ids, width))
                 doc_ids.append(doc_id), counts.append(len(ids) // 4), frames.append(frame)
                 size += len(frame)

@@ -1,7 +1,9 @@
 """Token ids of whole texts with a public tokenizer, a word at a time.
 
-Both tokenizers split a text at white space before anything else, so the ids of a text are those of its words. Words
-repeat, and their ids are kept in a bounded memory. Texts with unusual white space are encoded in one go.
+Both tokenizers split a text at white space, and between a letter or digit and punctuation, before anything else. So the
+ids of a text are those of its words, and the ids of a word with punctuation at its end are those of its stem and of its
+tail. Words repeat, and their ids are kept in a bounded memory. New stems are encoded many at a time, with a mark between
+them that is one token by itself. Texts with unusual white space are encoded in one go, odd words one by one.
 """
 
 from __future__ import annotations
@@ -9,9 +11,18 @@ from __future__ import annotations
 import functools
 import os
 import re
+from collections.abc import Iterator
+
+import numpy as np
 
 #: Words whose ids are kept per Python worker; when full the memory starts anew.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 400_000
+#: Words encoded in one go, and characters of the texts handled together.
+WORDS_AT_ONCE, CHARACTERS = 2000, 1 << 20
+_TAIL = ".,!?;:"
+#: Letters whose lower case does not depend on their place in a word.
+_SIMPLE = re.compile(r"[\x00-\u012f\u0131-\u024f]*")
+_MARKS = "\u00a7\u00b6\u2020\u2022\u00a9"
 _ODD_SPACE = re.compile(r"[^\S \n\r\t]|[\x1c-\x1f\x85]")
 _ODD_FOR_BYTES = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|  ")
 
@@ -32,37 +43,88 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.spaced = self.tokenizer.normalizer is None
+        single = [c for c in _MARKS if len(self._ids(" " + c)) == 1]
+        self.mark = single[0] if single else ""
+        self.mark_id = int(self._ids(" " + self.mark)[0]) if single else -1
         self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
-
-    def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.known.clear()
-            new = list(words)
-        self.known.update(zip(new, self._encode([" " + w for w in new] if self.spaced else new), strict=True))
-
-    def __call__(self, text: str) -> bytes:
+        self.stems: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _pieces(self, word: str) -> list[str]:
+        """Strings that can be encoded one by one: stems with a space before them if the tokenizer keeps it, and tails."""
+        if not self.spaced:
+            if not _SIMPLE.fullmatch(word):
+                return [word]
+            stem = word.rstrip(_TAIL)
+            return [stem.lower(), word[len(stem) :]] if stem and len(stem) < len(word) and stem[-1].isalnum() else [word.lower()]
+        lines = word.split("\n")
+        if len(lines) > 1 and not all(line and line[0].isalnum() for line in lines[1:]) or not lines[0]:
+            return [" " + word]
+        found = []
+        for i, line in enumerate(lines):
+            stem = line.rstrip(_TAIL)
+            split = bool(stem) and stem[-1].isalnum() and len(stem) < len(line)
+            found += ["\n"] * bool(i) + [" " * (not i) + (stem if split else line)] + [line[len(stem) :]] * split
+        return found
+
+    def _learn(self, new: list[str]) -> None:
+        """Takes the ids of new words into the memory."""
+        single = [w for w in new if w.isalnum()]
+        keys = [" " + w for w in single] if self.spaced else [w.lower() if _SIMPLE.fullmatch(w) else w for w in single]
+        composed = [w for w in new if not w.isalnum()]
+        pieces = [self._pieces(w) for w in composed]
+        wanted = set(keys).union(*pieces)
+        stems = [p for p in wanted if p not in self.stems]
+        if len(self.stems) + len(stems) > KEPT_WORDS:
+            self.stems.clear()
+            stems = list(wanted)
+        plain = [p for p in stems if self.mark and p[p[:1] == " " :][:1].isalnum() and self.mark not in p and p[-1].isalnum()]
+        for at in range(0, len(plain), WORDS_AT_ONCE):
+            some = plain[at : at + WORDS_AT_ONCE]
+            text = f" {self.mark}".join(some) if self.spaced else f" {self.mark} ".join(some)
+            ids = self._ids(text)
+            marks = np.flatnonzero(ids == self.mark_id)
+            raw, begins, ends = ids.tobytes(), [0, *(4 * (marks + 1)).tolist()], [*(4 * marks).tolist(), 4 * len(ids)]
+            self.stems.update(zip(some, [raw[a:b] for a, b in zip(begins, ends, strict=True)], strict=True))
+        for p in stems:
+            if p not in self.stems:
+                self.stems[p] = self._ids(p).tobytes()
+        find = self.stems.__getitem__
+        self.known.update(zip(single, map(find, keys), strict=True))
+        self.known.update(zip(composed, [b"".join(map(find, ps)) for ps in pieces], strict=True))
+
+    def _split(self, text: str) -> tuple[bytes, list[str]]:
+        """Ids of what comes before the words, and the words."""
         if self.spaced:
             if _ODD_FOR_BYTES.search(text) or text[-1:] == " ":
-                return self._encode([text])[0]
+                return self._ids(text).tobytes(), []
             first, *words = text.split(" ")
-            head = self._encode([first])[0]
-        else:
-            if _ODD_SPACE.search(text):
-                return self._encode([text])[0]
-            words, head = text.split(), b""
-        known = self.known
-        try:
-            return head + b"".join([known[w] for w in words])
-        except KeyError:
-            self._learn(set(words))
-            return head + b"".join([self.known[w] for w in words])
+            return self._ids(first).tobytes() if first else b"", words
+        if _ODD_SPACE.search(text):
+            return self._ids(text).tobytes(), []
+        return b"", text.split()
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text."""
+        first = 0
+        while first < len(texts):
+            last, size = first + 1, len(texts[first])
+            while last < len(texts) and size + len(texts[last]) <= CHARACTERS:
+                size += len(texts[last])
+                last += 1
+            parts = [self._split(t) for t in texts[first:last]]
+            words = set().union(*(w for _, w in parts))
+            new = [w for w in words if w not in self.known]
+            if len(self.known) + len(new) > KEPT_WORDS:
+                self.known.clear()
+                new = list(words)
+            self._learn(new)
+            find = self.known.__getitem__
+            for head, own in parts:
+                yield head + b"".join(map(find, own))
+            first = last
 
 
 @functools.lru_cache(maxsize=4)

@@ -146,8 +146,11 @@ def test_neighbours_are_exact():
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_ids_of_words_are_ids_of_texts(documents, odd, name):
     encoder = Encoder(tokenizer_path(name))
-    for text in [*texts(documents).values(), *(t or "" for t in texts(odd).values()), "a  b", " a", "a ", "a\n b", "a \n", "a\n\nb", "\tx", "x's don't I'LL"]:
-        assert encoder(text) == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    several = [*texts(documents).values(), *(t or "" for t in texts(odd).values()), "a  b", " a", "a ", "a\n b", "a \n", "a\n\nb", "\tx", "x's don't I'LL"]
+    several += ["", "Hm... (so), a.b, x², ΣΑΣ, ΑΣ. İ! no.\nYes, \n-no.\n\n9.", "it's\n's, a.\n.b", "a § b", "§", "x§y §§ †", "a \nb\n c", "\n", "e\u0301 \u0301x", "Ǆ ǅ İ"]
+    assert encoder.mark
+    for text, ids in zip(several, encoder(several), strict=True):
+        assert ids == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_the_memory_of_words_is_bounded(monkeypatch):
@@ -155,7 +158,7 @@ def test_the_memory_of_words_is_bounded(monkeypatch):
     encoder = Encoder(tokenizer_path("word_bpe_49k.json"))
     for i in range(30):
         text = " ".join(f"w{i}x{j}" for j in range(20))
-        assert encoder(text) == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert list(encoder([text])) == [np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
         assert len(encoder.known) <= 50
 
 
@@ -166,7 +169,7 @@ def test_packing(documents, odd):
         got = sorted((r.doc_id if r.doc_id is not None else -1, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
         want = []
         for r in table.select("doc_id", "text").collect():
-            ids = np.frombuffer(encoder(r.text or ""), "<u4").tolist() + [0]
+            ids = np.frombuffer(next(encoder([r.text or ""])), "<u4").tolist() + [0]
             for n, at in enumerate(range(0, len(ids), 2048)):
                 part = ids[at : at + 2048]
                 want.append((r.doc_id if r.doc_id is not None else -1, n, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
@@ -226,13 +229,13 @@ def test_token_files(spark, documents, odd, tmp_path):
         rows = sorted(table.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
         start, want = 0, []
         for r in rows:
-            ids = np.append(np.frombuffer(encoder(r.text or ""), "<u4"), 2).astype("<u4")
+            ids = np.append(np.frombuffer(next(encoder([r.text or ""])), "<u4"), 2).astype("<u4")
             want.append((r.doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
             start += len(ids)
         assert sorted(map(tuple, token_files.summary(spark, folder).collect()), key=lambda r: r[1]) == want
     one = token_files.read(spark, str(tmp_path / "odd"), [30]).collect()
     assert [r.doc_id for r in one] == [30]
-    assert one[0].ids == [*np.frombuffer(encoder(texts(odd)[30]), "<u4").tolist(), 2]
+    assert one[0].ids == [*np.frombuffer(next(encoder([texts(odd)[30]])), "<u4").tolist(), 2]
 
 
 def test_a_damaged_dictionary_is_noticed(spark, documents, tmp_path):
