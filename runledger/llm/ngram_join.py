@@ -2,11 +2,12 @@
 
 Documents with equal sets are one. Two sets of which a share `similarity` is common differ in few shingles, so if the
 space of shingle hashes is cut into more parts than they may differ in, one part at least is equal in both: the sets of a
-size band meet under the hashes of their parts. Candidates are not paired. First each set is compared with the smallest
-doc_id that it meets; what is similar enough forms groups of similar documents. Then, for sets that also meet documents of
-other groups, the token-group matrix decides: it keeps the union of the shingles of each group (of at most GROUP members,
-larger ones are split), a query's overlap with the union bounds its overlap with every member, and only groups whose bound
-suffices are opened and compared member by member. Sets of the same group need no comparison, as they are connected.
+size band meet under the hashes of their parts. How many equal parts two sets must have follows from their sizes. Candidates are not paired. First each set is compared with the smallest
+doc_id that it meets, which gives components. Then, for sets that also meet documents of other components, the token-group
+matrix decides: similar documents (those that meet, directly or by others) are partitioned into groups of about GROUP
+members, a group keeps the union of its members' shingles, a query's overlap with the union bounds its overlap with every
+member, and only groups whose bound suffices are opened and compared member by member. Members of the query's own
+component are passed over, as they are connected already.
 
 Parts without shingles would make all small sets meet. There are as many spare parts as a set may leave empty, so that an
 equal part with shingles exists; a set that leaves more of them empty also meets others under those.
@@ -18,21 +19,25 @@ one doc_id count as one document, rows without doc_id link with nothing and have
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from runledger.llm import arrays
 from runledger.llm.storage import plain_documents, stored
 
-#: Members of a group whose shingles are united.
-GROUP = 32
-#: Largest set for which size bands are listed ahead; bands of larger sets are added as needed.
+#: Members of a group whose shingles are united, and queries that a task compares with it, about.
+GROUP, QUERIES = 32, 2000
+#: Pairs of sets handed to Python at a time.
+BATCH_ROWS = 256
+#: The low bits of a key tell its size band.
+BAND_BITS = 10
 _U = np.uint64
 
 
@@ -93,18 +98,23 @@ def part_keys(found: np.ndarray, text: np.ndarray, sizes: np.ndarray, bands: Ban
         edge[1:] = (t[1:] != t[:-1]) | (part[1:] != part[:-1])
         begins = np.flatnonzero(edge)
         tag = lambda b, p: arrays.mix(b.astype(_U) * _U(0xA0761D6478BD642F) + p.astype(_U) * _U(0xE7037ED1A0B428DB))
-        keys.append(arrays.mix(np.add.reduceat(w, begins) + tag(band_of[t[begins]], part[begins])))
+        keys.append(_in_band(arrays.mix(np.add.reduceat(w, begins) + tag(band_of[t[begins]], part[begins])), band_of[t[begins]]))
         of.append(t[begins])
         filled = np.bincount(t[begins], minlength=len(sizes))
         for i in np.flatnonzero(usable & (bands.parts[np.maximum(band_of, 0)] - filled > bands.n_spare[np.maximum(band_of, 0)])):
             missing = np.setdiff1d(np.arange(bands.parts[band_of[i]]), part[begins][t[begins] == i])
-            keys.append(arrays.mix(tag(np.full(len(missing), band_of[i]), missing)))
+            bands_of = np.full(len(missing), band_of[i])
+            keys.append(_in_band(arrays.mix(tag(bands_of, missing)), bands_of))
             of.append(np.full(len(missing), i))
     keys, of = np.concatenate(keys), np.concatenate(of)
     order = np.argsort(of, kind="stable")
     return keys[order], of[order]
 
 
+def _in_band(hashes: np.ndarray, band: np.ndarray) -> np.ndarray:
+    return hashes >> _U(BAND_BITS) << _U(BAND_BITS) | band.astype(_U)
+
+
 def _lists(values: np.ndarray, of: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), pa.array(values))
 
@@ -165,24 +175,42 @@ def _similar(similarity: Fraction):
     return similar
 
 
-def _bounded(similarity: Fraction):
-    """Whether a query's overlap with a union leaves room for a similar member: common >= similarity * size of the query."""
+def _open_groups(similarity: Fraction):
+    """Links between components that a group's members and the queries of a block have."""
     top, bottom = similarity.numerator, similarity.denominator
 
-    @F.pandas_udf("boolean")
-    def bounded(query: pd.Series, union: pd.Series) -> pd.Series:
-        def one(x: bytes, y: bytes) -> bool:
-            a = np.frombuffer(x, _U)
-            return bottom * _common(a, np.frombuffer(y, _U)) >= top * len(a)
-
-        return pd.Series([one(x, y) for x, y in zip(query, union, strict=True)])
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        members = [(c, np.frombuffer(x, _U)) for c, x in zip(*(left.column(n).to_pylist() for n in ("component", "shingles")), strict=True)]
+        links: set[tuple[int, int]] = set()
+        if members and right.num_rows:
+            union = np.unique(np.concatenate([x for _, x in members]))
+            least = min(len(x) for _, x in members)
+            for of, raw in zip(*(right.column(n).to_pylist() for n in ("of", "tokens")), strict=True):
+                query = np.frombuffer(raw, _U)
+                most = _common(query, union)  # what the query can have in common with any member
+                if bottom * most < top * len(query) or (top + bottom) * most < top * (len(query) + least):
+                    continue
+                for component, tokens in members:
+                    if component > of and (of, component) not in links:
+                        common = _common(query, tokens)
+                        if bottom * common >= top * (len(query) + len(tokens) - common):
+                            links.add((of, component))
+        found = sorted(links)
+        return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return bounded
+    return run
 
 
-def _union(key: tuple, table: pa.Table) -> pa.Table:
-    values = np.unique(np.concatenate([np.frombuffer(x, _U) for x in table.column("shingles").to_pylist()]))
-    return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([key[1].as_py()], pa.int64()), pa.array([values.tobytes()], pa.binary())], names=["component", "chunk", "tokens"])
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows with whole sets go to Python a few at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def roots(parents: DataFrame) -> DataFrame:
@@ -217,16 +245,27 @@ def join(docs: DataFrame, k: int = 3, similarity: Fraction = Fraction(9, 10), gr
     """doc_id, n_shingles and component_id of every document."""
     texts = plain_documents(docs).withColumn("digest", F.xxhash64("text"))
     described = stored(texts.mapInArrow(_describe(k, similarity), "doc_id long, digest long, n_shingles long, sum_a long, sum_b long, keys array<long>"))
-    linked = _links(texts, described, k, similarity, group)
+    with _small_batches(docs.sparkSession):
+        linked = _links(texts, described, k, similarity, group)
     return described.select("doc_id", "n_shingles").join(linked, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _equal_parts(described: DataFrame, similarity: Fraction) -> Column:
+    """Equal parts that a query and a similar member of a group have at least: what the band allows to differ beyond what
+    sets of their sizes may differ in."""
+    top, bottom = similarity.numerator, similarity.denominator
+    biggest = described.agg(F.max("n_shingles")).first()[0] or 1
+    allowed = F.array(*(F.lit(n) for n in Bands(similarity, biggest).differ))
+    both = F.col("size") + F.least(F.col("largest"), F.floor(F.col("size") * bottom / top))
+    return F.get(allowed, F.col("band")) + 1 - F.floor(both * (bottom - top) / (bottom + top))
+
+
 def _links(texts: DataFrame, described: DataFrame, k: int, similarity: Fraction, group: int) -> DataFrame:
     """doc_id and component_id of the documents that have links."""
     full = described.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["n_shingles", "sum_a", "sum_b"]
     first = full.groupBy(*same).agg(F.min("doc_id").alias("first_id"))
-    member = stored(full.join(first, same).select("doc_id", "digest", "first_id", "keys"))
+    member = stored(full.join(first, same).select("doc_id", "digest", "n_shingles", "first_id", "keys"))
     chosen = member.where("doc_id = first_id").dropDuplicates(["doc_id", "digest"])
 
     # Sets that meet others, and the smallest document they meet.
@@ -244,25 +283,32 @@ def _links(texts: DataFrame, described: DataFrame, k: int, similarity: Fraction,
     good = mine.join(theirs, "pivot").where(similar("left", "right")).select("doc_id", "pivot").distinct()
     grouped = roots(active.join(good, "doc_id", "left").select("doc_id", F.coalesce("pivot", "doc_id").alias("parent")))
 
-    # Documents that meet other groups: bound their overlap with each group before opening it.
+    # Sets that meet documents of other components are queries of the token-group matrix.
     labelled = stored(met.select("key", "doc_id").join(grouped, "doc_id"))
     split = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     open_keys = stored(labelled.join(split, "key"))
-    groups = open_keys.select("component", "doc_id").distinct()
-    sizes = groups.groupBy("component").count().select("component", F.ceil(F.col("count") / group).alias("chunks"))
-    chunked = groups.join(sizes, "component").select("component", "doc_id", F.pmod(F.xxhash64("doc_id"), "chunks").alias("chunk"))
-    members = stored(chunked)
-    unions = members.join(sets, "doc_id").groupBy("component", "chunk").applyInArrow(_union, "component long, chunk long, tokens binary")
-    in_group = open_keys.join(members.select("doc_id", "chunk"), "doc_id").select("key", "component", "chunk").distinct()
+    size = chosen.groupBy("doc_id").agg(F.max("n_shingles").alias("size"))
+    alike = roots(active.join(asked, "doc_id", "left").select("doc_id", F.coalesce("pivot", "doc_id").alias("parent"))).withColumnRenamed("component", "cluster")
+    inside = open_keys.select("component", "doc_id").distinct().join(alike, "doc_id").join(size, "doc_id")
+    chunks = inside.groupBy("cluster").agg(F.ceil(F.count("*") / group).alias("chunks"))
+    members = stored(inside.join(chunks, "cluster").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), "chunks")).drop("chunks"))
+    in_group = open_keys.join(members.select("doc_id", "cluster", "chunk"), "doc_id").groupBy("key", "cluster", "chunk").agg(F.max("component").alias("most"))
     query = open_keys.select("key", F.col("doc_id").alias("query"), F.col("component").alias("of"))
-    pairs = query.join(in_group, "key").where(F.col("of") < F.col("component")).select("query", "component", "chunk").distinct()
-    queries = sets.select(F.col("doc_id").alias("query"), F.col("shingles").alias("left"))
-    passed = stored(pairs.join(queries, "query").join(unions, ["component", "chunk"]).where(_bounded(similarity)("left", "tokens")).select("query", "component", "chunk").distinct())
-    opened = passed.join(members, ["component", "chunk"]).select("query", F.col("doc_id").alias("pivot")).join(queries, "query").join(theirs, "pivot")
-    across = opened.where(similar("left", "right")).select("query", "pivot").distinct()
-    ends = grouped.select(F.col("doc_id").alias("query"), F.col("component").alias("a"))
-    others = grouped.select(F.col("doc_id").alias("pivot"), F.col("component").alias("b"))
-    edges = stored(across.join(ends, "query").join(others, "pivot").select("a", "b").distinct())
+    band = F.col("key").bitwiseAND((1 << BAND_BITS) - 1).cast("int").alias("band")
+    equal = query.join(in_group, "key").where(F.col("of") < F.col("most")).groupBy("query", "of", "cluster", "chunk", band).agg(F.count("*").alias("parts"))
+    largest = members.groupBy("cluster", "chunk").agg(F.max("size").alias("largest"))
+    sized = equal.join(largest, ["cluster", "chunk"]).join(size.withColumnRenamed("doc_id", "query"), "query")
+    pairs = stored(sized.where(F.col("parts") >= _equal_parts(described, similarity)).select("query", "of", "cluster", "chunk").distinct())
+    # A group that many queries ask for is handed out to several tasks.
+    blocks = pairs.groupBy("cluster", "chunk").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
+    asking = pairs.join(blocks, ["cluster", "chunk"]).withColumn("block", F.pmod(F.xxhash64("query"), "blocks").cast("int"))
+    asking = asking.join(sets.select(F.col("doc_id").alias("query"), F.col("shingles").alias("tokens")), "query").select(
+        F.col("cluster").alias("cluster"), F.col("chunk").alias("chunk"), "block", "of", "tokens"
+    )
+    answering = members.join(blocks, ["cluster", "chunk"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    answering = answering.join(sets, "doc_id").select("cluster", "chunk", "block", "component", "shingles")
+    where = ["cluster", "chunk", "block"]
+    edges = stored(answering.groupBy(*where).cogroup(asking.groupBy(*where)).applyInArrow(_open_groups(similarity), "a long, b long").distinct())
     merged = components(edges, edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct())
     final = grouped.join(merged, F.col("component") == F.col("node"), "left").select(F.col("doc_id").alias("first_id"), F.coalesce("root", "component").alias("component"))
     found = member.select("doc_id", "first_id").join(final, "first_id", "left").select("doc_id", F.coalesce("component", "first_id").alias("component"))
