@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from .pieces import (
     EFFECTIVE,
     FAILED,
@@ -52,13 +54,13 @@ def _cost_series(days: int, weekly: bool = False, team: bool = False) -> str:
     first, second = f"DATE '2024-01-31' - {days}", f"DATE '2024-01-31' - {2 * days}"
     start = f"(DATE '2024-01-31' - {days})"
     bucket = f"CAST({start} + CAST(FLOOR((d - {start}) / 7.0) AS INTEGER) * 7 AS DATE)" if weekly else "CAST(d AS DATE)"
-    only = f" AND (workspace_id, CAST(job_id AS BIGINT)) IN (SELECT ({KEY}) FROM tags WHERE team = 'building')" if team else ""
+    only = f" AND (workspace_id, TRY_CAST(job_id AS BIGINT)) IN (SELECT ({KEY}) FROM tags WHERE team = 'building')" if team else ""
     return f"""
 SELECT COALESCE(c.period, p.period) AS period, CAST(COALESCE(c.v, 0) AS DOUBLE) AS "current", CAST(COALESCE(p.v, 0) AS DOUBLE) AS previous
 FROM (SELECT {bucket} AS period, SUM(q) AS v FROM (SELECT usage_date AS d, usage_quantity AS q FROM usage
-  WHERE job_id IS NOT NULL AND usage_date >= {first} AND usage_date <= DATE '2024-01-31'{only}) x GROUP BY 1) c
+  WHERE TRY_CAST(job_id AS BIGINT) IS NOT NULL AND usage_date >= {first} AND usage_date <= DATE '2024-01-31'{only}) x GROUP BY 1) c
 FULL OUTER JOIN (SELECT {bucket} AS period, SUM(q) AS v FROM (SELECT usage_date + {days} AS d, usage_quantity AS q FROM usage
-  WHERE job_id IS NOT NULL AND usage_date >= {second} AND usage_date < {first}{only}) x GROUP BY 1) p ON c.period = p.period"""
+  WHERE TRY_CAST(job_id AS BIGINT) IS NOT NULL AND usage_date >= {second} AND usage_date < {first}{only}) x GROUP BY 1) p ON c.period = p.period"""
 
 
 def _run_series(days: int, measure: str, bucket: str, where: str = "", team: bool = False) -> str:
@@ -76,6 +78,67 @@ FROM (SELECT {bucket} AS period, {measure} AS v FROM ({now}) x GROUP BY 1) c
 FULL OUTER JOIN (SELECT {bucket} AS period, {measure} AS v FROM ({before}) x GROUP BY 1) p ON c.period = p.period"""
 
 
+BASELINE_ROWS = f"""
+SELECT {KEY}, quantile_cont(CAST(dbus AS DOUBLE), 0.9) AS p90 FROM (SELECT workspace_id, TRY_CAST(job_id AS BIGINT) AS job_id, usage_date,
+    SUM(usage_quantity) AS dbus FROM usage WHERE usage_date >= DATE '2024-01-01' AND usage_date <= DATE '2024-01-31'
+    AND TRY_CAST(job_id AS BIGINT) IS NOT NULL GROUP BY 1, 2, 3) d WHERE dbus {{sign}} 0 GROUP BY 1, 2 HAVING COUNT(*) >= 5"""
+
+
+def _job_costs(days: int) -> str:
+    """The cost table over another window, from the raw usage rows."""
+    return f"""
+SELECT {KEY}, {NAMED}, t.team, CAST(total AS DOUBLE) AS total_dbus_30d, CAST(cur AS DOUBLE) AS current_7d_dbus,
+  CAST(prev AS DOUBLE) AS prev_7d_dbus, {trend('cur', 'prev')} AS trend_7d_percent, sku_breakdown, p90 AS baseline_p90_dbus,
+  COALESCE(cur > 0 AND p90 > 0 AND CAST(cur AS DOUBLE) > 2 * p90, FALSE) AS is_anomaly, CAST(total AS DOUBLE) * 0.5 AS total_cost_dollars
+FROM (SELECT {KEY}, SUM(total) AS total, SUM(cur) AS cur, SUM(prev) AS prev,
+    STRING_AGG(sku_name || ':' || CAST(CAST(total AS DECIMAL(28,5)) AS VARCHAR), ',' ORDER BY sku_name) AS sku_breakdown
+  FROM (SELECT workspace_id, TRY_CAST(job_id AS BIGINT) AS job_id, sku_name,
+      SUM(CASE WHEN usage_date >= DATE '2024-01-31' - {days} THEN usage_quantity ELSE 0 END) AS total,
+      SUM(CASE WHEN usage_date >= DATE '2024-01-24' THEN usage_quantity ELSE 0 END) AS cur,
+      SUM(CASE WHEN usage_date >= DATE '2024-01-17' AND usage_date < DATE '2024-01-24' THEN usage_quantity ELSE 0 END) AS prev
+    FROM usage WHERE usage_date <= DATE '2024-01-31' AND TRY_CAST(job_id AS BIGINT) IS NOT NULL GROUP BY 1, 2, 3) p
+  WHERE total <> 0 GROUP BY 1, 2) j
+LEFT JOIN tags t USING ({KEY}) LEFT JOIN ({BASELINE_ROWS.format(sign='<>')}) b USING ({KEY})"""
+
+
+MOVED = {
+    "2024-01-31": "2001-06-30", "2024-02-01": "2001-07-01", "2024-01-24": "2001-06-23", "2024-01-17": "2001-06-16",
+    "2024-01-01": "2001-05-31", "2023-12-02": "2001-05-01",
+}
+
+
+def _long(sql: str) -> str:
+    """The same check over the source of several years and its check day."""
+    sql = re.sub(r"FROM (runs|usage)\b", r"FROM long_\1", sql)
+    return re.sub("|".join(MOVED), lambda m: MOVED[m[0]], sql)
+
+
+def _runs_within(days: int, columns: str) -> str:
+    return f"""SELECT {KEY}, {columns} FROM runs WHERE period_start_time >= DATE '2024-01-31' - {days}
+  AND period_start_time < DATE '2024-02-01' GROUP BY 1, 2 HAVING COUNT(*) FILTER (WHERE result_state IS NOT NULL) > 0"""
+
+
+FINISHED = "COUNT(*) FILTER (WHERE result_state IS NOT NULL)"
+GOOD = f"COUNT(*) FILTER (WHERE {SUCCESS})"
+LONG_ANOMALIES = f"""
+SELECT {KEY}, job_name, team, kind AS anomaly_type, CASE WHEN kind = 'cost_spike'
+    THEN 'Cost ' || {fixed('current_7d_dbus / baseline_p90_dbus', 1)} || 'x higher than p90 baseline'
+    WHEN n > 0 AND ok = 0 THEN 'High cost (' || {fixed('total_dbus_30d', 1)} || ' DBUs) with 0 successful runs out of ' || {text('n')} || ' attempts'
+    WHEN n = 0 THEN 'High cost (' || {fixed('total_dbus_30d', 1)} || ' DBUs) with no detected runs'
+    ELSE 'High cost per run (' || {fixed('total_dbus_30d / n', 1)} || ' DBUs/run) may indicate inefficiency' END AS reason,
+  CASE WHEN kind = 'cost_spike' THEN current_7d_dbus ELSE total_dbus_30d END AS current_dbus,
+  CASE WHEN kind = 'cost_spike' THEN baseline_p90_dbus END AS baseline_p90_dbus,
+  CASE WHEN kind = 'cost_spike' THEN current_7d_dbus / baseline_p90_dbus END AS multiplier
+FROM (SELECT c.*, COALESCE(n, 0) AS n, COALESCE(ok, 0) AS ok, CASE WHEN is_anomaly THEN 'cost_spike'
+    WHEN total_dbus_30d > 10 AND (COALESCE(ok, 0) = 0 OR total_dbus_30d / n > 5) THEN 'zombie' END AS kind
+  FROM ({_job_costs(90)}) c LEFT JOIN ({_runs_within(90, f'{FINISHED} AS n, {GOOD} AS ok')}) r USING ({KEY})) x WHERE kind IS NOT NULL"""
+LONG_SPIKES = f"""
+SELECT {KEY}, {NAMED}, CAST(week AS DOUBLE) / 8 AS current_dbus, p90 AS baseline_p90_dbus, CAST(week AS DOUBLE) / 8 / p90 AS multiplier
+FROM (SELECT workspace_id, TRY_CAST(job_id AS BIGINT) AS job_id, SUM(usage_quantity) AS week FROM usage
+  WHERE usage_date >= DATE '2024-01-24' AND usage_date <= DATE '2024-01-31' AND TRY_CAST(job_id AS BIGINT) IS NOT NULL GROUP BY 1, 2) w
+JOIN ({BASELINE_ROWS.format(sign='>')}) b USING ({KEY}) LEFT JOIN tags t USING ({KEY}) WHERE CAST(week AS DOUBLE) / 8 > 2 * p90"""
+USAGE_DAYS = """SELECT workspace_id, usage_date, job_id, cluster_id, sku_name, CAST(SUM(usage_quantity) AS DOUBLE) AS total_dbus FROM usage
+WHERE usage_date >= DATE '2024-01-01' AND usage_date <= DATE '2024-01-31' GROUP BY ALL HAVING SUM(usage_quantity) <> 0"""
 RATE_OF = f"COUNT(*) FILTER (WHERE {SUCCESS}) * 100.0 / CAST(COUNT(*) AS DOUBLE)"
 HOUR = "CAST(DATE_TRUNC('hour', ts) AS TIMESTAMP)"
 DAY = "CAST(CAST(ts AS DATE) AS TIMESTAMP)"
@@ -143,14 +206,22 @@ PRESET_RANGE = """CASE WHEN time_range = 'custom' AND start_date IS NOT NULL THE
 BODIES: dict[str, str] = {
     "list_runs": f"""
 SELECT {KEY}, run_id, period_start_time, period_end_time, run_duration_seconds, result_state FROM runs WHERE {WEEK}
+""",
+    "newest_runs": f"""
+SELECT {KEY}, run_id, period_start_time, period_end_time, run_duration_seconds, result_state FROM runs WHERE {WEEK}
 ORDER BY period_start_time DESC, run_id DESC LIMIT 1000""",
-    "list_jobs": f"SELECT {KEY}, name, creator_user_name FROM latest ORDER BY name, workspace_id, job_id LIMIT 1000",
-    "usage_daily": rounded(
-        """SELECT workspace_id, usage_date, job_id, cluster_id, sku_name, CAST(SUM(usage_quantity) AS DOUBLE) AS total_dbus FROM usage
-WHERE usage_date >= DATE '2024-01-01' AND usage_date <= DATE '2024-01-31' GROUP BY ALL HAVING SUM(usage_quantity) <> 0
-ORDER BY usage_date DESC, total_dbus DESC, workspace_id, job_id NULLS LAST, cluster_id, sku_name LIMIT 1000""",
+    "list_jobs": f"SELECT {KEY}, name, creator_user_name FROM latest",
+    "first_jobs": f"SELECT {KEY}, name, creator_user_name FROM latest ORDER BY name, workspace_id, job_id LIMIT 1000",
+    "usage_daily": rounded(USAGE_DAYS, "total_dbus"),
+    "usage_daily_top": rounded(
+        USAGE_DAYS + "\nORDER BY usage_date DESC, total_dbus DESC, workspace_id, job_id NULLS LAST, cluster_id, sku_name LIMIT 1000",
         "total_dbus",
     ),
+    "unreadable_job_ids": """
+SELECT workspace_id, job_id AS job_id_text, COUNT(*) AS usage_rows FROM usage
+WHERE job_id IS NOT NULL AND NOT regexp_full_match(job_id, '[0-9]+') GROUP BY 1, 2""",
+    "job_output_tables_first": f"""
+SELECT {KEY}, table_name FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {KEY} ORDER BY table_name) AS rn FROM lineage_tables) x WHERE rn <= 5""",
     "job_output_tables": "SELECT * FROM lineage_tables",
     "job_output_tables_fallback": "SELECT * FROM output_lists",
     "table_name_parts": f"""
@@ -173,6 +244,10 @@ UNION ALL SELECT 'alerts', (SELECT COUNT(*) FROM failure_alerts) + (SELECT COUNT
     "read_health_rollup": _health_read(7),
     "read_health_rollup_30d": _health_read(30),
     "read_cost_rollup": rounded(
+        "SELECT * FROM costs",
+        "total_dbus_30d", "current_7d_dbus", "prev_7d_dbus", "baseline_p90_dbus", "total_cost_dollars",
+    ),
+    "read_cost_rollup_top": rounded(
         "SELECT * FROM costs ORDER BY total_dbus_30d DESC, workspace_id, job_id LIMIT 500",
         "total_dbus_30d", "current_7d_dbus", "prev_7d_dbus", "baseline_p90_dbus", "total_cost_dollars",
     ),
@@ -247,13 +322,17 @@ SELECT {KEY}, w AS worker_cpu_percent, CASE WHEN w IS NULL THEN 'No data' WHEN w
   ELSE 'Low' END AS label FROM cluster_rows""",
     "run_names": f"SELECT {KEY}, run_id, {NAMED} FROM runs LEFT JOIN tags t USING ({KEY})",
     "cost_spikes": rounded(
+        f"""SELECT {KEY}, {NAMED}, current_dbus, baseline_p90_dbus, multiplier FROM spikes LEFT JOIN tags t USING ({KEY})""",
+        "current_dbus", "baseline_p90_dbus", "multiplier",
+    ),
+    "top_cost_spikes": rounded(
         f"""SELECT {KEY}, {NAMED}, current_dbus, baseline_p90_dbus, multiplier FROM spikes LEFT JOIN tags t USING ({KEY})
 ORDER BY ROUND(multiplier, 9) DESC, workspace_id, job_id LIMIT 50""",
         "current_dbus", "baseline_p90_dbus", "multiplier",
     ),
     "cost_spikes_daily_mean": rounded(
-        f"""SELECT {KEY}, {NAMED}, CAST(week AS DOUBLE) / 7 AS current_dbus, p90 AS baseline_p90_dbus, CAST(week AS DOUBLE) / 7 / p90 AS multiplier
-FROM week_spend JOIN baseline_positive USING ({KEY}) LEFT JOIN tags t USING ({KEY}) WHERE CAST(week AS DOUBLE) / 7 > 2 * p90""",
+        f"""SELECT {KEY}, {NAMED}, CAST(week AS DOUBLE) / 8 AS current_dbus, p90 AS baseline_p90_dbus, CAST(week AS DOUBLE) / 8 / p90 AS multiplier
+FROM week_spend JOIN baseline_positive USING ({KEY}) LEFT JOIN tags t USING ({KEY}) WHERE CAST(week AS DOUBLE) / 8 > 2 * p90""",
         "current_dbus", "baseline_p90_dbus", "multiplier",
     ),
     "run_dbu_rate": rounded("SELECT * FROM run_rates", "avg_dbus_per_hour"),
@@ -274,6 +353,11 @@ GROUP BY e.workspace_id, e.job_id HAVING COUNT(DISTINCT e.run_id) >= 3""",
 SELECT condition_key, a.acknowledged_at IS NOT NULL AS acknowledged, a.acknowledged_at
 FROM failure_alerts LEFT JOIN valid_acks a USING (condition_key)""",
     "cost_anomalies": rounded("SELECT * FROM anomalies", "current_dbus", "baseline_p90_dbus", "multiplier"),
+    "cost_anomalies_90d": rounded(_long(LONG_ANOMALIES), "current_dbus", "baseline_p90_dbus", "multiplier"),
+    "cost_spikes_daily_mean_long": rounded(_long(LONG_SPIKES), "current_dbus", "baseline_p90_dbus", "multiplier"),
+    "success_rate_90d": _long(_runs_within(90, f"{FINISHED} AS total_runs, {GOOD} AS success_count, ROUND(100.0 * CAST({GOOD} AS DOUBLE) / {FINISHED}, 1) AS success_rate")),
+    "retry_counts_90d": _long(_runs_within(90, f"{FINISHED} - COUNT(DISTINCT CASE WHEN result_state IS NOT NULL THEN CAST(period_start_time AS DATE) END) AS retry_count")),
+    "health_open_long": _long(_runs_within(30, f"{FINISHED} AS total_runs, COUNT(*) FILTER (WHERE period_end_time IS NULL) AS open_runs")),
     "recent_runs_by_job": f"""
 SELECT {KEY}, COALESCE(l.recent_runs, '') AS recent_runs FROM (SELECT DISTINCT {KEY} FROM jobs) i LEFT JOIN (
   SELECT {KEY}, STRING_AGG(CAST(run_id AS VARCHAR) || ':' || result_state || ':' || CAST(duration_seconds AS VARCHAR), ';' ORDER BY rn) AS recent_runs
@@ -336,6 +420,8 @@ FROM spend GROUP BY {KEY}, sku_name HAVING SUM(usage_quantity) <> 0""",
     "run_spans": "SELECT * FROM spans",
     "trend_cost": rounded(COST_SERIES, '"current"', "previous"),
     "trend_cost_weekly": rounded(_cost_series(60, weekly=True), '"current"', "previous"),
+    "trend_cost_weekly_long": rounded(_long(_cost_series(60, weekly=True)), '"current"', "previous"),
+    "trend_success_weekly_long": rounded(_long(_run_series(60, RATE_OF, WEEK60)), '"current"', "previous"),
     "trend_success": rounded(SUCCESS_SERIES, '"current"', "previous"),
     "trend_success_weekly": rounded(_run_series(60, RATE_OF, WEEK60), '"current"', "previous"),
     "trend_success_team": rounded(_run_series(14, RATE_OF, DAY, team=True), '"current"', "previous"),
@@ -442,6 +528,8 @@ LEFT JOIN tags t USING ({KEY})""",
         "SELECT * FROM costs",
         "total_dbus_30d", "current_7d_dbus", "prev_7d_dbus", "baseline_p90_dbus", "total_cost_dollars",
     ),
+    "job_costs_7d": rounded(_long(_job_costs(7)), "total_dbus_30d", "current_7d_dbus", "prev_7d_dbus", "baseline_p90_dbus", "total_cost_dollars"),
+    "job_costs_90d": rounded(_long(_job_costs(90)), "total_dbus_30d", "current_7d_dbus", "prev_7d_dbus", "baseline_p90_dbus", "total_cost_dollars"),
     "failure_alerts": "SELECT * FROM failure_alerts",
     "sla_alerts": "SELECT * FROM sla_alerts",
     "overprovision_alerts": "SELECT * FROM cluster_alerts",
@@ -482,8 +570,13 @@ FROM runs WHERE DATE_TRUNC('hour', period_start_time) + INTERVAL '1' HOUR <=
     "stream_consecutive_failures": LAST_STATES.format(window=""),
     "stream_refresh_rollup": _health_list(7),
     "stream_alert_dedupe": f"""
-SELECT DISTINCT 'failure_' || CAST(workspace_id AS VARCHAR) || '_' || CAST(job_id AS VARCHAR) || '_single' AS condition_key
-FROM runs WHERE {FAILED}""",
+SELECT condition_key, raised_at FROM (WITH RECURSIVE failed AS (
+    SELECT DISTINCT 'failure_' || CAST(workspace_id AS VARCHAR) || '_' || CAST(job_id AS VARCHAR) || '_single' AS condition_key,
+      period_start_time AS raised_at FROM runs WHERE {FAILED}),
+  passed AS (SELECT condition_key, MIN(raised_at) AS raised_at FROM failed GROUP BY 1
+    UNION ALL SELECT p.condition_key, MIN(f.raised_at) FROM passed p JOIN failed f
+      ON f.condition_key = p.condition_key AND f.raised_at >= p.raised_at + INTERVAL '24' HOUR GROUP BY 1)
+  SELECT * FROM passed) x""",
 }
 
 

@@ -144,8 +144,8 @@ SELECT {KEY}, name, TRY_CAST(sla_minutes AS INTEGER) AS sla_minutes, team, creat
   TRY_CAST(budget_monthly_dbus AS DOUBLE) AS budget_monthly_dbus, output_tables FROM latest""",
     "health7": health(WEEK),
     "health30": health(MONTH),
-    "open7": f"SELECT {KEY}, COUNT(*) AS open_runs FROM runs WHERE result_state IS NULL AND {WEEK} GROUP BY ALL",
-    "open30": f"SELECT {KEY}, COUNT(*) AS open_runs FROM runs WHERE result_state IS NULL AND {MONTH} GROUP BY ALL",
+    "open7": f"SELECT {KEY}, COUNT(*) AS open_runs FROM runs WHERE period_end_time IS NULL AND {WEEK} GROUP BY ALL",
+    "open30": f"SELECT {KEY}, COUNT(*) AS open_runs FROM runs WHERE period_end_time IS NULL AND {MONTH} GROUP BY ALL",
     "retries7": f"""
 SELECT {KEY}, CAST(SUM(CASE WHEN n > 1 THEN n - 1 ELSE 0 END) AS BIGINT) AS retry_count
 FROM (SELECT {KEY}, CAST(period_start_time AS DATE) AS d, COUNT(*) AS n FROM runs
@@ -176,8 +176,8 @@ FROM runs WHERE {FAILED} AND termination_code IS NOT NULL AND {WEEK} GROUP BY AL
 SELECT {KEY}, STRING_AGG(DISTINCT termination_code, ',' ORDER BY termination_code) AS failure_reasons
 FROM runs WHERE {FAILED} AND termination_code IS NOT NULL AND {MONTH} GROUP BY ALL""",
     "spend": """
-SELECT workspace_id, CAST(job_id AS BIGINT) AS job_id, sku_name, usage_date, usage_quantity FROM usage
-WHERE job_id IS NOT NULL AND usage_date >= DATE '2024-01-01' AND usage_date <= DATE '2024-01-31'""",
+SELECT workspace_id, TRY_CAST(job_id AS BIGINT) AS job_id, sku_name, usage_date, usage_quantity FROM usage
+WHERE TRY_CAST(job_id AS BIGINT) IS NOT NULL AND usage_date >= DATE '2024-01-01' AND usage_date <= DATE '2024-01-31'""",
     "daily": f"SELECT {KEY}, usage_date, SUM(usage_quantity) AS dbus FROM spend GROUP BY ALL",
     "by_sku": f"""
 SELECT {KEY}, sku_name, SUM(usage_quantity) AS total_dbus,
@@ -199,7 +199,7 @@ SELECT {KEY}, COALESCE(t.name, 'job-' || CAST(job_id AS VARCHAR)) AS job_name, t
   CAST(total_dbus_30d AS DOUBLE) AS total_dbus_30d, CAST(current_7d_dbus AS DOUBLE) AS current_7d_dbus,
   CAST(prev_7d_dbus AS DOUBLE) AS prev_7d_dbus, {trend('current_7d_dbus', 'prev_7d_dbus')} AS trend_7d_percent,
   sku_breakdown, p90 AS baseline_p90_dbus,
-  COALESCE(CAST(current_7d_dbus AS DOUBLE) > 2 * p90, FALSE) AS is_anomaly,
+  COALESCE(current_7d_dbus > 0 AND p90 > 0 AND CAST(current_7d_dbus AS DOUBLE) > 2 * p90, FALSE) AS is_anomaly,
   CAST(total_dbus_30d AS DOUBLE) * 0.5 AS total_cost_dollars
 FROM by_job LEFT JOIN tags t USING ({KEY}) LEFT JOIN baseline USING ({KEY})""",
     "teams": """
@@ -324,10 +324,9 @@ WHERE acknowledged_at >= TIMESTAMP '2024-01-30 00:00:00' GROUP BY 1""",
 SELECT d.*, a.acknowledged_at, a.acknowledged_at IS NOT NULL AS acknowledged, TIMESTAMP '2024-01-31 00:00:00' AS created_at
 FROM deduped d LEFT JOIN valid_acks a USING (condition_key)""",
     "lineage_tables": f"""
-SELECT {KEY}, table_name FROM (SELECT {KEY}, table_name, ROW_NUMBER() OVER (PARTITION BY {KEY} ORDER BY table_name) AS rn
-  FROM (SELECT DISTINCT {KEY}, target_table_full_name AS table_name FROM lineage
-    WHERE entity_type = 'JOB' AND target_table_full_name IS NOT NULL
-      AND event_time >= DATE '2024-01-01' AND event_time < DATE '2024-02-01') d) x WHERE rn <= 20""",
+SELECT DISTINCT {KEY}, target_table_full_name AS table_name FROM lineage
+WHERE entity_type = 'JOB' AND target_table_full_name IS NOT NULL
+  AND event_time >= DATE '2024-01-01' AND event_time < DATE '2024-02-01'""",
     "output_lists": f"""
 SELECT {KEY}, table_name, 'lineage' AS origin FROM lineage_tables
 UNION ALL

@@ -15,12 +15,15 @@ from ..sources.readers import job_usage
 from .jobs import UNTAGGED, with_job_names
 
 MIN_BASELINE_DAYS = 5
+BASELINE_DAYS = 30
+# The current week holds the check day too.
+WEEK_DATES = 8
 SPIKE_FACTOR = 2
 ZOMBIE_MIN_DBUS = 10
 ZOMBIE_DBUS_PER_RUN = 5
 
 
-def usage_daily(usage: DataFrame, as_of: date, days: int = 30, limit: int | None = 1000) -> DataFrame:
+def usage_daily(usage: DataFrame, as_of: date, days: int = 30, limit: int | None = None) -> DataFrame:
     """Net usage per day, job, cluster and product; fully retracted groups drop out."""
     if not 1 <= days <= 365:
         raise ValueError("days must be between 1 and 365")
@@ -81,26 +84,40 @@ def daily_job(usage: DataFrame, as_of: date, days: int = 30) -> DataFrame:
     )
 
 
+def spiking(week: Column, baseline: Column, factor: float = SPIKE_FACTOR) -> Column:
+    """The one spike rule: a positive week above ``factor`` times a positive baseline day."""
+    return F.coalesce((week > 0) & (baseline > 0) & (week > factor * baseline), F.lit(False))
+
+
+def since(as_of: date, days: int) -> Column:
+    return F.col("usage_date") >= F.lit(as_of - timedelta(days=days))
+
+
 def in_current_week(as_of: date) -> Column:
-    return F.col("usage_date") >= F.lit(as_of - timedelta(days=7))
+    """The check day and the seven days before it."""
+    return since(as_of, 7)
 
 
 def in_previous_week(as_of: date) -> Column:
-    return (F.col("usage_date") >= F.lit(as_of - timedelta(days=14))) & ~in_current_week(as_of)
+    return since(as_of, 14) & ~in_current_week(as_of)
 
 
 def cost_job_sku(usage: DataFrame, as_of: date, days: int = 30) -> DataFrame:
-    """Net usage per job and product: whole window, current week, previous week."""
+    """Net usage per job and product: whole window, current week, previous week.
+
+    Weeks and baselines look back as far as they need, however short the window is, so one pass
+    over ``max(days, 30)`` days serves them all; only the totals are cut to the window.
+    """
     zero = F.lit(0).cast("decimal(18,5)")
 
     def total_when(condition: Column, name: str) -> Column:
         return F.sum(F.when(condition, F.col("dbus")).otherwise(zero)).alias(name)
 
     return (
-        daily_job_sku(usage, as_of, days)
+        daily_job_sku(usage, as_of, max(days, BASELINE_DAYS))
         .groupBy(*JOB_KEY, "sku_name")
         .agg(
-            F.sum("dbus").alias("total_dbus"),
+            total_when(since(as_of, days), "total_dbus"),
             total_when(in_current_week(as_of), "current_7d"),
             total_when(in_previous_week(as_of), "prev_7d"),
         )
@@ -131,8 +148,6 @@ def cost_job(usage: DataFrame, as_of: date, days: int = 30) -> DataFrame:
 
 def cost_trend(usage: DataFrame, as_of: date, days: int = 30) -> DataFrame:
     """Current week against the week before, per job."""
-    if days < 14:
-        raise ValueError("a week-over-week trend needs at least 14 days")
     return cost_job(usage, as_of, days).select(
         *JOB_KEY,
         F.col("current_7d_dbus").cast("double").alias("current_7d_dbus"),
@@ -197,20 +212,15 @@ def parse_sku_breakdown(costs: DataFrame) -> DataFrame:
 def job_costs(usage: DataFrame, jobs: DataFrame, as_of: date, days: int = 30, dbu_rate: float = 0.0) -> DataFrame:
     """The cost table: totals, trend, baseline, spike flag, team and dollars per job.
 
-    Trends always look back 14 days and baselines 30, however short ``days`` is.
+    Trends always look back 14 days and baselines 30, however short or long ``days`` is.
     """
-    history = max(days, 30)
     totals = cost_job(usage, as_of, days)
-    if days < 14:
-        week = cost_job(usage, as_of, 14).select(*JOB_KEY, F.col("prev_7d_dbus").alias("prior"))
-        totals = totals.join(week, JOB_KEY, "left").withColumn("prev_7d_dbus", F.coalesce("prior", "prev_7d_dbus"))
-        totals = totals.drop("prior")
     current = F.col("current_7d_dbus").cast("double")
     total = F.col("total_dbus_30d").cast("double")
     dollars = total * dbu_rate if dbu_rate > 0 else F.lit(None).cast("double")
-    by_day = daily_job_sku(usage, as_of, history).groupBy(*JOB_KEY, "usage_date").agg(F.sum("dbus").alias("dbus"))
+    by_sku = daily_job_sku(usage, as_of, max(days, BASELINE_DAYS)).filter(since(as_of, BASELINE_DAYS))
+    by_day = by_sku.groupBy(*JOB_KEY, "usage_date").agg(F.sum("dbus").alias("dbus"))
     joined = join_jobs(totals, baseline_of(by_day), "left")
-    spike = current > SPIKE_FACTOR * F.col("baseline_p90_dbus")
     return with_job_names(joined, jobs, team=True).select(
         *JOB_KEY,
         "job_name",
@@ -221,7 +231,7 @@ def job_costs(usage: DataFrame, jobs: DataFrame, as_of: date, days: int = 30, db
         trend_percent(F.col("current_7d_dbus"), F.col("prev_7d_dbus")).alias("trend_7d_percent"),
         "sku_breakdown",
         "baseline_p90_dbus",
-        F.coalesce(spike, F.lit(False)).alias("is_anomaly"),
+        spiking(current, F.col("baseline_p90_dbus")).alias("is_anomaly"),
         dollars.alias("total_cost_dollars"),
     )
 
@@ -309,10 +319,10 @@ def cost_spikes(
         .filter((F.col("week") > 0) & (F.col("usage_days") >= MIN_BASELINE_DAYS))
     )
     measure = F.col("week").cast("double")
-    measure = measure / 7 if unit == "daily_mean" else measure
+    measure = measure / WEEK_DATES if unit == "daily_mean" else measure
     spikes = (
         per_job.withColumn("current_dbus", measure)
-        .filter(F.col("current_dbus") > factor * F.col("baseline_p90_dbus"))
+        .filter(spiking(F.col("current_dbus"), F.col("baseline_p90_dbus"), factor))
         .withColumn("multiplier", F.col("current_dbus") / F.nullif(F.col("baseline_p90_dbus"), F.lit(0.0)))
     )
     if limit is not None:

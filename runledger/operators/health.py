@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -15,17 +16,30 @@ from .jobs import job_tags
 from .runs import last_two
 
 MIN_RUNS_FOR_STATS = 5
-# Days are kept as bits of one BIGINT, so a window may span at most this many.
-MAX_BIT_DAYS = 62
+# Days are kept as bits of BIGINTs, this many in each.
+BITS_PER_WORD = 63
 
 
-def day_bits(as_of: date, condition: Column) -> Column:
-    """Set of days with a matching row, as an 8-byte mergeable buffer.
+def day_words(as_of: date, days: int, condition: Column) -> dict[str, Column]:
+    """Set of days with a matching row, as mergeable 8-byte words: one for each 63 days of the window.
 
-    ``bit_count`` of it is an exact distinct day count that needs no extra shuffle.
+    Their bits are an exact distinct day count that needs no extra shuffle; see ``day_count``.
     """
     offset = F.date_diff(F.lit(as_of), F.to_date("period_start_time"))
-    return F.bit_or(F.when(condition, F.call_function("shiftleft", F.lit(1).cast("long"), offset)))
+    words = {}
+    for number in range(days // BITS_PER_WORD + 1):
+        bit = offset - number * BITS_PER_WORD
+        mine = condition & bit.between(0, BITS_PER_WORD - 1)
+        words[f"days_{number}"] = F.bit_or(F.when(mine, F.call_function("shiftleft", F.lit(1).cast("long"), bit)))
+    return words
+
+
+def day_count(words: Iterable[str]) -> Column:
+    """Distinct days in the words; a word without a day is NULL."""
+    total = F.lit(0)
+    for word in words:
+        total = total + F.coalesce(F.bit_count(word), F.lit(0))
+    return total
 
 
 def run_stats(runs: DataFrame, as_of: date, days: int = 7, reasons: bool = False) -> DataFrame:
@@ -35,33 +49,33 @@ def run_stats(runs: DataFrame, as_of: date, days: int = 7, reasons: bool = False
     counted per (job, code), so duplicates are gone before a job's codes are collected, and
     codes are a closed vocabulary.
     """
-    if days > MAX_BIT_DAYS:
-        raise ValueError(f"days must be at most {MAX_BIT_DAYS}")
     counters = {
         "total_runs": is_finished(),
         "success_count": is_success(),
         "failed_count": is_failed(),
-        "open_runs": ~is_finished(),
+        "open_runs": F.col("period_end_time").isNull(),
     }
     counts = [F.count_if(condition).alias(name) for name, condition in counters.items()]
     in_window = runs.filter(trailing("period_start_time", as_of, days))
     extra: list[Column] = []
+    words = day_words(as_of, days, is_finished())
+    seen = [bits.alias(name) for name, bits in words.items()]
     if reasons:
         code = F.when(is_failed(), F.col("termination_code")).alias("code")
-        pieces = in_window.groupBy(*JOB_KEY, code).agg(*counts, day_bits(as_of, is_finished()).alias("days"))
+        pieces = in_window.groupBy(*JOB_KEY, code).agg(*counts, *seen)
         per_job = pieces.groupBy(*JOB_KEY).agg(
             *[F.sum(name).alias(name) for name in counters],
-            F.bit_or("days").alias("days"),
+            *[F.bit_or(name).alias(name) for name in words],
             F.sort_array(F.collect_list("code")).alias("failure_reasons"),
         )
         extra.append(F.col("failure_reasons"))
     else:
-        per_job = in_window.groupBy(*JOB_KEY).agg(*counts, day_bits(as_of, is_finished()).alias("days"))
+        per_job = in_window.groupBy(*JOB_KEY).agg(*counts, *seen)
     return per_job.filter("total_runs > 0").select(
         *JOB_KEY,
         *counters,
         percent(F.col("success_count"), F.col("total_runs")).alias("success_rate"),
-        (F.col("total_runs") - F.bit_count("days")).alias("retry_count"),
+        (F.col("total_runs") - day_count(words)).alias("retry_count"),
         *extra,
     )
 

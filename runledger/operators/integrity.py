@@ -16,8 +16,8 @@ ROW_COUNT_ANOMALY_PERCENT = 20
 TREND_POINTS = 5
 
 
-def job_output_tables(lineage: DataFrame, as_of: date, days: int = 30, limit: int = 20) -> DataFrame:
-    """Distinct tables written by every job, the first ``limit`` by name.
+def job_output_tables(lineage: DataFrame, as_of: date, days: int = 30, limit: int | None = None) -> DataFrame:
+    """Distinct tables written by every job, or the first ``limit`` of each by name.
 
     Duplicates go in a map-side combined aggregate; the rank then sees distinct tables only.
     """
@@ -29,12 +29,14 @@ def job_output_tables(lineage: DataFrame, as_of: date, days: int = 30, limit: in
         )
         .select(
             "workspace_id",
-            F.col("entity_metadata.job_info.job_id").cast("bigint").alias("job_id"),
+            F.col("entity_metadata.job_info.job_id").try_cast("bigint").alias("job_id"),
             F.col("target_table_full_name").alias("table_name"),
         )
         .filter(F.col("job_id").isNotNull())
         .distinct()
     )
+    if limit is None:
+        return written
     by_name = Window.partitionBy(*JOB_KEY).orderBy("table_name")
     return written.withColumn("rn", F.row_number().over(by_name)).filter(F.col("rn") <= limit).drop("rn")
 

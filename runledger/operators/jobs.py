@@ -35,12 +35,9 @@ def latest_jobs(jobs: DataFrame, include_deleted: bool = False) -> DataFrame:
     return current if include_deleted else current.filter(F.col("delete_time").isNull())
 
 
-def list_jobs(jobs: DataFrame, limit: int = 1000) -> DataFrame:
-    return (
-        latest_jobs(jobs)
-        .orderBy(F.col("name").asc_nulls_last(), *JOB_KEY)
-        .limit(limit)
-    )
+def list_jobs(jobs: DataFrame, limit: int | None = None) -> DataFrame:
+    result = latest_jobs(jobs).orderBy(F.col("name").asc_nulls_last(), *JOB_KEY)
+    return result if limit is None else result.limit(limit)
 
 
 def tag_text(key: str) -> Column:

@@ -23,17 +23,17 @@ def newest_first():
     return Window.partitionBy(*JOB_KEY).orderBy(F.col("period_start_time").desc(), F.col("run_id").desc())
 
 
-def list_runs(runs: DataFrame, as_of: date, days: int = 7, limit: int = 1000) -> DataFrame:
+def list_runs(runs: DataFrame, as_of: date, days: int = 7, limit: int | None = None) -> DataFrame:
     if not 1 <= days <= 90:
         raise ValueError("days must be between 1 and 90")
-    return (
+    result = (
         runs.filter(trailing("period_start_time", as_of, days))
         .select(
             *JOB_KEY, "run_id", "period_start_time", "period_end_time", "run_duration_seconds", "result_state"
         )
         .orderBy(F.col("period_start_time").desc(), F.col("run_id").desc())
-        .limit(limit)
     )
+    return result if limit is None else result.limit(limit)
 
 
 def run_outcomes(runs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import JOB_KEY, join_jobs
 from ..functions.numbers import fixed_text, ratio
 from ..functions.wording import fill
-from ..operators.cost import SPIKE_FACTOR, job_costs, little_output
+from ..operators.cost import job_costs, little_output
 from ..operators.health import run_stats
 
 
@@ -31,8 +31,7 @@ def cost_anomalies(
         .withColumn("success_count", F.coalesce("success_count", zero))
     )
     total, week, base = F.col("total_dbus_30d"), F.col("current_7d_dbus"), F.col("baseline_p90_dbus")
-    spike = F.coalesce((week > SPIKE_FACTOR * base) & (base > 0), F.lit(False))
-    kind = F.when(spike, "cost_spike").when(little_output(total), "zombie")
+    kind = F.when(F.col("is_anomaly"), "cost_spike").when(little_output(total), "zombie")
     spiking = F.col("anomaly_type") == "cost_spike"
     amount, count = fixed_text(total, 1), F.col("run_count").cast("string")
     idle = (

@@ -13,7 +13,8 @@ from ..functions.states import PRIORITY_ORDER, is_failed, is_finished, is_succes
 from ..functions.timing import effective_seconds, trailing
 from ..operators.health import (
     MIN_RUNS_FOR_STATS,
-    day_bits,
+    day_count,
+    day_words,
     job_priorities,
     percentiles,
     run_stats_with_last,
@@ -62,6 +63,7 @@ def health_rollup(runs: DataFrame, jobs: DataFrame, as_of: date, approximate: bo
     (job, duration), then summed per job with duration percentiles weighted by the counts.
     """
     week = trailing("period_start_time", as_of, 7)
+    words = day_words(as_of, 7, is_finished() & week)
     recorded = F.col("run_duration_seconds").cast("long")
     pieces = together(
         runs.filter(trailing("period_start_time", as_of, 30))
@@ -71,7 +73,7 @@ def health_rollup(runs: DataFrame, jobs: DataFrame, as_of: date, approximate: bo
             F.count_if(is_success()).alias("s30"),
             F.count_if(is_finished() & week).alias("n7"),
             F.count_if(is_success() & week).alias("s7"),
-            day_bits(as_of, is_finished() & week).alias("days"),
+            *[bits.alias(name) for name, bits in words.items()],
         )
     )
     measured = F.when(F.col("seconds").isNotNull(), F.col("n30")).otherwise(F.lit(0).cast("long"))
@@ -83,7 +85,7 @@ def health_rollup(runs: DataFrame, jobs: DataFrame, as_of: date, approximate: bo
             F.sum("s30").alias("success_count_30d"),
             F.sum("n7").alias("total_runs_7d"),
             F.sum("s7").alias("success_count_7d"),
-            F.bit_or("days").alias("days"),
+            *[F.bit_or(name).alias(name) for name in words],
             percentiles(F.col("seconds"), [0.5, 0.9], F.col("measured"), approximate).alias("q"),
             (F.sum(F.col("seconds") * F.col("measured")).cast("double") / F.nullif(F.sum("measured"), F.lit(0))).alias(
                 "avg_duration_seconds"
@@ -107,7 +109,7 @@ def health_rollup(runs: DataFrame, jobs: DataFrame, as_of: date, approximate: bo
         "last_run_time",
         "last_duration_seconds",
         priority(F.col("last_failed"), F.col("previous_failed"), rate_7d).alias("priority"),
-        (F.col("total_runs_7d") - F.coalesce(F.bit_count("days"), F.lit(0))).alias("retry_count"),
+        (F.col("total_runs_7d") - day_count(words)).alias("retry_count"),
         F.col("q")[0].alias("median_duration_seconds"),
         F.col("q")[1].alias("p90_duration_seconds"),
         "avg_duration_seconds",
@@ -145,6 +147,7 @@ def job_details(runs: DataFrame, jobs: DataFrame, as_of: date) -> DataFrame:
     termination code); the run list holds at most ten entries per job.
     """
     week = trailing("period_start_time", as_of, 7)
+    words = day_words(as_of, 7, is_finished() & week)
     ended = is_finished() & F.col("period_end_time").isNotNull()
     seconds = F.when(ended & (effective_seconds() > 0), effective_seconds())
     pieces = together(
@@ -153,7 +156,7 @@ def job_details(runs: DataFrame, jobs: DataFrame, as_of: date) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.count_if(is_finished() & week).alias("n7"),
-            day_bits(as_of, is_finished() & week).alias("days"),
+            *[bits.alias(name) for name, bits in words.items()],
         )
     )
     measured = F.when(F.col("seconds").isNotNull(), F.col("n")).otherwise(F.lit(0).cast("long"))
@@ -167,10 +170,12 @@ def job_details(runs: DataFrame, jobs: DataFrame, as_of: date) -> DataFrame:
             ),
             F.max("seconds").cast("double").alias("max_duration_seconds"),
             F.sum("measured").alias("run_count"),
-            (F.sum("n7") - F.coalesce(F.bit_count(F.bit_or("days")), F.lit(0))).alias("retry_count_7d"),
+            F.sum("n7").alias("n7"),
+            *[F.bit_or(name).alias(name) for name in words],
             F.sort_array(F.collect_set("code")).alias("failure_reasons"),
         )
         .withColumn("median_duration_seconds", F.col("q")[0])
+        .withColumn("retry_count_7d", F.col("n7") - day_count(words))
     )
     window = runs.filter(trailing("period_start_time", as_of, 30)).select(
         *JOB_KEY, "run_id", "period_start_time", "period_end_time", "result_state", effective_seconds().alias("seconds")

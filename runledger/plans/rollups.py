@@ -15,7 +15,6 @@ from ..operators.ordering import health_order
 from .health import health_rollup
 
 STALE_AFTER = timedelta(hours=1)
-COST_ROWS = 500
 HEALTH, COST, ALERTS = "job_health", "cost", "alerts"
 
 
@@ -100,8 +99,9 @@ def read_health(rollup: DataFrame, days: int = 7) -> DataFrame:
     return chosen.orderBy(*health_order())
 
 
-def read_cost(rollup: DataFrame, limit: int = COST_ROWS) -> DataFrame:
-    return rollup.orderBy(F.col("total_dbus_30d").desc(), *JOB_KEY).limit(limit)
+def read_cost(rollup: DataFrame, limit: int | None = None) -> DataFrame:
+    result = rollup.orderBy(F.col("total_dbus_30d").desc(), *JOB_KEY)
+    return result if limit is None else result.limit(limit)
 
 
 def read_alerts(rollup: DataFrame, workspace_id: str | int | None = None) -> DataFrame:

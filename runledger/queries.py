@@ -302,8 +302,8 @@ def refreshed(t: SampleTables) -> DataFrame:
     return t.spark.createDataFrame(list(counts.items()), "rollup string, rows_written long")
 
 
-def stored_costs(t: SampleTables) -> DataFrame:
-    return RU.read_cost(stored(t, RU.COST, costs(t)))
+def stored_costs(t: SampleTables, limit: int | None = None) -> DataFrame:
+    return RU.read_cost(stored(t, RU.COST, costs(t)), limit)
 
 
 def stored_alerts(t: SampleTables) -> DataFrame:
@@ -321,24 +321,35 @@ def streamed_counts(t: SampleTables) -> DataFrame:
     return t.spark.read.parquet(f"{path}/rows")
 
 
+def fed_in_parts(t: SampleTables, path: str, handle: Callable[[DataFrame, int], None], of=lambda runs: runs) -> None:
+    """Feeds the runs of four stretches of time one after the other, each as a batch of its own."""
+    events, cuts = t.raw("events"), [None, *(t.as_of - timedelta(days=d) for d in (23, 15, 7)), None]
+    for since, until in zip(cuts[:-1], cuts[1:], strict=True):
+        after = F.lit(True) if since is None else F.col("ts") >= F.lit(since)
+        before = F.lit(True) if until is None else F.col("ts") < F.lit(until)
+        events.filter(after & before).write.mode("append").parquet(f"{path}/in")
+        stream = t.spark.readStream.schema(events.schema).parquet(f"{path}/in")
+        runs = t.spark.sql(VIEWS["runs"].replace("FROM events", "FROM {events}"), events=stream)
+        runner.drain_batches(of(runs), path, handle)
+
+
 def streamed_failures(t: SampleTables) -> DataFrame:
     path = shared_folder(t.spark)
-    states = SF.stream_consecutive_failures(stream_of_runs(t))
-    runner.drain_batches(states, path, runner.write_batch(path), "update", state_size(t))
+    fed_in_parts(t, path, SF.consecutive_failures_of(path))
     return SF.latest_per_job(t.spark.read.parquet(f"{path}/rows"))
 
 
 def streamed_rollup(t: SampleTables) -> DataFrame:
+    """The check day is the day after the newest run, so it moves with every batch."""
     path = shared_folder(t.spark)
-    runner.drain_batches(stream_of_runs(t), path, SR.refresh_touched(t.jobs, t.as_of, path))
-    return t.spark.read.parquet(f"{path}/health").drop("job_bucket")
+    fed_in_parts(t, path, SR.refresh_rollup(t.jobs, path, as_of=lambda seen, before: seen + timedelta(days=1) if seen else before))
+    return t.spark.read.parquet(f"{path}/health")
 
 
 def streamed_conditions(t: SampleTables) -> DataFrame:
     path = shared_folder(t.spark)
-    conditions = suppress.failure_conditions(stream_of_runs(t))
-    runner.drain_append(suppress.suppress_repeats(conditions), path, state_size(t))
-    return t.spark.read.parquet(f"{path}/rows").select("condition_key")
+    fed_in_parts(t, path, suppress.suppress_repeats(path), suppress.failure_conditions)
+    return t.spark.read.parquet(f"{path}/rows").select("condition_key", "raised_at")
 
 
 # --- the catalogue ----------------------------------------------------------------------
@@ -346,9 +357,14 @@ def streamed_conditions(t: SampleTables) -> DataFrame:
 CATALOGUE: dict[str, Callable[[SampleTables], DataFrame]] = {
     # sources and sinks
     "list_runs": lambda t: R.list_runs(t.runs, t.as_of),
+    "newest_runs": lambda t: R.list_runs(t.runs, t.as_of, limit=1000),
     "list_jobs": lambda t: J.list_jobs(t.jobs).select(*JOB_KEY, "name", "creator_user_name"),
+    "first_jobs": lambda t: J.list_jobs(t.jobs, 1000).select(*JOB_KEY, "name", "creator_user_name"),
     "usage_daily": lambda t: C.usage_daily(t.usage, t.as_of),
+    "usage_daily_top": lambda t: C.usage_daily(t.usage, t.as_of, limit=1000),
+    "unreadable_job_ids": lambda t: readers.unreadable_job_ids(t.usage),
     "job_output_tables": lambda t: I.job_output_tables(t.lineage, t.as_of),
+    "job_output_tables_first": lambda t: I.job_output_tables(t.lineage, t.as_of, limit=5),
     "job_output_tables_fallback": output_tables,
     "table_name_parts": job_output_lists,
     "active_runs": lambda t: R.open_runs(t.runs),
@@ -358,6 +374,7 @@ CATALOGUE: dict[str, Callable[[SampleTables], DataFrame]] = {
     "read_health_rollup": lambda t: RU.read_health(stored(t, RU.HEALTH, wide_health(t)), 7),
     "read_health_rollup_30d": lambda t: RU.read_health(stored(t, RU.HEALTH, wide_health(t)), 30),
     "read_cost_rollup": stored_costs,
+    "read_cost_rollup_top": lambda t: stored_costs(t, 500),
     "read_alerts_rollup": stored_alerts,
     "read_duration_rollup": lambda t: RU.read_durations(
         stored(t, RU.HEALTH, wide_health(t)), J.jobs_of_team(t.jobs, TEAM)
@@ -393,8 +410,10 @@ CATALOGUE: dict[str, Callable[[SampleTables], DataFrame]] = {
     "utilization_label": utilization_labels,
     # joins
     "run_names": lambda t: J.with_job_names(t.runs.select(*JOB_KEY, "run_id"), t.jobs),
-    "cost_spikes": lambda t: C.cost_spikes(t.usage, t.jobs, t.as_of, limit=50),
+    "cost_spikes": lambda t: C.cost_spikes(t.usage, t.jobs, t.as_of),
+    "top_cost_spikes": lambda t: C.cost_spikes(t.usage, t.jobs, t.as_of, limit=50),
     "cost_spikes_daily_mean": lambda t: C.cost_spikes(t.usage, t.jobs, t.as_of, unit="daily_mean"),
+    "cost_spikes_daily_mean_long": lambda t: C.cost_spikes(t.long_usage, t.jobs, t.long_as_of, unit="daily_mean"),
     "run_dbu_rate": lambda t: U.run_dbu_rate(t.runs, t.usage, t.as_of),
     "run_dbu_rate_allocated": lambda t: U.run_dbu_rate(t.runs, t.usage, t.as_of, allocate=True),
     "zombie_jobs": lambda t: C.zombie_jobs(t.usage, t.runs, t.jobs, t.as_of),
@@ -404,6 +423,7 @@ CATALOGUE: dict[str, Callable[[SampleTables], DataFrame]] = {
         "condition_key", "acknowledged", "acknowledged_at"
     ),
     "cost_anomalies": anomalies,
+    "cost_anomalies_90d": lambda t: cost_anomalies(t.long_usage, t.long_runs, t.jobs, t.long_as_of, 90),
     "recent_runs_by_job": recent_lists,
     "active_with_history": active_history,
     # aggregations
@@ -411,6 +431,8 @@ CATALOGUE: dict[str, Callable[[SampleTables], DataFrame]] = {
         *JOB_KEY, "total_runs", "success_count", "failed_count", "open_runs", "last_run_time", "last_duration_seconds"
     ),
     "success_rate": lambda t: H.success_rates(t.runs, t.as_of),
+    "success_rate_90d": lambda t: H.success_rates(t.long_runs, t.long_as_of, 90),
+    "retry_counts_90d": lambda t: H.retry_counts_distinct(t.long_runs, t.long_as_of, 90),
     "retry_counts": lambda t: H.retry_counts(t.runs, t.as_of),
     "retry_counts_distinct": lambda t: H.retry_counts_distinct(t.runs, t.as_of),
     "duration_stats": lambda t: H.duration_stats(t.runs, t.as_of),
@@ -430,6 +452,9 @@ CATALOGUE: dict[str, Callable[[SampleTables], DataFrame]] = {
     "trend_cost_weekly": lambda t: TR.trend_cost(t.usage, t.as_of, 60),
     "trend_success": lambda t: TR.trend_success(t.runs, t.as_of, 7),
     "trend_success_weekly": lambda t: TR.trend_success(t.runs, t.as_of, 60),
+    "trend_cost_weekly_long": lambda t: TR.trend_cost(t.long_usage, t.long_as_of, 60),
+    "trend_success_weekly_long": lambda t: TR.trend_success(t.long_runs, t.long_as_of, 60),
+    "health_open_long": lambda t: H.run_stats(t.long_runs, t.long_as_of, 30).select(*JOB_KEY, "total_runs", "open_runs"),
     "trend_success_team": lambda t: TR.trend_success(t.runs, t.as_of, 14, t.jobs, TEAM),
     "trend_failures": lambda t: TR.trend_failures(t.runs, t.as_of, 14),
     "trend_headline": headlines,
@@ -476,6 +501,8 @@ CATALOGUE: dict[str, Callable[[SampleTables], DataFrame]] = {
     "job_health_30d": lambda t: health(t, 30),
     "job_details": details,
     "job_costs": costs,
+    "job_costs_7d": lambda t: C.job_costs(t.long_usage, t.jobs, t.long_as_of, 7, DBU_RATE),
+    "job_costs_90d": lambda t: C.job_costs(t.long_usage, t.jobs, t.long_as_of, 90, DBU_RATE),
     "failure_alerts": lambda t: A.failure_alerts(t.runs, t.jobs, t.as_of),
     "sla_alerts": lambda t: A.sla_alerts(t.active_runs, t.jobs, t.as_of_ts),
     "overprovision_alerts": lambda t: A.overprovision_alerts(t.runs, t.usage, t.jobs, t.as_of),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -28,11 +30,23 @@ def build(master: str | None = None, name: str = "runledger", **extra: str) -> S
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below the one the cluster names; a local one only where it names none."""
-    root = spark.conf.get(SHARED_FOLDER, None) or spark.sparkContext.getConf().get(SHARED_FOLDER)
+@functools.cache
+def _own_folder() -> str:
+    """A folder of this process, gone when it ends."""
+    folder = tempfile.mkdtemp(prefix="runledger-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def shared_folder(spark: SparkSession, root: str | None = None) -> str:
+    """A fresh folder below ``root``, or else the one the cluster names.
+
+    Where neither is given and all executors are threads of this process, a folder of the process
+    does, as in tests; on a cluster that is an error.
+    """
+    root = root or spark.conf.get(SHARED_FOLDER, None) or spark.sparkContext.getConf().get(SHARED_FOLDER)
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError(f"set {SHARED_FOLDER} to a folder that every executor can reach")
-        root = os.path.join(tempfile.gettempdir(), "runledger")
+        root = _own_folder()
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"

@@ -38,13 +38,14 @@ def read_presets(spark: SparkSession, location: str, fmt: str = "parquet") -> Da
 
 def job_usage(usage: DataFrame) -> DataFrame:
     """Flat usage rows of jobs. The BIGINT/STRING mismatch of job ids is settled here, once.
+    Ids that are no numbers belong to no job; ``unreadable_job_ids`` reports them.
 
     The key columns are required explicitly. Joins above would demand the same and push it
     down, which would make otherwise equal scans differ and keep their shuffles from being reused.
     """
     flat = usage.select(
         "workspace_id",
-        F.col("usage_metadata.job_id").cast("bigint").alias("job_id"),
+        F.col("usage_metadata.job_id").try_cast("bigint").alias("job_id"),
         "usage_date",
         "sku_name",
         "usage_quantity",
@@ -52,6 +53,13 @@ def job_usage(usage: DataFrame) -> DataFrame:
     return flat.filter("workspace_id IS NOT NULL AND job_id IS NOT NULL AND usage_date IS NOT NULL")
 
 
+def unreadable_job_ids(usage: DataFrame) -> DataFrame:
+    """Job ids of usage rows that are no numbers, with how many rows they have."""
+    text = F.col("usage_metadata.job_id")
+    broken = usage.filter(text.isNotNull() & text.try_cast("bigint").isNull())
+    return broken.groupBy("workspace_id", text.alias("job_id_text")).agg(F.count(F.lit(1)).alias("usage_rows"))
+
+
 def live_runs(feed: DataFrame, unknown_state: str = "UNKNOWN") -> DataFrame:
     """Live run feed with epoch milliseconds turned into timestamps; 0 means not set."""
     return feed.select(

@@ -15,9 +15,14 @@ from pyspark.sql import functions as F
 AS_OF = date(2024, 1, 31)
 AS_OF_TS = datetime(2024, 1, 31)
 
+# The second source holds several years and has rows on its check day.
+LONG_AS_OF = date(2001, 6, 30)
+
 _WORKSPACE = "CAST(1000 + user_id % 3 AS BIGINT)"
 _JOB = "CAST(FLOOR(user_id / 3) AS BIGINT)"
 _PROP = "CAST(regexp_extract(props,'([0-9]+)',1) AS INT)"
+_ORDERED = "o_orderdate + INTERVAL '1' SECOND * CAST(o_orderkey % 24 * 3600 AS INT)"
+_LASTED = "CAST(600 + o_orderkey % 7200 AS INT)"
 _SECONDS = "CAST(FLOOR(value * 60) + 600 AS INT)"
 
 
@@ -29,7 +34,8 @@ SELECT {_WORKSPACE} AS workspace_id, CAST(ts AS DATE) AS usage_date,
   CAST({sign}(CAST(value AS DECIMAL(12,2)) * CAST(CASE
     WHEN user_id % 13 = 0 AND ts >= TIMESTAMP '2024-01-29 00:00:00' THEN 2.0
     WHEN user_id % 9 = 0 THEN 0.005 ELSE 0.1 END AS DECIMAL(5,3))) AS DECIMAL(18,5)) AS usage_quantity,
-  CASE WHEN event_type = 'error' AND user_id % 4 = 0 THEN NULL ELSE CAST({_JOB} AS VARCHAR(20)) END AS job_id,
+  CASE WHEN event_type = 'error' AND user_id % 4 = 0 THEN NULL WHEN event_id % 97 = 0 THEN CONCAT('adhoc-', CAST(user_id % 5 AS VARCHAR(20)))
+    ELSE CAST({_JOB} AS VARCHAR(20)) END AS job_id,
   CONCAT('c-', regexp_extract(props,'([0-9]+)',1)) AS cluster_id
 FROM events{where}"""
 
@@ -53,7 +59,12 @@ SELECT {_WORKSPACE} AS workspace_id, {_JOB} AS job_id, event_id AS run_id, ts AS
 FROM events""",
     # Spikes in the last two days for every 13th user; every 20th row has an exact retraction.
     "usage": _usage_rows("", "") + "\nUNION ALL" + _usage_rows("-", " WHERE event_id % 20 = 0"),
-    # One to three versions, every 11th job deleted, some unusable budget texts.
+    # One to three versions, every 11th job deleted.
+    "job_versions": """
+SELECT c_custkey, c_mktsegment, 1 AS v FROM customer
+UNION ALL SELECT c_custkey, c_mktsegment, 2 FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT c_custkey, c_mktsegment, 3 FROM customer WHERE c_custkey % 11 = 0""",
+    # Some unusable budget texts.
     "jobs": """
 SELECT CAST(1000 + c_custkey % 3 AS BIGINT) AS workspace_id, CAST(FLOOR(c_custkey / 3) AS BIGINT) AS job_id,
   CONCAT(CASE c_custkey % 6 WHEN 0 THEN 'etl-stream-' WHEN 1 THEN 'prod-cdc-' WHEN 2 THEN 'dq-' WHEN 3 THEN 'ETL-'
@@ -67,8 +78,7 @@ SELECT CAST(1000 + c_custkey % 3 AS BIGINT) AS workspace_id, CAST(FLOOR(c_custke
   CASE v WHEN 1 THEN TIMESTAMP '2023-06-01 00:00:00' WHEN 2 THEN TIMESTAMP '2023-12-01 00:00:00'
     ELSE TIMESTAMP '2024-01-10 00:00:00' END AS change_time,
   CASE WHEN v = 3 THEN TIMESTAMP '2024-01-10 00:00:00' END AS delete_time
-FROM customer CROSS JOIN (SELECT 1 AS v UNION ALL SELECT 2 UNION ALL SELECT 3) vv
-WHERE v = 1 OR (v = 2 AND c_custkey % 2 = 0) OR (v = 3 AND c_custkey % 11 = 0)""",
+FROM job_versions""",
     "lineage": f"""
 SELECT {_WORKSPACE} AS workspace_id, 'JOB' AS entity_type, {_JOB} AS job_id,
   CASE WHEN {_PROP} % 10 = 9 THEN NULL
@@ -80,16 +90,37 @@ SELECT CONCAT('main.', event_type, '.u', CAST(user_id AS VARCHAR(20)), '_t', CAS
   CAST(ts AS DATE) AS snapshot_date, COUNT(*) AS row_count
 FROM events WHERE event_type IN ('purchase', 'view') GROUP BY 1, 2""",
     # Two versions per table: columns added, removed and retyped.
+    "column_positions": "\nUNION ALL ".join(f"SELECT c_custkey, {pos} AS pos, {ver} AS ver FROM customer" for ver in (1, 2) for pos in range(6)),
     "column_snapshots": """
 SELECT CONCAT('main.sales.t', CAST(c_custkey AS VARCHAR(20))) AS table_name, ver AS snapshot_version,
   CONCAT('c', CAST(pos AS VARCHAR(2))) AS column_name,
   CASE WHEN ver = 2 AND c_custkey % 3 = 0 AND pos = (c_custkey + 1) % 5 THEN 'BIGINT' ELSE 'STRING' END AS data_type,
   pos AS ordinal_position
-FROM customer CROSS JOIN (SELECT 0 AS pos UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3
-  UNION ALL SELECT 4 UNION ALL SELECT 5) pp
-CROSS JOIN (SELECT 1 AS ver UNION ALL SELECT 2) vv
+FROM column_positions
 WHERE (ver = 1 AND pos < 5 AND c_custkey % 10 <> 7)
   OR (ver = 2 AND ((pos < 5 AND NOT (c_custkey % 4 = 1 AND pos = c_custkey % 5)) OR (pos = 5 AND c_custkey % 2 = 0)))""",
+    # Several years of runs; every tenth run has an earlier period that ended without a state.
+    "long_runs": f"""
+SELECT CAST(1000 + o_custkey % 120 % 3 AS BIGINT) AS workspace_id, CAST(FLOOR(o_custkey % 120 / 3) AS BIGINT) AS job_id,
+  o_orderkey AS run_id, {_ORDERED} AS period_start_time,
+  CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE {_ORDERED} + INTERVAL '1' SECOND * {_LASTED} END AS period_end_time,
+  CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE {_LASTED} END AS run_duration_seconds,
+  CASE WHEN o_orderkey % 50 = 0 THEN NULL WHEN o_orderstatus = 'F' AND o_orderkey % 3 = 0 THEN 'FAILED' ELSE 'SUCCESS' END AS result_state,
+  CASE WHEN o_orderstatus = 'F' THEN 'RUN_TIMEOUT' END AS termination_code
+FROM orders
+UNION ALL
+SELECT CAST(1000 + o_custkey % 120 % 3 AS BIGINT), CAST(FLOOR(o_custkey % 120 / 3) AS BIGINT), o_orderkey,
+  {_ORDERED} - INTERVAL '1' SECOND * 600, {_ORDERED}, CAST(NULL AS INT), CAST(NULL AS VARCHAR(10)), CAST(NULL AS VARCHAR(20))
+FROM orders WHERE o_orderkey % 10 = 3""",
+    # Products come and go, some rows are taken back, and every 6th key spikes on one day.
+    "long_usage": """
+SELECT CAST(1000 + l_suppkey % 24 % 3 AS BIGINT) AS workspace_id, CAST(l_shipdate AS DATE) AS usage_date,
+  CASE l_linenumber % 3 WHEN 0 THEN 'JOBS_COMPUTE' WHEN 1 THEN 'SERVERLESS_SQL' ELSE 'ALL_PURPOSE_COMPUTE' END AS sku_name,
+  CAST(CAST(l_quantity AS DECIMAL(12,2)) * CAST(CASE WHEN l_returnflag = 'R' AND l_linenumber % 2 = 0 THEN -0.1
+    WHEN l_suppkey % 6 = 5 AND l_shipdate = TIMESTAMP '2001-06-29 00:00:00' THEN 90.0 ELSE 0.1 END AS DECIMAL(5,3)) AS DECIMAL(18,5)) AS usage_quantity,
+  CASE WHEN l_orderkey % 97 = 0 THEN 'adhoc' ELSE CAST(CAST(FLOOR(l_suppkey % 24 / 3) AS BIGINT) AS VARCHAR(20)) END AS job_id,
+  'c-1' AS cluster_id
+FROM lineitem""",
     # Two periods for every tenth run.
     "run_periods": """
 SELECT workspace_id, job_id, run_id, period_start_time, period_end_time, result_state FROM runs
@@ -129,18 +160,23 @@ RAW_TABLES = {
     "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
     "customer": "c_custkey long, c_mktsegment string",
     "supplier": "s_suppkey long, s_name string",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_shipdate timestamp_ntz",
 }
 
 
 def with_views(*names: str) -> str:
     """``WITH`` clause holding the named views and whatever they read."""
     needed: list[str] = []
-    for name in names:
-        for dependency in [d for d in VIEWS if re.search(rf"FROM {d}\b", VIEWS[name])]:
-            if dependency not in needed:
-                needed.append(dependency)
+
+    def visit(name: str) -> None:
+        for dependency in [d for d in VIEWS if d != name and re.search(rf"FROM {d}\b", VIEWS[name])]:
+            visit(dependency)
         if name not in needed:
             needed.append(name)
+
+    for name in names:
+        visit(name)
     return "WITH " + ",\n".join(f"{name} AS ({VIEWS[name]})" for name in needed) + "\n"
 
 
@@ -149,6 +185,7 @@ class SampleTables:
 
     as_of = AS_OF
     as_of_ts = AS_OF_TS
+    long_as_of = LONG_AS_OF
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -212,7 +249,18 @@ class SampleTables:
     @property
     def usage(self) -> DataFrame:
         """Usage rows with the nested metadata record."""
-        return self.view("usage").select(
+        return self._nested_usage("usage")
+
+    @property
+    def long_usage(self) -> DataFrame:
+        return self._nested_usage("long_usage")
+
+    @property
+    def long_runs(self) -> DataFrame:
+        return self.view("long_runs")
+
+    def _nested_usage(self, view: str) -> DataFrame:
+        return self.view(view).select(
             "workspace_id",
             "usage_date",
             "sku_name",

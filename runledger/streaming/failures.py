@@ -2,90 +2,64 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.keys import JOB_KEY
 from ..functions.states import is_failed, is_finished
+from . import state
 
-ORDER = ["started", "run_id"]
-ROW_SCHEMA = "workspace_id long, job_id long, run_id long, started long, state string, failed boolean"
-STATE_SCHEMA = (
-    "run_1 long, started_1 long, state_1 string, failed_1 boolean, "
-    "run_2 long, started_2 long, state_2 string, failed_2 boolean"
-)
-RESULT_SCHEMA = (
-    "workspace_id long, job_id long, last_state string, previous_state string, "
-    "last_failed boolean, consecutive_failure boolean"
-)
+STATE = "workspace_id long, job_id long, run_id long, period_start_time timestamp, state string, failed boolean"
 
 
-def _newest_two(rows: pd.DataFrame) -> pd.DataFrame:
-    return rows.sort_values(ORDER, kind="stable").groupby(JOB_KEY, sort=False).tail(2)
+def _newest_two(rows: DataFrame) -> DataFrame:
+    """The rank limit applies before the shuffle, so a job sends two rows per task at most."""
+    newest = Window.partitionBy(*JOB_KEY).orderBy(F.col("period_start_time").desc(), F.col("run_id").desc())
+    return rows.withColumn("rn", F.row_number().over(newest)).filter("rn <= 2")
 
 
-def _reduce_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """At most two rows per job leave a task, whatever share of the rows the job holds."""
-    kept: pd.DataFrame | None = None
-    for rows in batches:
-        kept = _newest_two(rows if kept is None else pd.concat([kept, rows]))
-    if kept is not None:
-        yield kept
-
-
-def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Merges new rows with the two newest runs held for the job.
-
-    Order of arrival does not matter: a late run takes its place by start time, and one older
-    than both held runs changes nothing.
-    """
-    newest: list[tuple] = []
-    if state.exists:
-        held = state.get
-        newest = [(held[1], held[0], held[2], held[3])]
-        if held[4] is not None:
-            newest.append((held[5], held[4], held[6], held[7]))
-    for rows in batches:
-        arrived = zip(rows["started"], rows["run_id"], rows["state"], rows["failed"], strict=True)
-        found = {(int(started), int(run_id)): (text, bool(failed)) for started, run_id, text, failed in arrived}
-        found.update({(run[0], run[1]): (run[2], run[3]) for run in newest})
-        newest = [(*run, *found[run]) for run in sorted(found, reverse=True)[:2]]
-    last = newest[0]
-    previous = newest[1] if len(newest) > 1 else (None, None, None, None)
-    state.update((last[1], last[0], last[2], last[3], previous[1], previous[0], previous[2], previous[3]))
-    yield pd.DataFrame(
-        {
-            "workspace_id": [key[0]],
-            "job_id": [key[1]],
-            "last_state": [last[2]],
-            "previous_state": [previous[2]],
-            "last_failed": [last[3]],
-            "consecutive_failure": [bool(last[3] and previous[3])],
-        }
+def last_states(rows: DataFrame) -> DataFrame:
+    """The last two states of each job, from at most two ranked runs per job."""
+    newest, second = F.col("rn") == 1, F.col("rn") == 2
+    return (
+        _newest_two(rows)
+        .groupBy(*JOB_KEY)
+        .agg(
+            F.max(F.when(newest, F.col("state"))).alias("last_state"),
+            F.max(F.when(second, F.col("state"))).alias("previous_state"),
+            F.max(newest & F.col("failed")).alias("last_failed"),
+            (F.max(newest & F.col("failed")) & F.max(second & F.col("failed"))).alias("consecutive_failure"),
+        )
     )
 
 
-def stream_consecutive_failures(runs: DataFrame) -> DataFrame:
-    """Updated last two states of every job touched by a batch.
+def consecutive_failures_of(path: str) -> Callable[[DataFrame, int], None]:
+    """Batch handler: emits the last two states of every job that a batch touches.
 
-    State is two runs per job. Rows are reduced to two per job and task before the shuffle.
+    Kept are two runs per job. Order of arrival does not matter: a late run takes its place by
+    start time, one older than both kept runs changes nothing, and a run that comes twice counts
+    once.
     """
-    finished = runs.filter(is_finished()).select(
-        *JOB_KEY,
-        "run_id",
-        F.unix_micros(F.col("period_start_time").cast("timestamp")).alias("started"),
-        F.upper("result_state").alias("state"),
-        is_failed().alias("failed"),
-    )
-    return (
-        finished.mapInPandas(_reduce_partition, ROW_SCHEMA)
-        .groupBy(*JOB_KEY)
-        .applyInPandasWithState(_update, RESULT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
-    )
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        arrived = batch.filter(is_finished()).select(
+            *JOB_KEY,
+            "run_id",
+            F.col("period_start_time").cast("timestamp").alias("period_start_time"),
+            F.upper("result_state").alias("state"),
+            is_failed().alias("failed"),
+        )
+        arrived = _newest_two(arrived.dropDuplicates([*JOB_KEY, "run_id", "period_start_time"])).drop("rn")
+        held = state.before(batch.sparkSession, path, batch_id, STATE)
+        both = arrived.unionByName(held).dropDuplicates([*JOB_KEY, "run_id", "period_start_time"])
+        kept = state.keep(_newest_two(both).drop("rn"), path, batch_id)
+        touched = arrived.select(*JOB_KEY).distinct()
+        fresh = last_states(kept.join(touched, JOB_KEY, "left_semi"))
+        state.emit(fresh.withColumn("written_at_batch", F.lit(batch_id).cast("long")), path, batch_id)
+
+    return handle
 
 
 def latest_per_job(written: DataFrame) -> DataFrame:

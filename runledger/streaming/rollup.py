@@ -5,67 +5,102 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import JOB_KEY
-from ..functions.timing import trailing
-from ..plans.health import job_health
+from ..functions.numbers import percent
+from ..functions.states import is_failed, is_finished, is_success, priority, traffic_light
+from ..operators.jobs import with_job_names
+from . import state
 
-# Jobs are spread over this many partitions; a batch rewrites only those it touches.
-BUCKETS = 32
-RUN_COLUMNS = [
-    *JOB_KEY, "run_id", "period_start_time", "period_end_time", "run_duration_seconds", "result_state",
-    "termination_code",
-]
+COUNTS = ["finished", "succeeded", "open"]
+RUN = "struct<started: timestamp_ntz, run_id: long, seconds: int, failed: boolean>"
+STATE = f"workspace_id long, job_id long, run_date date, finished long, succeeded long, open long, newest array<{RUN}>, as_of date"
 
 
-def job_bucket() -> Column:
-    return F.pmod(F.xxhash64(*JOB_KEY), F.lit(BUCKETS)).cast("int")
+def daily_parts(runs: DataFrame) -> DataFrame:
+    """Counts and the newest two finished runs of every (job, day): all that the rollup needs of it.
 
+    Both are reduced before the shuffle, the runs by a rank limit.
+    """
+    day = [*JOB_KEY, "run_date"]
+    dated = runs.withColumn("run_date", F.to_date("period_start_time"))
+    counts = dated.groupBy(*day).agg(
+        F.count_if(is_finished()).alias("finished"),
+        F.count_if(is_success()).alias("succeeded"),
+        F.count_if(F.col("period_end_time").isNull()).alias("open"),
+    )
+    run = F.struct(
+        F.col("period_start_time").cast("timestamp_ntz").alias("started"),
+        "run_id",
+        F.col("run_duration_seconds").cast("int").alias("seconds"),
+        is_failed().alias("failed"),
+    )
+    newest = Window.partitionBy(*day).orderBy(F.col("period_start_time").desc(), F.col("run_id").desc())
+    ranked = dated.filter(is_finished()).withColumn("rn", F.row_number().over(newest)).filter("rn <= 2")
+    lists = ranked.groupBy(*day).agg(F.sort_array(F.collect_list(run), asc=False).alias("newest"))
+    return counts.join(lists, day, "left").withColumn("newest", F.coalesce("newest", F.array().cast(f"array<{RUN}>")))
 
-def _swap(df: DataFrame, path: str, *partitions: str) -> None:
-    """Replaces exactly the partitions present in ``df``, so a repeated batch leaves the same rows.
 
-    Callers add a rebalance hint: small partitions are merged and large ones split while writing.
-    """
-    (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partitions)
-        .parquet(path)
+def merged(parts: DataFrame) -> DataFrame:
+    """Parts of the same (job, day) as one."""
+    return parts.groupBy(*JOB_KEY, "run_date").agg(
+        *[F.sum(c).alias(c) for c in COUNTS],
+        F.slice(F.sort_array(F.flatten(F.collect_list("newest")), asc=False), 1, 2).alias("newest"),
     )
 
 
-def _history(spark: SparkSession, path: str, as_of: date, days: int) -> DataFrame:
-    """Stored runs of the window; only its day folders are listed."""
-    window = ",".join(str(as_of - timedelta(days=back)) for back in range(days + 1))
-    return spark.read.option("basePath", path).parquet(f"{path}/run_date={{{window}}}")
+def health_of(parts: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The rollup from daily parts: at most a window of rows per job."""
+    per_job = parts.groupBy(*JOB_KEY).agg(
+        F.sum("finished").alias("total_runs"),
+        F.sum("succeeded").alias("success_count"),
+        F.sum("open").alias("open_runs"),
+        F.count_if(F.col("finished") > 0).alias("days"),
+        F.slice(F.sort_array(F.flatten(F.collect_list("newest")), asc=False), 1, 2).alias("newest"),
+    )
+    rate = percent(F.col("success_count"), F.col("total_runs"))
+    last, previous = F.get("newest", 0), F.get("newest", 1)
+    second = F.coalesce(previous.failed, F.lit(False))
+    return with_job_names(per_job.filter("total_runs > 0"), jobs).select(
+        *JOB_KEY,
+        "job_name",
+        "total_runs",
+        "success_count",
+        rate.alias("success_rate"),
+        last.started.alias("last_run_time"),
+        last.seconds.alias("last_duration_seconds"),
+        priority(last.failed, second, rate).alias("priority"),
+        traffic_light(rate).alias("status"),
+        (F.col("total_runs") - F.col("days")).alias("retry_count"),
+        "open_runs",
+    )
 
 
-def refresh_touched(jobs: DataFrame, as_of: date, path: str, days: int = 7) -> Callable[[DataFrame, int], None]:
-    """Batch handler: stores the new runs, then recomputes the buckets of jobs they fall into.
+def refresh_rollup(
+    jobs: DataFrame, path: str, days: int = 7, as_of: Callable[[date | None, date | None], date | None] | None = None
+) -> Callable[[DataFrame, int], None]:
+    """Batch handler: adds the daily parts of the new runs and writes the rollup anew.
 
-    Runs are stored by day and batch, so a refresh lists and reads the window's days only; rows
-    of untouched buckets are dropped in the scan, before any shuffle. The touched buckets are at
-    most ``BUCKETS`` integers.
+    The check day moves with the stream: it is the newest day seen so far, or what ``as_of`` makes
+    of the newest day of the batch and the check day before it. Kept are the parts of the window,
+    so a job without runs in it leaves the rollup, and a batch costs one pass over its own rows
+    and one over (jobs x days) parts, however many runs there were before.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        spark: SparkSession = batch.sparkSession
-        rows = batch.select(
-            *RUN_COLUMNS, F.to_date("period_start_time").alias("run_date"), F.lit(batch_id).alias("batch_id")
-        )
-        _swap(rows.hint("rebalance", "run_date"), f"{path}/history", "run_date", "batch_id")
-        mine = spark.read.parquet(f"{path}/history/run_date=*/batch_id={batch_id}")
-        current = mine.filter(trailing("period_start_time", as_of, days))
-        touched = [row.job_bucket for row in current.select(job_bucket().alias("job_bucket")).distinct().collect()]
-        if not touched:
+        held = state.before(batch.sparkSession, path, batch_id, STATE)
+        seen = batch.agg(F.max(F.to_date("period_start_time"))).first()[0]
+        previous = held.agg(F.max("as_of")).first()[0]
+        check_day = as_of(seen, previous) if as_of else max((d for d in (seen, previous) if d), default=None)
+        if check_day is None:
+            state.keep(held, path, batch_id)
             return
-        runs = _history(spark, f"{path}/history", as_of, days).filter(job_bucket().isin(touched))
-        fresh = job_health(runs.drop("run_date", "batch_id"), jobs, as_of, days)
-        _swap(fresh.withColumn("job_bucket", job_bucket()).hint("rebalance", "job_bucket"), f"{path}/health", "job_bucket")
+        window = F.col("run_date").between(F.lit(check_day - timedelta(days=days)), F.lit(check_day))
+        fresh = daily_parts(batch)
+        parts = merged(held.drop("as_of").unionByName(fresh)).withColumn("as_of", F.lit(check_day))
+        kept = state.keep(parts.filter(F.col("run_date") >= F.lit(check_day - timedelta(days=days))), path, batch_id)
+        health_of(kept.filter(window), jobs).write.mode("overwrite").parquet(f"{path}/health")
 
     return handle

@@ -1,17 +1,19 @@
-"""One alert per condition and day from a stream of failed runs."""
+"""One alert per condition and holding time from a stream of failed runs."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from datetime import timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import condition_key
 from ..functions.states import is_failed
+from . import state
 
-HOLD = "24 hours"
+HOLD = timedelta(hours=24)
+STATE = "condition_key string, passed_at timestamp"
 
 
 def failure_conditions(runs: DataFrame) -> DataFrame:
@@ -22,13 +24,41 @@ def failure_conditions(runs: DataFrame) -> DataFrame:
     )
 
 
-def _earliest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """First row per condition within each Arrow batch, so a hot condition shrinks before the shuffle."""
-    for rows in batches:
-        yield rows.sort_values("raised_at", kind="stable").drop_duplicates("condition_key")
+def passing(times: Column, last: Column, hold: timedelta) -> Column:
+    """Of sorted times those that lie at least ``hold`` after the last one passed before them."""
+    seconds = F.make_dt_interval(secs=F.lit(hold.total_seconds()))
 
+    def step(held: Column, time: Column) -> Column:
+        free = held.last.isNull() | (time >= held.last + seconds)
+        return F.struct(
+            F.when(free, time).otherwise(held.last).alias("last"),
+            F.when(free, F.concat(held.passed, F.array(time))).otherwise(held.passed).alias("passed"),
+        )
 
-def suppress_repeats(conditions: DataFrame, hold: str = HOLD) -> DataFrame:
-    """Passes a condition once and holds repeats back until ``hold`` has passed in event time."""
-    reduced = conditions.mapInPandas(_earliest, "condition_key string, raised_at timestamp")
-    return reduced.withWatermark("raised_at", hold).dropDuplicatesWithinWatermark(["condition_key"])
+    start = F.struct(last.alias("last"), F.array().cast("array<timestamp>").alias("passed"))
+    return F.aggregate(times, start, step)
+
+
+def suppress_repeats(path: str, hold: timedelta = HOLD) -> Callable[[DataFrame, int], None]:
+    """Batch handler: a condition passes if it was not passed within ``hold`` before, in event time.
+
+    The result does not depend on how the events are cut into batches, as long as they arrive in
+    the order of their times; an event older than one that has passed counts as its repeat. Kept
+    is one time per condition, and only while it can still hold something back. A condition's
+    distinct times of one batch meet in one row: at most one per microsecond, so a batch should
+    not span years.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        held = state.before(batch.sparkSession, path, batch_id, STATE)
+        times = batch.groupBy("condition_key").agg(F.array_sort(F.collect_set("raised_at")).alias("times"))
+        judged = times.join(held, "condition_key", "full").select(
+            "condition_key", passing(F.coalesce("times", F.array().cast("array<timestamp>")), F.col("passed_at"), hold).alias("x")
+        )
+        state.emit(judged.select("condition_key", F.explode("x.passed").alias("raised_at")), path, batch_id)
+        newest = batch.agg(F.max("raised_at").alias("newest"))
+        open_ = judged.select("condition_key", F.col("x.last").alias("passed_at")).join(newest)
+        still = F.col("newest").isNull() | (F.col("passed_at") > F.col("newest") - F.make_dt_interval(secs=F.lit(hold.total_seconds())))
+        state.keep(open_.filter(still).select("condition_key", "passed_at"), path, batch_id)
+
+    return handle

@@ -10,10 +10,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from oracles import checks
+from runledger import queries
 from tests.conftest import CHECKED
 
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+QUERIES = queries.queries()
+ORACLES = checks.oracle_sql()
 TYPES = {
     "bigint": "BIGINT",
     "int": "INTEGER",
@@ -46,6 +48,8 @@ def sorted_rows(rows):
 
 def test_every_query_has_a_check():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(ORACLES) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -11,6 +11,7 @@ from runledger.operators import cost as C
 from runledger.operators import trends as T
 from runledger.operators import utilization as U
 from runledger.plans.costs import cost_anomalies
+from runledger.sources import readers
 from tests.tables import AS_OF, by_job, job, jobs, run, runs, usage, used
 
 
@@ -68,8 +69,38 @@ def test_short_windows_keep_the_previous_week(spark):
     table = usage(spark, [used(1, 28, 30), used(1, 20, 20)])
     row = C.job_costs(table, jobs(spark, []), AS_OF, days=7).collect()[0]
     assert (row.total_dbus_30d, row.prev_7d_dbus, row.trend_7d_percent) == (30.0, 20.0, 50.0)
-    with pytest.raises(ValueError):
-        C.cost_trend(table, AS_OF, days=7)
+    assert [(r.current_7d_dbus, r.prev_7d_dbus) for r in C.cost_trend(table, AS_OF, days=7).collect()] == [(30.0, 20.0)]
+
+
+def test_a_product_that_nets_to_zero_over_two_weeks_keeps_its_weeks(spark):
+    table = usage(spark, [used(1, 28, -5), used(1, 20, 5), used(1, 29, 7, sku="SQL")])
+    row = C.job_costs(table, jobs(spark, []), AS_OF, days=7).collect()[0]
+    assert (row.total_dbus_30d, row.current_7d_dbus, row.prev_7d_dbus) == (2.0, 2.0, 5.0)
+
+
+def test_the_baseline_has_thirty_days_whatever_the_window(spark):
+    old = [used(1, day, 1000, month=12) for day in range(1, 20)]
+    old = [(ws, d.replace(year=2023), sku, q, m) for ws, d, sku, q, m in old]
+    table = usage(spark, [*old, *(used(1, day, 1) for day in range(5, 31))])
+    rows = [C.job_costs(table, jobs(spark, []), AS_OF, days=days).collect()[0] for days in (30, 90)]
+    assert {(r.baseline_p90_dbus, r.is_anomaly) for r in rows} == {(1.0, True)}
+
+
+def test_a_negative_week_is_no_spike(spark):
+    table = usage(spark, [used(1, day, -4) for day in range(10, 24)] + [used(1, 28, -1)])
+    assert [r.is_anomaly for r in C.job_costs(table, jobs(spark, []), AS_OF).collect()] == [False]
+
+
+def test_the_check_day_counts_in_the_mean(spark):
+    table = usage(spark, [used(1, day, 10) for day in range(24, 32)])
+    row = C.cost_spikes(table, None, AS_OF, factor=0.5, unit="daily_mean").collect()[0]
+    assert row.current_dbus == 10.0
+
+
+def test_job_ids_that_are_no_numbers_are_reported(spark):
+    table = usage(spark, [used(1, 28, 5), used("adhoc", 28, 5), used("adhoc", 29, 5), used(None, 29, 5)])
+    assert [(r.job_id_text, r.usage_rows) for r in readers.unreadable_job_ids(table).collect()] == [("adhoc", 2)]
+    assert [r.job_id for r in C.job_costs(table, jobs(spark, []), AS_OF).collect()] == [1]
 
 
 def test_spike_units(spark):

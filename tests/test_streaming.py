@@ -33,34 +33,44 @@ def arriving(small, tmp_path_factory):
 def test_last_states_do_not_depend_on_arrival(small, arriving, tmp_path):
     path = str(tmp_path)
     source = stream(small.spark, arriving, small.runs.schema)
-    runner.drain_batches(failures.stream_consecutive_failures(source), path, runner.write_batch(path), "update")
+    runner.drain_batches(source, path, failures.consecutive_failures_of(path))
     written = small.spark.read.parquet(f"{path}/rows")
     assert written.select("written_at_batch").distinct().count() > 1
     batch = consecutive_failures(small.runs, small.as_of, days=60)
     assert sorted(map(str, failures.latest_per_job(written).collect())) == sorted(map(str, batch.select(*failures.latest_per_job(written).columns).collect()))
 
 
+def stored_health(small, path):
+    return sorted(map(str, small.spark.read.parquet(f"{path}/health").collect()))
+
+
 def test_rollup_follows_the_stream(small, arriving, tmp_path):
     path = str(tmp_path)
     source = stream(small.spark, arriving, small.runs.schema)
-    handler = rollup.refresh_touched(small.jobs, small.as_of, path)
-    runner.drain_batches(source, path, handler)
-    live = job_health(small.runs, small.jobs, small.as_of)
-    stored = small.spark.read.parquet(f"{path}/health").select(*live.columns)
-    assert sorted(map(str, stored.collect())) == sorted(map(str, live.collect()))
+    runner.drain_batches(source, path, rollup.refresh_rollup(small.jobs, path, as_of=lambda seen, before: small.as_of))
+    assert stored_health(small, path) == sorted(map(str, job_health(small.runs, small.jobs, small.as_of).collect()))
 
 
 def test_a_repeated_batch_changes_nothing(small, tmp_path):
-    handler = rollup.refresh_touched(small.jobs, small.as_of, str(tmp_path))
+    handler = rollup.refresh_rollup(small.jobs, str(tmp_path), as_of=lambda seen, before: small.as_of)
+    live = sorted(map(str, job_health(small.runs, small.jobs, small.as_of).collect()))
     for _ in range(2):
         handler(small.runs, 0)
-    assert small.spark.read.parquet(f"{tmp_path}/history").count() == small.runs.count()
-    stored = small.spark.read.parquet(f"{tmp_path}/health")
-    assert stored.count() == job_health(small.runs, small.jobs, small.as_of).count()
+        assert stored_health(small, tmp_path) == live
     # neither an empty batch nor one before the window touches the rollup
     handler(small.runs.limit(0), 1)
     handler(small.runs.filter("period_start_time < DATE'2024-01-05'"), 2)
-    assert small.spark.read.parquet(f"{tmp_path}/health").count() == stored.count()
+    assert stored_health(small, tmp_path) == live
+
+
+def test_jobs_without_runs_leave_the_rollup(spark, small, tmp_path):
+    handler = rollup.refresh_rollup(small.jobs, str(tmp_path))
+    first = spark.createDataFrame([run(1, 1, "SUCCESS", day=9), run(2, 2, "FAILED", day=9)], RUN_SCHEMA)
+    handler(first, 0)
+    assert {r.job_id for r in spark.read.parquet(f"{tmp_path}/health").collect()} == {1, 2}
+    handler(spark.createDataFrame([run(2, 3, "SUCCESS", day=28)], RUN_SCHEMA), 1)
+    kept = spark.read.parquet(f"{tmp_path}/health").collect()
+    assert [(r.job_id, r.total_runs) for r in kept] == [(2, 1)]
 
 
 def test_hourly_counts_wait_for_the_watermark(spark, tmp_path):
@@ -82,18 +92,32 @@ def test_hourly_counts_wait_for_the_watermark(spark, tmp_path):
     }
 
 
-def test_repeats_are_held_back_for_a_day(spark, tmp_path):
+def passed(spark, path, batches):
+    """What passes if the events come in these batches."""
     schema = "condition_key string, raised_at timestamp"
+    handler = suppress.suppress_repeats(str(path))
+    for number, rows in enumerate(batches):
+        handler(spark.createDataFrame(rows, schema), number)
+    return sorted((r.condition_key, r.raised_at) for r in spark.read.parquet(f"{path}/rows").collect())
+
+
+def test_repeats_are_held_back_for_a_day(spark, tmp_path):
     first = datetime(2024, 1, 1, 12)
-    batches = [
-        [("a", first), ("a", first + timedelta(hours=1)), ("b", first)],
-        [("a", first + timedelta(hours=20))],
-        [("c", first + timedelta(days=3))],
-        [("a", first + timedelta(days=3, hours=1))],
-    ]
-    for rows in batches:
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-        runner.drain_append(suppress.suppress_repeats(source), f"{tmp_path}/out")
-    rows = spark.read.parquet(f"{tmp_path}/out/rows").collect()
-    assert sorted((r.condition_key, r.raised_at.day) for r in rows) == [("a", 1), ("a", 4), ("b", 1), ("c", 4)]
+    hours = {"a": [0, 1, 20, 24, 30, 47, 48, 90], "b": [0, 30, 60, 90], "c": [72]}
+    events = sorted(((c, first + timedelta(hours=h)) for c, at in hours.items() for h in at), key=lambda e: (e[1], e[0]))
+    want = [("a", 0), ("a", 24), ("a", 48), ("a", 90), ("b", 0), ("b", 30), ("b", 60), ("b", 90), ("c", 72)]
+    for parts in (1, 3, 10):
+        size = -(-len(events) // parts)
+        got = passed(spark, tmp_path / str(parts), [events[i : i + size] for i in range(0, len(events), size)])
+        assert got == [(c, first + timedelta(hours=h)) for c, h in want]
+
+
+def test_a_repeated_batch_passes_the_same(spark, tmp_path):
+    first = datetime(2024, 1, 1)
+    handler = suppress.suppress_repeats(str(tmp_path))
+    schema = "condition_key string, raised_at timestamp"
+    handler(spark.createDataFrame([("a", first)], schema), 0)
+    for _ in range(2):
+        handler(spark.createDataFrame([("a", first + timedelta(hours=25)), ("a", first + timedelta(hours=26))], schema), 1)
+    assert spark.read.parquet(f"{tmp_path}/rows").count() == 2
+    assert spark.read.parquet(f"{tmp_path}/state/slot=1").count() == 1
