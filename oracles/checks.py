@@ -251,6 +251,14 @@ UNION ALL SELECT 'alerts', (SELECT COUNT(*) FROM failure_alerts) + (SELECT COUNT
         "SELECT * FROM costs ORDER BY total_dbus_30d DESC, workspace_id, job_id LIMIT 500",
         "total_dbus_30d", "current_7d_dbus", "prev_7d_dbus", "baseline_p90_dbus", "total_cost_dollars",
     ),
+    "rollup_schema_evolution": rounded(
+        "SELECT * REPLACE (CASE WHEN workspace_id <> 1000 THEN trend_7d_percent END AS trend_7d_percent) FROM costs",
+        "total_dbus_30d", "current_7d_dbus", "prev_7d_dbus", "baseline_p90_dbus", "total_cost_dollars",
+    ),
+    "catalog_refresh": rounded(
+        "SELECT * FROM costs",
+        "total_dbus_30d", "current_7d_dbus", "prev_7d_dbus", "baseline_p90_dbus", "total_cost_dollars",
+    ),
     "read_alerts_rollup": """
 SELECT * FROM failure_alerts WHERE workspace_id = 1001 UNION ALL SELECT * FROM spike_alerts WHERE workspace_id = 1001""",
     "read_duration_rollup": rounded(
@@ -481,6 +489,9 @@ SELECT {KEY}, run_id, state, CASE state WHEN 'RUNNING' THEN 3 WHEN 'TERMINATING'
     "page_jobs": f"""
 SELECT {KEY}, priority, success_rate FROM health7 ORDER BY {PRIORITY_RANK.format(c='priority')}, success_rate, workspace_id, job_id
 LIMIT 50 OFFSET 50""",
+    "page_jobs_after": f"""
+SELECT {KEY}, priority, success_rate FROM health7 WHERE ({PRIORITY_RANK.format(c='priority')}, success_rate, workspace_id, job_id) > (3, 80.0, 1000, 0)
+ORDER BY {PRIORITY_RANK.format(c='priority')}, success_rate, workspace_id, job_id LIMIT 50""",
     "page_alerts": "SELECT condition_key, severity FROM feed ORDER BY severity, condition_key LIMIT 50",
     "page_info": 'SELECT COUNT(*) AS total, 2 AS "page", 50 AS page_size, COUNT(*) > 100 AS has_more FROM health7',
     "all_alerts": "SELECT * FROM all_alerts",

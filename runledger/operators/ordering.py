@@ -110,13 +110,32 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
     """Page ``number`` (from 1) of a total order, as a top-k followed by an offset.
 
     Every task keeps only its first ``number * size`` rows and no full sort takes place. Meant
-    for tables at job grain; to go far beyond the first pages, filter by the order's last key.
+    for first pages; ``page_after`` goes on from any row at the cost of a first page.
     """
     if number < 1 or size < 1:
         raise ValueError("page number and size start at 1")
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def health_keys() -> list[Column]:
+    """What ``health_order`` sorts by, ascending; none of it is NULL in a health table."""
+    return [rank_of(F.col("priority"), PRIORITY_ORDER), F.col("success_rate"), *[F.col(k) for k in JOB_KEY]]
+
+
+def page_after(df: DataFrame, keys: list[Column], last: list, size: int) -> DataFrame:
+    """The ``size`` rows that follow the one with the key values ``last`` in ascending order.
+
+    However deep the page, tasks drop what lies before it and keep ``size`` rows each.
+    """
+    if size < 1 or len(keys) != len(last):
+        raise ValueError("a page needs a size of at least 1 and one value per key")
+    after, same = F.lit(False), F.lit(True)
+    for key, value in zip(keys, last, strict=True):
+        after = after | (same & (key > F.lit(value)))
+        same = same & (key == F.lit(value))
+    return df.filter(after).orderBy(*keys).limit(size)
+
+
 def page_info(df: DataFrame, number: int, size: int) -> DataFrame:
     """Total rows, and whether anything follows the page."""
     return df.agg(F.count(F.lit(1)).alias("total")).select(

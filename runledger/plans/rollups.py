@@ -41,8 +41,10 @@ def build(runs: DataFrame, usage: DataFrame, jobs: DataFrame, as_of: date, refre
     return {name: with_refresh_time(df, refreshed_at) for name, df in tables.items()}
 
 
-def ensure_namespace(spark: SparkSession, namespace: str) -> None:
-    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {namespace}")
+def ensure_namespace(spark: SparkSession, namespace: str, location: str | None = None) -> None:
+    """``location`` keeps its tables out of the warehouse folder."""
+    place = "" if location is None else f" LOCATION '{location}'"
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {namespace}{place}")
 
 
 def refresh(tables: dict[str, DataFrame], base_path: str) -> dict[str, int]:
@@ -55,9 +57,11 @@ def refresh(tables: dict[str, DataFrame], base_path: str) -> dict[str, int]:
     return counts
 
 
-def refresh_tables(spark: SparkSession, tables: dict[str, DataFrame], namespace: str, fmt: str = "parquet") -> dict[str, int]:
+def refresh_tables(
+    spark: SparkSession, tables: dict[str, DataFrame], namespace: str, fmt: str = "parquet", location: str | None = None
+) -> dict[str, int]:
     """The same into catalog tables, creating the namespace first."""
-    ensure_namespace(spark, namespace)
+    ensure_namespace(spark, namespace, location)
     counts = {}
     for name, df in tables.items():
         seen = Observation(f"table_{name}")

@@ -306,6 +306,22 @@ def stored_costs(t: SampleTables, limit: int | None = None) -> DataFrame:
     return RU.read_cost(stored(t, RU.COST, costs(t)), limit)
 
 
+def evolved_costs(t: SampleTables) -> DataFrame:
+    """Rows of one workspace written before a column existed, the others with it."""
+    table = costs(t)
+    old = stored(t, RU.COST, table.filter("workspace_id = 1000").drop("trend_7d_percent"))
+    return RU.evolve(old, stored(t, RU.COST, table.filter("workspace_id <> 1000"))).select(*table.columns)
+
+
+def catalog_costs(t: SampleTables) -> DataFrame:
+    """The cost rollup by way of a catalog table that is refreshed twice."""
+    path = shared_folder(t.spark)
+    namespace = f"runledger_{path.rsplit('/', 1)[-1]}"
+    for table in (costs(t).limit(0), costs(t)):
+        RU.refresh_tables(t.spark, {RU.COST: table}, namespace, location=path)
+    return t.spark.read.table(f"{namespace}.{RU.COST}")
+
+
 def stored_alerts(t: SampleTables) -> DataFrame:
     table = stored(t, RU.ALERTS, RU.alerts_rollup(t.runs, t.usage, t.jobs, t.as_of))
     return RU.read_alerts(table, 1001)
@@ -375,6 +391,8 @@ CATALOGUE: dict[str, Callable[[SampleTables], DataFrame]] = {
     "read_health_rollup_30d": lambda t: RU.read_health(stored(t, RU.HEALTH, wide_health(t)), 30),
     "read_cost_rollup": stored_costs,
     "read_cost_rollup_top": lambda t: stored_costs(t, 500),
+    "rollup_schema_evolution": evolved_costs,
+    "catalog_refresh": catalog_costs,
     "read_alerts_rollup": stored_alerts,
     "read_duration_rollup": lambda t: RU.read_durations(
         stored(t, RU.HEALTH, wide_health(t)), J.jobs_of_team(t.jobs, TEAM)
@@ -481,6 +499,9 @@ CATALOGUE: dict[str, Callable[[SampleTables], DataFrame]] = {
     "sort_active": lambda t: O.sort_active(active_names(t)).select(*JOB_KEY, "run_id", "state", "sort_key"),
     "top_cost_jobs": lambda t: C.top_cost_jobs(costs(t), 100).select(*JOB_KEY, "job_name", "total_dbus_30d"),
     "page_jobs": lambda t: O.page(health(t), O.health_order(), 2, 50).select(*JOB_KEY, "priority", "success_rate"),
+    "page_jobs_after": lambda t: O.page_after(health(t), O.health_keys(), [3, 80.0, 1000, 0], 50).select(
+        *JOB_KEY, "priority", "success_rate"
+    ),
     "page_alerts": lambda t: O.page(feed(t), O.alert_order(), 1, 50).select("condition_key", "severity"),
     "page_info": lambda t: O.page_info(health(t), 2, 50),
     # set operations
