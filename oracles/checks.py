@@ -469,6 +469,10 @@ FROM (SELECT COUNT(*) AS total_jobs, COUNT(*) FILTER (WHERE priority = 'P1') AS
     FROM (SELECT condition_key FROM feed ORDER BY severity, condition_key LIMIT 5) x) r""",
     "latest_jobs": f"SELECT {KEY}, name, creator_user_name, change_time FROM latest",
     "consecutive_failures": LAST_STATES.format(window=f" AND {WEEK}"),
+    "recent_runs_30d": _long(f"""
+SELECT * FROM (SELECT {KEY}, run_id, period_start_time,
+  CAST(ROW_NUMBER() OVER (PARTITION BY {KEY} ORDER BY period_start_time DESC, run_id DESC) AS INTEGER) AS rn
+  FROM runs WHERE result_state IS NOT NULL AND {MONTH}) x WHERE rn <= 3"""),
     "recent_runs": f"""
 SELECT * FROM (SELECT {KEY}, run_id, period_start_time, result_state,
   CAST(ROW_NUMBER() OVER (PARTITION BY {KEY} ORDER BY period_start_time DESC, run_id DESC) AS INTEGER) AS rn FROM runs WHERE result_state IS NOT NULL) x

@@ -42,6 +42,22 @@ def join_jobs(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFram
     return left.join(right.hint("merge"), JOB_KEY, how)
 
 
+# Tasks over which the rows of one job are spread in joins of whole run tables.
+SPREAD = 16
+
+
+def join_spread(left: DataFrame, per_job: DataFrame, by: str, how: str = "left", parts: int = SPREAD) -> DataFrame:
+    """Join of many rows per job with one row per job, the rows of a job spread over ``parts`` tasks.
+
+    The adaptive skew rule does not split a join whose other side comes from a rank over its own
+    shuffle. So rows are dealt by ``by`` within a job, and the row of the job goes to each part.
+    """
+    part = "_part"
+    dealt = left.withColumn(part, F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
+    copied = per_job.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return dealt.join(copied, [*JOB_KEY, part], how).drop(part)
+
+
 def condition_key(category: str, suffix: str | Column) -> Column:
     """Stable identity of an alert condition, e.g. ``failure_1000_17_single``."""
     tail = F.lit(suffix) if isinstance(suffix, str) else suffix

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import JOB_KEY
+from ..functions.keys import JOB_KEY, join_spread
 from ..functions.wildcards import matches_any
 
 # Tag names.
@@ -67,19 +67,19 @@ def job_tags(jobs: DataFrame) -> DataFrame:
     )
 
 
-def with_job_names(df: DataFrame, jobs: DataFrame, team: bool = False) -> DataFrame:
+def with_job_names(df: DataFrame, jobs: DataFrame, team: bool = False, spread_by: str | None = None) -> DataFrame:
     """Adds ``job_name``, ``job-<id>`` where the job is unknown or deleted, and its team if asked.
 
-    No broadcast hint: the size of the job list decides, and beyond the threshold the
-    left side of a left join is split by the adaptive skew rule.
+    No broadcast hint: the size of the job list decides. For tables with many rows per job name a
+    column in ``spread_by`` that tells them apart, so that a hot job does not meet in one task.
     """
     columns = [F.col("name").alias("job_name")]
     if team:
         columns.append(tag_text(TEAM_TAG).alias("team"))
     fallback = F.concat(F.lit("job-"), F.col("job_id").cast("string"))
-    return df.join(latest_jobs(jobs).select(*JOB_KEY, *columns), JOB_KEY, "left").withColumn(
-        "job_name", F.coalesce(F.col("job_name"), fallback)
-    )
+    names = latest_jobs(jobs).select(*JOB_KEY, *columns)
+    joined = df.join(names, JOB_KEY, "left") if spread_by is None else join_spread(df, names, spread_by)
+    return joined.withColumn("job_name", F.coalesce(F.col("job_name"), fallback))
 
 
 def jobs_of_team(jobs: DataFrame, team: str) -> DataFrame:

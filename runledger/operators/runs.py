@@ -7,7 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import JOB_KEY
+from ..functions.keys import JOB_KEY, join_spread
 from ..functions.naming import is_streaming_name
 from ..functions.states import is_failed, is_finished, outcome
 from ..functions.timing import effective_seconds, elapsed_seconds, moment_like, trailing
@@ -49,9 +49,14 @@ def effective_durations(runs: DataFrame) -> DataFrame:
     )
 
 
-def runs_for_jobs(runs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Runs of the listed jobs; a semi join, so the list may be of any length."""
-    return runs.join(ids.select(*JOB_KEY), JOB_KEY, "left_semi")
+def within(runs: DataFrame, as_of: date | None, days: int | None) -> DataFrame:
+    """The runs of a window, or all runs where none is given."""
+    return runs if as_of is None or days is None else runs.filter(trailing("period_start_time", as_of, days))
+
+
+def runs_for_jobs(runs: DataFrame, ids: DataFrame, as_of: date | None = None, days: int | None = None) -> DataFrame:
+    """Runs of the listed jobs, of a window if given; a semi join, so the list may be of any length."""
+    return join_spread(within(runs, as_of, days), ids.select(*JOB_KEY).distinct(), "run_id", "left_semi")
 
 
 def run_spans(periods: DataFrame, as_of: date, days: int = 30) -> DataFrame:
@@ -70,12 +75,15 @@ def run_spans(periods: DataFrame, as_of: date, days: int = 30) -> DataFrame:
     )
 
 
-def recent_runs(runs: DataFrame, limit: int, finished_only: bool = True) -> DataFrame:
-    """Latest ``limit`` runs of every job, numbered from 1.
+def recent_runs(
+    runs: DataFrame, limit: int, finished_only: bool = True, as_of: date | None = None, days: int | None = None
+) -> DataFrame:
+    """Latest ``limit`` runs of every job, numbered from 1, of a window if given.
 
     The rank filter is applied before the shuffle as well, so a job with a third of all
     runs sends at most ``limit`` rows per task.
     """
+    runs = within(runs, as_of, days)
     source = runs.filter(is_finished()) if finished_only else runs
     return source.withColumn("rn", F.row_number().over(newest_first())).filter(F.col("rn") <= limit)
 
@@ -195,15 +203,17 @@ def long_running(active: DataFrame, jobs: DataFrame, as_of_ts: datetime) -> Data
     )
 
 
-def active_with_history(active: DataFrame, runs: DataFrame, limit: int = 5) -> DataFrame:
-    """Active runs, each with the latest finished runs of its job.
+def active_with_history(
+    active: DataFrame, runs: DataFrame, limit: int = 5, as_of: date | None = None, days: int | None = None
+) -> DataFrame:
+    """Active runs, each with the latest finished runs of its job, of a window if given.
 
     Histories are built only for jobs that are active: the run table is reduced by a semi
     join before it is ranked.
     """
     ids = active.select(*JOB_KEY).distinct()
     history = (
-        recent_runs(runs_for_jobs(runs.filter(is_finished()), ids), limit)
+        recent_runs(runs_for_jobs(runs.filter(is_finished()), ids, as_of, days), limit)
         .groupBy(*JOB_KEY)
         .agg(F.sort_array(F.collect_list(F.struct("rn", "run_id", "result_state"))).alias("recent_runs"))
     )

@@ -189,7 +189,7 @@ def recent_lists(t: SampleTables) -> DataFrame:
 
 def active_history(t: SampleTables) -> DataFrame:
     text = list_text(F.col("recent_runs"), lambda r: F.concat_ws(":", r.run_id.cast("string"), r.result_state))
-    return R.active_with_history(t.active_runs, t.runs).select(
+    return R.active_with_history(t.active_runs, t.runs, as_of=t.as_of, days=30).select(
         *JOB_KEY, "run_id", "state", "start_time", text.alias("recent_runs")
     )
 
@@ -422,12 +422,12 @@ CATALOGUE: dict[str, Callable[[SampleTables], DataFrame]] = {
     "sku_category": sku_categories,
     "streaming_jobs": streaming_jobs,
     "long_running": lambda t: R.long_running(t.active_runs, t.jobs, t.as_of_ts),
-    "runs_for_jobs": lambda t: R.runs_for_jobs(t.runs, J.jobs_of_team(t.jobs, TEAM)).select(*JOB_KEY, "run_id"),
+    "runs_for_jobs": lambda t: R.runs_for_jobs(t.runs, J.jobs_of_team(t.jobs, TEAM), t.as_of, 30).select(*JOB_KEY, "run_id"),
     "duration_anomalies": lambda t: H.duration_anomalies(t.runs, t.as_of),
     "apply_presets": lambda t: FL.apply_presets(t.presets, t.jobs, t.as_of),
     "utilization_label": utilization_labels,
     # joins
-    "run_names": lambda t: J.with_job_names(t.runs.select(*JOB_KEY, "run_id"), t.jobs),
+    "run_names": lambda t: J.with_job_names(t.runs.select(*JOB_KEY, "run_id"), t.jobs, spread_by="run_id"),
     "cost_spikes": lambda t: C.cost_spikes(t.usage, t.jobs, t.as_of),
     "top_cost_spikes": lambda t: C.cost_spikes(t.usage, t.jobs, t.as_of, limit=50),
     "cost_spikes_daily_mean": lambda t: C.cost_spikes(t.usage, t.jobs, t.as_of, unit="daily_mean"),
@@ -488,6 +488,9 @@ CATALOGUE: dict[str, Callable[[SampleTables], DataFrame]] = {
     # ranking
     "latest_jobs": lambda t: J.latest_jobs(t.jobs).select(*JOB_KEY, "name", "creator_user_name", "change_time"),
     "consecutive_failures": lambda t: R.consecutive_failures(t.runs, t.as_of),
+    "recent_runs_30d": lambda t: R.recent_runs(t.long_runs, 3, as_of=t.long_as_of, days=30).select(
+        *JOB_KEY, "run_id", "period_start_time", "rn"
+    ),
     "recent_runs": lambda t: R.recent_runs(t.runs, 10).select(*JOB_KEY, "run_id", "period_start_time", "result_state", "rn"),
     # order, top-k, pages
     "health_ordered": health_by_priority,

@@ -16,7 +16,7 @@ from runledger.plans.alert_feed import alert_feed
 from runledger.plans.health import health_rollup, job_health
 from runledger.plans.reports import dashboard
 from runledger.sources import readers
-from tests.tables import AS_OF
+from tests.tables import AS_OF, JOB_SCHEMA
 
 
 def plan(df):
@@ -135,3 +135,25 @@ def test_trailing_window_prunes_date_partitions(spark, tmp_path):
     df = spark.read.parquet(f"{tmp_path}/p").filter(trailing("usage_date", AS_OF, 7))
     assert "PartitionFilters: [isnotnull(usage_date" in plan(df)
     assert df.count() == 8
+
+
+def test_a_hot_job_is_spread_in_run_level_joins(spark):
+    runs = spark.range(2000).select(
+        F.lit(1).cast("long").alias("workspace_id"), F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id")).cast("long").alias("job_id"),
+        F.col("id").alias("run_id"),
+    )
+    versions = spark.createDataFrame([(1, n, f"n{n}", {}, "u", None, None) for n in range(50)], JOB_SCHEMA)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        for found in (J.with_job_names(runs, versions, spread_by="run_id"), R.runs_for_jobs(runs, versions)):
+            assert "_part" in plan(found).split("Exchange hashpartitioning", 1)[1]
+            sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+            assert max(sizes) < 0.6 * sum(sizes)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert J.with_job_names(runs, versions, spread_by="run_id").count() == 2000
+    assert R.runs_for_jobs(runs, versions).count() == 1025
