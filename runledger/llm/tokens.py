@@ -15,16 +15,19 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Words whose ids are kept per Python worker; when full the memory starts anew.
-KEPT_WORDS = 400_000
+#: Words, and stems, whose ids are kept per Python worker. When as many are known they become the older half of the
+#: memory, from which words in use are taken over, and what was the older half is forgotten.
+KEPT_WORDS = 500_000
 #: Words encoded in one go, and characters of the texts handled together.
-WORDS_AT_ONCE, CHARACTERS = 2000, 1 << 20
+WORDS_AT_ONCE, CHARACTERS = 2000, 2 << 20
 _TAIL = ".,!?;:"
 #: Letters whose lower case does not depend on their place in a word.
 _SIMPLE = re.compile(r"[\x00-\u012f\u0131-\u024f]*")
 _MARKS = "\u00a7\u00b6\u2020\u2022\u00a9"
-_ODD_SPACE = re.compile(r"[^\S \n\r\t]|[\x1c-\x1f\x85]")
-_ODD_FOR_BYTES = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|  ")
+#: White space other than blanks and line breaks.
+_RARE = "\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_ODD_SPACE = re.compile(f"[{_RARE}]")
+_ODD_FOR_BYTES = re.compile(f"[\t\r{_RARE}]")
 
 
 def tokenizer_path(name: str) -> str:
@@ -47,7 +50,9 @@ class Encoder:
         self.mark = single[0] if single else ""
         self.mark_id = int(self._ids(" " + self.mark)[0]) if single else -1
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
+        self.older_stems: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -71,6 +76,9 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Takes the ids of new words into the memory."""
+        again = {w: self.older[w] for w in new if w in self.older}
+        self.known.update(again)
+        new = [w for w in new if w not in again]
         single = [w for w in new if w.isalnum()]
         keys = [" " + w for w in single] if self.spaced else [w.lower() if _SIMPLE.fullmatch(w) else w for w in single]
         composed = [w for w in new if not w.isalnum()]
@@ -78,9 +86,13 @@ class Encoder:
         wanted = set(keys).union(*pieces)
         stems = [p for p in wanted if p not in self.stems]
         if len(self.stems) + len(stems) > KEPT_WORDS:
-            self.stems.clear()
+            self.older_stems, self.stems = self.stems, {}
             stems = list(wanted)
-        plain = [p for p in stems if self.mark and p[p[:1] == " " :][:1].isalnum() and self.mark not in p and p[-1].isalnum()]
+        again = {p: self.older_stems[p] for p in stems if p in self.older_stems}
+        self.stems.update(again)
+        stems = [p for p in stems if p not in again]
+        # A mark and what follows it are apart if a space or a letter follows.
+        plain = [p for p in stems if self.mark and self.mark not in p and (not self.spaced or p[0].isalnum() or (p[0] == " " and p[1:].strip()))]
         for at in range(0, len(plain), WORDS_AT_ONCE):
             some = plain[at : at + WORDS_AT_ONCE]
             text = f" {self.mark}".join(some) if self.spaced else f" {self.mark} ".join(some)
@@ -98,7 +110,7 @@ class Encoder:
     def _split(self, text: str) -> tuple[bytes, list[str]]:
         """Ids of what comes before the words, and the words."""
         if self.spaced:
-            if _ODD_FOR_BYTES.search(text) or text[-1:] == " ":
+            if text[-1:] == " " or "  " in text or _ODD_FOR_BYTES.search(text):
                 return self._ids(text).tobytes(), []
             first, *words = text.split(" ")
             return self._ids(first).tobytes() if first else b"", words
@@ -118,10 +130,11 @@ class Encoder:
             words = set().union(*(w for _, w in parts))
             new = [w for w in words if w not in self.known]
             if len(self.known) + len(new) > KEPT_WORDS:
-                self.known.clear()
+                self.older, self.known = self.known, {}
                 new = list(words)
             self._learn(new)
-            find = self.known.__getitem__
+            known = self.known
+            find = {w: known[w] for w in words}.__getitem__  # small enough to stay near the processor
             for head, own in parts:
                 yield head + b"".join(map(find, own))
             first = last
