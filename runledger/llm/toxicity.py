@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from runledger.llm import arrays
 from runledger.llm.storage import plain_documents, stored
 
-#: Labelled rows per class that the classifier is fitted on, at most, and terms of its vocabulary.
-EXAMPLES, VOCABULARY = 8000, 2048
+#: Labelled rows per class that the classifier is fitted on, terms of its vocabulary, and examples whose leave-one-out
+#: votes calibrate it, at most.
+EXAMPLES, VOCABULARY, CALIBRATION = 4000, 2048, 1000
 STEMS = (4, 5, 6)
 #: Standard errors by which a term must lean to toxic examples, and examples that must have it.
 SIGNIFICANT, SEEN = 5.0, 5
@@ -146,19 +147,21 @@ class Index:
         """The k nearest examples with a cosine above 0; ties go to the earlier slot. without: a slot to leave out."""
         bound = weights @ self.most[terms]
         blocks = np.argsort(-bound, kind="stable")
-        found, cosines, kth, at = np.zeros(0, np.int64), np.zeros(0), 0.0, 0
+        found, cosines, kth, at, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 4
         while at < len(blocks) and bound[blocks[at]] > 0 and (len(found) < k or bound[blocks[at]] >= kth - 1e-9):
-            chunk = blocks[at : at + 4]
+            chunk = blocks[at : at + step]
             cells = (terms[:, None] * self.n_blocks + chunk[None, :]).ravel()
             sizes = self.begin[cells + 1] - self.begin[cells]
             posts = arrays.ranges(self.begin[cells], sizes)
-            slots, inverse = np.unique(self.example[posts], return_inverse=True)
-            scores = np.bincount(inverse, weights=self.weight[posts] * np.repeat(np.repeat(weights, len(chunk)), sizes), minlength=len(slots))
+            within = np.repeat(np.tile(np.arange(len(chunk)) * BLOCK, len(terms)), sizes) + self.example[posts] % BLOCK
+            sums = np.bincount(within, weights=self.weight[posts] * np.repeat(np.repeat(weights, len(chunk)), sizes), minlength=len(chunk) * BLOCK)
+            hit = np.flatnonzero(sums)
+            slots, scores = chunk[hit // BLOCK] * BLOCK + hit % BLOCK, sums[hit]
             if without >= 0:
                 slots, scores = slots[slots != without], scores[slots != without]
             found, cosines = np.concatenate([found, slots]), np.concatenate([cosines, scores])
             best = np.lexsort((found, -np.round(cosines, 9)))[:k]
-            found, cosines, at = found[best], cosines[best], at + len(chunk)
+            found, cosines, at, step = found[best], cosines[best], at + len(chunk), 2 * step
             kth = cosines[-1] if len(cosines) == k else 0.0
         return Hits(found, np.minimum(cosines, 1.0))
 
@@ -202,10 +205,12 @@ class Model:
         """Isotonic regression of the labels on leave-one-out votes, by pooling neighbours out of order."""
         if not len(self.label):
             return
-        votes = np.array([self.vote(self.index.nearest(t, w, NEIGHBOURS, without=slot)) for slot, (t, w) in enumerate(vectors)])
+        some = np.arange(0, len(vectors), -(-len(vectors) // CALIBRATION))
+        votes = np.array([self.vote(self.index.nearest(*vectors[slot], NEIGHBOURS, without=slot)) for slot in some])
         pools: list[list[float]] = []  # first vote, last vote, weight, weight of label 1
         for i in np.argsort(votes, kind="stable"):
-            pools.append([votes[i], votes[i], self.stands[i], self.stands[i] * self.label[i]])
+            weight = self.stands[some[i]]
+            pools.append([votes[i], votes[i], weight, weight * self.label[some[i]]])
             while len(pools) > 1 and (pools[-2][3] / pools[-2][2] >= pools[-1][3] / pools[-1][2] or pools[-2][1] == pools[-1][0]):
                 last = pools.pop()
                 pools[-1] = [pools[-1][0], last[1], pools[-1][2] + last[2], pools[-1][3] + last[3]]
