@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from runledger.llm import arrays
-from runledger.llm.storage import plain_documents, stored
+from runledger.llm.storage import plain_documents, stored, with_least
 
 WINDOW, ANCHOR = 50, 16
 #: Stands for a null doc_id inside the operator.
@@ -149,8 +149,8 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _representatives(described: DataFrame, window: int) -> DataFrame:
     """One row for each sequence of words: that of the smallest doc_id."""
-    first = described.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("doc_id").alias("first_id"))
-    return described.where(F.col("n_words") >= window).join(first, "sha").withColumn("copy", F.col("doc_id") > F.col("first_id"))
+    long_enough = described.where(F.col("n_words") >= window)
+    return with_least(long_enough, ["sha"], "doc_id", "first_id").withColumn("copy", F.col("doc_id") > F.col("first_id"))
 
 
 def _graph(places: DataFrame) -> DataFrame:

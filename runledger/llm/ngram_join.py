@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from runledger.llm import arrays
-from runledger.llm.storage import plain_documents, stored
+from runledger.llm.storage import plain_documents, stored, with_least
 
 #: Members of a group whose shingles are united, and queries that a task compares with it, about.
 GROUP, QUERIES = 32, 2000
@@ -263,9 +263,7 @@ def _equal_parts(described: DataFrame, similarity: Fraction) -> Column:
 def _links(texts: DataFrame, described: DataFrame, k: int, similarity: Fraction, group: int) -> DataFrame:
     """doc_id and component_id of the documents that have links."""
     full = described.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    same = ["n_shingles", "sum_a", "sum_b"]
-    first = full.groupBy(*same).agg(F.min("doc_id").alias("first_id"))
-    member = stored(full.join(first, same).select("doc_id", "digest", "n_shingles", "first_id", "keys"))
+    member = stored(with_least(full, ["n_shingles", "sum_a", "sum_b"], "doc_id", "first_id").select("doc_id", "digest", "n_shingles", "first_id", "keys"))
     chosen = member.where("doc_id = first_id").dropDuplicates(["doc_id", "digest"])
 
     # Sets that meet others, and the smallest document they meet.

@@ -28,7 +28,7 @@ from runledger.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
 #: Pieces ranked together.
-BLOCK_ROWS = 100_000
+BLOCK_ROWS = 10_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 

@@ -23,6 +23,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def with_least(frame: DataFrame, keys: list[str], value: str, name: str, parts: int = 64) -> DataFrame:
+    """Adds the least value among the rows of equal keys. Rows of a hot key stay dealt over parts: only one row of each
+    part is joined with the least of all."""
+    dealt = frame.withColumn("_part", F.pmod(F.xxhash64(value), F.lit(parts)))
+    per_part = dealt.groupBy(*keys, "_part").agg(F.min(value).alias("_least"))
+    least = per_part.groupBy(*keys).agg(F.min("_least").alias(name))
+    return dealt.join(per_part.join(least, keys).select(*keys, "_part", name), [*keys, "_part"]).drop("_part")
+
+
 def plain_documents(docs: DataFrame) -> DataFrame:
     """doc_id and text of each row, whatever other columns there are."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
