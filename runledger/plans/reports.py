@@ -74,13 +74,9 @@ def report_weekly_teams(teams: DataFrame) -> DataFrame:
 
 def report_weekly(costs: DataFrame, anomalies: DataFrame, limit: int = 10) -> DataFrame:
     """Rows of the weekly report by section: spikes with their factor, zombies, top jobs."""
-    spikes = anomalies.filter("anomaly_type = 'cost_spike'").select(
-        F.lit("spike").alias("section"), *JOB_KEY, "job_name", F.col("current_dbus").alias("dbus"),
-        F.col("multiplier").alias("factor"),
-    )
-    zombies = anomalies.filter("anomaly_type = 'zombie'").select(
-        F.lit("zombie").alias("section"), *JOB_KEY, "job_name", F.col("current_dbus").alias("dbus"),
-        F.lit(None).cast("double").alias("factor"),
+    section = F.when(F.col("anomaly_type") == "cost_spike", "spike").otherwise(F.col("anomaly_type"))
+    found = anomalies.select(
+        section.alias("section"), *JOB_KEY, "job_name", F.col("current_dbus").alias("dbus"), F.col("multiplier").alias("factor")
     )
     top = (
         costs.orderBy(F.col("total_dbus_30d").desc(), *JOB_KEY)
@@ -90,7 +86,7 @@ def report_weekly(costs: DataFrame, anomalies: DataFrame, limit: int = 10) -> Da
             F.lit(None).cast("double").alias("factor"),
         )
     )
-    return spikes.unionByName(zombies).unionByName(top)
+    return found.unionByName(top)
 
 
 def report_monthly(health: DataFrame, costs: DataFrame, dbu_rate: float = 0.0) -> DataFrame:
