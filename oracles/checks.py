@@ -203,6 +203,13 @@ def _count_text(n: str) -> str:
 PRESET_RANGE = """CASE WHEN time_range = 'custom' AND start_date IS NOT NULL THEN CAST(start_date AS DATE)
     ELSE CAST(COALESCE(CAST(end_date AS DATE), DATE '2024-01-31') - CASE time_range WHEN '30d' THEN 30 WHEN '90d' THEN 90 ELSE 7 END AS DATE) END"""
 
+PRESET_JOBS = f"""
+SELECT p.id AS preset_id, j.workspace_id, j.job_id, j.name AS job_name, {PRESET_RANGE} AS range_start,
+  COALESCE(CAST(p.end_date AS DATE), DATE '2024-01-31') AS range_end
+FROM presets p JOIN tags j ON (p.team IS NULL OR p.team = j.team) AND (p.job_id IS NULL OR p.job_id = CAST(j.job_id AS VARCHAR))
+  AND (p.job_name_patterns = '' OR EXISTS (SELECT 1 FROM (SELECT UNNEST(string_split(p.job_name_patterns, ',')) AS pattern) u
+    WHERE j.name ILIKE REPLACE(REPLACE(REPLACE(pattern, '_', '\\_'), '*', '%'), '?', '_') ESCAPE '\\'))"""
+
 BODIES: dict[str, str] = {
     "list_runs": f"""
 SELECT {KEY}, run_id, period_start_time, period_end_time, run_duration_seconds, result_state FROM runs WHERE {WEEK}
@@ -319,12 +326,8 @@ FROM (SELECT {KEY}, run_id, job_name, date_sub('second', start_time, TIMESTAMP '
 FROM effective JOIN stats_effective USING ({KEY}) WHERE median_duration_seconds > 0 AND s > 2 * median_duration_seconds""",
         "baseline_median_seconds",
     ),
-    "apply_presets": f"""
-SELECT p.id AS preset_id, j.workspace_id, j.job_id, j.name AS job_name, {PRESET_RANGE} AS range_start,
-  COALESCE(CAST(p.end_date AS DATE), DATE '2024-01-31') AS range_end
-FROM presets p JOIN tags j ON (p.team IS NULL OR p.team = j.team) AND (p.job_id IS NULL OR p.job_id = CAST(j.job_id AS VARCHAR))
-  AND (p.job_name_patterns = '' OR EXISTS (SELECT 1 FROM (SELECT UNNEST(string_split(p.job_name_patterns, ',')) AS pattern) u
-    WHERE j.name ILIKE REPLACE(REPLACE(REPLACE(pattern, '_', '\\_'), '*', '%'), '?', '_') ESCAPE '\\'))""",
+    "apply_presets": PRESET_JOBS,
+    "apply_chosen_presets": PRESET_JOBS + " WHERE p.id IN ('1', '2', '4', '10')",
     "utilization_label": f"""
 SELECT {KEY}, w AS worker_cpu_percent, CASE WHEN w IS NULL THEN 'No data' WHEN w >= 60 THEN 'Efficient' WHEN w >= 40 THEN 'Fair'
   ELSE 'Low' END AS label FROM cluster_rows""",

@@ -34,11 +34,9 @@ def pattern_list(text: Column) -> Column:
     return F.filter(pieces, lambda p: p != "")
 
 
-def column_regex(pattern: Column) -> Column:
-    """The same translation for a pattern held in a column."""
-    quoted = F.regexp_replace(pattern, r"([\\.+^${}()|\[\]])", r"\\$1")
-    body = F.regexp_replace(F.regexp_replace(quoted, r"\*", ".*"), r"\?", ".")
-    return F.concat(F.lit(r"(?i)\A(?:"), body, F.lit(r")\z"))
+def column_like(pattern: Column) -> Column:
+    """The ``ILIKE`` form of a pattern held in a column."""
+    return F.translate(F.regexp_replace(pattern, r"([%_\\])", r"\\$1"), "*?", "%_")
 
 
 def validation_message(pattern: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import JOB_KEY
 from ..functions.timing import moment_like
-from ..functions.wildcards import column_regex, pattern_list, validation_message
+from ..functions.wildcards import column_like, pattern_list, validation_message
 from .jobs import TEAM_TAG, latest_jobs, tag_text
 
 # Named time ranges in days; anything else counts as 7.
@@ -96,7 +96,7 @@ def matching_names(patterns: DataFrame, names: DataFrame) -> DataFrame:
     pattern = F.col("pattern")
     wanted = patterns.select(
         "pattern",
-        column_regex(pattern).alias("regex"),
+        column_like(pattern).alias("like"),
         F.coalesce(_pattern_gram(pattern), F.lit("*")).alias("block"),
         _all_salts().alias("salt"),
     )
@@ -104,19 +104,20 @@ def matching_names(patterns: DataFrame, names: DataFrame) -> DataFrame:
     offered = names.select("job_name", _salt("job_name").alias("salt"), F.explode(blocks).alias("block"))
     return (
         offered.join(wanted, ["block", "salt"])
-        .filter(F.rlike(F.col("job_name"), F.col("regex")))
+        .filter(F.ilike(F.col("job_name"), F.col("like")))
         .select("pattern", "job_name")
     )
 
 
-def apply_presets(presets: DataFrame, jobs: DataFrame, as_of: date) -> DataFrame:
-    """Jobs selected by every preset: its team, its job and any of its name patterns.
+def apply_presets(presets: DataFrame, jobs: DataFrame, as_of: date, ids: list[str] | None = None) -> DataFrame:
+    """Jobs selected by every preset, or by those named in ``ids``: its team, its job and any of its name patterns.
 
     Patterns are matched once per distinct pattern and name, then joined back; a preset without
     patterns meets the jobs of its team or its job, or all jobs, in salted blocks. Every join is
     an equi-join.
     """
-    wanted = preset_ranges(presets, as_of).select(
+    chosen = presets if ids is None else presets.filter(F.col("id").isin(ids))
+    wanted = preset_ranges(chosen, as_of).select(
         F.col("id").alias("preset_id"),
         F.col("team").alias("preset_team"),
         F.col("job_id").alias("preset_job"),

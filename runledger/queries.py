@@ -425,6 +425,7 @@ CATALOGUE: dict[str, Callable[[SampleTables], DataFrame]] = {
     "runs_for_jobs": lambda t: R.runs_for_jobs(t.runs, J.jobs_of_team(t.jobs, TEAM), t.as_of, 30).select(*JOB_KEY, "run_id"),
     "duration_anomalies": lambda t: H.duration_anomalies(t.runs, t.as_of),
     "apply_presets": lambda t: FL.apply_presets(t.presets, t.jobs, t.as_of),
+    "apply_chosen_presets": lambda t: FL.apply_presets(t.presets, t.jobs, t.as_of, ["1", "2", "4", "10"]),
     "utilization_label": utilization_labels,
     # joins
     "run_names": lambda t: J.with_job_names(t.runs.select(*JOB_KEY, "run_id"), t.jobs, spread_by="run_id"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from runledger.functions import display
 from runledger.functions.naming import is_streaming_name
 from runledger.functions.timing import between_days, trailing
-from runledger.functions.wildcards import column_regex, matches_any, validation_message
+from runledger.functions.wildcards import column_like, matches_any, validation_message
 from runledger.operators import filters as FL
 from runledger.operators import runs as R
 from runledger.sources import readers
@@ -34,7 +34,7 @@ PATTERN_CASES = [
 
 def test_wildcards_as_literals_and_as_columns(spark):
     rows = spark.createDataFrame(PATTERN_CASES, "pattern string, name string, expected boolean")
-    wrong = rows.filter(F.rlike(F.col("name"), column_regex(F.col("pattern"))) != F.col("expected"))
+    wrong = rows.filter(F.ilike(F.col("name"), column_like(F.col("pattern"))) != F.col("expected"))
     assert wrong.collect() == []
     for pattern, name, expected in PATTERN_CASES:
         one = spark.createDataFrame([(name,)], "name string")
