@@ -33,7 +33,7 @@ from runledger.llm import arrays
 from runledger.llm.storage import plain_documents, stored, with_least
 
 #: Members of a group whose shingles are united, and queries that a task compares with it, about.
-GROUP, QUERIES = 32, 2000
+GROUP, QUERIES = 128, 500
 #: Pairs of sets handed to Python at a time.
 BATCH_ROWS = 256
 #: The low bits of a key tell its size band.
@@ -250,14 +250,13 @@ def join(docs: DataFrame, k: int = 3, similarity: Fraction = Fraction(9, 10), gr
     return described.select("doc_id", "n_shingles").join(linked, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _equal_parts(described: DataFrame, similarity: Fraction) -> Column:
+def _equal_parts(allowed: list[int], similarity: Fraction, largest: Column | None = None) -> Column:
     """Equal parts that a query and a similar member of a group have at least: what the band allows to differ beyond what
     sets of their sizes may differ in."""
     top, bottom = similarity.numerator, similarity.denominator
-    biggest = described.agg(F.max("n_shingles")).first()[0] or 1
-    allowed = F.array(*(F.lit(n) for n in Bands(similarity, biggest).differ))
-    both = F.col("size") + F.least(F.col("largest"), F.floor(F.col("size") * bottom / top))
-    return F.get(allowed, F.col("band")) + 1 - F.floor(both * (bottom - top) / (bottom + top))
+    other = F.floor(F.col("size") * bottom / top)
+    both = F.col("size") + (other if largest is None else F.least(largest, other))
+    return F.get(F.array(*(F.lit(n) for n in allowed)), F.col("band")) + 1 - F.floor(both * (bottom - top) / (bottom + top))
 
 
 def _links(texts: DataFrame, described: DataFrame, k: int, similarity: Fraction, group: int) -> DataFrame:
@@ -291,12 +290,14 @@ def _links(texts: DataFrame, described: DataFrame, k: int, similarity: Fraction,
     chunks = inside.groupBy("cluster").agg(F.ceil(F.count("*") / group).alias("chunks"))
     members = stored(inside.join(chunks, "cluster").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), "chunks")).drop("chunks"))
     in_group = open_keys.join(members.select("doc_id", "cluster", "chunk"), "doc_id").groupBy("key", "cluster", "chunk").agg(F.max("component").alias("most"))
-    query = open_keys.select("key", F.col("doc_id").alias("query"), F.col("component").alias("of"))
+    query = open_keys.join(size, "doc_id").select("key", F.col("doc_id").alias("query"), F.col("component").alias("of"), "size")
     band = F.col("key").bitwiseAND((1 << BAND_BITS) - 1).cast("int").alias("band")
-    equal = query.join(in_group, "key").where(F.col("of") < F.col("most")).groupBy("query", "of", "cluster", "chunk", band).agg(F.count("*").alias("parts"))
+    equal = query.join(in_group, "key").where(F.col("of") < F.col("most")).groupBy("query", "of", "size", "cluster", "chunk", band).agg(F.count("*").alias("parts"))
+    allowed = Bands(similarity, described.agg(F.max("n_shingles")).first()[0] or 1).differ
+    equal = equal.where(F.col("parts") >= _equal_parts(allowed, similarity))
     largest = members.groupBy("cluster", "chunk").agg(F.max("size").alias("largest"))
-    sized = equal.join(largest, ["cluster", "chunk"]).join(size.withColumnRenamed("doc_id", "query"), "query")
-    pairs = stored(sized.where(F.col("parts") >= _equal_parts(described, similarity)).select("query", "of", "cluster", "chunk").distinct())
+    sized = equal.join(largest, ["cluster", "chunk"])
+    pairs = stored(sized.where(F.col("parts") >= _equal_parts(allowed, similarity, F.col("largest"))).select("query", "of", "cluster", "chunk").distinct())
     # A group that many queries ask for is handed out to several tasks.
     blocks = pairs.groupBy("cluster", "chunk").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
     asking = pairs.join(blocks, ["cluster", "chunk"]).withColumn("block", F.pmod(F.xxhash64("query"), "blocks").cast("int"))
