@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.llm import arrays
-from runledger.llm.storage import plain_documents, stored
+from runledger.llm.storage import partitions, plain_documents, stored
 
 #: Labelled rows per class that the classifier is fitted on, terms of its vocabulary, and examples whose leave-one-out
 #: votes calibrate it, at most.
@@ -256,7 +256,8 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataF
             found = [model.score(np.array(t, np.int64), np.array(c, np.float64), n) for t, c, n in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.string())], ["doc_id", "score", "evidence"])
 
-    return _result(vectors.mapInArrow(run, _SCORED))
+    # The table of vectors is small, the search is not: it gets as many tasks as a shuffle.
+    return _result(vectors.repartition(partitions(docs.sparkSession)).mapInArrow(run, _SCORED))
 
 
 def _result(scored: DataFrame) -> DataFrame:
