@@ -32,8 +32,9 @@ from runledger.llm.storage import partitions, plain_documents, stored
 #: votes calibrate it, at most.
 EXAMPLES, VOCABULARY, CALIBRATION = 4000, 2048, 1000
 STEMS = (4, 5, 6)
-#: Standard errors by which a term must lean to toxic examples, and examples that must have it.
-SIGNIFICANT, SEEN = 5.0, 5
+#: Standard errors by which a term must lean to toxic examples, how many times its share of clean ones its share of toxic
+#: ones must be (or else more examples make ever weaker terms significant), and examples that must have it.
+SIGNIFICANT, LEAN, SEEN = 5.0, 5.0, 5
 NEIGHBOURS, BLOCK, CLOSENESS, PRIOR_WEIGHT = 16, 64, 0.05, 0.5
 #: Levels of density (doublings of the terms per thousand words), and their weight beside that of the terms.
 LEVELS, LEVEL_WEIGHT = 16, 0.8
@@ -89,7 +90,7 @@ def _leaning(examples: DataFrame, n_toxic: int, n_clean: int) -> np.ndarray:
     both = F.col("toxic") + F.col("clean")
     share = both / (n_toxic + n_clean)
     z = (F.col("toxic") / n_toxic - F.col("clean") / n_clean) / F.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_clean) + 1e-12)
-    chosen = counts.where(both >= SEEN).withColumn("z", z).where(F.col("z") >= SIGNIFICANT).orderBy(F.desc("z"), "term").limit(VOCABULARY)
+    chosen = counts.where(both >= SEEN).withColumn("z", z).where(F.col("z") >= SIGNIFICANT).where(F.col("toxic") / n_toxic >= LEAN * F.col("clean") / n_clean).orderBy(F.desc("z"), "term").limit(VOCABULARY)
     return np.sort(np.array([r.term for r in chosen.select("term").collect()], np.int64).view(np.uint64))
 
 
