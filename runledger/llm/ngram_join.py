@@ -261,12 +261,13 @@ def _equal_parts(allowed: list[int], similarity: Fraction, largest: Column | Non
 
 def _links(texts: DataFrame, described: DataFrame, k: int, similarity: Fraction, group: int) -> DataFrame:
     """doc_id and component_id of the documents that have links."""
-    full = described.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    member = stored(with_least(full, ["n_shingles", "sum_a", "sum_b"], "doc_id", "first_id").select("doc_id", "digest", "n_shingles", "first_id", "keys"))
+    full = described.drop("keys").where("n_shingles > 0 AND doc_id IS NOT NULL")
+    member = stored(with_least(full, ["n_shingles", "sum_a", "sum_b"], "doc_id", "first_id").select("doc_id", "digest", "n_shingles", "first_id"))
     chosen = member.where("doc_id = first_id").dropDuplicates(["doc_id", "digest"])
 
     # Sets that meet others, and the smallest document they meet.
-    meets = chosen.select("doc_id", F.explode("keys").alias("key"))
+    keyed = described.select("doc_id", "digest", "keys").join(chosen.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi")
+    meets = keyed.select("doc_id", F.explode("keys").alias("key"))
     pivots = meets.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("other")).where("pivot < other").select("key", "pivot")
     met = stored(meets.join(pivots, "key").select("key", "doc_id", "pivot"))
     active = met.select("doc_id").distinct()
