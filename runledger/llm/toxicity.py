@@ -1,22 +1,22 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words and their first 4, 5 and 6 bytes (stems of inflected words). Up to EXAMPLES labelled rows per class (those
-with the smallest hash of their doc_id) say which terms come with the label; terms whose share among toxic examples is
-significantly higher make the vocabulary. One pass gives every document's counts of these terms, and from all documents
-their inverse document frequencies. The examples form a block-max inverted index: they are ordered by their strongest
-terms and cut into blocks, and per term and block the largest weight is kept. A query takes blocks by falling upper bound
-until no further block can hold a nearer example, so its neighbours are exact. How dense a text is in such terms counts as
-a term too, as a few of them by chance in a long text mean less than in a short one. Their votes weigh by closeness and by how
-many labelled rows each example stands for; leave-one-out votes of the examples calibrate them. The nearest examples are
-kept as evidence.
-
-A text without any such term, also a null or empty one, gets the share of toxic rows among examples without terms.
+Terms are words and their first 4, 5 and 6 bytes (stems of inflected words), hashed into SLOTS slots. All terms of a text
+are in its vector. One pass over all documents gives the inverse document frequencies. Up to EXAMPLES labelled rows per
+class (those with the smallest hash of their doc_id) are the examples; a term weighs more the more significantly its share
+among toxic examples is the higher one, and never less than its frequency says. The cosine with every example counts:
+terms that many examples have by a dense product, the others by postings, and those that may be among the nearest once
+more in double precision. (Bounds per block of examples left 87% of the blocks open at sf0.1, as all texts share common
+terms.) Votes of the nearest weigh by closeness and by how many labelled rows each example stands for; leave-one-out votes
+of the examples calibrate them. The nearest examples are kept as evidence.
+
+A text without any word, also a null or empty one, gets the share of toxic rows among examples without words.
 Without labels of both kinds every score is 0. A doc_id with several labels is toxic if one says so; labels that are null
 are not used, nor are those without doc_id. A null doc_id is not held out. Repeated rows score alike.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,18 +26,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.llm import arrays
-from runledger.llm.storage import partitions, plain_documents, stored
+from runledger.llm.storage import plain_documents, stored
 
-#: Labelled rows per class that the classifier is fitted on, terms of its vocabulary, and examples whose leave-one-out
-#: votes calibrate it, at most.
-EXAMPLES, VOCABULARY, CALIBRATION = 4000, 2048, 1000
+#: Labelled rows per class that the classifier is fitted on, and examples whose leave-one-out votes calibrate it, at most.
+EXAMPLES, CALIBRATION = 4000, 1000
 STEMS = (4, 5, 6)
-#: Standard errors by which a term must lean to toxic examples, how many times its share of clean ones its share of toxic
-#: ones must be (or else more examples make ever weaker terms significant), and examples that must have it.
-SIGNIFICANT, LEAN, SEEN = 5.0, 5.0, 5
-NEIGHBOURS, BLOCK, CLOSENESS, PRIOR_WEIGHT = 16, 64, 0.05, 0.5
-#: Levels of density (doublings of the terms per thousand words), and their weight beside that of the terms.
-LEVELS, LEVEL_WEIGHT = 16, 0.8
+BITS = 22
+SLOTS = 1 << BITS
+NEIGHBOURS, CLOSENESS, PRIOR_WEIGHT = 16, 0.05, 0.5
+#: Terms of most examples that are multiplied densely, queries handled together, and more than single precision errs by.
+DENSE, QUERIES, ROUNDING = 2048, 64, 1e-4
 THRESHOLD = 0.3
 
 _SEPARATOR = np.zeros(256, bool)
@@ -63,57 +61,31 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(hashes), np.concatenate(of)
 
 
-def _words_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Text number of every word."""
-    return arrays.word_bounds(arrays.LOWER[data], offsets, _SEPARATOR)[2]
+def _counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, slot and count of the terms of each text, sorted by text and slot."""
+    hashes, of = _terms(data, offsets)
+    pair, counts = np.unique(of.astype(np.int64) << BITS | (hashes >> np.uint64(64 - BITS)).astype(np.int64), return_counts=True)
+    return pair >> BITS, pair & (SLOTS - 1), counts
 
 
-def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per slice: how many toxic and clean texts have each term."""
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts have a term of each slot; slot -1 counts the texts."""
+    totals, n_texts = np.zeros(SLOTS, np.int64), 0
     for part, data, offsets in arrays.slices(batches):
-        hashes, of = _terms(data, offsets)
-        toxic = part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-        order = np.lexsort((of, hashes))
-        hashes, of = hashes[order], of[order]
-        new = np.ones(len(of), bool)
-        new[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
-        hashes, label = hashes[new], toxic[of[new]]
-        begins = arrays.group_starts(hashes)
-        n_toxic = np.add.reduceat(label, begins) if len(begins) else label
-        n_all = np.diff(np.append(begins, len(hashes)))
-        yield pa.RecordBatch.from_arrays([pa.array(hashes[begins].view(np.int64)), pa.array(n_toxic), pa.array(n_all - n_toxic)], ["term", "toxic", "clean"])
-
-
-def _leaning(examples: DataFrame, n_toxic: int, n_clean: int) -> np.ndarray:
-    """The vocabulary, sorted."""
-    counts = examples.mapInArrow(_class_counts, "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    both = F.col("toxic") + F.col("clean")
-    share = both / (n_toxic + n_clean)
-    z = (F.col("toxic") / n_toxic - F.col("clean") / n_clean) / F.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_clean) + 1e-12)
-    chosen = counts.where(both >= SEEN).withColumn("z", z).where(F.col("z") >= SIGNIFICANT).where(F.col("toxic") / n_toxic >= LEAN * F.col("clean") / n_clean).orderBy(F.desc("z"), "term").limit(VOCABULARY)
-    return np.sort(np.array([r.term for r in chosen.select("term").collect()], np.int64).view(np.uint64))
-
-
-def _vectors(vocabulary: np.ndarray):
-    """Counts of the vocabulary's terms in each text."""
+        slots, n = np.unique(_counts(data, offsets)[1], return_counts=True)
+        totals[slots] += n
+        n_texts += part.num_rows
+    at = np.flatnonzero(totals)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(totals[at], n_texts))], ["slot", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << 16, bool)
-        seen[(vocabulary >> np.uint64(48)).astype(np.int64)] = True
-        for part, data, offsets in arrays.slices(batches):
-            hashes, of = _terms(data, offsets)
-            maybe = np.flatnonzero(seen[(hashes >> np.uint64(48)).astype(np.int64)])
-            place = np.minimum(np.searchsorted(vocabulary, hashes[maybe]), max(len(vocabulary) - 1, 0))
-            good = vocabulary[place] == hashes[maybe] if len(vocabulary) else np.zeros(len(maybe), bool)
-            pair, counts = np.unique(of[maybe][good] * max(len(vocabulary), 1) + place[good], return_counts=True)
-            text = pair // max(len(vocabulary), 1)
-            at = pa.array(np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32))
-            terms = pa.ListArray.from_arrays(at, pa.array((pair % max(len(vocabulary), 1)).astype(np.int32)))
-            n_words = np.bincount(_words_of(data, offsets), minlength=part.num_rows).astype(np.int64)
-            columns = [part.column("doc_id"), pa.array(n_words), terms, pa.ListArray.from_arrays(at, pa.array(counts.astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "terms", "counts"])
 
-    return run
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slots and counts of each example."""
+    for part, data, offsets in arrays.slices(batches):
+        text, slots, counts = _counts(data, offsets)
+        at = pa.array(np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (slots, counts)]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *lists], ["doc_id", "toxic", "terms", "counts"])
 
 
 @dataclass
@@ -124,56 +96,86 @@ class Hits:
     cosine: np.ndarray
 
 
+def _leaning(having: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """1 and the standard errors by which the share of examples that have a term is higher among toxic (1) than clean (0) ones."""
+    n_clean, n_toxic = np.maximum(taken, 1)
+    share = having.sum(axis=0) / (n_clean + n_toxic)
+    return 1 + np.maximum((having[1] / n_toxic - having[0] / n_clean) / np.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_clean) + 1e-12), 0)
+
+
 class Index:
-    """A block-max inverted index over unit vectors."""
+    """Unit vectors of examples."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> None:
-        strongest = [tuple(t[np.lexsort((t, -w))][:3].tolist()) for t, w in vectors]
-        self.order = sorted(range(len(vectors)), key=lambda i: (strongest[i], i))  # alike examples share blocks
-        self.n = len(vectors)
-        self.n_blocks = -(-self.n // BLOCK)
-        none = np.zeros(0, np.int64)
-        term = np.concatenate([none, *(vectors[i][0].astype(np.int64) for i in self.order)])
-        example = np.concatenate([none, *(np.full(len(vectors[i][0]), slot) for slot, i in enumerate(self.order))])
-        weight = np.concatenate([np.zeros(0), *(vectors[i][1] for i in self.order)])
-        by = np.lexsort((example, term))
-        self.example, self.weight = example[by], weight[by]
-        cell = term[by] * self.n_blocks + self.example // BLOCK
-        self.begin = np.searchsorted(cell, np.arange(n_terms * self.n_blocks + 1))
-        self.most = np.zeros(n_terms * self.n_blocks)
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(n_terms, self.n_blocks)
+        self.order, self.n, self.n_terms = list(range(len(vectors))), len(vectors), n_terms
+        self.at = np.cumsum([0, *(len(t) for t, _ in vectors)])
+        self.term = np.concatenate([np.zeros(0, np.int32), *(t.astype(np.int32) for t, _ in vectors)])
+        self.weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_tables"}  # made anew where they are used
+
+    @functools.cached_property
+    def _tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Place of each term (-1: no example has it), dense weights of the first places, postings of the others."""
+        held = np.bincount(self.term, minlength=self.n_terms)
+        known = np.argsort(-held, kind="stable")[: np.count_nonzero(held)]
+        n_dense = min(DENSE, len(known))
+        place = np.full(self.n_terms, -1, np.int32)
+        place[known] = np.arange(len(known))
+        mine, example = place[self.term], np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.at))
+        dense = np.zeros((n_dense, self.n), np.float32)
+        often = mine < n_dense
+        dense[mine[often], example[often]] = self.weight[often]
+        rare = np.flatnonzero(~often)
+        rare = rare[np.argsort(mine[rare], kind="stable")]
+        begin = np.searchsorted(mine[rare], np.arange(n_dense, len(known) + 1))
+        return place, dense, begin, example[rare], self.weight[rare].astype(np.float32)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> Hits:
         """The k nearest examples with a cosine above 0; ties go to the earlier slot. without: a slot to leave out."""
-        bound = weights @ self.most[terms]
-        blocks = np.argsort(-bound, kind="stable")
-        found, cosines, kth, at, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 4
-        while at < len(blocks) and bound[blocks[at]] > 0 and (len(found) < k or bound[blocks[at]] >= kth - 1e-9):
-            chunk = blocks[at : at + step]
-            cells = (terms[:, None] * self.n_blocks + chunk[None, :]).ravel()
-            sizes = self.begin[cells + 1] - self.begin[cells]
-            posts = arrays.ranges(self.begin[cells], sizes)
-            within = np.repeat(np.tile(np.arange(len(chunk)) * BLOCK, len(terms)), sizes) + self.example[posts] % BLOCK
-            sums = np.bincount(within, weights=self.weight[posts] * np.repeat(np.repeat(weights, len(chunk)), sizes), minlength=len(chunk) * BLOCK)
-            hit = np.flatnonzero(sums)
-            slots, scores = chunk[hit // BLOCK] * BLOCK + hit % BLOCK, sums[hit]
-            if without >= 0:
-                slots, scores = slots[slots != without], scores[slots != without]
-            found, cosines = np.concatenate([found, slots]), np.concatenate([cosines, scores])
-            best = np.lexsort((found, -np.round(cosines, 9)))[:k]
-            found, cosines, at, step = found[best], cosines[best], at + len(chunk), 2 * step
-            kth = cosines[-1] if len(cosines) == k else 0.0
-        return Hits(found, np.minimum(cosines, 1.0))
+        return next(self.nearest_of(np.array([0, len(terms)]), terms, weights, k, np.array([without])))
+
+    def nearest_of(self, at: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: np.ndarray | None = None) -> Iterator[Hits]:
+        """The same for each query at[i] … at[i + 1] of the terms."""
+        place, dense, begin, example, posted = self._tables
+        full = np.zeros(self.n_terms)
+        for first in range(0, len(at) - 1, QUERIES):
+            last = min(first + QUERIES, len(at) - 1)
+            own = slice(at[first], at[last])
+            query, where, weight = np.repeat(np.arange(last - first), np.diff(at[first : last + 1])), place[terms[own]], weights[own]
+            often = (where >= 0) & (where < len(dense))
+            block = np.zeros((last - first, len(dense)), np.float32)
+            block[query[often], where[often]] = weight[often]
+            about = block @ dense
+            for q in range(last - first):
+                mine = slice(at[first + q] - at[first], at[first + q + 1] - at[first])
+                rare = np.flatnonzero(where[mine] >= len(dense))
+                row = about[q]
+                if len(rare):
+                    start = where[mine][rare] - len(dense)
+                    sizes = begin[start + 1] - begin[start]
+                    posts = arrays.ranges(begin[start], sizes)
+                    row = row + np.bincount(example[posts], weights=posted[posts] * np.repeat(weight[mine][rare], sizes), minlength=self.n)
+                if without is not None and without[first + q] >= 0:
+                    row[without[first + q]] = 0
+                near = np.flatnonzero((row > 0) & (row >= np.partition(row, -k)[-k] - ROUNDING)) if self.n > k else np.flatnonzero(row > 0)
+                slots, values = terms[own][mine], weight[mine]
+                full[slots] = values
+                sizes = self.at[near + 1] - self.at[near]
+                posts = arrays.ranges(self.at[near], sizes)
+                cosines = np.bincount(np.repeat(np.arange(len(near)), sizes), weights=self.weight[posts] * full[self.term[posts]], minlength=len(near))
+                full[slots] = 0
+                best = np.lexsort((near, -np.round(cosines, 9)))[:k]
+                yield Hits(near[best], np.minimum(cosines[best], 1.0))
 
 
 class Model:
-    """Index, labels, and the map from votes to calibrated scores."""
+    """Weights of the slots, index, labels, and the map from votes to calibrated scores."""
 
-    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, examples: list[tuple[int, np.ndarray, np.ndarray, int, int]], totals: tuple[int, int]) -> None:
-        """examples: doc_id, terms, counts, words, label; totals: labelled rows of label 0 and 1 that they stand for."""
-        self.idf = idf
-        labels = np.array([e[4] for e in examples], np.int64)
+    def __init__(self, idf: np.ndarray, examples: list[tuple[int, np.ndarray, np.ndarray, int]], totals: tuple[int, int]) -> None:
+        """examples: doc_id, slots, counts, label; totals: labelled rows of label 0 and 1 that they stand for."""
+        labels = np.array([e[3] for e in examples], np.int64)
         taken = np.bincount(labels, minlength=2)
         stand_for = np.array([t / max(n, 1) for t, n in zip(totals, taken, strict=True)])
         empty = np.array([not len(e[1]) for e in examples], bool)
@@ -181,33 +183,44 @@ class Model:
         self.empty_score = float((without[1] + 0.01) / (without.sum() + 1)) if len(examples) else 0.0
         filled = [e for e in examples if len(e[1])]
         self.prior = float(totals[1] / max(sum(totals), 1))
-        self.index = Index([self.unit(*e[1:4]) for e in filled], len(vocabulary) + LEVELS)
-        self.doc_id = [filled[i][0] for i in self.index.order]
-        self.label = np.array([filled[i][4] for i in self.index.order], np.int64)
+        having = np.zeros((2, SLOTS))
+        for _, terms, _, label in filled:
+            having[label, terms] += 1
+        self.weight = (idf * _leaning(having, taken)).astype(np.float32)
+        at = np.cumsum([0, *(len(e[1]) for e in filled)])
+        none = np.zeros(0, np.int64)
+        terms = np.concatenate([none, *(e[1] for e in filled)])
+        weights = self.unit(at, terms, np.concatenate([none, *(e[2] for e in filled)]))
+        self.index = Index([(terms[a:b], weights[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], len(idf))
+        self.doc_id = [e[0] for e in filled]
+        self.label = np.array([e[3] for e in filled], np.int64)
         self.stands = stand_for[self.label] if len(self.label) else np.zeros(0)
         self.steps, self.levels = np.array([0.0, 1.0]), np.array([0.0, 1.0])
-        self._calibrate([self.unit(*filled[i][1:4]) for i in self.index.order])
-
-    def unit(self, terms: np.ndarray, counts: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights of a text's unit vector; its density is shared between the two nearest levels."""
-        weight = (1 + np.log(counts)) * self.idf[terms]
-        weight = weight / max(np.sqrt((weight**2).sum()), 1e-12)
-        level = min(np.log2(1 + 1000 * counts.sum() / max(n_words, 1)), LEVELS - 1.001)
-        low, part = int(level), level - int(level)
-        dense = np.array([1 - part, part]) * LEVEL_WEIGHT / np.hypot(part, 1 - part)
-        terms = np.concatenate([terms.astype(np.int64), [len(self.idf) + low, len(self.idf) + low + 1]])
-        return terms, np.concatenate([weight, dense]) / np.hypot(1, LEVEL_WEIGHT)
+        self._calibrate(idf, having, taken)
+
+    def unit(self, at: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Weights of the unit vectors of texts at[i] … at[i + 1] of the terms."""
+        weight = (1 + np.log(counts)) * self.weight[terms].astype(np.float64)
+        of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        return weight / np.sqrt(np.bincount(of, weights=weight**2, minlength=len(at) - 1))[of]
 
     def vote(self, hits: Hits) -> float:
         weight = self.stands[hits.example] / (1 - hits.cosine + CLOSENESS) * CLOSENESS
         return float((weight @ self.label[hits.example] + PRIOR_WEIGHT * self.prior) / (weight.sum() + PRIOR_WEIGHT))
 
-    def _calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Isotonic regression of the labels on leave-one-out votes, by pooling neighbours out of order."""
+    def _calibrate(self, idf: np.ndarray, having: np.ndarray, taken: np.ndarray) -> None:
+        """Isotonic regression of the labels on leave-one-out votes, by pooling neighbours out of order. The example that is
+        left out does not tell how its terms lean either."""
         if not len(self.label):
             return
-        some = np.arange(0, len(vectors), -(-len(vectors) // CALIBRATION))
-        votes = np.array([self.vote(self.index.nearest(*vectors[slot], NEIGHBOURS, without=slot)) for slot in some])
+        some = np.arange(0, self.index.n, -(-self.index.n // CALIBRATION))
+        votes = np.zeros(len(some))
+        for i, slot in enumerate(some):
+            own = slice(self.index.at[slot], self.index.at[slot + 1])
+            terms, mine = self.index.term[own], np.array([[1 - self.label[slot]], [self.label[slot]]])
+            ratio = idf[terms] * _leaning(having[:, terms] - mine, taken - mine[:, 0]) / self.weight[terms]
+            weight = self.index.weight[own] * ratio
+            votes[i] = self.vote(self.index.nearest(terms, weight / np.sqrt((weight**2).sum()) * ratio, NEIGHBOURS, without=slot))
         pools: list[list[float]] = []  # first vote, last vote, weight, weight of label 1
         for i in np.argsort(votes, kind="stable"):
             weight = self.stands[some[i]]
@@ -218,13 +231,14 @@ class Model:
         self.steps = np.array([x for p in pools for x in (p[0], p[1])])
         self.levels = np.repeat([(p[3] + 0.1 * self.prior) / (p[2] + 0.1) for p in pools], 2)
 
-    def score(self, terms: np.ndarray, counts: np.ndarray, n_words: int) -> tuple[float, str]:
-        """The score and the nearest examples as doc_id:cosine."""
-        if not len(terms):
-            return self.empty_score, ""
-        hits = self.index.nearest(*self.unit(terms, counts, n_words), NEIGHBOURS)
-        score = float(np.clip(np.interp(self.vote(hits), self.steps, self.levels), 0, 1))
-        return score, ",".join(f"{self.doc_id[e]}:{c:.3f}" for e, c in zip(hits.example[:3], hits.cosine[:3], strict=True))
+    def score(self, at: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> Iterator[tuple[float, str]]:
+        """The score of each text and its nearest examples as doc_id:cosine."""
+        for empty, hits in zip(at[:-1] == at[1:], self.index.nearest_of(at, terms, self.unit(at, terms, counts), NEIGHBOURS), strict=True):
+            if empty:
+                yield self.empty_score, ""
+            else:
+                score = float(np.clip(np.interp(self.vote(hits), self.steps, self.levels), 0, 1))
+                yield score, ",".join(f"{self.doc_id[e]}:{c:.3f}" for e, c in zip(hits.example[:3], hits.cosine[:3], strict=True))
 
 
 _SCORED = "doc_id long, score double, evidence string"
@@ -241,24 +255,33 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataF
         return _result(nothing)
     taken = [known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples) for label in (0, 1)]
     sample = stored(taken[0].unionByName(taken[1]))
-    n = [min(totals[label], examples) for label in (0, 1)]
-    vocabulary = _leaning(docs.join(F.broadcast(sample), "doc_id").select("text", "toxic"), n[1], n[0])  # bounded by the number of examples
-    vectors = stored(docs.mapInArrow(_vectors(vocabulary), "doc_id long, n_words long, terms array<int>, counts array<int>"))
-    frequency = np.zeros(len(vocabulary))
-    for r in vectors.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # one row per term of the vocabulary
-        frequency[r.term] = r["count"]
-    idf = np.log((1 + vectors.count()) / (1 + frequency)) + 1
-    rows = vectors.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    model = Model(vocabulary, idf, [(r.doc_id, np.array(r.terms, np.int64), np.array(r["counts"], np.float64), r.n_words, r.toxic) for r in rows], (totals[0], totals[1]))
+    idf = _idf(docs)
+    chosen = docs.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])  # bounded by the number of examples
+    rows = stored(chosen.select("doc_id", "toxic", "text").mapInArrow(_vectors, "doc_id long, toxic int, terms array<int>, counts array<int>")).orderBy("doc_id").toArrow().to_batches()
+    model = Model(idf, [e for batch in rows for e in _examples(batch)], (totals[0], totals[1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("terms", "counts", "n_words"))
-            found = [model.score(np.array(t, np.int64), np.array(c, np.float64), n) for t, c, n in zip(*columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.string())], ["doc_id", "score", "evidence"])
+        for part, data, offsets in arrays.slices(batches):
+            text, terms, counts = _counts(data, offsets)
+            found = list(model.score(np.searchsorted(text, np.arange(part.num_rows + 1)), terms, counts))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.string())], ["doc_id", "score", "evidence"])
+
+    return _result(docs.mapInArrow(run, _SCORED))
+
+
+def _idf(docs: DataFrame) -> np.ndarray:
+    """Inverse document frequency of each slot; the driver gets one row per slot."""
+    rows = docs.mapInArrow(_frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    slots, n = (rows.column(c).to_numpy() for c in ("slot", "n"))
+    frequency = np.zeros(SLOTS, np.int64)
+    frequency[slots[slots >= 0]] = n[slots >= 0]
+    return np.log((1 + n[slots < 0].sum()) / (1 + frequency)) + 1
+
 
-    # The table of vectors is small, the search is not: it gets as many tasks as a shuffle.
-    return _result(vectors.repartition(partitions(docs.sparkSession)).mapInArrow(run, _SCORED))
+def _examples(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """doc_id, slots, counts and label of each row."""
+    for i, (doc_id, label) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist(), strict=True)):
+        yield doc_id, batch.column("terms")[i].values.to_numpy().astype(np.int64), batch.column("counts")[i].values.to_numpy().astype(np.int64), label
 
 
 def _result(scored: DataFrame) -> DataFrame:

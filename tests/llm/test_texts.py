@@ -119,6 +119,33 @@ def test_toxicity(spark):
     assert by_id(found, "score") == by_id(toxicity.score(docs, hidden), "score")
 
 
+def _ids(held, start):
+    """Ids from start on that are held out or not."""
+    return (i for i in range(start, 1 << 30) if (zlib.crc32(str(i).encode()) % 4 == 2) == held)
+
+
+def test_held_out_toxic_recall(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    known = toxicity.score(docs, labels).join(labels, "doc_id").where("held_out AND toxic = 1")
+    assert known.where("predicted = 1").count() >= 0.75 * known.count()
+
+
+def test_toxic_copy_in_a_rare_language(spark):
+    """Three labelled rows are too few for any of their words to be significant; a near copy is still found."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    known, hidden = _ids(False, 10**7), _ids(True, 10**7)
+    toxic = [(next(known), " ".join(f"qx{n}{chr(97 + i % 26)}{chr(97 + i // 26)}zu" for i in range(60))) for n in range(3)]
+    copies = [(next(hidden), text + " mno") for _, text in toxic]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(toxic + copies, "doc_id long, text string"))
+    labels = labels.select("doc_id", "toxic").union(spark.createDataFrame([(i, 1) for i, _ in toxic], "doc_id long, toxic int"))
+    got = by_id(toxicity.score(docs, labels), "predicted", "evidence")
+    for (copy, _), (example, _) in zip(copies, toxic, strict=True):
+        assert got[copy][0] == 1
+        nearest, cosine = got[copy][1].split(",")[0].split(":")
+        assert int(nearest) == example
+        assert float(cosine) > 0.9
+
+
 def test_toxicity_without_labels_or_terms(odd, labels):
     assert {r.score for r in toxicity.score(odd, labels.limit(0)).collect()} == {0.0}
     got = by_id(toxicity.score(odd, odd.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))), "score")
