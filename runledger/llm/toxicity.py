@@ -11,7 +11,8 @@ of the examples calibrate them. The nearest examples are kept as evidence.
 
 A text without any word, also a null or empty one, gets the share of toxic rows among examples without words.
 Without labels of both kinds every score is 0. A doc_id with several labels is toxic if one says so; labels that are null
-are not used, nor are those without doc_id. A null doc_id is not held out. Repeated rows score alike.
+are not used, nor are those without doc_id. A null doc_id is not held out. Repeated rows score alike and count once; of
+different texts with one labelled doc_id the one that sorts first is the example.
 """
 
 from __future__ import annotations
@@ -69,12 +70,14 @@ def _counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many texts have a term of each slot; slot -1 counts the texts."""
+    """How many texts have a term of each slot; slot -1 counts the texts. Each text counts n times."""
     totals, n_texts = np.zeros(SLOTS, np.int64), 0
     for part, data, offsets in arrays.slices(batches):
-        slots, n = np.unique(_counts(data, offsets)[1], return_counts=True)
-        totals[slots] += n
-        n_texts += part.num_rows
+        times = part.column("n").to_numpy(zero_copy_only=False)
+        text, slots, _ = _counts(data, offsets)
+        slots, of = np.unique(slots, return_inverse=True)
+        totals[slots] += np.bincount(of, weights=times[text], minlength=len(slots)).astype(np.int64)
+        n_texts += int(times.sum())
     at = np.flatnonzero(totals)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(totals[at], n_texts))], ["slot", "n"])
 
@@ -256,7 +259,7 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataF
     taken = [known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples) for label in (0, 1)]
     sample = stored(taken[0].unionByName(taken[1]))
     idf = _idf(docs)
-    chosen = docs.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])  # bounded by the number of examples
+    chosen = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # bounded by the number of examples
     rows = stored(chosen.select("doc_id", "toxic", "text").mapInArrow(_vectors, "doc_id long, toxic int, terms array<int>, counts array<int>")).orderBy("doc_id").toArrow().to_batches()
     model = Model(idf, [e for batch in rows for e in _examples(batch)], (totals[0], totals[1]))
 
@@ -270,8 +273,14 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataF
 
 
 def _idf(docs: DataFrame) -> np.ndarray:
-    """Inverse document frequency of each slot; the driver gets one row per slot."""
-    rows = docs.mapInArrow(_frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    """Inverse document frequency of each slot; the driver gets one row per slot. Repeated rows count once."""
+    digest = F.xxhash64("text").alias("digest")
+    repeated = stored(docs.where("doc_id IS NOT NULL").groupBy("doc_id", digest).agg(F.count("*").alias("copies")).where("copies > 1"))
+    counted = docs.select("text", F.lit(1).cast("long").alias("n"))
+    if repeated.limit(1).count():
+        again = docs.select("doc_id", "text", digest).join(repeated, ["doc_id", "digest"]).groupBy("doc_id", "digest").agg(F.first("text").alias("text"), F.first("copies").alias("copies"))
+        counted = counted.unionByName(again.select("text", (1 - F.col("copies")).alias("n")))
+    rows = counted.mapInArrow(_frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     slots, n = (rows.column(c).to_numpy() for c in ("slot", "n"))
     frequency = np.zeros(SLOTS, np.int64)
     frequency[slots[slots >= 0]] = n[slots >= 0]

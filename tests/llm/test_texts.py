@@ -146,6 +146,14 @@ def test_toxic_copy_in_a_rare_language(spark):
         assert float(cosine) > 0.9
 
 
+def test_repeated_rows_do_not_change_scores(spark, documents, labels):
+    toxic = labels.where("toxic = 1").where(~toxicity.held_out()).orderBy("doc_id").limit(1)
+    again = documents.join(toxic.select("doc_id"), "doc_id").select("doc_id", "text").join(spark.range(300))
+    many = documents.select("doc_id", "text").union(again.select("doc_id", "text"))
+    assert many.count() == documents.count() + 300
+    assert by_id(toxicity.score(many, labels), "score", "evidence") == by_id(toxicity.score(documents, labels), "score", "evidence")
+
+
 def test_toxicity_without_labels_or_terms(odd, labels):
     assert {r.score for r in toxicity.score(odd, labels.limit(0)).collect()} == {0.0}
     got = by_id(toxicity.score(odd, odd.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))), "score")
