@@ -3,7 +3,8 @@
 Both tokenizers split a text at white space, and between a letter or digit and punctuation, before anything else. So the
 ids of a text are those of its words, and the ids of a word with punctuation at its end are those of its stem and of its
 tail. Words repeat, and their ids are kept in a bounded memory. New stems are encoded many at a time, with a mark between
-them that is one token by itself. Texts with unusual white space are encoded in one go, odd words one by one.
+them that is one token by itself. Texts with unusual white space or with the string of a special token, which gets the id
+of that token, are encoded in one go, odd words one by one.
 """
 
 from __future__ import annotations
@@ -44,8 +45,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.spaced = self.tokenizer.normalizer is None
+        #: Strings that the tokenizer takes out of a text before it looks for words.
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        begin = os.path.commonprefix(self.special)
+        self.cue = begin if self.spaced or begin.lower() == begin.upper() else ""
         single = [c for c in _MARKS if len(self._ids(" " + c)) == 1]
         self.mark = single[0] if single else ""
         self.mark_id = int(self._ids(" " + self.mark)[0]) if single else -1
@@ -57,6 +61,13 @@ class Encoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
+    def _holds_special(self, text: str) -> bool:
+        """Whether the text, or a word of it once that is in lower case, holds the string of a special token."""
+        if not self.special or self.cue not in text:
+            return False
+        seen = text if self.spaced else text.lower()
+        return any(s in seen for s in self.special)
+
     def _pieces(self, word: str) -> list[str]:
         """Strings that can be encoded one by one: stems with a space before them if the tokenizer keeps it, and tails."""
         if not self.spaced:
@@ -109,6 +120,8 @@ class Encoder:
 
     def _split(self, text: str) -> tuple[bytes, list[str]]:
         """Ids of what comes before the words, and the words."""
+        if self._holds_special(text):
+            return self._ids(text).tobytes(), []
         if self.spaced:
             if text[-1:] == " " or "  " in text or _ODD_FOR_BYTES.search(text):
                 return self._ids(text).tobytes(), []

@@ -188,6 +188,18 @@ def test_ids_of_words_are_ids_of_texts(documents, odd, name):
         assert ids == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_special_strings_get_the_ids_of_the_library(name):
+    from tokenizers import Tokenizer
+
+    plain_one, encoder = Tokenizer.from_file(tokenizer_path(name)), Encoder(tokenizer_path(name))
+    several = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y <|startoftext|>.", "<|ENDOFTEXT|> <|endof text|>", "a b <|endoftext|", "A b.\n<|startoftext|> c", "a b, c"]
+    for text, ids in zip(several, encoder(several), strict=True):
+        assert ids == np.array(plain_one.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    if name.startswith("byte"):
+        assert np.frombuffer(next(encoder(several[:1])), "<u4").tolist() == [64, 220, 50256, 275]
+
+
 def test_the_memory_of_words_is_bounded(monkeypatch):
     monkeypatch.setattr("runledger.llm.tokens.KEPT_WORDS", 50)
     encoder = Encoder(tokenizer_path("word_bpe_49k.json"))
