@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runledger.llm import arrays
 from runledger.llm.storage import plain_documents, stored
@@ -178,20 +179,26 @@ def _report(part: pa.RecordBatch, words: np.ndarray, text_of: np.ndarray, start:
     for t, w in set(zip(text.tolist(), of.tolist(), strict=True)):
         found[t].update(items[w])
     n_hit = np.bincount(text_of[hit], minlength=n)
+    carried = [c for c in part.schema.names if c not in ("text", "found")]
     return pa.RecordBatch.from_arrays(
         [
-            part.column("doc_id"),
+            *(part.column(c) for c in carried),
             pa.array(np.bincount(text_of, minlength=n).astype(np.int64)),
             pa.array(n_hit.astype(np.int64)),
             pa.array([len(x) for x in found], pa.int64()),
             pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in found], pa.string()),
             pa.array(n_hit > 0),
         ],
-        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+        [*carried, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
     )
 
 
-_REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+_REPORT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+
+
+def _reported(docs: DataFrame) -> T.StructType:
+    """The columns of docs but the text, and what is said of each row."""
+    return T.StructType([*docs.drop("text").schema.fields, *T.StructType.fromDDL(_REPORT).fields])
 
 
 def _scan(index: _Index) -> Callable:
@@ -225,7 +232,7 @@ def _shuffled(docs: DataFrame, windows: DataFrame) -> DataFrame:
                     [part.column("doc_id").take(pa.array(text_of[at])), pa.array((at - begins[text_of[at]]).astype(np.int64)), _signed(hashes)], ["doc_id", "at", "shingle"]
                 )
 
-    places = docs.mapInArrow(shingles, "doc_id long, at long, shingle long")
+    places = docs.select("doc_id", "text").mapInArrow(shingles, "doc_id long, at long, shingle long")
     needed = windows.select("n", "key", "check", F.posexplode("shingles").alias("offset", "shingle"))
     counts = places.join(needed.select("shingle").distinct(), "shingle", "left_semi").groupBy("shingle").count()
     rarest = (
@@ -254,19 +261,26 @@ def _shuffled(docs: DataFrame, windows: DataFrame) -> DataFrame:
             found = _hits(words, text_of, part.num_rows, start, np.arange(len(rows)), text, length, key, check)
             yield _report(part, words, text_of, *found, length, [x["items"] for _, _, x in rows])
 
-    joined = docs.alias("d").join(candidates.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")), "left").select("d.doc_id", "d.text", "c.found")
-    return joined.mapInArrow(verify, _REPORT)
+    joined = docs.alias("d").join(candidates.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")), "left").select("d.*", "c.found")
+    return joined.mapInArrow(verify, _reported(docs))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """Per document: n_words, n_hit (words inside a benchmark window), n_items, items_sha256 and contaminated."""
-    docs, windows = plain_documents(docs), stored(benchmark_windows(benchmark))
+def _judged(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int) -> DataFrame:
+    """What is said of each row of doc_id, text and other columns, beside these."""
+    windows = stored(benchmark_windows(benchmark))
     if windows.count() > broadcast_windows:
         return _shuffled(docs, windows)
-    return docs.mapInArrow(_scan(_index(docs, windows)), _REPORT)
+    return docs.mapInArrow(_scan(_index(docs.select("doc_id", "text"), windows)), _reported(docs))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """Per document: n_words, n_hit (words inside a benchmark window), n_items, items_sha256 and contaminated."""
+    return _judged(plain_documents(docs), benchmark, broadcast_windows)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no window of the benchmark, with their columns."""
-    found = contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.alias("d").join(found.alias("f"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("f.doc_id")), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """The rows that hold no window of the benchmark, with their columns. Each row goes by its own text."""
+    inputs = [F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(docs.columns)]
+    carried = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *inputs)
+    found = _judged(carried, benchmark, broadcast_windows).where(~F.col("contaminated"))
+    return found.select(*(F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)))

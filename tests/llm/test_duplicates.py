@@ -123,6 +123,16 @@ def test_benchmark_passages(spark, documents, odd, benchmark):
     assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == {i for i, x in want.items() if not x[4]}
 
 
+@pytest.mark.parametrize("broadcast_windows", [decontamination.BROADCAST_WINDOWS, 0])
+def test_rows_go_by_their_own_text(spark, benchmark, broadcast_windows):
+    passage = benchmark.orderBy("item_id").first().text
+    rows = [(None, passage, 1), (None, "a clean row without an id", 2), (7, "clean words of a repeated id", 3), (7, "see " + passage, 4), (None, None, 5), (8, "other words", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source int")
+    kept = decontamination.drop_contaminated(docs, benchmark, broadcast_windows)
+    assert kept.columns == docs.columns
+    assert sorted(r.source for r in kept.collect()) == [2, 3, 5, 6]
+
+
 def test_tables_without_rows(none, benchmark, documents):
     for found in (
         ngram_join.join(none), ngram_join.keep_one(none), debruijn.remove_repeats(none), suffix_dedup.remove_repeats(none),
