@@ -27,7 +27,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from runledger.llm import arrays
 from runledger.llm.storage import plain_documents, stored, with_least
@@ -322,13 +321,28 @@ def _links(texts: DataFrame, described: DataFrame, k: int, similarity: Fraction,
 
 
 def keep_one(docs: DataFrame, k: int = 5, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
-    """The document with the smallest doc_id of each component, with its columns as they were. Of rows with one doc_id the one
-    whose text sorts first stays; rows without doc_id all stay."""
-    found = join(docs, k, similarity)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    """The row with the smallest doc_id of each component, with its columns as they were. Where a doc_id repeats each row is
+    compared by its own text, and of rows with the smallest doc_id the one whose text sorts first stays. Rows without doc_id
+    are compared with each other, not with rows that have one. Of equal rows without words one stays, if they have a doc_id."""
     names = docs.columns
-    plain = docs.select(*(F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(names)), F.col("doc_id").cast("long").alias("kept_id"), F.col("text").alias("kept_text"))
-    first = Window.partitionBy("kept_id").orderBy("kept_text")
-    chosen = plain.join(kept, "kept_id", "left_semi").withColumn("kept_rank", F.row_number().over(first)).where("kept_rank = 1")
     back = [F.col(f"in_{i}").alias(c) for i, c in enumerate(names)]
-    return chosen.select(*back).unionByName(plain.where("kept_id IS NULL").select(*back))
+    plain = docs.select(*(F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(names)), F.col("doc_id").cast("long").alias("kept_id"), F.col("text").cast("string").alias("kept_text"))
+    unclear = plain.groupBy("kept_id").count().where("kept_id IS NULL OR count > 1").limit(1).count()
+    if not unclear:
+        found = join(docs, k, similarity)
+        kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+        return plain.join(kept, "kept_id", "left_semi").select(*back)
+    keyed = stored(plain.withColumn("row_key", F.monotonically_increasing_id()))
+    kept = [_kept_keys(keyed.where(part).select("row_key", "kept_id", "kept_text"), k, similarity) for part in ("kept_id IS NOT NULL", "kept_id IS NULL")]
+    return keyed.join(kept[0].unionByName(kept[1]), "row_key", "left_semi").select(*back)
+
+
+def _kept_keys(rows: DataFrame, k: int, similarity: Fraction) -> DataFrame:
+    """row_key of the rows that stay: one of each component, and of rows without words one for each doc_id and text."""
+    found = join(rows.select(F.col("row_key").alias("doc_id"), F.col("kept_text").alias("text")), k, similarity)
+    sized = rows.join(found.withColumnRenamed("doc_id", "row_key"), "row_key")
+    first = F.min(F.struct("kept_id", "kept_text", "row_key")).alias("x")
+    of_group = sized.where("n_shingles > 0").groupBy("component_id").agg(first).select("x.row_key")
+    wordless = sized.where("n_shingles = 0")
+    of_equal = wordless.where("kept_id IS NOT NULL").groupBy("kept_id", "kept_text").agg(F.min("row_key").alias("row_key")).select("row_key")
+    return of_group.unionByName(of_equal).unionByName(wordless.where("kept_id IS NULL").select("row_key"))

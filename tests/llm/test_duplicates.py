@@ -67,6 +67,23 @@ def test_keep_one(documents, odd):
     assert not {22, 23, 24} & set(ids)
 
 
+def test_keep_one_goes_by_the_text_of_each_row(spark):
+    words = [f"w{i}" for i in range(300)]
+    first, second, third, fourth = (" ".join(words[at : at + 60]) for at in (0, 60, 120, 180))
+    near = lambda text: text + " more"
+    rows = [
+        (5, first, 1), (5, second, 2), (6, near(first), 3), (7, near(second), 4),  # a doc_id with texts of two groups
+        (8, third, 5), (8, third, 6), (9, None, 7), (9, "", 8), (9, "", 9),  # equal rows
+        (None, fourth, 10), (None, fourth, 11), (None, near(fourth), 12), (None, "alone", 13), (None, None, 14), (None, None, 15),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    kept = [tuple(r) for r in ngram_join.keep_one(docs).collect()]
+    assert {r[2] for r in kept} >= {1, 2, 7, 13, 14, 15}
+    assert sum(r[1] == third for r in kept) == sum(r[2] in (8, 9) for r in kept) == sum(r[2] in (10, 11, 12) for r in kept) == 1
+    assert len(kept) == 9
+    assert not {3, 4} & {r[2] for r in kept}
+
+
 def test_repeated_words(documents, odd):
     for table in (documents, odd):
         got = by_id(debruijn.remove_repeats(table), "n_words", "n_removed", "kept_sha256")
