@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ BITS = 22
 SLOTS = 1 << BITS
 NEIGHBOURS, CLOSENESS, PRIOR_WEIGHT = 16, 0.05, 0.5
 #: Terms of most examples that are multiplied densely, queries handled together, and more than single precision errs by.
-DENSE, QUERIES, ROUNDING = 2048, 64, 1e-4
+DENSE, QUERIES, ROUNDING = 512, 64, 1e-4
 THRESHOLD = 0.3
 
 _SEPARATOR = np.zeros(256, bool)
@@ -110,22 +111,31 @@ class Index:
     """Unit vectors of examples."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> None:
-        self.order, self.n, self.n_terms = list(range(len(vectors))), len(vectors), n_terms
-        self.at = np.cumsum([0, *(len(t) for t, _ in vectors)])
-        self.term = np.concatenate([np.zeros(0, np.int32), *(t.astype(np.int32) for t, _ in vectors)])
-        self.weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
+        at = np.cumsum([0, *(len(t) for t, _ in vectors)])
+        self._hold(at, np.concatenate([np.zeros(0, np.int32), *(t.astype(np.int32) for t, _ in vectors)]), np.concatenate([np.zeros(0), *(w for _, w in vectors)]), n_terms)
+
+    @classmethod
+    def of(cls, at: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int) -> Index:
+        """Of vectors at[i] … at[i + 1] of the terms."""
+        made = cls.__new__(cls)
+        made._hold(at, term, weight, n_terms)
+        return made
+
+    def _hold(self, at: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int) -> None:
+        self.order, self.n, self.n_terms = list(range(len(at) - 1)), len(at) - 1, n_terms
+        self.at, self.term, self.weight = at, term, weight
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_tables"}  # made anew where they are used
 
     @functools.cached_property
-    def _tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Place of each term (-1: no example has it), dense weights of the first places, postings of the others."""
-        held = np.bincount(self.term, minlength=self.n_terms)
-        known = np.argsort(-held, kind="stable")[: np.count_nonzero(held)]
+    def _tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Place of each term (-1: no example has it), places of the examples' terms, dense weights of the first places, postings of the others."""
+        known, held = np.unique(self.term, return_counts=True)
+        known = known[np.argsort(-held, kind="stable")]
         n_dense = min(DENSE, len(known))
         place = np.full(self.n_terms, -1, np.int32)
-        place[known] = np.arange(len(known))
+        place[known] = np.arange(len(known), dtype=np.int32)
         mine, example = place[self.term], np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.at))
         dense = np.zeros((n_dense, self.n), np.float32)
         often = mine < n_dense
@@ -133,7 +143,7 @@ class Index:
         rare = np.flatnonzero(~often)
         rare = rare[np.argsort(mine[rare], kind="stable")]
         begin = np.searchsorted(mine[rare], np.arange(n_dense, len(known) + 1))
-        return place, dense, begin, example[rare], self.weight[rare].astype(np.float32)
+        return place, mine, dense, begin, example[rare], self.weight[rare].astype(np.float32)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> Hits:
         """The k nearest examples with a cosine above 0; ties go to the earlier slot. without: a slot to leave out."""
@@ -141,8 +151,8 @@ class Index:
 
     def nearest_of(self, at: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: np.ndarray | None = None) -> Iterator[Hits]:
         """The same for each query at[i] … at[i + 1] of the terms."""
-        place, dense, begin, example, posted = self._tables
-        full = np.zeros(self.n_terms)
+        place, mine_of, dense, begin, example, posted = self._tables
+        full = np.zeros(len(dense) + len(begin))  # the last one is for terms that no example has
         for first in range(0, len(at) - 1, QUERIES):
             last = min(first + QUERIES, len(at) - 1)
             own = slice(at[first], at[last])
@@ -163,12 +173,11 @@ class Index:
                 if without is not None and without[first + q] >= 0:
                     row[without[first + q]] = 0
                 near = np.flatnonzero((row > 0) & (row >= np.partition(row, -k)[-k] - ROUNDING)) if self.n > k else np.flatnonzero(row > 0)
-                slots, values = terms[own][mine], weight[mine]
-                full[slots] = values
+                full[where[mine]] = weight[mine]
                 sizes = self.at[near + 1] - self.at[near]
                 posts = arrays.ranges(self.at[near], sizes)
-                cosines = np.bincount(np.repeat(np.arange(len(near)), sizes), weights=self.weight[posts] * full[self.term[posts]], minlength=len(near))
-                full[slots] = 0
+                cosines = np.bincount(np.repeat(np.arange(len(near)), sizes), weights=self.weight[posts] * full[mine_of[posts]], minlength=len(near))
+                full[where[mine]] = 0
                 best = np.lexsort((near, -np.round(cosines, 9)))[:k]
                 yield Hits(near[best], np.minimum(cosines[best], 1.0))
 
@@ -176,30 +185,28 @@ class Index:
 class Model:
     """Weights of the slots, index, labels, and the map from votes to calibrated scores."""
 
-    def __init__(self, idf: np.ndarray, examples: list[tuple[int, np.ndarray, np.ndarray, int]], totals: tuple[int, int]) -> None:
-        """examples: doc_id, slots, counts, label; totals: labelled rows of label 0 and 1 that they stand for."""
-        labels = np.array([e[3] for e in examples], np.int64)
+    def __init__(self, idf: np.ndarray, doc_id: list[int], labels: np.ndarray, at: np.ndarray, terms: np.ndarray, counts: np.ndarray, totals: tuple[int, int]) -> None:
+        """at, terms, counts: slots and counts at[i] … at[i + 1] of each example; totals: labelled rows of label 0 and 1 that
+        the examples stand for."""
         taken = np.bincount(labels, minlength=2)
         stand_for = np.array([t / max(n, 1) for t, n in zip(totals, taken, strict=True)])
-        empty = np.array([not len(e[1]) for e in examples], bool)
+        empty = np.diff(at) == 0
         without = np.array([(empty & (labels == label)).sum() * stand_for[label] for label in (0, 1)])
-        self.empty_score = float((without[1] + 0.01) / (without.sum() + 1)) if len(examples) else 0.0
-        filled = [e for e in examples if len(e[1])]
+        self.empty_score = float((without[1] + 0.01) / (without.sum() + 1)) if len(labels) else 0.0
         self.prior = float(totals[1] / max(sum(totals), 1))
-        having = np.zeros((2, SLOTS))
-        for _, terms, _, label in filled:
-            having[label, terms] += 1
-        self.weight = (idf * _leaning(having, taken)).astype(np.float32)
-        at = np.cumsum([0, *(len(e[1]) for e in filled)])
-        none = np.zeros(0, np.int64)
-        terms = np.concatenate([none, *(e[1] for e in filled)])
-        weights = self.unit(at, terms, np.concatenate([none, *(e[2] for e in filled)]))
-        self.index = Index([(terms[a:b], weights[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], len(idf))
-        self.doc_id = [e[0] for e in filled]
-        self.label = np.array([e[3] for e in filled], np.int64)
+        known = np.unique(terms)
+        place = np.searchsorted(known, terms).astype(np.int32)
+        toxic = np.repeat(labels == 1, np.diff(at))
+        having = np.array([np.bincount(place[of], minlength=len(known)) for of in (~toxic, toxic)])
+        self.weight = idf.copy()
+        self.weight[known] *= _leaning(having, taken)
+        at = np.append(at[:-1][~empty], at[-1])
+        self.index = Index.of(at, terms, self.unit(at, terms, counts), len(idf))
+        self.doc_id = [i for i, none in zip(doc_id, empty, strict=True) if not none]
+        self.label = labels[~empty]
         self.stands = stand_for[self.label] if len(self.label) else np.zeros(0)
         self.steps, self.levels = np.array([0.0, 1.0]), np.array([0.0, 1.0])
-        self._calibrate(idf, having, taken)
+        self._calibrate(idf, place, having, taken)
 
     def unit(self, at: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Weights of the unit vectors of texts at[i] … at[i + 1] of the terms."""
@@ -211,7 +218,7 @@ class Model:
         weight = self.stands[hits.example] / (1 - hits.cosine + CLOSENESS) * CLOSENESS
         return float((weight @ self.label[hits.example] + PRIOR_WEIGHT * self.prior) / (weight.sum() + PRIOR_WEIGHT))
 
-    def _calibrate(self, idf: np.ndarray, having: np.ndarray, taken: np.ndarray) -> None:
+    def _calibrate(self, idf: np.ndarray, place: np.ndarray, having: np.ndarray, taken: np.ndarray) -> None:
         """Isotonic regression of the labels on leave-one-out votes, by pooling neighbours out of order. The example that is
         left out does not tell how its terms lean either."""
         if not len(self.label):
@@ -221,7 +228,7 @@ class Model:
         for i, slot in enumerate(some):
             own = slice(self.index.at[slot], self.index.at[slot + 1])
             terms, mine = self.index.term[own], np.array([[1 - self.label[slot]], [self.label[slot]]])
-            ratio = idf[terms] * _leaning(having[:, terms] - mine, taken - mine[:, 0]) / self.weight[terms]
+            ratio = idf[terms] * _leaning(having[:, place[own]] - mine, taken - mine[:, 0]) / self.weight[terms]
             weight = self.index.weight[own] * ratio
             votes[i] = self.vote(self.index.nearest(terms, weight / np.sqrt((weight**2).sum()) * ratio, NEIGHBOURS, without=slot))
         pools: list[list[float]] = []  # first vote, last vote, weight, weight of label 1
@@ -260,8 +267,12 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataF
     sample = stored(taken[0].unionByName(taken[1]))
     idf = _idf(docs)
     chosen = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # bounded by the number of examples
-    rows = stored(chosen.select("doc_id", "toxic", "text").mapInArrow(_vectors, "doc_id long, toxic int, terms array<int>, counts array<int>")).orderBy("doc_id").toArrow().to_batches()
-    model = Model(idf, [e for batch in rows for e in _examples(batch)], (totals[0], totals[1]))
+    rows = stored(chosen.select("doc_id", "toxic", "text").mapInArrow(_vectors, "doc_id long, toxic int, terms array<int>, counts array<int>")).orderBy("doc_id").toArrow().combine_chunks()
+    lists = rows.column("terms")
+    at = np.cumsum([0, *pc.list_value_length(lists).to_pylist()])
+    terms, counts = (pc.list_flatten(rows.column(c)).to_numpy() for c in ("terms", "counts"))
+    model = Model(idf, rows.column("doc_id").to_pylist(), rows.column("toxic").to_numpy().astype(np.int64), at, terms, counts, (totals[0], totals[1]))
+    del rows, lists
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in arrays.slices(batches):
@@ -282,15 +293,9 @@ def _idf(docs: DataFrame) -> np.ndarray:
         counted = counted.unionByName(again.select("text", (1 - F.col("copies")).alias("n")))
     rows = counted.mapInArrow(_frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     slots, n = (rows.column(c).to_numpy() for c in ("slot", "n"))
-    frequency = np.zeros(SLOTS, np.int64)
-    frequency[slots[slots >= 0]] = n[slots >= 0]
-    return np.log((1 + n[slots < 0].sum()) / (1 + frequency)) + 1
-
-
-def _examples(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
-    """doc_id, slots, counts and label of each row."""
-    for i, (doc_id, label) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist(), strict=True)):
-        yield doc_id, batch.column("terms")[i].values.to_numpy().astype(np.int64), batch.column("counts")[i].values.to_numpy().astype(np.int64), label
+    idf = np.zeros(SLOTS, np.float32)
+    idf[slots[slots >= 0]] = n[slots >= 0]
+    return np.log(np.float32(1 + n[slots < 0].sum()) / (1 + idf)) + np.float32(1)
 
 
 def _result(scored: DataFrame) -> DataFrame:
