@@ -6,7 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runledger.llm import debruijn, decontamination, language, ngram_join, packing, pii, quality, suffix_dedup, token_files, toxicity
+from runledger.llm import (
+    debruijn,
+    decontamination,
+    language,
+    minhash,
+    ngram_join,
+    oracles,
+    packing,
+    pii,
+    prefix_trie,
+    quality,
+    spelling,
+    suffix_dedup,
+    token_files,
+    toxicity,
+)
 from runledger.llm.storage import over_tables
 
 
@@ -22,8 +37,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_array_dedup": over_tables(suffix_dedup.remove_repeats, "documents"),
         "op9_decontamination": over_tables(decontamination.contamination, "documents", "benchmark"),
         "op10_substring_dedup": over_tables(debruijn.remove_repeats, "documents"),
+        "op11_spelling_variants": over_tables(spelling.group_spellings, "documents"),
+        "op12_prefix_trie": over_tables(prefix_trie.prefix_tree, "conversations"),
+        "op13_minhash_dedup": over_tables(minhash.deduplicate, "documents"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()

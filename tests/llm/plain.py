@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import re
+import zlib
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -134,3 +135,70 @@ def contamination(docs, items, window=10):
                     found |= known[key]
         out[i] = (len(words), len(hit), len(found), sha(",".join(sorted(found))), bool(hit))
     return out
+
+
+def spellings(rows, least=5, factor=5):
+    """word -> (form, root, n, n_near, form_n) by editing every word in every way; rows are (doc_id, text)."""
+    counts = collections.Counter()
+    for i, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = lower(run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            at = h % len(run)
+            counts[run if h % 199 else run[:at] + run[at + 1 :]] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= 6 and n >= least}
+    holes = collections.defaultdict(set)
+    for w in words:
+        for at in range(len(w)):
+            holes[w[:at] + w[at + 1 :]].add(w)
+            holes[w[:at], w[at + 1 :]].add(w)
+        holes[w].add(w)
+    forms, out = {}, {}
+    near_of = collections.defaultdict(set)
+    for key, group in holes.items():
+        for w in group if len(group) > 1 else ():
+            for o in group:
+                if o != w and (isinstance(key, tuple) or key in (w, o)):
+                    near_of[w].add(o)
+    for w, n in words.items():
+        best = min(near_of[w], key=lambda o: (-words[o], o), default=None)
+        forms[w] = best if best is not None and words[best] >= factor * n else None
+    for w, n in words.items():
+        root = w
+        while forms[root] is not None:
+            root = forms[root]
+        out[w] = (forms[w], root, n, len(near_of[w]), words[forms[w]] if forms[w] else None)
+    return out
+
+
+def trie(rows):
+    """(conv_id, depth) -> the other columns, by dictionaries of whole sequences; rows are (conv_id, turn, role, text)."""
+
+    def name(role, text):
+        return hashlib.md5(f"{len(role.encode())}:{role}{text}".encode()).digest()
+
+    told = collections.defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            told[conv].append((turn is not None, turn or 0, name(role or "", text or ""), role or "", text or ""))
+    told = {c: [(r, t) for *_, r, t in sorted(x)] for c, x in told.items()}
+    members, ends = collections.defaultdict(list), collections.defaultdict(list)
+    for c in sorted(told):
+        h = zlib.crc32(str(c).encode()) % 4
+        path = tuple(told.get(c - c % 20, [])[:h] + told[c][h:])
+        for d in range(len(path) + 1):
+            members[path[:d]].append(c)
+        ends[path].append(c)
+    children = collections.defaultdict(list)
+    for path in members:
+        if path:
+            children[path[:-1]].append(path)
+    leaves, saved, out = {}, {}, {}
+    for path in sorted(members, key=len, reverse=True):
+        own = (len(members[path]) - 1) * len(WORD.findall(path[-1][1])) if path else 0
+        leaves[path] = sum(leaves[x] for x in children[path]) or 1
+        saved[path] = own + sum(saved[x] for x in children[path])
+    for path, all_ in members.items():
+        above = members[path[:-1]][0] if path else None
+        out[all_[0], len(path)] = (above, len(all_), len(children[path]), leaves[path], saved[path], sha(",".join(map(str, ends[path]))))
+    return out
