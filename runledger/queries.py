@@ -337,7 +337,7 @@ def streamed_counts(t: SampleTables) -> DataFrame:
     return t.spark.read.parquet(f"{path}/rows")
 
 
-def fed_in_parts(t: SampleTables, path: str, handle: Callable[[DataFrame, int], None], of=lambda runs: runs) -> None:
+def fed_in_parts(t: SampleTables, path: str, handle: Callable[[DataFrame, int], None], of=lambda runs: runs, **how) -> None:
     """Feeds the runs of four stretches of time one after the other, each as a batch of its own."""
     events, cuts = t.raw("events"), [None, *(t.as_of - timedelta(days=d) for d in (23, 15, 7)), None]
     for since, until in zip(cuts[:-1], cuts[1:], strict=True):
@@ -346,25 +346,25 @@ def fed_in_parts(t: SampleTables, path: str, handle: Callable[[DataFrame, int],
         events.filter(after & before).write.mode("append").parquet(f"{path}/in")
         stream = t.spark.readStream.schema(events.schema).parquet(f"{path}/in")
         runs = t.spark.sql(VIEWS["runs"].replace("FROM events", "FROM {events}"), events=stream)
-        runner.drain_batches(of(runs), path, handle)
+        runner.drain_batches(of(runs), path, handle, **how)
 
 
 def streamed_failures(t: SampleTables) -> DataFrame:
     path = shared_folder(t.spark)
-    fed_in_parts(t, path, SF.consecutive_failures_of(path))
+    fed_in_parts(t, path, runner.write_batch(path), SF.last_states, mode="update", partitions=state_size(t), store=runner.STORE)
     return SF.latest_per_job(t.spark.read.parquet(f"{path}/rows"))
 
 
 def streamed_rollup(t: SampleTables) -> DataFrame:
     """The check day is the day after the newest run, so it moves with every batch."""
     path = shared_folder(t.spark)
-    fed_in_parts(t, path, SR.refresh_rollup(t.jobs, path, as_of=lambda seen, before: seen + timedelta(days=1) if seen else before))
-    return t.spark.read.parquet(f"{path}/health")
+    fed_in_parts(t, path, SR.refresh_rollup(t.jobs, path, as_of=lambda seen, before: seen + timedelta(days=1) if seen else before, buckets=state_size(t)))
+    return SR.health_written(t.spark, path)
 
 
 def streamed_conditions(t: SampleTables) -> DataFrame:
     path = shared_folder(t.spark)
-    fed_in_parts(t, path, suppress.suppress_repeats(path), suppress.failure_conditions)
+    fed_in_parts(t, path, suppress.suppress_repeats(path, buckets=state_size(t)), suppress.failure_conditions)
     return t.spark.read.parquet(f"{path}/rows").select("condition_key", "raised_at")
 
 

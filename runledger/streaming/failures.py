@@ -2,64 +2,108 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
+from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.keys import JOB_KEY
 from ..functions.states import is_failed, is_finished
-from . import state
 
-STATE = "workspace_id long, job_id long, run_id long, period_start_time timestamp, state string, failed boolean"
-
-
-def _newest_two(rows: DataFrame) -> DataFrame:
-    """The rank limit applies before the shuffle, so a job sends two rows per task at most."""
-    newest = Window.partitionBy(*JOB_KEY).orderBy(F.col("period_start_time").desc(), F.col("run_id").desc())
-    return rows.withColumn("rn", F.row_number().over(newest)).filter("rn <= 2")
-
-
-def last_states(rows: DataFrame) -> DataFrame:
-    """The last two states of each job, from at most two ranked runs per job."""
-    newest, second = F.col("rn") == 1, F.col("rn") == 2
-    return (
-        _newest_two(rows)
-        .groupBy(*JOB_KEY)
-        .agg(
-            F.max(F.when(newest, F.col("state"))).alias("last_state"),
-            F.max(F.when(second, F.col("state"))).alias("previous_state"),
-            F.max(newest & F.col("failed")).alias("last_failed"),
-            (F.max(newest & F.col("failed")) & F.max(second & F.col("failed"))).alias("consecutive_failure"),
+RUN = "workspace_id long, job_id long, run_id long, started timestamp, state string, failed boolean"
+LAST = "workspace_id long, job_id long, last_state string, previous_state string, last_failed boolean, consecutive_failure boolean"
+HELD = "started long, run_id long, state string, failed boolean, before_started long, before_run_id long, before_state string, before_failed boolean"
+#: Runs that start more than this before the newest one seen are too late, and jobs without a run for so long are forgotten.
+LATE, FORGET = timedelta(days=2), timedelta(days=90)
+
+
+def _micros(moment: pd.Timestamp | datetime) -> int:
+    return pd.Timestamp(moment).value // 1000
+
+
+def _two_of_each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The newest two runs of each job among the rows that come together: what a hot job sends on is two rows per Arrow batch."""
+    for frame in frames:
+        once = frame.drop_duplicates([*JOB_KEY, "run_id", "started"], keep="last").sort_values(["started", "run_id"])
+        yield once.groupby(JOB_KEY, dropna=False).tail(2)
+
+
+class LastTwo(StatefulProcessor):
+    """Keeps the newest two runs of a job in the state store, and a timer that forgets a job without new runs."""
+
+    def __init__(self, forget: timedelta | None = FORGET) -> None:
+        self.forget = forget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("last_two", HELD)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        before = self._two()
+        known = {(run[0], run[1]): run for run in before}
+        for frame in rows:
+            for started, run_id, state, failed in zip(frame["started"], frame["run_id"], frame["state"], frame["failed"], strict=True):
+                known[_micros(started), int(run_id)] = (_micros(started), int(run_id), state, bool(failed))
+            known = {(run[0], run[1]): run for run in sorted(known.values(), key=lambda r: r[:2])[-2:]}
+        newest = sorted(known.values(), key=lambda r: r[:2], reverse=True)
+        if newest != before:
+            last, previous = newest[0], newest[1] if len(newest) > 1 else (None, None, None, None)
+            self.held.update((*last, *previous))
+            if self.forget is not None and (not before or before[0][0] != last[0]):
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer((last[0] + self.forget // timedelta(microseconds=1)) // 1000)
+        yield self._row(key, newest)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.held.clear()
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+    def _two(self) -> list[tuple]:
+        if not self.held.exists():
+            return []
+        held = tuple(self.held.get())
+        return [run for run in (held[:4], held[4:]) if run[0] is not None]
+
+    @staticmethod
+    def _row(key, newest: list[tuple]) -> pd.DataFrame:
+        last, previous = newest[0], newest[1] if len(newest) > 1 else None
+        return pd.DataFrame(
+            {
+                "workspace_id": [key[0]],
+                "job_id": [key[1]],
+                "last_state": [last[2]],
+                "previous_state": [previous[2] if previous else None],
+                "last_failed": [last[3]],
+                "consecutive_failure": [bool(last[3] and previous and previous[3])],
+            }
         )
-    )
 
 
-def consecutive_failures_of(path: str) -> Callable[[DataFrame, int], None]:
-    """Batch handler: emits the last two states of every job that a batch touches.
+def last_states(runs: DataFrame, late: timedelta = LATE, forget: timedelta | None = FORGET) -> DataFrame:
+    """The last two states of every job that a batch touches, from a stream of runs; update mode.
 
-    Kept are two runs per job. Order of arrival does not matter: a late run takes its place by
-    start time, one older than both kept runs changes nothing, and a run that comes twice counts
-    once.
+    State is one value per job in the state store: its two newest runs. Order of arrival does not
+    matter within ``late``: a run takes its place by start time, one older than both kept runs changes
+    nothing, and a run that comes twice counts once. A run that starts more than ``late`` before the newest
+    run of all earlier batches is dropped, whatever its job. A job whose newest run lies ``forget`` behind the
+    watermark leaves the state; with its next run it starts anew.
     """
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        arrived = batch.filter(is_finished()).select(
-            *JOB_KEY,
-            "run_id",
-            F.col("period_start_time").cast("timestamp").alias("period_start_time"),
-            F.upper("result_state").alias("state"),
-            is_failed().alias("failed"),
-        )
-        arrived = _newest_two(arrived.dropDuplicates([*JOB_KEY, "run_id", "period_start_time"])).drop("rn")
-        held = state.before(batch.sparkSession, path, batch_id, STATE)
-        both = arrived.unionByName(held).dropDuplicates([*JOB_KEY, "run_id", "period_start_time"])
-        kept = state.keep(_newest_two(both).drop("rn"), path, batch_id)
-        touched = arrived.select(*JOB_KEY).distinct()
-        fresh = last_states(kept.join(touched, JOB_KEY, "left_semi"))
-        state.emit(fresh.withColumn("written_at_batch", F.lit(batch_id).cast("long")), path, batch_id)
-
-    return handle
+    arrived = runs.filter(is_finished()).select(
+        *JOB_KEY,
+        "run_id",
+        F.col("period_start_time").cast("timestamp").alias("started"),
+        F.upper("result_state").alias("state"),
+        is_failed().alias("failed"),
+    )
+    reduced = arrived.mapInPandas(_two_of_each, RUN).withWatermark("started", f"{int(late.total_seconds())} seconds")
+    return reduced.groupBy(*JOB_KEY).transformWithStateInPandas(LastTwo(forget), LAST, "Update", "EventTime")
 
 
 def latest_per_job(written: DataFrame) -> DataFrame:

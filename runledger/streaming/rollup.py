@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import JOB_KEY
@@ -16,7 +16,11 @@ from . import state
 
 COUNTS = ["finished", "succeeded", "open"]
 RUN = "struct<started: timestamp_ntz, run_id: long, seconds: int, failed: boolean>"
-STATE = f"workspace_id long, job_id long, run_date date, finished long, succeeded long, open long, newest array<{RUN}>, as_of date"
+STATE = f"workspace_id long, job_id long, run_date date, finished long, succeeded long, open long, newest array<{RUN}>"
+HEALTH = (
+    "workspace_id long, job_id long, job_name string, total_runs long, success_count long, success_rate double, last_run_time timestamp_ntz, "
+    "last_duration_seconds int, priority string, status string, retry_count long, open_runs long"
+)
 
 
 def daily_parts(runs: DataFrame) -> DataFrame:
@@ -78,29 +82,47 @@ def health_of(parts: DataFrame, jobs: DataFrame) -> DataFrame:
     )
 
 
+def health_written(spark: SparkSession, path: str) -> DataFrame:
+    """The rollup as the newest batch left it."""
+    return spark.read.schema(f"{HEALTH}, bucket int").parquet(f"{path}/health").filter("job_id IS NOT NULL").drop("bucket")
+
+
 def refresh_rollup(
-    jobs: DataFrame, path: str, days: int = 7, as_of: Callable[[date | None, date | None], date | None] | None = None
+    jobs: DataFrame,
+    path: str,
+    days: int = 7,
+    as_of: Callable[[date | None, date | None], date | None] | None = None,
+    buckets: int = state.BUCKETS,
 ) -> Callable[[DataFrame, int], None]:
-    """Batch handler: adds the daily parts of the new runs and writes the rollup anew.
+    """Batch handler: adds the daily parts of the new runs and swaps the buckets of the rollup that they change.
 
     The check day moves with the stream: it is the newest day seen so far, or what ``as_of`` makes
     of the newest day of the batch and the check day before it. Kept are the parts of the window,
-    so a job without runs in it leaves the rollup, and a batch costs one pass over its own rows
-    and one over (jobs x days) parts, however many runs there were before.
+    so a job without runs in it leaves the rollup. State and rollup are cut into the same buckets
+    of jobs. A batch reads and writes the state of the buckets that its runs lie in. While the
+    check day stays, it writes the same buckets of the rollup; on the first batch of a new day, when
+    runs leave the window of every job, all of them, from the parts alone.
     """
+    table = state.Buckets(path, STATE, JOB_KEY, buckets)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        held = state.before(batch.sparkSession, path, batch_id, STATE)
+        spark = batch.sparkSession
+        touched = table.touched(batch.select(*JOB_KEY).distinct())
+        held = table.before(spark, batch_id, touched)
         seen = batch.agg(F.max(F.to_date("period_start_time"))).first()[0]
-        previous = held.agg(F.max("as_of")).first()[0]
+        previous = date.fromisoformat(held.value) if held.value else None
         check_day = as_of(seen, previous) if as_of else max((d for d in (seen, previous) if d), default=None)
-        if check_day is None:
-            state.keep(held, path, batch_id)
+        if check_day is None or not touched:
             return
-        window = F.col("run_date").between(F.lit(check_day - timedelta(days=days)), F.lit(check_day))
-        fresh = daily_parts(batch)
-        parts = merged(held.drop("as_of").unionByName(fresh)).withColumn("as_of", F.lit(check_day))
-        kept = state.keep(parts.filter(F.col("run_date") >= F.lit(check_day - timedelta(days=days))), path, batch_id)
-        health_of(kept.filter(window), jobs).write.mode("overwrite").parquet(f"{path}/health")
+        since = F.lit(check_day - timedelta(days=days))
+        parts = merged(held.rows.unionByName(daily_parts(batch))).filter(F.col("run_date") >= since)
+        kept = table.keep(parts, held, batch_id, touched, check_day.isoformat())
+        fresh = touched
+        if check_day != previous:
+            kept, fresh = table.before(spark, batch_id + 1).rows, list(range(buckets))
+        health = table.bucketed(health_of(kept.filter(F.col("run_date").between(since, F.lit(check_day))), jobs))
+        # A row without keys for each bucket, so that one that runs empty is swapped too.
+        marks = spark.createDataFrame([(b,) for b in fresh], "bucket int")
+        state.swap(health.unionByName(marks, allowMissingColumns=True).repartition("bucket"), f"{path}/health", "bucket")
 
     return handle

@@ -7,8 +7,27 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 PARTITIONS = "spark.sql.shuffle.partitions"
+#: Keyed state lives in a store that writes what a batch has changed, not the whole state.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings that a stream takes over at its start."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 @contextmanager
@@ -43,7 +62,8 @@ def drain_batches(
     handle: Callable[[DataFrame, int], None],
     mode: str = "append",
     partitions: int | None = None,
-) -> None:
+    store: dict[str, str] | None = None,
+) -> StreamingQuery:
     """Calls ``handle`` for every batch; it must overwrite what an earlier try of the batch wrote."""
     writer = (
         stream.writeStream.outputMode(mode)
@@ -51,9 +71,10 @@ def drain_batches(
         .option("checkpointLocation", f"{path}/_state")
         .trigger(availableNow=True)
     )
-    with state_partitions(stream.sparkSession, partitions):
+    with state_partitions(stream.sparkSession, partitions), settings(stream.sparkSession, store or {}):
         query = writer.start()
-    query.awaitTermination()
+        query.awaitTermination()
+    return query
 
 
 def write_batch(path: str) -> Callable[[DataFrame, int], None]:

@@ -24,41 +24,45 @@ def failure_conditions(runs: DataFrame) -> DataFrame:
     )
 
 
-def passing(times: Column, last: Column, hold: timedelta) -> Column:
-    """Of sorted times those that lie at least ``hold`` after the last one passed before them."""
-    seconds = F.make_dt_interval(secs=F.lit(hold.total_seconds()))
+def _free(hold: timedelta) -> Column:
+    """Whether an event is not held back by the last one that passed."""
+    return F.col("passed_at").isNull() | (F.col("raised_at") >= F.col("passed_at") + F.make_dt_interval(secs=F.lit(hold.total_seconds())))
 
-    def step(held: Column, time: Column) -> Column:
-        free = held.last.isNull() | (time >= held.last + seconds)
-        return F.struct(
-            F.when(free, time).otherwise(held.last).alias("last"),
-            F.when(free, F.concat(held.passed, F.array(time))).otherwise(held.passed).alias("passed"),
-        )
 
-    start = F.struct(last.alias("last"), F.array().cast("array<timestamp>").alias("passed"))
-    return F.aggregate(times, start, step)
-
-
-def suppress_repeats(path: str, hold: timedelta = HOLD) -> Callable[[DataFrame, int], None]:
+def suppress_repeats(path: str, hold: timedelta = HOLD, buckets: int = state.BUCKETS) -> Callable[[DataFrame, int], None]:
     """Batch handler: a condition passes if it was not passed within ``hold`` before, in event time.
 
     The result does not depend on how the events are cut into batches, as long as they arrive in
-    the order of their times; an event older than one that has passed counts as its repeat. Kept
-    is one time per condition, and only while it can still hold something back. A condition's
-    distinct times of one batch meet in one row: at most one per microsecond, so a batch should
-    not span years.
+    the order of their times; an event older than one that has passed counts as its repeat. Of each
+    condition the first free event passes, which is a minimum that tasks combine before the shuffle.
+    Events that it holds back are gone, and the step is repeated with the rest: once for each holding
+    time that the events of one condition in the batch span. No list of events is built. Kept is one
+    time per condition, in buckets; a bucket that is written drops the times that can hold nothing
+    back any more.
     """
+    table = state.Buckets(path, STATE, ["condition_key"], buckets)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        held = state.before(batch.sparkSession, path, batch_id, STATE)
-        times = batch.groupBy("condition_key").agg(F.array_sort(F.collect_set("raised_at")).alias("times"))
-        judged = times.join(held, "condition_key", "full").select(
-            "condition_key", passing(F.coalesce("times", F.array().cast("array<timestamp>")), F.col("passed_at"), hold).alias("x")
-        )
-        state.emit(judged.select("condition_key", F.explode("x.passed").alias("raised_at")), path, batch_id)
-        newest = batch.agg(F.max("raised_at").alias("newest"))
-        open_ = judged.select("condition_key", F.col("x.last").alias("passed_at")).join(newest)
-        still = F.col("newest").isNull() | (F.col("passed_at") > F.col("newest") - F.make_dt_interval(secs=F.lit(hold.total_seconds())))
-        state.keep(open_.filter(still).select("condition_key", "passed_at"), path, batch_id)
+        spark = batch.sparkSession
+        touched = table.touched(batch.select("condition_key").distinct())
+        held = table.before(spark, batch_id, touched)
+        last, passes = held.rows, []
+        waiting = batch.filter("raised_at IS NOT NULL")
+        while True:
+            waiting = waiting.join(last, "condition_key", "left").filter(_free(hold)).drop("passed_at")
+            state.emit(waiting.groupBy("condition_key").agg(F.min("raised_at").alias("raised_at")), path, batch_id, len(passes))
+            passed = spark.read.schema("condition_key string, raised_at timestamp").parquet(f"{path}/rows/batch_id={batch_id}/step={len(passes)}")
+            passes.append(passed)
+            if not passed.limit(1).count():
+                break
+            last = passed.withColumnRenamed("raised_at", "passed_at")
+        newest = batch.agg(F.max("raised_at")).first()[0]
+        both = held.rows
+        for passed in passes:
+            both = both.unionByName(passed.withColumnRenamed("raised_at", "passed_at"))
+        open_ = both.groupBy("condition_key").agg(F.max("passed_at").alias("passed_at"))
+        if newest is not None:
+            open_ = open_.filter(F.col("passed_at") > F.lit(newest - hold))
+        table.keep(open_, held, batch_id, touched)
 
     return handle
