@@ -234,7 +234,7 @@ def _links(texts: DataFrame, described: DataFrame, k: int, similarity: Fraction,
     asked = stored(votes.groupBy("doc_id").agg(F.max_by("pivot", F.struct("votes", "pivot")).alias("pivot")))
     active = met.select("doc_id").distinct()
     wanted = stored(chosen.join(active, "doc_id").select("doc_id", "digest"))
-    sets = stored(texts.join(wanted, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).mapInArrow(_sets(k), "doc_id long, shingles binary"))
+    sets = stored(texts.join(wanted.hint("merge"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).mapInArrow(_sets(k), "doc_id long, shingles binary"))
     star = asked.select(F.col("pivot").alias("cluster"), "doc_id", F.col("doc_id").alias("node"))
     centre = star.select("cluster", F.col("cluster").alias("doc_id"), F.col("cluster").alias("node")).distinct()
     joined = _components(_links_in_blocks(star, centre, sets, similarity)).withColumnRenamed("node", "doc_id")
