@@ -16,6 +16,7 @@ from .pieces import (
     category,
     cluster_advice,
     fixed,
+    key_text,
     load_percent,
     reason_advice,
     rounded,
@@ -580,6 +581,57 @@ FROM (SELECT SUM(total_runs) AS total_runs, COUNT(*) AS total_jobs, ROUND({MEAN_
     "report_monthly_teams": rounded(
         f"SELECT * FROM ({TEAM_ROWS}) r ORDER BY total_dbus_30d DESC, team LIMIT 5", "total_dbus_30d"
     ),
+    "duration_windows": rounded(
+        "\nUNION ALL ".join(
+            f"""SELECT {KEY}, {days} AS window_days, COUNT(*) AS run_count, AVG(s) AS avg_duration_seconds, CAST(MAX(s) AS DOUBLE) AS max_duration_seconds,
+  TRUE AS median_within_bound, TRUE AS p90_within_bound
+FROM (SELECT *, {EFFECTIVE} AS s FROM runs WHERE result_state IS NOT NULL AND period_end_time IS NOT NULL) x
+WHERE s > 0 AND period_start_time >= DATE '2024-01-31' - {days} AND period_start_time < DATE '2024-02-01' GROUP BY ALL"""
+            for days in (7, 30, 90)
+        ),
+        "avg_duration_seconds",
+        "max_duration_seconds",
+    ),
+    "run_dbu_rate_sketched": rounded("SELECT *, TRUE AS within_bound FROM run_rates", "avg_dbus_per_hour"),
+    "run_names_then": """
+SELECT r.workspace_id, r.job_id, r.run_id, r.period_start_time,
+  COALESCE(CASE WHEN v.delete_time IS NULL OR v.delete_time > r.period_start_time THEN v.name END, 'job-' || CAST(r.job_id AS VARCHAR)) AS job_name
+FROM runs r ASOF LEFT JOIN jobs v ON r.workspace_id = v.workspace_id AND r.job_id = v.job_id AND r.period_start_time >= v.change_time""",
+    "ack_history": f"""
+SELECT a.condition_key, a.raised_at, CASE WHEN k.acknowledged_at >= a.raised_at - INTERVAL '24' HOUR THEN k.acknowledged_at END AS acknowledged_at,
+  COALESCE(k.acknowledged_at >= a.raised_at - INTERVAL '24' HOUR, FALSE) AS acknowledged
+FROM (SELECT DISTINCT {key_text('failure', "'single'")} AS condition_key, period_start_time AS raised_at FROM runs WHERE {FAILED}) a
+ASOF LEFT JOIN (SELECT DISTINCT condition_key, acknowledged_at FROM ack_history) k ON a.condition_key = k.condition_key AND a.raised_at >= k.acknowledged_at""",
+    "schema_history": """
+SELECT table_name, snapshot_version, COALESCE(BOOL_OR(kind IS NOT NULL), FALSE) AS has_drift,
+  COALESCE(STRING_AGG(column_name, ',' ORDER BY column_name) FILTER (WHERE kind = 'added'), '') AS added_columns,
+  COALESCE(STRING_AGG(column_name, ',' ORDER BY column_name) FILTER (WHERE kind = 'removed'), '') AS removed_columns,
+  COALESCE(STRING_AGG(column_name || ':' || old_type || ':' || new_type, ';' ORDER BY column_name) FILTER (WHERE kind = 'retyped'), '') AS type_changes
+FROM (SELECT v.table_name, v.snapshot_version, c.column_name, o.data_type AS old_type, n.data_type AS new_type,
+    CASE WHEN v.previous IS NULL THEN NULL WHEN o.data_type IS NULL AND n.data_type IS NOT NULL THEN 'added'
+      WHEN o.data_type IS NOT NULL AND n.data_type IS NULL THEN 'removed' WHEN o.data_type <> n.data_type THEN 'retyped' END AS kind
+  FROM (SELECT table_name, snapshot_version, LAG(snapshot_version) OVER (PARTITION BY table_name ORDER BY snapshot_version) AS previous
+    FROM (SELECT DISTINCT table_name, snapshot_version FROM column_history) d) v
+  JOIN (SELECT DISTINCT table_name, column_name FROM column_history) c ON c.table_name = v.table_name
+  LEFT JOIN column_history n ON n.table_name = v.table_name AND n.snapshot_version = v.snapshot_version AND n.column_name = c.column_name
+  LEFT JOIN column_history o ON o.table_name = v.table_name AND o.snapshot_version = v.previous AND o.column_name = c.column_name) x
+GROUP BY ALL""",
+    "row_count_history": rounded(
+        """SELECT table_name, snapshot_date, row_count, baseline_row_count, ROUND(delta, 2) AS delta_percent, ROUND(ABS(delta), 9) > 20 AS is_anomaly
+FROM (SELECT *, CASE WHEN baseline_row_count > 0 THEN (row_count - baseline_row_count) / baseline_row_count * 100
+    WHEN row_count = 0 THEN 0.0 ELSE 100.0 END AS delta
+  FROM (SELECT table_name, snapshot_date, row_count, COALESCE(AVG(row_count) OVER (PARTITION BY table_name ORDER BY snapshot_date
+      ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), CAST(row_count AS DOUBLE)) AS baseline_row_count FROM table_snapshots) w) x""",
+        "baseline_row_count",
+    ),
+    "team_and_total_costs": rounded(
+        """SELECT *, total_dbus_30d * 0.5 AS total_cost_dollars FROM (
+SELECT team, GROUPING(team) = 1 AS is_total, CAST(SUM(total) AS DOUBLE) AS total_dbus_30d, CAST(SUM(job_count) AS BIGINT) AS job_count,
+  ROUND(CASE WHEN SUM(base) > 0 THEN CAST(SUM(weighted) AS DOUBLE) / CAST(SUM(base) AS DOUBLE) ELSE 0.0 END, 1) AS trend_7d_percent
+FROM teams GROUP BY ROLLUP (team)) x""",
+        "total_dbus_30d",
+        "total_cost_dollars",
+    ),
     "stream_run_counts": f"""
 SELECT CAST(DATE_TRUNC('hour', period_start_time) AS TIMESTAMP) AS period, CASE WHEN result_state IS NULL THEN 'open' WHEN {SUCCESS} THEN 'success'
   WHEN {FAILED} THEN 'failed' ELSE 'other' END AS outcome, COUNT(*) AS runs

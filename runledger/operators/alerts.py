@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import wording
+from ..functions.asof import last_change
 from ..functions.keys import JOB_KEY, condition_key
 from ..functions.load import worker_utilization
 from ..functions.numbers import fixed_text, whole_text
@@ -243,6 +244,19 @@ def acknowledge(alerts: DataFrame, acks: DataFrame, as_of_ts: datetime) -> DataF
     return alerts.join(valid, "condition_key", "left").withColumn("acknowledged", F.col("acknowledged_at").isNotNull())
 
 
+def acknowledge_history(alerts: DataFrame, acks: DataFrame, parts: int = 1) -> DataFrame:
+    """Marks alerts, each at its own ``raised_at``, whose condition had an acknowledgement in force at that time.
+
+    In force is the newest acknowledgement at or before the alert if it is 24 hours old at most.
+    A condition may have any number of alerts and acknowledgements; those of a hot one are
+    spread by day, and over ``parts`` tasks each.
+    """
+    found = last_change(alerts, acks, ["condition_key"], "raised_at", "acknowledged_at", [], parts=parts)
+    at = F.col("in_force.acknowledged_at")
+    valid = at >= F.col("raised_at").cast("timestamp") - F.make_dt_interval(hours=F.lit(ACK_HOURS))
+    return found.withColumn("acknowledged_at", F.when(valid, at)).withColumn("acknowledged", F.col("acknowledged_at").isNotNull()).drop("in_force")
+
+
 def filter_alerts(
     alerts: DataFrame,
     severity: list[str] | None = None,

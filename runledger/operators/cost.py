@@ -267,6 +267,31 @@ def team_costs(costs: DataFrame, dbu_rate: float = 0.0) -> DataFrame:
     )
 
 
+def team_and_total_costs(costs: DataFrame, dbu_rate: float = 0.0) -> DataFrame:
+    """``team_costs`` and the grand total from one pass: grouping sets, where ``is_total`` tells the total from a team."""
+    weight = F.col("total_dbus_30d").cast("decimal(28,5)")
+    trend = F.col("trend_7d_percent").cast("decimal(18,1)")
+    moving = F.col("trend_7d_percent") != 0
+    named = costs.withColumn("team", F.coalesce("team", F.lit(UNTAGGED)))
+    sums = named.rollup("team").agg(
+        F.grouping_id().alias("level"),
+        F.sum(weight).alias("total"),
+        F.count(F.lit(1)).alias("job_count"),
+        F.sum(F.when(moving, weight * trend).otherwise(F.lit(0))).alias("weighted"),
+        F.sum(F.when(moving, weight).otherwise(F.lit(0))).alias("base"),
+    )
+    total = F.coalesce(F.col("total").cast("double"), F.lit(0.0))
+    change = F.col("weighted").cast("double") / F.col("base").cast("double")
+    return sums.select(
+        "team",
+        (F.col("level") == 1).alias("is_total"),
+        total.alias("total_dbus_30d"),
+        "job_count",
+        F.round(F.when(F.col("base") > 0, change).otherwise(0.0), 1).alias("trend_7d_percent"),
+        (total * dbu_rate if dbu_rate > 0 else F.lit(None).cast("double")).alias("total_cost_dollars"),
+    )
+
+
 def cost_totals(costs: DataFrame, dbu_rate: float = 0.0) -> DataFrame:
     total = F.coalesce(F.sum(F.col("total_dbus_30d").cast("decimal(28,5)")).cast("double"), F.lit(0.0))
     return costs.agg(total.alias("total_dbus_30d"), F.count(F.lit(1)).alias("total_jobs_count")).select(

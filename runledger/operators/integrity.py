@@ -168,3 +168,96 @@ def schema_drift(snapshots: DataFrame) -> DataFrame:
             F.sort_array(F.collect_list(retyped)).alias("type_changes"),
         )
     )
+
+
+def schema_history(snapshots: DataFrame) -> DataFrame:
+    """One row per table and version with the columns added, removed and retyped since the version before it.
+
+    The versions of a table are numbered without gaps. A column that is missing in between makes a gap in the
+    numbers of its own versions: it is removed where its run ends and added where the next one begins. So no version is
+    joined with another; what meets in one task is one column of one table. The first version has no changes.
+    """
+    versions = snapshots.select("table_name", "snapshot_version").distinct()
+    number = F.row_number().over(Window.partitionBy("table_name").orderBy("snapshot_version"))
+    numbered = versions.withColumn("v", number)
+    seen = snapshots.select("table_name", "snapshot_version", "column_name", "data_type").dropDuplicates(["table_name", "snapshot_version", "column_name"])
+    of_column = Window.partitionBy("table_name", "column_name").orderBy("v")
+    placed = seen.join(numbered, ["table_name", "snapshot_version"]).select(
+        "table_name",
+        "column_name",
+        "v",
+        "data_type",
+        F.lag("v").over(of_column).alias("before"),
+        F.lead("v").over(of_column).alias("after"),
+        F.lag("data_type").over(of_column).alias("old_type"),
+    )
+    goes_on = F.coalesce(F.col("before") == F.col("v") - 1, F.lit(False))
+    ends = F.col("after").isNull() | (F.col("after") > F.col("v") + 1)
+    changes = placed.select(
+        "table_name",
+        F.explode(
+            F.array(
+                F.when((F.col("v") > 1) & ~goes_on, F.struct("v", F.lit("added").alias("kind"), "column_name", F.lit(None).cast("string").alias("old_type"), F.col("data_type").alias("new_type"))),
+                F.when(ends, F.struct((F.col("v") + 1).alias("v"), F.lit("removed").alias("kind"), "column_name", F.col("data_type").alias("old_type"), F.lit(None).cast("string").alias("new_type"))),
+                F.when(goes_on & ~F.col("old_type").eqNullSafe(F.col("data_type")), F.struct("v", F.lit("type_changed").alias("kind"), "column_name", "old_type", F.col("data_type").alias("new_type"))),
+            )
+        ).alias("x"),
+    ).filter("x IS NOT NULL")
+    kind = F.col("x.kind")
+
+    def names(which: str) -> Column:
+        return F.sort_array(F.collect_list(F.when(kind == which, F.col("x.column_name"))))
+
+    retyped = F.when(kind == "type_changed", F.struct("x.column_name", "x.old_type", "x.new_type"))
+    lists = changes.groupBy("table_name", F.col("x.v").alias("v")).agg(
+        names("added").alias("added_columns"), names("removed").alias("removed_columns"), F.sort_array(F.collect_list(retyped)).alias("type_changes")
+    )
+    empty = F.array().cast("array<string>")
+    found = numbered.join(lists, ["table_name", "v"], "left")
+    return found.select(
+        "table_name",
+        "snapshot_version",
+        F.col("added_columns").isNotNull().alias("has_drift"),
+        F.coalesce("added_columns", empty).alias("added_columns"),
+        F.coalesce("removed_columns", empty).alias("removed_columns"),
+        F.coalesce("type_changes", F.array().cast("array<struct<column_name:string,old_type:string,new_type:string>>")).alias("type_changes"),
+    )
+
+
+#: Days of a stretch of history that one task works on.
+STRETCH_DAYS = 128
+
+
+def row_count_history(snapshots: DataFrame, history: int = 10, stretch: int = STRETCH_DAYS) -> DataFrame:
+    """Row count of every snapshot of a table against the mean of up to ``history`` snapshots before it.
+
+    A table's history is cut into stretches of ``stretch`` days. Each takes along the last snapshots before it, which
+    are found from the last ``history`` and the first of each stretch. So the frame over rows runs in
+    one stretch at a time, and a table with a very long history is spread over tasks. Of rows of one table and day the one with
+    the most rows counts.
+    """
+    counted = snapshots.groupBy("table_name", "snapshot_date").agg(F.max(F.coalesce(F.col("row_count").cast("long"), F.lit(0).cast("long"))).alias("row_count"))
+    cut = counted.withColumn("stretch", F.floor(F.unix_date("snapshot_date") / stretch))
+    inside = Window.partitionBy("table_name", "stretch")
+    ends = cut.select(
+        "*",
+        F.row_number().over(inside.orderBy(F.col("snapshot_date").desc())).alias("from_end"),
+        F.row_number().over(inside.orderBy("snapshot_date")).alias("from_start"),
+    ).filter((F.col("from_end") <= history) | (F.col("from_start") == 1))
+    earlier = Window.partitionBy("table_name").orderBy("snapshot_date").rowsBetween(-history, -1)
+    taken = ends.withColumn("taken", F.collect_list(F.struct("snapshot_date", "row_count")).over(earlier)).filter("from_start = 1")
+    along = taken.select("table_name", "stretch", F.explode("taken").alias("x"), F.lit(False).alias("own")).select("table_name", "x.snapshot_date", "x.row_count", "stretch", "own")
+    rows = cut.withColumn("own", F.lit(True)).unionByName(along)
+    before = inside.orderBy("snapshot_date").rowsBetween(-history, -1)
+    current = F.col("row_count")
+    based = rows.withColumn("baseline_row_count", F.coalesce(F.avg("row_count").over(before), current.cast("double"))).filter("own")
+    baseline = F.col("baseline_row_count")
+    delta = F.when(baseline > 0, (current - baseline) / baseline * 100).otherwise(F.when(current == 0, 0.0).otherwise(100.0))
+    return based.select(
+        "table_name",
+        "snapshot_date",
+        "row_count",
+        "baseline_row_count",
+        F.round(delta, 2).alias("delta_percent"),
+        (F.round(F.abs(delta), 9) > ROW_COUNT_ANOMALY_PERCENT).alias("is_anomaly"),
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.asof import last_change
 from ..functions.keys import JOB_KEY, join_spread
 from ..functions.wildcards import matches_any
 
@@ -82,6 +83,21 @@ def with_job_names(df: DataFrame, jobs: DataFrame, team: bool = False, spread_by
     return joined.withColumn("job_name", F.coalesce(F.col("job_name"), fallback))
 
 
+def with_names_then(df: DataFrame, jobs: DataFrame, at: str = "period_start_time", parts: int = 1) -> DataFrame:
+    """Adds ``job_name`` as it was at the time of each row, ``job-<id>`` where the job was unknown or deleted then.
+
+    A version is in force from its change until the next one; a deleted one until its deletion. Of
+    versions of one moment the one counts that ``latest_jobs`` would pick.
+    """
+    order = [F.col("delete_time").desc_nulls_last(), F.col("name").asc_nulls_last()]
+    first = F.row_number().over(Window.partitionBy(*JOB_KEY, "change_time").orderBy(*order))
+    versions = jobs.select(*JOB_KEY, "change_time", "delete_time", "name").withColumn("rn", first).filter("rn = 1")
+    found = last_change(df, versions, JOB_KEY, at, "change_time", ["delete_time", "name"], parts=parts)
+    gone = F.col("in_force.delete_time").cast("timestamp") <= F.col(at).cast("timestamp")
+    name = F.when(~F.coalesce(gone, F.lit(False)), F.col("in_force.name"))
+    return found.withColumn("job_name", F.coalesce(name, F.concat(F.lit("job-"), F.col("job_id").cast("string")))).drop("in_force")
+
+
 def jobs_of_team(jobs: DataFrame, team: str) -> DataFrame:
     return latest_jobs(jobs).filter(tag_text(TEAM_TAG) == team).select(*JOB_KEY)
 

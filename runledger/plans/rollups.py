@@ -58,15 +58,23 @@ def refresh(tables: dict[str, DataFrame], base_path: str) -> dict[str, int]:
 
 
 def refresh_tables(
-    spark: SparkSession, tables: dict[str, DataFrame], namespace: str, fmt: str = "parquet", location: str | None = None
+    spark: SparkSession, tables: dict[str, DataFrame], namespace: str, fmt: str = "parquet", location: str | None = None, buckets: int | None = None
 ) -> dict[str, int]:
-    """The same into catalog tables, creating the namespace first."""
+    """The same into catalog tables, creating the namespace first.
+
+    With ``buckets`` tables with a job key are hashed and sorted by it, so that joins and aggregates by
+    job over one or several of them need no shuffle.
+    """
     ensure_namespace(spark, namespace, location)
     counts = {}
     for name, df in tables.items():
         seen = Observation(f"table_{name}")
         observed = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-        observed.write.format(fmt).mode("overwrite").option("overwriteSchema", "true").saveAsTable(f"{namespace}.{name}")
+        if buckets and set(JOB_KEY) <= set(df.columns):
+            writer = observed.repartition(buckets, *JOB_KEY).write.bucketBy(buckets, *JOB_KEY).sortBy(*JOB_KEY)
+        else:
+            writer = observed.write
+        writer.format(fmt).mode("overwrite").option("overwriteSchema", "true").saveAsTable(f"{namespace}.{name}")
         counts[name] = seen.get["rows"]
     return counts
 

@@ -26,6 +26,7 @@ from .operators import integrity as I
 from .operators import jobs as J
 from .operators import ordering as O
 from .operators import runs as R
+from .operators import sketches as SK
 from .operators import trends as TR
 from .operators import utilization as U
 from .plans import health as PH
@@ -368,6 +369,43 @@ def streamed_conditions(t: SampleTables) -> DataFrame:
     return t.spark.read.parquet(f"{path}/rows").select("condition_key", "raised_at")
 
 
+def sketch_table(t: SampleTables) -> DataFrame:
+    """The daily sketches, written and read again."""
+    path = shared_folder(t.spark)
+    SK.refresh_days(SK.daily_sketches(t.runs), path)
+    return SK.read_days(t.spark, path)
+
+
+def merged_windows(t: SampleTables) -> DataFrame:
+    """Three windows from one sketch table, with the exact ranks of its quantiles."""
+    table, found = sketch_table(t), None
+    for days in (7, 30, 90):
+        exact = H.duration_histogram(t.runs, t.as_of, days, effective=True)
+        one = SK.rank_checked(SK.merged_durations(table, t.as_of, days), exact).withColumn("window_days", F.lit(days))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def sketched_rates(t: SampleTables) -> DataFrame:
+    exact = U.run_dbu_rate(t.runs, t.usage, t.as_of)
+    merged = SK.merged_dbu_rate(sketch_table(t), t.usage, t.as_of).withColumnRenamed("runs_analyzed", "estimate")
+    both = exact.select(*JOB_KEY, "runs_analyzed").join(merged, JOB_KEY)
+    within = F.abs(F.col("estimate") - F.col("runs_analyzed")) <= F.col("runs_analyzed") * SK.COUNT_ERROR
+    return both.select(*JOB_KEY, "avg_dbus_per_hour", "runs_analyzed", within.alias("within_bound"))
+
+
+def drift_history(t: SampleTables) -> DataFrame:
+    changes = F.transform("type_changes", lambda c: F.concat_ws(":", c.column_name, c.old_type, c.new_type))
+    return I.schema_history(t.column_history).select(
+        "table_name",
+        "snapshot_version",
+        "has_drift",
+        F.array_join("added_columns", ",").alias("added_columns"),
+        F.array_join("removed_columns", ",").alias("removed_columns"),
+        F.array_join(changes, ";").alias("type_changes"),
+    )
+
+
 # --- the catalogue ----------------------------------------------------------------------
 
 CATALOGUE: dict[str, Callable[[SampleTables], DataFrame]] = {
@@ -539,6 +577,14 @@ CATALOGUE: dict[str, Callable[[SampleTables], DataFrame]] = {
     "report_weekly_teams": lambda t: RP.report_weekly_teams(C.team_costs(costs(t))),
     "report_monthly": lambda t: RP.report_monthly(health(t, 30), costs(t), DBU_RATE),
     "report_monthly_teams": lambda t: RP.report_monthly_teams(C.team_costs(costs(t))),
+    # history and stored parts
+    "duration_windows": merged_windows,
+    "run_dbu_rate_sketched": sketched_rates,
+    "run_names_then": lambda t: J.with_names_then(t.runs.select(*JOB_KEY, "run_id", "period_start_time"), t.jobs, parts=4),
+    "ack_history": lambda t: A.acknowledge_history(suppress.failure_conditions(t.runs).distinct(), t.ack_history, parts=2),
+    "schema_history": drift_history,
+    "row_count_history": lambda t: I.row_count_history(t.table_snapshots, stretch=7),
+    "team_and_total_costs": lambda t: C.team_and_total_costs(costs(t), DBU_RATE),
     # streaming
     "stream_run_counts": streamed_counts,
     "stream_consecutive_failures": streamed_failures,

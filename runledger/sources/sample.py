@@ -99,6 +99,18 @@ SELECT CONCAT('main.sales.t', CAST(c_custkey AS VARCHAR(20))) AS table_name, ver
 FROM column_positions
 WHERE (ver = 1 AND pos < 5 AND c_custkey % 10 <> 7)
   OR (ver = 2 AND ((pos < 5 AND NOT (c_custkey % 4 = 1 AND pos = c_custkey % 5)) OR (pos = 5 AND c_custkey % 2 = 0)))""",
+    # Seven versions per table: columns that go and come back, change their type, or stay.
+    "column_versions": "\nUNION ALL ".join(f"SELECT c_custkey, {pos} AS pos, {ver} AS ver FROM customer" for ver in (1, 2, 3, 5, 8, 13, 21) for pos in range(6)),
+    "column_history": """
+SELECT CONCAT('main.sales.h', CAST(c_custkey AS VARCHAR(20))) AS table_name, ver AS snapshot_version,
+  CONCAT('c', CAST(pos AS VARCHAR(2))) AS column_name,
+  CASE WHEN (c_custkey + pos + ver) % 5 = 0 THEN 'BIGINT' ELSE 'STRING' END AS data_type, pos AS ordinal_position
+FROM column_versions WHERE pos = 0 OR (c_custkey * 7 + pos * 3 + ver * (1 + c_custkey % 4)) % 6 <> 0""",
+    # Acknowledgements around the time of the alerts, several per condition.
+    "ack_history": f"""
+SELECT CONCAT('failure_', CAST({_WORKSPACE} AS VARCHAR(20)), '_', CAST({_JOB} AS VARCHAR(20)), '_single') AS condition_key,
+  ts + INTERVAL '1' SECOND * CAST(event_id % 5 * 3600 AS INT) AS acknowledged_at
+FROM events WHERE event_id % 3 = 0""",
     # Several years of runs; every tenth run has an earlier period that ended without a state.
     "long_runs": f"""
 SELECT CAST(1000 + o_custkey % 120 % 3 AS BIGINT) AS workspace_id, CAST(FLOOR(o_custkey % 120 / 3) AS BIGINT) AS job_id,
@@ -296,3 +308,11 @@ class SampleTables:
     @property
     def column_snapshots(self) -> DataFrame:
         return self.view("column_snapshots")
+
+    @property
+    def column_history(self) -> DataFrame:
+        return self.view("column_history")
+
+    @property
+    def ack_history(self) -> DataFrame:
+        return self.view("ack_history")
