@@ -4,10 +4,11 @@ Documents with equal sets are one. Two sets of which a share `similarity` is com
 space of shingle hashes is cut into more parts than they may differ in, one part at least is equal in both: the sets of a
 size band meet under the hashes of their parts. How many equal parts two sets must have follows from their sizes. Candidates are not paired. First each set is compared with the smallest
 doc_id that it meets, which gives components. Then, for sets that also meet documents of other components, the token-group
-matrix decides: similar documents (those that meet, directly or by others) are partitioned into groups of about GROUP
+matrix decides: documents that were compared with the same one are partitioned into groups of about GROUP
 members, a group keeps the union of its members' shingles, a query's overlap with the union bounds its overlap with every
 member, and only groups whose bound suffices are opened and compared member by member. Members of the query's own
-component are passed over, as they are connected already.
+component are passed over, as they are connected already, and of the sets that meet under a key those of the largest
+component are no queries: they are members of the groups that the others ask.
 
 Parts without shingles would make all small sets meet. There are as many spare parts as a set may leave empty, so that an
 equal part with shingles exists; a set that leaves more of them empty also meets others under those.
@@ -190,10 +191,11 @@ def _open_groups(similarity: Fraction):
                 if bottom * most < top * len(query) or (top + bottom) * most < top * (len(query) + least):
                     continue
                 for component, tokens in members:
-                    if component > of and (of, component) not in links:
+                    link = min(of, component), max(of, component)
+                    if component != of and link not in links:
                         common = _common(query, tokens)
                         if bottom * common >= top * (len(query) + len(tokens) - common):
-                            links.add((of, component))
+                            links.add(link)
         found = sorted(links)
         return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
@@ -280,23 +282,27 @@ def _links(texts: DataFrame, described: DataFrame, k: int, similarity: Fraction,
     good = mine.join(theirs, "pivot").where(similar("left", "right")).select("doc_id", "pivot").distinct()
     grouped = roots(active.join(good, "doc_id", "left").select("doc_id", F.coalesce("pivot", "doc_id").alias("parent")))
 
-    # Sets that meet documents of other components are queries of the token-group matrix.
+    # Sets that meet documents of other components ask the token-group matrix: under each key all but those of its largest
+    # component. A set's group lies around the document it was compared with, so few groups meet under a key.
     labelled = stored(met.select("key", "doc_id").join(grouped, "doc_id"))
     split = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     open_keys = stored(labelled.join(split, "key"))
     size = chosen.groupBy("doc_id").agg(F.max("n_shingles").alias("size"))
-    alike = roots(active.join(asked, "doc_id", "left").select("doc_id", F.coalesce("pivot", "doc_id").alias("parent"))).withColumnRenamed("component", "cluster")
-    inside = open_keys.select("component", "doc_id").distinct().join(alike, "doc_id").join(size, "doc_id")
+    around = stored(active.join(asked, "doc_id", "left").select("doc_id", F.coalesce("pivot", "doc_id").alias("cluster")))
+    inside = open_keys.select("component", "doc_id").distinct().join(around, "doc_id").join(size, "doc_id")
     chunks = inside.groupBy("cluster").agg(F.ceil(F.count("*") / group).alias("chunks"))
     members = stored(inside.join(chunks, "cluster").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), "chunks")).drop("chunks"))
-    in_group = open_keys.join(members.select("doc_id", "cluster", "chunk"), "doc_id").groupBy("key", "cluster", "chunk").agg(F.max("component").alias("most"))
-    query = open_keys.join(size, "doc_id").select("key", F.col("doc_id").alias("query"), F.col("component").alias("of"), "size")
+    extent = grouped.groupBy("component").agg(F.count("*").alias("extent"))
+    largest = open_keys.select("key", "component").distinct().join(extent, "component").groupBy("key").agg(F.max_by("component", F.struct("extent", "component")).alias("main"))
+    query = open_keys.join(largest, "key").where("component != main").join(size, "doc_id").select("key", F.col("doc_id").alias("query"), F.col("component").alias("of"), "size")
+    in_group = open_keys.join(around, "doc_id").groupBy("key", "cluster").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     band = F.col("key").bitwiseAND((1 << BAND_BITS) - 1).cast("int").alias("band")
-    equal = query.join(in_group, "key").where(F.col("of") < F.col("most")).groupBy("query", "of", "size", "cluster", "chunk", band).agg(F.count("*").alias("parts"))
+    equal = query.join(in_group, "key").where((F.col("low") != F.col("of")) | (F.col("high") != F.col("of")))
+    equal = equal.groupBy("query", "of", "size", "cluster", band).agg(F.count("*").alias("parts"))
     allowed = Bands(similarity, described.agg(F.max("n_shingles")).first()[0] or 1).differ
     equal = equal.where(F.col("parts") >= _equal_parts(allowed, similarity))
-    largest = members.groupBy("cluster", "chunk").agg(F.max("size").alias("largest"))
-    sized = equal.join(largest, ["cluster", "chunk"])
+    widest = members.groupBy("cluster", "chunk").agg(F.max("size").alias("largest"))
+    sized = equal.join(widest, "cluster")
     pairs = stored(sized.where(F.col("parts") >= _equal_parts(allowed, similarity, F.col("largest"))).select("query", "of", "cluster", "chunk").distinct())
     # A group that many queries ask for is handed out to several tasks.
     blocks = pairs.groupBy("cluster", "chunk").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
