@@ -30,20 +30,25 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
+#: Powers are kept for one block of positions; those of any position are a product of two.
+_BLOCK = 1 << 15
 _POWERS: dict[tuple[int, bool], np.ndarray] = {}
 
 
 def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
-    """base^0 … base^n modulo 2^64, or the powers of its inverse; kept for the next call."""
-    known = _POWERS.get((base, inverse))
-    if known is None or len(known) <= n:
-        size = max(n + 1, SLICE_BYTES * 5 // 4)
-        known = np.full(size, pow(base, -1, 1 << 64) if inverse else base, dtype=U)
-        known[0] = 1
-        known = np.cumprod(known)
-        if size <= 4 * SLICE_BYTES:
-            _POWERS[base, inverse] = known
-    return known[: n + 1]
+    """base^0 … base^n modulo 2^64, or the powers of its inverse. A worker keeps a block of 256 KB for each base, whatever
+    texts it has seen."""
+    step = pow(base, -1, 1 << 64) if inverse else base
+    low = _POWERS.get((base, inverse))
+    if low is None:
+        low = np.full(_BLOCK, step, dtype=U)
+        low[0] = 1
+        low = _POWERS[base, inverse] = np.cumprod(low)
+    if n < _BLOCK:
+        return low[: n + 1]
+    high = np.full(n // _BLOCK + 1, pow(step, _BLOCK, 1 << 64), dtype=U)
+    high[0] = 1
+    return (np.cumprod(high)[:, None] * low).ravel()[: n + 1]
 
 
 def polynomial(values: np.ndarray, base: int) -> np.ndarray:

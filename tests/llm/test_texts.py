@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from runledger.llm import language, packing, pii, quality, token_files, toxicity
+from runledger.llm import arrays, language, packing, pii, quality, token_files, toxicity
 from runledger.llm.tokens import Encoder, tokenizer_path
 from tests.llm import plain
 from tests.llm.conftest import by_id, texts
@@ -295,3 +295,14 @@ def test_a_damaged_dictionary_is_noticed(spark, documents, tmp_path):
 def test_tables_without_rows(none, labels, spark):
     for found in (pii.digest(none), pii.redact(none), packing.pack(none), language.identify(none), language.keep_known(none), quality.judge(none, labels), token_files.round_trip(none), toxicity.score(none, labels)):
         assert found.collect() == []
+
+
+def test_powers_of_any_position_from_a_small_block():
+    """What a worker keeps does not grow with the longest text, and the powers are those of repeated products."""
+    base = 0x9E3779B97F4A7C15
+    for inverse in (False, True):
+        step = pow(base, -1, 1 << 64) if inverse else base
+        got = arrays.powers(base, 200_000, inverse)
+        assert len(got) == 200_001
+        assert [int(got[i]) for i in (0, 1, 32_767, 32_768, 100_001, 200_000)] == [pow(step, i, 1 << 64) for i in (0, 1, 32_767, 32_768, 100_001, 200_000)]
+    assert sum(x.nbytes for x in arrays._POWERS.values()) < 4 << 20
