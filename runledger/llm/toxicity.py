@@ -3,10 +3,9 @@
 Terms are words and their first 4, 5 and 6 bytes (stems of inflected words), hashed into SLOTS slots. All terms of a text
 are in its vector. One pass over all documents gives the inverse document frequencies. Up to EXAMPLES labelled rows per
 class (those with the smallest hash of their doc_id) are the examples; a term weighs more the more significantly its share
-among toxic examples is the higher one, and never less than its frequency says. The cosine with every example counts:
-terms that many examples have by a dense product, the others by postings, and those that may be among the nearest once
-more in double precision. (Bounds per block of examples left 87% of the blocks open at sf0.1, as all texts share common
-terms.) Votes of the nearest weigh by closeness and by how many labelled rows each example stands for; leave-one-out votes
+among toxic examples is the higher one, and never less than its frequency says. A block-max inverted index over blocks of
+examples that are alike finds the nearest ones: blocks whose bound stays below the cosines found are not opened. Those that
+may be among the nearest are summed once more in double precision, in an order that does not depend on other texts. Votes of the nearest weigh by closeness and by how many labelled rows each example stands for; leave-one-out votes
 of the examples calibrate them. The nearest examples are kept as evidence.
 
 A text without any word, also a null or empty one, gets the share of toxic rows among examples without words.
@@ -19,7 +18,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,13 @@ BITS = 22
 SLOTS = 1 << BITS
 NEIGHBOURS, CLOSENESS, PRIOR_WEIGHT = 16, 0.05, 0.5
 #: Terms of most examples that are multiplied densely, queries handled together, and more than single precision errs by.
-DENSE, QUERIES, ROUNDING = 512, 64, 1e-4
+DENSE, QUERIES, ROUNDING = 2048, 64, 1e-4
+#: Examples in a block, dimensions in which they are grouped, and blocks that a query opens before it has a bound to reach.
+BLOCK, SKETCH, FIRST = 64, 128, 1
+#: Terms of fewer examples are bounded by the maxima of their runs.
+POSTED = 8
+#: Examples whose weights are worked out together.
+UNITED = 500
 THRESHOLD = 0.3
 
 _SEPARATOR = np.zeros(256, bool)
@@ -100,6 +105,52 @@ class Hits:
     cosine: np.ndarray
 
 
+@dataclass
+class Tables:
+    """What queries read: examples in the order of the blocks, the place of each term (-1: no example has it), weights of the
+    first places by member; for the next places maxima by block in steps, and for all others runs of postings, each of one
+    term and block, with their maxima."""
+
+    order: np.ndarray
+    place: np.ndarray
+    dense: np.ndarray
+    step: np.ndarray
+    levels: np.ndarray
+    runs: np.ndarray
+    run_begin: np.ndarray
+    run_block: np.ndarray
+    run_most: np.ndarray
+    member: np.ndarray
+    posted: np.ndarray
+
+
+def _each(begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places begin[i] … begin[i] + sizes[i] - 1 of all i one after the other, and the i of each. No size is 0."""
+    ends = np.cumsum(sizes)
+    of = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
+    of[ends[:-1]] = 1
+    np.cumsum(of, out=of)
+    places = (begin - ends + sizes)[of]
+    places += np.arange(len(of))
+    return places, of
+
+
+def _alike(sketch: np.ndarray) -> np.ndarray:
+    """An order of the rows in which every BLOCK of them are alike."""
+    parts, done = [np.arange(len(sketch))], []
+    while parts:
+        rows = parts.pop()
+        if len(rows) <= BLOCK:
+            done.append(rows)
+            continue
+        centred = sketch[rows] - sketch[rows].mean(axis=0)
+        along = centred @ np.linalg.eigh(centred.T @ centred)[1][:, -1]
+        rows = rows[np.argsort(along, kind="stable")]
+        half = -(-len(rows) // BLOCK) // 2 * BLOCK
+        parts += [rows[half:], rows[:half]]  # the first half is cut first, so only the last part of all may be short
+    return np.concatenate([np.zeros(0, np.int64), *done])
+
+
 def _leaning(having: np.ndarray, taken: np.ndarray) -> np.ndarray:
     """1 and the standard errors by which the share of examples that have a term is higher among toxic (1) than clean (0) ones."""
     n_clean, n_toxic = np.maximum(taken, 1)
@@ -108,7 +159,14 @@ def _leaning(having: np.ndarray, taken: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Unit vectors of examples."""
+    """Unit vectors of examples as a block-max inverted index.
+
+    Examples lie in blocks of BLOCK that are alike: halves are taken along the direction in which the vectors, sketched in
+    SKETCH dimensions, differ most. Terms that many examples have are multiplied densely. For all others the index keeps
+    postings, a run for each term and block, and the greatest weight in each run. The largest dense product in a block and the
+    query's product with these maxima bound its cosine with every member. The blocks with the best bounds are opened first,
+    and of the others those whose bound reaches the k-th best cosine found so far; the runs of closed blocks are not read.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> None:
         at = np.cumsum([0, *(len(t) for t, _ in vectors)])
@@ -122,64 +180,166 @@ class Index:
         return made
 
     def _hold(self, at: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int) -> None:
-        self.order, self.n, self.n_terms = list(range(len(at) - 1)), len(at) - 1, n_terms
-        self.at, self.term, self.weight = at, term, weight
+        self.n, self.n_terms = len(at) - 1, n_terms
+        self.at, self.term, self.weight = at, term, weight.astype(np.float32)
+        self.order, self.grouped = range(self.n), _alike(self._sketch())  # as hits number the examples, and by blocks
+        #: Blocks that queries met and opened since the index was made.
+        self.met = self.opened = 0
+
+    def _sketch(self) -> np.ndarray:
+        """The vectors with signed sums of their weights per hash of the term."""
+        made = np.zeros((self.n, SKETCH), np.float32)
+        for first in range(0, self.n, BLOCK):
+            last = min(first + BLOCK, self.n)
+            own = slice(self.at[first], self.at[last])
+            mixed = arrays.mix(self.term[own].astype(np.uint64))
+            cell = np.repeat(np.arange(last - first), np.diff(self.at[first : last + 1])) * SKETCH + (mixed >> np.uint64(32)).astype(np.int64) % SKETCH
+            signed = np.where(mixed & np.uint64(1), self.weight[own], -self.weight[own])
+            made[first:last] = np.bincount(cell, weights=signed, minlength=(last - first) * SKETCH).reshape(-1, SKETCH)
+        return made
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_tables"}  # made anew where they are used
+        """What queries need, without the zeros."""
+        tables = self._tables
+        often, known = np.nonzero(tables.dense), np.flatnonzero(tables.place >= 0)
+        return {
+            "n": self.n,
+            "n_terms": self.n_terms,
+            "order": self.order,
+            "tables": replace(tables, dense=tables.dense[often], place=tables.place[known]),
+            "often": (tables.dense.shape, *(x.astype(np.int32) for x in often)),
+            "known": known.astype(np.int32),
+        }
+
+    def __setstate__(self, state: dict) -> None:
+        self.n, self.n_terms, self.order, self.met, self.opened = state["n"], state["n_terms"], state["order"], 0, 0
+        shape, row, column = state["often"]
+        dense, place = np.zeros(shape, np.float32), np.full(self.n_terms, -1, np.int32)
+        dense[row, column] = state["tables"].dense
+        place[state["known"]] = state["tables"].place
+        self._tables = replace(state["tables"], dense=dense, place=place)
+
+    def release(self) -> None:
+        """Forgets the vectors, which queries do not need."""
+        self._tables  # noqa: B018 (made from them)
+        self.at = self.term = self.weight = None
 
     @functools.cached_property
-    def _tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Place of each term (-1: no example has it), places of the examples' terms, dense weights of the first places, postings of the others."""
+    def _tables(self) -> Tables:
         known, held = np.unique(self.term, return_counts=True)
         known = known[np.argsort(-held, kind="stable")]
         n_dense = min(DENSE, len(known))
+        n_bounded = int(np.searchsorted(-np.sort(held)[::-1], -POSTED, side="left"))
+        n_bounded = max(n_dense, n_bounded)
         place = np.full(self.n_terms, -1, np.int32)
         place[known] = np.arange(len(known), dtype=np.int32)
-        mine, example = place[self.term], np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.at))
+        rank = np.argsort(self.grouped).astype(np.int32)
+        mine, slot = place[self.term], np.repeat(rank, np.diff(self.at))
         dense = np.zeros((n_dense, self.n), np.float32)
         often = mine < n_dense
-        dense[mine[often], example[often]] = self.weight[often]
+        dense[mine[often], slot[often]] = self.weight[often]
         rare = np.flatnonzero(~often)
-        rare = rare[np.argsort(mine[rare], kind="stable")]
-        begin = np.searchsorted(mine[rare], np.arange(n_dense, len(known) + 1))
-        return place, mine, dense, begin, example[rare], self.weight[rare].astype(np.float32)
+        rare = rare[np.lexsort((slot[rare], mine[rare]))]
+        term, member, posted = mine[rare], slot[rare], self.weight[rare]
+        block = member // BLOCK
+        begins = np.ones(len(rare), bool)
+        begins[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        begins = np.flatnonzero(begins)
+        most = np.maximum.reduceat(posted, begins) if len(begins) else posted
+        runs = np.searchsorted(term[begins], np.arange(n_dense, len(known) + 1))
+        n_blocks = -(-self.n // BLOCK)
+        some = slice(0, runs[n_bounded - n_dense])
+        of, step = term[begins[some]] - n_dense, np.zeros(n_bounded - n_dense, np.float32)
+        np.maximum.at(step, of, most[some])
+        step *= np.float32(1.0001 / 255)  # rounded up, so that the bound stays one
+        levels = np.zeros((n_bounded - n_dense, n_blocks), np.uint8)
+        levels[of, block[begins[some]]] = np.minimum(np.ceil(most[some] / step[of]), 255)
+        return Tables(self.grouped, place, dense, step, levels, runs, np.append(begins, len(rare)).astype(np.int32), block[begins].astype(np.int16), most, member, posted)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> Hits:
-        """The k nearest examples with a cosine above 0; ties go to the earlier slot. without: a slot to leave out."""
+        """The k nearest examples with a cosine above 0; ties go to the earlier example. without: an example to leave out."""
         return next(self.nearest_of(np.array([0, len(terms)]), terms, weights, k, np.array([without])))
 
     def nearest_of(self, at: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: np.ndarray | None = None) -> Iterator[Hits]:
         """The same for each query at[i] … at[i + 1] of the terms."""
-        place, mine_of, dense, begin, example, posted = self._tables
-        full = np.zeros(len(dense) + len(begin))  # the last one is for terms that no example has
+        tables = self._tables
         for first in range(0, len(at) - 1, QUERIES):
             last = min(first + QUERIES, len(at) - 1)
-            own = slice(at[first], at[last])
-            query, where, weight = np.repeat(np.arange(last - first), np.diff(at[first : last + 1])), place[terms[own]], weights[own]
-            often = (where >= 0) & (where < len(dense))
-            block = np.zeros((last - first, len(dense)), np.float32)
-            block[query[often], where[often]] = weight[often]
-            about = block @ dense
-            for q in range(last - first):
-                mine = slice(at[first + q] - at[first], at[first + q + 1] - at[first])
-                rare = np.flatnonzero(where[mine] >= len(dense))
-                row = about[q]
-                if len(rare):
-                    start = where[mine][rare] - len(dense)
-                    sizes = begin[start + 1] - begin[start]
-                    posts = arrays.ranges(begin[start], sizes)
-                    row = row + np.bincount(example[posts], weights=posted[posts] * np.repeat(weight[mine][rare], sizes), minlength=self.n)
-                if without is not None and without[first + q] >= 0:
-                    row[without[first + q]] = 0
-                near = np.flatnonzero((row > 0) & (row >= np.partition(row, -k)[-k] - ROUNDING)) if self.n > k else np.flatnonzero(row > 0)
-                full[where[mine]] = weight[mine]
-                sizes = self.at[near + 1] - self.at[near]
-                posts = arrays.ranges(self.at[near], sizes)
-                cosines = np.bincount(np.repeat(np.arange(len(near)), sizes), weights=self.weight[posts] * full[mine_of[posts]], minlength=len(near))
-                full[where[mine]] = 0
-                best = np.lexsort((near, -np.round(cosines, 9)))[:k]
-                yield Hits(near[best], np.minimum(cosines[best], 1.0))
+            left_out = np.full(last - first, -1) if without is None else without[first:last]
+            yield from self._nearest([Query(tables, terms[at[q] : at[q + 1]], weights[at[q] : at[q + 1]]) for q in range(first, last)], k, left_out)
+
+    def _nearest(self, queries: list[Query], k: int, without: np.ndarray) -> Iterator[Hits]:
+        tables, n_blocks = self._tables, -(-self.n // BLOCK)
+        often = np.zeros((len(queries), len(tables.dense)), np.float32)
+        for q, query in enumerate(queries):
+            often[q, query.dense] = query.dense_weight
+        hidden = [(q, int(np.flatnonzero(tables.order == e)[0])) for q, e in enumerate(without) if e >= 0]
+        about = often @ tables.dense
+        bounds = np.maximum.reduceat(about, np.arange(0, self.n, BLOCK), axis=1) if self.n else np.zeros((len(queries), 0), np.float32)
+        for q, query in enumerate(queries):
+            bounds[q] += query.bounds(tables, n_blocks)
+        for q, member in hidden:
+            about[q, member] = 0
+        rest = np.zeros((len(queries), self.n))
+        opened = np.zeros(bounds.shape, bool)
+        np.put_along_axis(opened, np.argsort(-bounds, axis=1, kind="stable")[:, :FIRST], True, axis=1)
+        opened &= bounds > 0
+        self._open(about, rest, opened, queries, hidden)
+        if self.n > k:
+            least = np.array([np.partition(row, -k)[-k] for row in about]) - ROUNDING
+            more = (bounds > 0) & (bounds + ROUNDING >= least[:, None]) & ~opened
+            self._open(about, rest, more, queries, hidden)
+            opened |= more
+        self.met += opened.size
+        self.opened += int(opened.sum())
+        for query, row, other in zip(queries, about, rest, strict=True):
+            least = np.partition(row, -k)[-k] - ROUNDING if self.n > k else 0
+            near = np.flatnonzero((row > 0) & (row >= least))
+            # The sums of the dense terms once more in double precision, one term after the other, whatever the batch holds.
+            cosines = other[near] + np.add.reduce(tables.dense[query.dense[:, None], near] * query.dense_weight[:, None], axis=0)
+            best = np.lexsort((tables.order[near], -np.round(cosines, 9)))[:k]
+            yield Hits(tables.order[near[best]], np.minimum(cosines[best], 1.0))
+
+    def _open(self, about: np.ndarray, rest: np.ndarray, opened: np.ndarray, queries: list[Query], hidden: list[tuple[int, int]]) -> None:
+        """Adds what the terms that are not dense add for members of opened blocks."""
+        tables = self._tables
+        for q, query in enumerate(queries):
+            mine = np.flatnonzero(opened[q][tables.run_block[query.runs]])
+            if len(mine):
+                run = query.runs[mine]
+                begin = tables.run_begin[run]
+                sizes = tables.run_begin[run + 1] - begin
+                posts, of = _each(begin, sizes)
+                found = np.bincount(tables.member[posts], weights=tables.posted[posts] * query.run_weight[mine][of], minlength=self.n)
+                rest[q] += found
+                about[q] += found
+        for q, member in hidden:
+            about[q, member] = 0
+
+
+class Query:
+    """Terms of a query by how the index holds them."""
+
+    def __init__(self, tables: Tables, terms: np.ndarray, weights: np.ndarray) -> None:
+        where = tables.place[terms]
+        n_dense = len(tables.dense)
+        dense, rare = np.flatnonzero((where >= 0) & (where < n_dense)), np.flatnonzero(where >= n_dense)
+        self.dense, self.dense_weight = where[dense], weights[dense]
+        self.rare, self.rare_weight = where[rare] - n_dense, weights[rare]
+        begin = tables.runs[self.rare]
+        sizes = tables.runs[self.rare + 1] - begin
+        self.runs, of = _each(begin, sizes)
+        self.run_weight = self.rare_weight[of]
+
+    def bounds(self, tables: Tables, n_blocks: int) -> np.ndarray:
+        """What the terms that are not dense add to the cosine with any member of each block, at most."""
+        leveled = self.rare < len(tables.levels)
+        of = self.rare[leveled]
+        most = (self.rare_weight[leveled] * tables.step[of]).astype(np.float32) @ tables.levels[of].astype(np.float32)
+        begin = tables.runs[self.rare[~leveled]]
+        sizes = tables.runs[self.rare[~leveled] + 1] - begin
+        run, of = _each(begin, sizes)
+        return most + np.bincount(tables.run_block[run], weights=tables.run_most[run] * self.rare_weight[~leveled][of], minlength=n_blocks)
 
 
 class Model:
@@ -201,12 +361,16 @@ class Model:
         self.weight = idf.copy()
         self.weight[known] *= _leaning(having, taken)
         at = np.append(at[:-1][~empty], at[-1])
-        self.index = Index.of(at, terms, self.unit(at, terms, counts), len(idf))
+        edges = [*range(0, len(at) - 1, UNITED), len(at) - 1]
+        parts = [(slice(at[a], at[b]), at[a : b + 1] - at[a]) for a, b in zip(edges, edges[1:], strict=False)]
+        weights = [self.unit(own, terms[part], counts[part]).astype(np.float32) for part, own in parts]
+        self.index = Index.of(at, terms, np.concatenate([np.zeros(0, np.float32), *weights]), len(idf))
         self.doc_id = [i for i, none in zip(doc_id, empty, strict=True) if not none]
         self.label = labels[~empty]
         self.stands = stand_for[self.label] if len(self.label) else np.zeros(0)
         self.steps, self.levels = np.array([0.0, 1.0]), np.array([0.0, 1.0])
         self._calibrate(idf, place, having, taken)
+        self.index.release()
 
     def unit(self, at: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Weights of the unit vectors of texts at[i] … at[i + 1] of the terms."""

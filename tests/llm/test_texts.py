@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 import zlib
 
 import numpy as np
@@ -178,6 +179,34 @@ def test_neighbours_are_exact():
         assert np.allclose(hits.cosine, cosines[hits.example])
 
 
+def test_blocks_that_stay_closed_hold_no_neighbour(monkeypatch):
+    """Examples of twelve topics, few of them dense terms: most blocks stay closed, and the neighbours are those of a plain product,
+    also of an index that was sent to a worker and with one example left out."""
+    monkeypatch.setattr(toxicity, "DENSE", 20)
+    draw = np.random.default_rng(5)
+    vectors = []
+    for i in range(1500):
+        terms = np.unique(np.concatenate([draw.integers(0, 30, 6), 30 + i % 12 * 200 + draw.integers(0, 200, 40)]))
+        weight = (1 + draw.random(len(terms))).astype(np.float32)
+        vectors.append((terms, weight / np.linalg.norm(weight)))
+    vectors[700] = vectors[100]
+    index = toxicity.Index(vectors, 3000)
+    sent = pickle.loads(pickle.dumps(index))
+    dense = np.zeros((1500, 3000))
+    for i, (terms, weight) in enumerate(vectors):
+        dense[i, terms] = weight
+    for q in range(0, 1500, 25):
+        terms, weight = vectors[q]
+        cosines = dense[:, terms] @ weight.astype(np.float64)
+        for found, hidden in ((index, -1), (sent, -1), (sent, q)):
+            here = np.where(np.arange(1500) == hidden, 0, cosines)
+            want = np.lexsort((np.arange(1500), -np.round(here, 9)))[:16]
+            hits = found.nearest(terms, weight.astype(np.float64), 16, without=hidden)
+            assert hits.example.tolist() == want.tolist()
+            assert np.allclose(hits.cosine, here[want], atol=1e-6)
+    assert sent.opened < 0.5 * sent.met
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_ids_of_words_are_ids_of_texts(documents, odd, name):
     encoder = Encoder(tokenizer_path(name))
