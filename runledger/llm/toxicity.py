@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -108,21 +108,32 @@ class Hits:
 @dataclass
 class Tables:
     """What queries read: examples in the order of the blocks, the place of each term (-1: no example has it), weights of the
-    first places by member; for the next places maxima by block in steps, and for all others runs of postings, each of one
-    term and block, with their maxima."""
+    first places by member, and for the others runs of postings, each of one term and block. Their maxima follow: for terms of
+    at least POSTED examples by block in steps, and for all by run."""
 
     order: np.ndarray
     place: np.ndarray
     dense: np.ndarray
-    step: np.ndarray
-    levels: np.ndarray
     runs: np.ndarray
     run_begin: np.ndarray
-    run_block: np.ndarray
-    run_most: np.ndarray
     member: np.ndarray
     posted: np.ndarray
 
+    def __post_init__(self) -> None:
+        begin = self.run_begin[:-1]
+        self.run_block = (self.member[begin] // BLOCK).astype(np.int16)
+        self.run_most = np.maximum.reduceat(self.posted, begin) if len(begin) else self.posted
+        n_runs = np.diff(self.runs)
+        few = np.flatnonzero(np.diff(self.run_begin[self.runs]) < POSTED)
+        n_bounded = int(few[0]) if len(few) else len(n_runs)
+        some = slice(0, self.runs[n_bounded])
+        of = np.repeat(np.arange(n_bounded), n_runs[:n_bounded])
+        self.step = np.zeros(n_bounded, np.float32)
+        if n_bounded:
+            self.step = np.maximum.reduceat(self.run_most[some], self.runs[:n_bounded]) * np.float32(1.0001 / 255)  # up, so that the bound stays one
+        self.levels = np.zeros((n_bounded, -(-len(self.order) // BLOCK)), np.uint8)
+        self.levels[of, self.run_block[some]] = np.minimum(np.ceil(self.run_most[some] / self.step[of]), 255)
+
 
 def _each(begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places begin[i] … begin[i] + sizes[i] - 1 of all i one after the other, and the i of each. No size is 0."""
@@ -199,25 +210,21 @@ class Index:
         return made
 
     def __getstate__(self) -> dict:
-        """What queries need, without the zeros."""
+        """What queries need, without the zeros and what follows from the rest."""
         tables = self._tables
-        often, known = np.nonzero(tables.dense), np.flatnonzero(tables.place >= 0)
-        return {
-            "n": self.n,
-            "n_terms": self.n_terms,
-            "order": self.order,
-            "tables": replace(tables, dense=tables.dense[often], place=tables.place[known]),
-            "often": (tables.dense.shape, *(x.astype(np.int32) for x in often)),
-            "known": known.astype(np.int32),
-        }
+        row, column = (x.astype(np.min_scalar_type(max(tables.dense.shape))) for x in np.nonzero(tables.dense))
+        known = np.flatnonzero(tables.place >= 0).astype(np.int32)
+        parts = (tables.order, known, tables.place[known], tables.runs, tables.run_begin, tables.member, tables.posted)
+        return {"n": self.n, "n_terms": self.n_terms, "often": (tables.dense.shape, row, column, tables.dense[row, column]), "parts": parts}
 
     def __setstate__(self, state: dict) -> None:
-        self.n, self.n_terms, self.order, self.met, self.opened = state["n"], state["n_terms"], state["order"], 0, 0
-        shape, row, column = state["often"]
+        self.n, self.n_terms, self.order, self.met, self.opened = state["n"], state["n_terms"], range(state["n"]), 0, 0
+        shape, row, column, weight = state["often"]
+        order, known, places, runs, run_begin, member, posted = state["parts"]
         dense, place = np.zeros(shape, np.float32), np.full(self.n_terms, -1, np.int32)
-        dense[row, column] = state["tables"].dense
-        place[state["known"]] = state["tables"].place
-        self._tables = replace(state["tables"], dense=dense, place=place)
+        dense[row, column] = weight
+        place[known] = places
+        self._tables = Tables(order, place, dense, runs, run_begin, member, posted)
 
     def release(self) -> None:
         """Forgets the vectors, which queries do not need."""
@@ -228,33 +235,33 @@ class Index:
     def _tables(self) -> Tables:
         known, held = np.unique(self.term, return_counts=True)
         known = known[np.argsort(-held, kind="stable")]
-        n_dense = min(DENSE, len(known))
-        n_bounded = int(np.searchsorted(-np.sort(held)[::-1], -POSTED, side="left"))
-        n_bounded = max(n_dense, n_bounded)
         place = np.full(self.n_terms, -1, np.int32)
         place[known] = np.arange(len(known), dtype=np.int32)
-        rank = np.argsort(self.grouped).astype(np.int32)
-        mine, slot = place[self.term], np.repeat(rank, np.diff(self.at))
-        dense = np.zeros((n_dense, self.n), np.float32)
-        often = mine < n_dense
-        dense[mine[often], slot[often]] = self.weight[often]
-        rare = np.flatnonzero(~often)
-        rare = rare[np.lexsort((slot[rare], mine[rare]))]
-        term, member, posted = mine[rare], slot[rare], self.weight[rare]
+        dense = np.zeros((min(DENSE, len(known)), self.n), np.float32)
+        terms, members, weights = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+        for first in range(0, self.n, BLOCK):  # a block at a time, as the driver has little memory
+            rows = self.grouped[first : first + BLOCK]
+            sizes = self.at[rows + 1] - self.at[rows]
+            posts = arrays.ranges(self.at[rows], sizes)
+            mine, slot, weight = place[self.term[posts]], np.repeat(np.arange(first, first + len(rows), dtype=np.int32), sizes), self.weight[posts]
+            often = mine < len(dense)
+            dense[mine[often], slot[often]] = weight[often]
+            for kept, values in ((terms, mine), (members, slot), (weights, weight)):
+                kept.append(values[~often])
+        term = np.concatenate(terms)
+        del terms
+        by_term = np.argsort(term, kind="stable")
+        term = term[by_term]
+        member = np.concatenate(members)[by_term].astype(np.min_scalar_type(self.n))
+        del members
+        posted = np.concatenate(weights)[by_term]
+        del weights, by_term
         block = member // BLOCK
-        begins = np.ones(len(rare), bool)
+        begins = np.ones(len(term), bool)
         begins[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-        begins = np.flatnonzero(begins)
-        most = np.maximum.reduceat(posted, begins) if len(begins) else posted
-        runs = np.searchsorted(term[begins], np.arange(n_dense, len(known) + 1))
-        n_blocks = -(-self.n // BLOCK)
-        some = slice(0, runs[n_bounded - n_dense])
-        of, step = term[begins[some]] - n_dense, np.zeros(n_bounded - n_dense, np.float32)
-        np.maximum.at(step, of, most[some])
-        step *= np.float32(1.0001 / 255)  # rounded up, so that the bound stays one
-        levels = np.zeros((n_bounded - n_dense, n_blocks), np.uint8)
-        levels[of, block[begins[some]]] = np.minimum(np.ceil(most[some] / step[of]), 255)
-        return Tables(self.grouped, place, dense, step, levels, runs, np.append(begins, len(rare)).astype(np.int32), block[begins].astype(np.int16), most, member, posted)
+        begins = np.flatnonzero(begins).astype(np.int32)
+        runs = np.searchsorted(term[begins], np.arange(len(dense), len(known) + 1))
+        return Tables(self.grouped, place, dense, runs, np.append(begins, np.int32(len(term))), member, posted)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> Hits:
         """The k nearest examples with a cosine above 0; ties go to the earlier example. without: an example to leave out."""
@@ -436,7 +443,7 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataF
     at = np.cumsum([0, *pc.list_value_length(lists).to_pylist()])
     terms, counts = (pc.list_flatten(rows.column(c)).to_numpy() for c in ("terms", "counts"))
     model = Model(idf, rows.column("doc_id").to_pylist(), rows.column("toxic").to_numpy().astype(np.int64), at, terms, counts, (totals[0], totals[1]))
-    del rows, lists
+    del rows, lists, at, terms, counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in arrays.slices(batches):
