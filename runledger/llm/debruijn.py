@@ -3,9 +3,9 @@
 Edges are runs of WINDOW words that occur in two documents or more. To find them without shuffling every run, each run
 is represented by its anchor, the run of ANCHOR words in it with the smallest hash: equal runs have equal anchors, so a
 run whose anchor occurs in one document only cannot repeat. The remaining runs are grouped by hash; an edge keeps its
-source coordinates (the smallest doc_id that has it, and where) and its neighbours. Where an edge has one follower, which
-has it as its only predecessor, and both are neighbours in the source, a Spark join links them, and linked edges compact
-into one path. Each document's stretches along a path become spans, and the words of every span are compared with those
+source coordinates (the smallest doc_id that has it, and where) and its neighbours, of which 32 bits of the hash travel.
+Where an edge has one follower, which has it as its only predecessor, and both are neighbours in the source, a Spark join
+links them, and linked edges compact into one path. Each document's stretches along a path become spans, and the words of every span are compared with those
 at its source coordinates before they are removed.
 
 Documents with equal words are treated as one: the smallest doc_id stands for them, the others are removed whole if they
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -87,13 +87,40 @@ def _describe(window: int, anchor: int):
     return run
 
 
-def _edges(window: int, anchor: int):
-    """Runs whose anchor repeats, with the neighbours that do so too, and the words they come from."""
+def _pack(window: int):
+    """Compressed texts; those with too few bytes for a window have none and are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
         for part, data, offsets in arrays.slices(batches):
-            runs, raw, n = _Runs(data, offsets, window, anchor), data.tobytes(), part.num_rows
+            raw, enough = data.tobytes(), np.diff(offsets) >= 2 * window - 1
+            packed = [pack.compress(raw[a:b]) if e else None for a, b, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), enough.tolist(), strict=True)]
+            rows = pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), pa.array(packed, pa.binary())], ["doc_id", "digest", "packed"])
+            yield rows.filter(pa.array(enough))
+
+    return run
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with their texts, in parts of about a slice."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        texts, size, begin = [], 0, 0
+        for i, packed in enumerate(batch.column("packed")):
+            texts.append(unpack.decompress(packed.as_py()))
+            size += len(texts[-1])
+            if size >= arrays.SLICE_BYTES or i + 1 == batch.num_rows:
+                column = pa.array(texts, pa.large_binary()).view(pa.large_string())
+                yield batch.slice(begin, len(texts)).append_column("text", column)
+                texts, size, begin = [], 0, i + 1
+
+
+def _edges(window: int, anchor: int):
+    """Runs whose anchor repeats, with the neighbours that do so too, and the words they come from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in arrays.slices(_unpacked(batches)):
+            runs, n = _Runs(data, offsets, window, anchor), part.num_rows
             known = np.unique(part.column("repeated").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
             hashes, least = arrays.run_hashes(runs.words, window), runs.least()
             place = np.minimum(np.searchsorted(known, least), max(len(known) - 1, 0))
@@ -101,9 +128,8 @@ def _edges(window: int, anchor: int):
             of = runs.text_of[at]
             first_word = np.searchsorted(runs.text_of, np.arange(n))
             has = np.bincount(of, minlength=n) > 0
-            texts = [pack.compress(raw[a:b]) if x else None for a, b, x in zip(offsets[:-1].tolist(), offsets[1:].tolist(), has.tolist(), strict=True)]
             rows = pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("digest"), pa.array(texts, pa.binary()), _lists((at - first_word[of]).astype(np.int32), of, n), _lists(hashes[at].view(np.int64), of, n)],
+                [part.column("doc_id"), part.column("digest"), part.column("packed"), _lists((at - first_word[of]).astype(np.int32), of, n), _lists(hashes[at].view(np.int64), of, n)],
                 ["doc_id", "digest", "packed", "at", "edges"],
             )
             yield rows.filter(pa.array(has))
@@ -153,23 +179,44 @@ def _representatives(described: DataFrame, window: int) -> DataFrame:
     return with_least(long_enough, ["sha"], "doc_id", "first_id").withColumn("copy", F.col("doc_id") > F.col("first_id"))
 
 
+def _short(edge: Column) -> Column:
+    """32 bits of an edge's hash."""
+    return edge.bitwiseAND(F.lit((1 << 32) - 1))
+
+
+def _sides(before: Column, after: Column, none: int) -> Column:
+    """Both neighbours in one number; none stands for one that does not repeat."""
+    side = lambda c: F.coalesce(_short(c), F.lit(none).cast("long"))
+    return F.shiftleft(side(before), 32).bitwiseOR(side(after))
+
+
 def _graph(places: DataFrame) -> DataFrame:
     """Distinct edges of two documents or more with source coordinates and their only neighbours, if they are so."""
-    only = lambda c: F.when(F.min(c) == F.max(c), F.min(c))
-    return (
-        places.groupBy("edge")
-        .agg(F.min(F.struct("doc_id", "at", "digest")).alias("source"), F.max("doc_id").alias("last_id"), only("before").alias("before"), only("after").alias("after"))
-        .where(F.col("source.doc_id") < F.col("last_id"))
-        .select("edge", F.col("source.doc_id").alias("source_id"), F.col("source.at").alias("source_at"), F.col("source.digest").alias("source_digest"), "before", "after")
+    # Places agree on a neighbour where the bits that all have are those that any has; a missing one changes neither.
+    met = places.groupBy("edge").agg(
+        F.min(F.struct("doc_id", "at", "digest")).alias("source"),
+        F.max("doc_id").alias("last_id"),
+        F.bit_and(_sides(F.col("before"), F.col("after"), (1 << 32) - 1)).alias("all"),
+        F.bit_or(_sides(F.col("before"), F.col("after"), 0)).alias("any"),
+    )
+    before = lambda c: F.shiftrightunsigned(c, 32)
+    return met.where(F.col("source.doc_id") < F.col("last_id")).select(
+        "edge",
+        F.col("source.doc_id").alias("source_id"),
+        F.col("source.at").alias("source_at"),
+        F.col("source.digest").alias("source_digest"),
+        F.when(before("all") == before("any"), before("all")).alias("before"),
+        F.when(_short(F.col("all")) == _short(F.col("any")), _short(F.col("all"))).alias("after"),
     )
 
 
 def compact(edges: DataFrame) -> DataFrame:
     """Adds the path of each edge: the place in the source where its chain of only neighbours begins."""
-    follower = edges.select(F.col("edge").alias("f_edge"), F.col("before").alias("f_before"), *(F.col(f"source_{c}").alias(f"f_{c}") for c in ("id", "at", "digest")))
+    source = ["source_id", "source_digest", "source_at"]
+    follower = edges.select("source_id", "source_digest", (F.col("source_at") - 1).alias("source_at"), F.col("edge").alias("f_edge"), F.col("before").alias("f_before"))
     linked = (
-        edges.join(follower, (F.col("after") == F.col("f_edge")) & (F.col("f_before") == F.col("edge")))
-        .where((F.col("f_id") == F.col("source_id")) & (F.col("f_digest") == F.col("source_digest")) & (F.col("f_at") == F.col("source_at") + 1))
+        edges.join(follower, source)
+        .where((F.col("after") == _short(F.col("f_edge"))) & (F.col("f_before") == _short(F.col("edge"))))
         .select(F.col("f_edge").alias("edge"), F.lit(1).alias("linked"))
     )
     in_source = Window.partitionBy("source_id", "source_digest").orderBy("source_at")
@@ -196,8 +243,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     listed = known.where(~F.col("copy")).dropDuplicates(["doc_id", "digest"]).select("doc_id", "digest", F.explode("anchors").alias("anchor"))
     repeated = listed.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
     wanted = listed.join(repeated, "anchor").groupBy("doc_id", "digest").agg(F.collect_list("anchor").alias("repeated"))
+    packed = texts.mapInArrow(_pack(window), "doc_id long, digest long, packed binary")
     found = stored(
-        texts.join(wanted, ["doc_id", "digest"]).select("doc_id", "digest", "text", "repeated").mapInArrow(_edges(window, anchor), "doc_id long, digest long, packed binary, at array<int>, edges array<long>")
+        packed.join(wanted, ["doc_id", "digest"]).select("doc_id", "digest", "packed", "repeated").mapInArrow(_edges(window, anchor), "doc_id long, digest long, packed binary, at array<int>, edges array<long>")
     )
     neighbour = lambda i, step: F.when(F.get("at", i + step) == F.get("at", i) + step, F.get("edges", i + step))
     places = (
