@@ -3,12 +3,15 @@
 Every rule rejects a document when one measure exceeds a cutoff. Measures are taken in one pass over all texts. The
 labelled documents of each stratum (a band of text length) are the holdout: for each rule and cutoff the good ones that
 it would reject are counted. A cutoff may be used if the exact (Clopper-Pearson) upper bound of its rate of false
-rejections stays below alpha; the bounds hold together with confidence 1 - delta (Bonferroni over strata, rules and
-cutoffs). Of these the one that rejects most bad documents is taken, and a rule that rejects none is not used. The
-rules of a stratum share alpha, so that all of them together reject at most that part of its good documents.
-
-Null and empty texts have no words and fail the base rules. A stratum without labels has no further rules. Labels that
-are null are not used; a document with several labels counts once for each.
+rejections stays below alpha. The rate can only rise as the cutoff falls, so cutoffs are tested in a fixed sequence, the
+safest first, until one fails: that needs no correction over cutoffs, and the bounds of all strata and rules hold
+together with confidence 1 - delta (Bonferroni). Of the cutoffs that passed the one that rejects most bad documents is
+taken, and a rule that rejects none is not used. The rules of a stratum share alpha, so that all of them together reject
+at most that part of its good documents.
+
+Copies are no independent draws: a text counts once in the holdout, however many documents have it, and as good if any
+label says so. Null and empty texts have no words and fail the base rules. A stratum without labels has no further rules.
+Labels other than 0 and 1 are not used. Repeated rows are each judged; a very long text is measured whole.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ BAND_STARTS = (0, 100, 400, 1600)
 #: Measures as shares of 0 to 1 (word_length is the mean length divided by 20); a rule rejects what lies above a cutoff.
 MEASURES = ("symbol_share", "dup_line_share", "repeat_share", "word_length", "shout_share", "odd_share")
 CUTOFFS = tuple(round(0.02 * i, 2) for i in range(1, 50))
+#: Sequences of tests that share delta.
+RULES = len(BAND_STARTS) * len(MEASURES)
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -93,13 +98,14 @@ def _measure(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, data, offsets in arrays.slices(batches):
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), *(pa.array(x.astype(np.int64)) for x in _measure(data, offsets))], ["doc_id", *_STATS, "n_lines"]
+            [part.column("doc_id"), part.column("digest"), *(pa.array(x.astype(np.int64)) for x in _measure(data, offsets))], ["doc_id", "digest", *_STATS, "n_lines"]
         )
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """Counts of every document, in one pass without a shuffle."""
-    return plain_documents(docs).mapInArrow(_stats, ", ".join(f"{c} long" for c in ("doc_id", *_STATS, "n_lines")))
+    """Counts of every document and a hash of its text, in one pass without a shuffle."""
+    texts = plain_documents(docs).withColumn("digest", F.xxhash64("text"))
+    return texts.mapInArrow(_stats, ", ".join(f"{c} long" for c in ("doc_id", "digest", *_STATS, "n_lines")))
 
 
 def _share(part: str, whole: str) -> Column:
@@ -151,14 +157,26 @@ def _within(k: int, n: int, alpha: float, delta: float) -> bool:
     return k < n * alpha and _binomial_at_most(k, n, alpha) <= delta
 
 
+def best_cutoff(good: list[int], bad: list[int], n_good: int, alpha: float, delta: float) -> int | None:
+    """Which cutoff to use, if any, given how many good and bad documents each rejects; cutoffs ascend."""
+    best = None
+    for i in reversed(range(len(good))):
+        if not _within(good[i], n_good, alpha, delta):
+            break
+        if bad[i] > (bad[best] if best is not None else 0):
+            best = i
+    return best
+
+
 def select_cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """stratum, measure, cutoff, n_good, good_rejected, bad_rejected, false_rejection_bound of each rule in use.
 
     stats come from measure(). Only documents that pass the base rules count, as the others are rejected anyway. What
     reaches the driver is one count per stratum, measure and cutoff.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality IS NOT NULL")
-    held = stats.join(known, "doc_id").where(~_base_failed()).select(_stratum().alias("stratum"), "quality", *(v.alias(k) for k, v in _measures().items()))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality IN (0, 1)")
+    texts = stats.join(known, "doc_id").where(~_base_failed()).groupBy("digest", *_STATS, "n_lines").agg(F.max("quality").alias("quality"))
+    held = texts.select(_stratum().alias("stratum"), "quality", *(v.alias(k) for k, v in _measures().items()))
     # The number of cutoffs that a measure exceeds tells which of them reject; its histogram is all that is needed.
     step = CUTOFFS[0]
     level = {m: F.least(F.greatest(F.ceil(F.round(F.col(m) / step, 6)) - 1, F.lit(0)), F.lit(len(CUTOFFS))).cast("int") for m in MEASURES}
@@ -171,18 +189,14 @@ def select_cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = 0.05, del
     counts = np.zeros((len(BAND_STARTS), len(MEASURES), len(CUTOFFS) + 1, 2), np.int64)
     for r in rows:
         counts[r.stratum, MEASURES.index(r.measure), r.level] += (r.good, r.bad)
-    tests = len(BAND_STARTS) * len(MEASURES) * len(CUTOFFS)
-    share, level_delta = alpha / len(MEASURES), delta / tests
     chosen = []
     for s in range(len(BAND_STARTS)):
         for m, name in enumerate(MEASURES):
             above = counts[s, m, ::-1].cumsum(axis=0)[::-1]  # above[i]: documents of level i or more
-            n_good = int(above[0, 0])
-            allowed = [(int(above[i + 1, 1]), i) for i in range(len(CUTOFFS)) if n_good and above[i + 1, 1] and _within(int(above[i + 1, 0]), n_good, share, level_delta)]
-            if allowed:
-                bad, i = max(allowed)
-                good = int(above[i + 1, 0])
-                chosen.append((s, name, float(CUTOFFS[i]), n_good, good, bad, upper_bound(good, n_good, level_delta)))
+            i = best_cutoff(above[1:, 0].tolist(), above[1:, 1].tolist(), int(above[0, 0]), alpha / len(MEASURES), delta / RULES)
+            if i is not None:
+                n_good, good, bad = int(above[0, 0]), int(above[i + 1, 0]), int(above[i + 1, 1])
+                chosen.append((s, name, float(CUTOFFS[i]), n_good, good, bad, upper_bound(good, n_good, delta / RULES)))
     schema = "stratum int, measure string, cutoff double, n_good long, good_rejected long, bad_rejected long, false_rejection_bound double"
     return stats.sparkSession.createDataFrame(chosen, schema)
 

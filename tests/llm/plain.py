@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -93,6 +94,28 @@ def quality_counts(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, sum(repeated)
 
 
+def most_false_rejections(n, alpha, delta):
+    """The most of n good documents that may be rejected so that the chance of so few, at a rate of alpha, is at most delta."""
+    from fractions import Fraction
+
+    rate, chance, k = Fraction(alpha).limit_denominator(10**6), Fraction(0), -1
+    while True:
+        term = math.comb(n, k + 1) * rate ** (k + 1) * (1 - rate) ** (n - k - 1)
+        if chance + term > delta:
+            return k
+        chance, k = chance + term, k + 1
+
+
+def cutoff(good, bad, alpha, delta, cutoffs):
+    """Of cutoffs from the highest down to the first that fails, the one above which most bad values lie."""
+    allowed, best = most_false_rejections(len(good), alpha, delta), (0, None)
+    for c in sorted(cutoffs, reverse=True):
+        if sum(v > c for v in good) > allowed:
+            break
+        best = max(best, (sum(v > c for v in bad), c), key=lambda x: x[0])
+    return best[1]
+
+
 def repeats(sequences, window):
     """id -> flags of the elements covered by a window that a smaller id has too."""
     first = {}

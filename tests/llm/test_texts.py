@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import random
 import zlib
 
 import numpy as np
@@ -78,6 +79,50 @@ def test_cutoffs_keep_good_documents(spark):
     assert quality.judge(docs, marks.limit(0)).where("NOT kept").count() == quality.judge(docs, marks.limit(0)).where("base_failed").count()
 
 
+def test_cutoffs_equal_a_plain_selection(spark):
+    """Cutoffs from the table of documents against a selection over lists; copies of a text count once, as good if any is."""
+    draw = random.Random(3)
+    rows, marks = [], []
+    for i in range(2600):
+        bad = i % 4 == 0
+        share = draw.random() * (0.9 if bad else 0.35 if i % 50 == 1 else 0.05)
+        words = ["".join(draw.choices("abcdef", k=5)) + str(i) if draw.random() > share else "#" * 6 for _ in range(30)]
+        rows.append((i, " ".join(words)))
+        marks.append((i, 0 if bad else 1))
+    twice = [(10_000 + i, rows[i * 4][1]) for i in range(40)] + [(20_000 + n, rows[51][1]) for n in range(300)]
+    marks += [(i, 0) for i, _ in twice[:40]] + [(i, 1) for i, _ in twice[40:]] + [(0, None), (4, 7)]
+    docs, labels = spark.createDataFrame(rows + twice, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    stats = quality.measure(docs)
+    chosen = {(r.stratum, r.measure): r.cutoff for r in quality.select_cutoffs(stats, labels).collect()}
+    label = {}
+    for i, mark in marks:
+        text = dict(rows + twice)[i] if mark in (0, 1) else None
+        if text is not None:
+            label[text] = max(label.get(text, 0), mark)
+    good, bad = [], []
+    for text, mark in label.items():
+        counts = plain.quality_counts(text)
+        if counts[0] >= 20 and 100 * counts[4] <= 30 * counts[0]:
+            (good if mark else bad).append(round(counts[2] / len(text), 6))
+    assert chosen[0, "symbol_share"] == plain.cutoff(good, bad, 0.05 / 6, 0.05 / 24, quality.CUTOFFS)
+    assert all(s == 0 for s, _ in chosen)
+
+
+def test_a_cutoff_in_use_seldom_exceeds_its_rate():
+    """Over 200 holdouts from a known distribution fewer choices break the rate than delta allows."""
+    draw, broken, used = random.Random(11), 0, 0
+    alpha, delta, n = 0.05, 0.1, 200
+    for _ in range(200):
+        # Good values are uniform: a cutoff c rejects a part 1 - c of them.
+        good, bad = sorted(draw.random() for _ in range(n)), sorted(draw.random() ** 0.3 for _ in range(n))
+        above = lambda values: [sum(v > c for v in values) for c in quality.CUTOFFS]
+        i = quality.best_cutoff(above(good), above(bad), n, alpha, delta)
+        used += i is not None
+        broken += i is not None and 1 - quality.CUTOFFS[i] > alpha + 1e-9
+    assert used > 100
+    assert broken <= 200 * delta
+
+
 def test_languages(documents, odd):
     found = language.identify(documents).join(documents.select("doc_id", "lang"), "doc_id")
     assert found.where("held_out").count() > 30
