@@ -213,15 +213,12 @@ def _graph(places: DataFrame) -> DataFrame:
 def compact(edges: DataFrame) -> DataFrame:
     """Adds the path of each edge: the place in the source where its chain of only neighbours begins."""
     source = ["source_id", "source_digest", "source_at"]
-    follower = edges.select("source_id", "source_digest", (F.col("source_at") - 1).alias("source_at"), F.col("edge").alias("f_edge"), F.col("before").alias("f_before"))
-    linked = (
-        edges.join(follower, source)
-        .where((F.col("after") == _short(F.col("f_edge"))) & (F.col("f_before") == _short(F.col("edge"))))
-        .select(F.col("f_edge").alias("edge"), F.lit(1).alias("linked"))
-    )
+    previous = edges.select("source_id", "source_digest", (F.col("source_at") + 1).alias("source_at"), F.col("edge").alias("p_edge"), F.col("after").alias("p_after"))
+    linked = F.coalesce((F.col("p_after") == _short(F.col("edge"))) & (F.col("before") == _short(F.col("p_edge"))), F.lit(False))
     in_source = Window.partitionBy("source_id", "source_digest").orderBy("source_at")
-    head = F.when(F.col("linked").isNull(), F.col("source_at"))
-    return edges.join(linked, "edge", "left").withColumn("path", F.last(head, ignorenulls=True).over(in_source)).select("edge", "source_id", "source_digest", "source_at", "path")
+    head = F.when(~linked, F.col("source_at"))
+    met = edges.join(previous, source, "left").withColumn("path", F.last(head, ignorenulls=True).over(in_source))
+    return met.select("edge", "source_id", "source_digest", "source_at", "path")
 
 
 def _spans(places: DataFrame, edges: DataFrame, window: int) -> DataFrame:
