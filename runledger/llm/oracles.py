@@ -91,9 +91,45 @@ SELECT c.conv_id, c.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, c.n_con
 FROM counted c JOIN sums s ON s.node = c.node LEFT JOIN nodes p ON c.depth > 0 AND p.node = c.node[:c.depth - 1]"""
 
 
+REPEATED_WORDS = rf"""
+WITH words AS (SELECT doc_id, {_WORDS.format(x="text")} AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words)),
+firsts AS (SELECT g, min(doc_id) AS first_id FROM windows GROUP BY g HAVING min(doc_id) < max(doc_id)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM windows JOIN firsts USING (g) WHERE first_id < doc_id),
+each AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM words),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(w.w) AS n_words, coalesce(r.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k ON k.doc_id = w.doc_id LEFT JOIN removed r ON r.doc_id = w.doc_id"""
+
+_ITEM_WORDS = r"regexp_extract_all(coalesce({x}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+LEAKS = rf"""
+WITH items AS (SELECT item_id::VARCHAR AS item_id, {_ITEM_WORDS.format(x=_LOWERED.format(x="text"))} AS w FROM benchmark),
+known AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, least(len(w), 10) AS n FROM items WHERE len(w) > 0))),
+words AS (SELECT doc_id, {_ITEM_WORDS.format(x=_LOWERED.format(x="text"))} AS w FROM documents),
+places AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, (SELECT DISTINCT n FROM known))),
+met AS (SELECT doc_id, i, p.n, item_id FROM places p JOIN known k ON k.g = p.g AND k.n = p.n),
+hits AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(i, i + n)) AS i FROM met) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM met) GROUP BY doc_id)
+SELECT w.doc_id, len(w.w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(m.n, 0) AS n_items,
+  sha256(coalesce(m.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM words w LEFT JOIN hits h ON h.doc_id = w.doc_id LEFT JOIN named m ON m.doc_id = w.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": similar_sets(3, 90),
+        "op9_decontamination": LEAKS,
+        "op10_substring_dedup": REPEATED_WORDS,
         "op11_spelling_variants": SPELLINGS,
         "op12_prefix_trie": TRIE,
         "op13_minhash_dedup": similar_sets(2, 80, ", min(other) = r.doc_id AS kept"),
