@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import fixed_text
+from .numbers import fixed_text, rounded
 
 
 def duration_text(seconds: Column) -> Column:
@@ -24,7 +24,7 @@ def duration_text(seconds: Column) -> Column:
 
 
 def usage_text(dbus: Column) -> Column:
-    whole = F.format_number(F.round(dbus.cast("double"), 0).cast("decimal(28,0)"), 0)
+    whole = F.format_number(rounded(dbus.cast("double"), 0).cast("decimal(28,0)"), 0)
     return (
         F.when(dbus < 0.01, "<0.01")
         .when(dbus < 1, fixed_text(dbus, 2))
@@ -34,7 +34,7 @@ def usage_text(dbus: Column) -> Column:
 
 
 def dollars_text(dollars: Column) -> Column:
-    whole = F.format_number(F.round(dollars.cast("double"), 0).cast("decimal(28,0)"), 0)
+    whole = F.format_number(rounded(dollars.cast("double"), 0).cast("decimal(28,0)"), 0)
     return F.concat(F.lit("$"), F.when(dollars < 1, fixed_text(dollars, 2)).otherwise(whole))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numbers import rounded
+
 
 def _estimate(rate: Column) -> Column:
     high = F.least(F.lit(80.0) + (rate - 4) * 2, F.lit(95.0))
@@ -18,12 +20,12 @@ def _estimate(rate: Column) -> Column:
 
 def worker_utilization(rate: Column) -> Column:
     """Step function of DBU per hour; NULL where there is no consumption."""
-    return F.when(rate > 0, F.round(_estimate(rate), 1))
+    return F.when(rate > 0, rounded(_estimate(rate), 1))
 
 
 def driver_utilization(rate: Column) -> Column:
     """Drivers are taken to run at 85 % of the worker estimate."""
-    return F.when(rate > 0, F.round(_estimate(rate) * 0.85, 1))
+    return F.when(rate > 0, rounded(_estimate(rate) * 0.85, 1))
 
 
 def utilization_label(percentage: Column) -> Column:

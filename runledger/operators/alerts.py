@@ -11,7 +11,7 @@ from ..functions import wording
 from ..functions.asof import last_change
 from ..functions.keys import JOB_KEY, condition_key
 from ..functions.load import worker_utilization
-from ..functions.numbers import fixed_text, whole_text
+from ..functions.numbers import fixed_text, rounded, whole_text
 from ..functions.states import PRIORITY_ORDER, rank_of
 from ..functions.timing import elapsed_seconds, moment_like, stamp_text
 from ..functions.wording import fill
@@ -192,7 +192,7 @@ def overprovision_alerts(
     """Jobs below ``threshold`` DBU per hour over at least three runs."""
     rates = run_dbu_rate(runs, usage, as_of).filter(F.col("avg_dbus_per_hour") < threshold)
     if limit is not None:
-        rates = rates.orderBy(F.round("avg_dbus_per_hour", 9).asc(), *JOB_KEY).limit(limit)
+        rates = rates.orderBy(rounded(F.col("avg_dbus_per_hour"), 9).asc(), *JOB_KEY).limit(limit)
     estimate = F.coalesce(worker_utilization(F.col("avg_dbus_per_hour")), F.lit(20.0))
     low = rates.withColumn("utilization", estimate)
     pct, analyzed = fixed_text(F.col("utilization"), 0), F.col("runs_analyzed").cast("string")

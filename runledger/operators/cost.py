@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import JOB_KEY, join_jobs, together
 from ..functions.naming import sku_category
-from ..functions.numbers import trend_percent
+from ..functions.numbers import percentile_of, rounded, trend_percent
 from ..functions.timing import trailing
 from ..sources.readers import job_usage
 from .jobs import UNTAGGED, with_job_names
@@ -165,15 +165,17 @@ def cost_baseline(usage: DataFrame, as_of: date, days: int = 30, positive_only:
 
 
 def baseline_of(daily: DataFrame, positive_only: bool = False) -> DataFrame:
-    return (
+    per_job = (
         daily.filter("dbus > 0" if positive_only else "dbus <> 0")
         .groupBy(*JOB_KEY)
         .agg(
-            F.percentile(F.col("dbus").cast("double"), 0.9).alias("baseline_p90_dbus"),
+            F.sort_array(F.collect_list(F.col("dbus").cast("double"))).alias("days_used"),
             F.count(F.lit(1)).alias("usage_days"),
         )
         .filter(F.col("usage_days") >= MIN_BASELINE_DAYS)
     )
+    found = percentile_of(per_job, "days_used", 0.9, "baseline_p90_dbus")
+    return found.select(*JOB_KEY, "baseline_p90_dbus", "usage_days")
 
 
 def cost_by_sku(usage: DataFrame, as_of: date, days: int = 30) -> DataFrame:
@@ -189,7 +191,7 @@ def cost_by_sku(usage: DataFrame, as_of: date, days: int = 30) -> DataFrame:
         *JOB_KEY,
         "sku_category",
         F.col("category_dbus").cast("double").alias("total_dbus"),
-        F.round(share, 1).alias("percentage"),
+        rounded(share, 1).alias("percentage"),
     )
 
 
@@ -262,7 +264,7 @@ def team_costs(costs: DataFrame, dbu_rate: float = 0.0) -> DataFrame:
         "team",
         total.alias("total_dbus_30d"),
         "job_count",
-        F.round(F.when(F.col("base") > 0, change).otherwise(0.0), 1).alias("trend_7d_percent"),
+        rounded(F.when(F.col("base") > 0, change).otherwise(0.0), 1).alias("trend_7d_percent"),
         (total * dbu_rate if dbu_rate > 0 else F.lit(None).cast("double")).alias("total_cost_dollars"),
     )
 
@@ -287,7 +289,7 @@ def team_and_total_costs(costs: DataFrame, dbu_rate: float = 0.0) -> DataFrame:
         (F.col("level") == 1).alias("is_total"),
         total.alias("total_dbus_30d"),
         "job_count",
-        F.round(F.when(F.col("base") > 0, change).otherwise(0.0), 1).alias("trend_7d_percent"),
+        rounded(F.when(F.col("base") > 0, change).otherwise(0.0), 1).alias("trend_7d_percent"),
         (total * dbu_rate if dbu_rate > 0 else F.lit(None).cast("double")).alias("total_cost_dollars"),
     )
 
@@ -338,11 +340,12 @@ def cost_spikes(
         .groupBy(*JOB_KEY)
         .agg(
             F.sum(weekly).alias("week"),
-            F.percentile(day, 0.9).alias("baseline_p90_dbus"),
+            F.sort_array(F.collect_list(day)).alias("days_used"),
             F.count(day).alias("usage_days"),
         )
         .filter((F.col("week") > 0) & (F.col("usage_days") >= MIN_BASELINE_DAYS))
     )
+    per_job = percentile_of(per_job, "days_used", 0.9, "baseline_p90_dbus")
     measure = F.col("week").cast("double")
     measure = measure / WEEK_DATES if unit == "daily_mean" else measure
     spikes = (
@@ -351,7 +354,7 @@ def cost_spikes(
         .withColumn("multiplier", F.col("current_dbus") / F.nullif(F.col("baseline_p90_dbus"), F.lit(0.0)))
     )
     if limit is not None:
-        spikes = spikes.orderBy(F.round("multiplier", 9).desc(), *JOB_KEY).limit(limit)
+        spikes = spikes.orderBy(rounded(F.col("multiplier"), 9).desc(), *JOB_KEY).limit(limit)
     columns = [*JOB_KEY, "current_dbus", "baseline_p90_dbus", "multiplier"]
     if jobs is None:
         return spikes.select(*columns)

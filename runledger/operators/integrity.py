@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import JOB_KEY
 from ..functions.naming import table_parts
+from ..functions.numbers import rounded
 from ..functions.timing import trailing
 from .jobs import OUTPUT_TABLES_TAG, latest_jobs, tag_text
 
@@ -104,8 +105,8 @@ def row_count_delta(snapshots: DataFrame, history: int = 10) -> DataFrame:
             "snapshot_date",
             "current_row_count",
             "baseline_row_count",
-            F.round("exact_delta", 2).alias("delta_percent"),
-            (F.round(F.abs("exact_delta"), 9) > ROW_COUNT_ANOMALY_PERCENT).alias("is_anomaly"),
+            rounded(F.col("exact_delta"), 2).alias("delta_percent"),
+            (rounded(F.abs("exact_delta"), 9) > ROW_COUNT_ANOMALY_PERCENT).alias("is_anomaly"),
             "trend",
         )
     )
@@ -258,6 +259,6 @@ def row_count_history(snapshots: DataFrame, history: int = 10, stretch: int = ST
         "snapshot_date",
         "row_count",
         "baseline_row_count",
-        F.round(delta, 2).alias("delta_percent"),
-        (F.round(F.abs(delta), 9) > ROW_COUNT_ANOMALY_PERCENT).alias("is_anomaly"),
+        rounded(delta, 2).alias("delta_percent"),
+        (rounded(F.abs(delta), 9) > ROW_COUNT_ANOMALY_PERCENT).alias("is_anomaly"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import JOB_KEY, in_workspace
+from ..functions.numbers import rounded
 from ..functions.states import is_failed, is_finished, is_success
 from ..sources.readers import job_usage
 from .jobs import jobs_of_team
@@ -172,9 +173,9 @@ def trend_headline(series: DataFrame, days: int, kind: str = "sum") -> DataFrame
     buckets that have runs and the difference in points."""
     if kind == "rate":
         totals = series.agg(
-            F.round(F.coalesce(F.avg("current"), F.lit(0.0)), 1).alias("current_total"),
-            F.round(F.coalesce(F.avg("previous"), F.lit(0.0)), 1).alias("previous_total"),
-            F.round(F.coalesce(F.avg("current"), F.lit(0.0)) - F.coalesce(F.avg("previous"), F.lit(0.0)), 1).alias(
+            rounded(F.coalesce(F.avg("current"), F.lit(0.0)), 1).alias("current_total"),
+            rounded(F.coalesce(F.avg("previous"), F.lit(0.0)), 1).alias("previous_total"),
+            rounded(F.coalesce(F.avg("current"), F.lit(0.0)) - F.coalesce(F.avg("previous"), F.lit(0.0)), 1).alias(
                 "change_percent"
             ),
         )
@@ -182,6 +183,6 @@ def trend_headline(series: DataFrame, days: int, kind: str = "sum") -> DataFrame
         exact = [F.coalesce(F.sum(F.col(c).cast("decimal(28,5)")).cast("double"), F.lit(0.0)) for c in ("current", "previous")]
         change = (F.col("current_total") - F.col("previous_total")) / F.col("previous_total") * 100
         totals = series.agg(exact[0].alias("current_total"), exact[1].alias("previous_total")).withColumn(
-            "change_percent", F.round(F.when(F.col("previous_total") > 0, change).otherwise(0.0), 1)
+            "change_percent", rounded(F.when(F.col("previous_total") > 0, change).otherwise(0.0), 1)
         )
     return totals.withColumn("granularity", F.lit(granularity(days)))

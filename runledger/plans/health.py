@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import JOB_KEY, in_workspace, join_jobs, together
-from ..functions.numbers import percent
+from ..functions.numbers import percent, rounded
 from ..functions.states import PRIORITY_ORDER, is_failed, is_finished, is_success, priority, traffic_light
 from ..functions.timing import effective_seconds, trailing
 from ..operators.health import (
@@ -131,7 +131,7 @@ def health_summary(runs: DataFrame, as_of: date, days: int = 7) -> DataFrame:
         F.count(F.lit(1)).alias("total_count"),
         *[F.count_if(F.col("priority") == level).alias(f"{level.lower()}_count") for level in PRIORITY_ORDER],
         F.count_if(F.col("priority").isNull()).alias("healthy_count"),
-        F.round(F.coalesce(mean_rate(), F.lit(0.0)), 1).alias("avg_success_rate"),
+        rounded(F.coalesce(mean_rate(), F.lit(0.0)), 1).alias("avg_success_rate"),
     )
 
 

@@ -16,7 +16,7 @@ from ..functions.display import (
     usage_text,
 )
 from ..functions.keys import JOB_KEY
-from ..functions.numbers import trend_percent
+from ..functions.numbers import rounded, trend_percent
 from ..operators.alerts import alert_counts
 from ..operators.cost import cost_totals
 from ..operators.ordering import alert_order
@@ -37,7 +37,7 @@ def report_daily(health: DataFrame, alerts: DataFrame) -> DataFrame:
         F.count_if(status == "green").alias("healthy_count"),
         F.count_if(status == "yellow").alias("warning_count"),
         F.count_if(status == "red").alias("critical_count"),
-        F.round(F.coalesce(mean_rate(), F.lit(0.0)), 1).alias("overall_success_rate"),
+        rounded(F.coalesce(mean_rate(), F.lit(0.0)), 1).alias("overall_success_rate"),
     )
     open_alerts = alerts.filter("NOT acknowledged").agg(
         F.count_if(F.col("severity") == "P1").alias("open_p1_alerts"),
@@ -67,7 +67,7 @@ def report_weekly_teams(teams: DataFrame) -> DataFrame:
         "team",
         "total_dbus_30d",
         "job_count",
-        F.round(F.coalesce(share, F.lit(0.0)), 2).alias("percent_of_total"),
+        rounded(F.coalesce(share, F.lit(0.0)), 2).alias("percent_of_total"),
         "trend_7d_percent",
     )
 
@@ -95,7 +95,7 @@ def report_monthly(health: DataFrame, costs: DataFrame, dbu_rate: float = 0.0) -
     runs = health.agg(
         F.coalesce(F.sum("total_runs"), F.lit(0).cast("long")).alias("total_runs"),
         F.count(F.lit(1)).alias("total_jobs"),
-        F.round(F.coalesce(mean_rate(), F.lit(0.0)), 2).alias("reliability_percent"),
+        rounded(F.coalesce(mean_rate(), F.lit(0.0)), 2).alias("reliability_percent"),
     )
     usage = cost_totals(costs).select("total_dbus_30d")
     return one_row(runs, usage).select(
@@ -103,9 +103,9 @@ def report_monthly(health: DataFrame, costs: DataFrame, dbu_rate: float = 0.0) -
         "total_jobs",
         "reliability_percent",
         F.col("total_dbus_30d").alias("total_dbus"),
-        F.round(F.col("total_dbus_30d") * (SAVINGS_SHARE * rate), 2).alias("potential_savings"),
-        F.round(F.col("total_dbus_30d") * (RIGHT_SIZING_SHARE * rate), 0).alias("right_sizing_savings"),
-        F.round(F.col("total_dbus_30d") * (ZOMBIE_SHARE * rate), 0).alias("zombie_savings"),
+        rounded(F.col("total_dbus_30d") * (SAVINGS_SHARE * rate), 2).alias("potential_savings"),
+        rounded(F.col("total_dbus_30d") * (RIGHT_SIZING_SHARE * rate), 0).alias("right_sizing_savings"),
+        rounded(F.col("total_dbus_30d") * (ZOMBIE_SHARE * rate), 0).alias("zombie_savings"),
     )
 
 
@@ -119,7 +119,7 @@ def dashboard(health: DataFrame, alerts: DataFrame, costs: DataFrame) -> DataFra
     jobs = health.agg(
         F.count(F.lit(1)).alias("total_jobs"),
         F.count_if(F.col("priority") == "P1").alias("critical_jobs"),
-        F.round(F.coalesce(mean_rate(), F.lit(0.0)), 1).alias("avg_success_rate"),
+        rounded(F.coalesce(mean_rate(), F.lit(0.0)), 1).alias("avg_success_rate"),
     )
     counts = alert_counts(alerts).select(
         F.col("total").alias("total_alerts"), F.col("p1_count").alias("critical_alerts")

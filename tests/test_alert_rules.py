@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import random
 from datetime import timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from runledger.functions import wording
+from runledger.functions.numbers import fixed_text, percentile_of, rounded
 from runledger.operators import alerts as A
 from runledger.operators import ordering as O
 from runledger.plans.alert_feed import alert_feed, all_alerts
@@ -136,3 +139,21 @@ def test_sorting(spark):
         [(1, 1, "zebra"), (1, 2, None), (1, 3, "Apple")], "workspace_id long, job_id long, team string"
     )
     assert order(O.sort_costs(costs, "team", "asc")) == [3, 1, 2]
+
+
+def test_numbers_in_texts_are_rounded_as_sql_rounds_them(spark):
+    """30.549999999999997 * 10 is 305.5 and 0.285 * 100 is 28.499999999999996 in doubles."""
+    values = spark.createDataFrame([(30.549999999999997, 0.285)], "a double, b double")
+    row = values.select(fixed_text(F.col("a"), 1).alias("a"), rounded(F.col("b"), 2).alias("b"), wording.spike_remediation(F.col("a"), F.col("b")).alias("text")).collect()[0]
+    want = duckdb.sql("SELECT CAST(CAST(ROUND(30.549999999999997::DOUBLE, 1) AS DECIMAL(28,1)) AS VARCHAR), ROUND(0.285::DOUBLE, 2)").fetchall()[0]
+    assert (row.a, row.b) == want == ("30.6", 0.28)
+    assert row.text.startswith("Cost is 30.6x")
+
+
+def test_baselines_equal_sql_in_the_last_place(spark):
+    draw = random.Random(4)
+    rows = [(g, [draw.randint(1, 60000) / 1000 for _ in range(draw.randint(0, 31))]) for g in range(400)]
+    table = spark.createDataFrame([(g, sorted(v)) for g, v in rows], "g int, v array<double>")
+    got = {r.g: r.p for r in percentile_of(table, "v", 0.9, "p").collect()}
+    for g, v in rows:
+        assert got[g] == duckdb.execute("SELECT quantile_cont(x, 0.9) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [v]).fetchone()[0]
