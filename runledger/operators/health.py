@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import JOB_KEY, join_jobs, together
-from ..functions.numbers import percent
+from ..functions.numbers import interpolated, percent
 from ..functions.states import is_failed, is_finished, is_success, priority
 from ..functions.timing import effective_seconds, trailing
 from .jobs import job_tags
@@ -177,9 +177,29 @@ def duration_stats(
     )
 
 
+def percentile_of_counts(histogram: DataFrame, point: float, name: str) -> DataFrame:
+    """Continuous percentile per job from the counts of its durations, equal to SQL in the last place."""
+    per_job = Window.partitionBy(*JOB_KEY)
+    so_far = per_job.orderBy("seconds").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seconds = F.col("seconds").cast("double")
+    around = (
+        histogram.withColumn("up_to", F.sum("n").over(so_far))
+        .withColumn("run_count", F.sum("n").over(per_job))
+        .withColumn("place", (F.col("run_count") - 1) * F.lit(point))
+        .groupBy(*JOB_KEY, "run_count", "place")
+        .agg(
+            F.min(F.when(F.col("up_to") > F.floor("place"), seconds)).alias("low"),
+            F.min(F.when(F.col("up_to") > F.ceil("place"), seconds)).alias("high"),
+        )
+        .withColumn("d", F.col("place") - F.floor("place"))
+    )
+    return around.select(*JOB_KEY, "run_count", interpolated(F.col("low"), F.col("high"), F.col("d")).alias(name))
+
+
 def suggested_sla(runs: DataFrame, jobs: DataFrame, as_of: date) -> DataFrame:
     """p90 duration in minutes, rounded up, for current jobs that have no SLA tag."""
-    stats = duration_stats(runs, as_of, effective=True).filter("has_sufficient_data")
+    durations = duration_histogram(runs, as_of, 30, effective=True)
+    stats = percentile_of_counts(durations, 0.9, "p90_duration_seconds").filter(F.col("run_count") >= MIN_RUNS_FOR_STATS)
     without_sla = job_tags(jobs).filter("NOT has_sla").select(*JOB_KEY)
     return stats.join(without_sla, JOB_KEY, "left_semi").select(
         *JOB_KEY, F.ceil(F.col("p90_duration_seconds") / 60).cast("int").alias("suggested_p90_minutes")

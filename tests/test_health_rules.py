@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +104,16 @@ def test_suggested_sla_only_without_tag(spark):
     assert by_job(H.suggested_sla(runs(spark, rows), names, AS_OF), "suggested_p90_minutes") == {1: 2}
 
 
+def test_suggested_sla_is_rounded_up_as_sql_rounds_it(spark):
+    """The p90 lies at a whole minute, and in doubles beside it; equal neighbours and one run per hour."""
+    seconds = {1: [600] * 6 + [750], 2: [684] * 6 + [924], 3: [600] * 7, 4: [61] * 9 + [7200], 5: [120, 60, 60, 60, 60]}
+    rows = [run(j, 100 * j + n, "SUCCESS", hour=n, seconds=s) for j, some in seconds.items() for n, s in enumerate(some)]
+    names = jobs(spark, [job(j, "a") for j in seconds])
+    text = "SELECT CAST(CEIL(quantile_cont(x, 0.9) / 60) AS INTEGER) FROM (SELECT unnest(?::DOUBLE[]) AS x)"
+    want = {j: duckdb.execute(text, [some]).fetchone()[0] for j, some in seconds.items()}
+    assert by_job(H.suggested_sla(runs(spark, rows), names, AS_OF), "suggested_p90_minutes") == want
+
+
 def test_unusable_tags_are_null(spark):
     tags = J.job_tags(jobs(spark, [job(1, "a", sla_minutes="x", budget_monthly_dbus="n/a"), job(2, "b", sla_minutes=" 5 ")]))
     assert by_job(tags, "sla_minutes", "budget_monthly_dbus", "has_sla") == {1: (None, None, False), 2: (5, None, True)}
