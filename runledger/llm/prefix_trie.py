@@ -12,8 +12,8 @@ leaves, and differences of cumulative arrays add up its savings. Trees of a leve
 sums are added to that shared spine when its level is next, so spines merge from the bottom up in as many rounds as there
 are levels, that is by the logarithm of the number of conversations.
 
-Null roles and texts are empty. Turns are ordered by number, null first, equal numbers by the MD5 sum of role and text;
-repeated rows are repeated turns. Rows without conv_id are not part of any conversation. Other columns are ignored. A
+Null roles and texts are empty. Turns are ordered by number, null first, equal numbers by the MD5 sum of role and text, or by
+role and text themselves where that is asked for; repeated rows are repeated turns. Rows without conv_id are not part of any conversation. Other columns are ignored. A
 conversation of any length is one stream through one task, in bounded memory; its turns are 16 bytes each there.
 """
 
@@ -45,23 +45,30 @@ _PLACED = "node binary, conv_id long, depth long, words long, n_convs long, pare
 _SUMS = "node binary, parent binary, parent_level int, n_leaves long, saved_tokens long, top boolean"
 
 
-def turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, place from 1, MD5 sum and words of each turn."""
-    role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
-    plain = conversations.where("conv_id IS NOT NULL").select(
+def turns(conversations: DataFrame, by_text: bool = False) -> DataFrame:
+    """conv_id, place from 1, MD5 sum and words of each turn. Turns of one number are ordered by their MD5 sum, which
+    keeps texts out of the shuffle, or ``by_text``: by role and text, null last, as SQL orders them."""
+    told = conversations.where("conv_id IS NOT NULL").select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("number"),
-        F.unhex(F.md5(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text).cast("binary"))).alias("turn"),
-        F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"),
+        *(F.col(c).cast("string").alias(c) for c in ("role", "text")),
     )
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("number").asc_nulls_first(), "turn"))
-    return plain.select("conv_id", place.cast("long").alias("depth"), "turn", "words")
-
-
-def rebuilt(rows: DataFrame, every: int = 20, most: int = 3) -> DataFrame:
+    role, text = (F.coalesce(F.col(c), F.lit("")) for c in ("role", "text"))
+    turn = F.unhex(F.md5(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text).cast("binary"))).alias("turn")
+    words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words")
+    ties = [F.col("role").asc_nulls_last(), F.col("text").asc_nulls_last()] if by_text else ["turn"]
+    if not by_text:
+        told = told.select("conv_id", "number", turn, words)
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("number").asc_nulls_first(), *ties))
+    placed = told.withColumn("depth", place.cast("long"))
+    return placed.select("conv_id", "depth", *((turn, words) if by_text else ("turn", "words")))
+
+
+def rebuilt(rows: DataFrame, every: int = 20, most: int = 3, toward_zero: bool = False) -> DataFrame:
     """Each conversation with its first turns replaced by those of the one that starts its block of ``every`` ids. How many
-    follows from a checksum of its id, ``most`` at the most. A conversation without turns has one row of depth 0."""
-    first = F.col("conv_id") - F.pmod("conv_id", F.lit(every))
+    follows from a checksum of its id, ``most`` at the most. A conversation without turns has one row of depth 0. Blocks of
+    negative ids start at their smallest id, or ``toward_zero`` at their largest one, as with the remainder of SQL."""
+    first = F.col("conv_id") - (F.col("conv_id") % F.lit(every) if toward_zero else F.pmod("conv_id", F.lit(every)))
     ids = rows.select("conv_id").distinct().select("conv_id", first.alias("first_id"), (F.crc32(F.col("conv_id").cast("string").cast("binary")) % (most + 1)).alias("h"))
     heads = rows.where((F.pmod("conv_id", F.lit(every)) == 0) & (F.col("depth") <= most))
     heads = heads.groupBy(F.col("conv_id").alias("first_id")).agg(F.array_sort(F.collect_list(F.struct("depth", "turn", "words"))).alias("head"))
@@ -309,10 +316,17 @@ def ends_of(ends: DataFrame) -> DataFrame:
     return pieces.repartition("node").sortWithinPartitions("node", "first").mapInArrow(_hashes, "node binary, ends_sha256 string")
 
 
-def prefix_tree(conversations: DataFrame, heavy: int = HEAVY, parts: int = PARTS) -> DataFrame:
+def prefix_tree(
+    conversations: DataFrame, heavy: int = HEAVY, parts: int = PARTS, by_text: bool = False, toward_zero: bool = False
+) -> DataFrame:
     """The nodes of the trie of rebuilt conversations, with a digest of the conversations that end there."""
-    found, ends = nodes(rebuilt(stored(turns(conversations))), heavy, parts)
+    found, ends = nodes(rebuilt(stored(turns(conversations, by_text)), toward_zero=toward_zero), heavy, parts)
     none: Column = F.lit(hashlib.sha256(b"").hexdigest())
     return found.join(ends_of(ends), "node", "left").select(
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", none).alias("ends_sha256")
     )
+
+
+def conversation_tree(conversations: DataFrame) -> DataFrame:
+    """The trie with the order and the remainder of SQL."""
+    return prefix_tree(conversations, by_text=True, toward_zero=True)
