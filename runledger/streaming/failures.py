@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timedelta
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,81 +15,107 @@ from ..functions.states import is_failed, is_finished
 
 RUN = "workspace_id long, job_id long, run_id long, started timestamp, state string, failed boolean"
 LAST = "workspace_id long, job_id long, last_state string, previous_state string, last_failed boolean, consecutive_failure boolean"
-HELD = "started long, run_id long, state string, failed boolean, before_started long, before_run_id long, before_state string, before_failed boolean"
+HELD = "workspace_id array<long>, job_id array<long>, run_id array<long>, started array<long>, state array<string>, failed array<boolean>"
+COLUMNS = [*JOB_KEY, "run_id", "started", "state", "failed"]
 #: Runs that start more than this before the newest one seen are too late, and jobs without a run for so long are forgotten.
 LATE, FORGET = timedelta(days=2), timedelta(days=90)
+#: Jobs share this many values of the state: fixed for the life of a stream.
+BUCKETS = 4096
 
 
-def _micros(moment: pd.Timestamp | datetime) -> int:
-    return pd.Timestamp(moment).value // 1000
+def _newest_two(runs: pd.DataFrame) -> pd.DataFrame:
+    """The newest two runs of each job, oldest first; of a run that comes twice the row that came last."""
+    once = runs.drop_duplicates([*JOB_KEY, "run_id", "started"], keep="last").sort_values(["started", "run_id"])
+    return once.groupby(JOB_KEY, dropna=False).tail(2)
 
 
 def _two_of_each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The newest two runs of each job among the rows that come together: what a hot job sends on is two rows per Arrow batch."""
     for frame in frames:
-        once = frame.drop_duplicates([*JOB_KEY, "run_id", "started"], keep="last").sort_values(["started", "run_id"])
-        yield once.groupby(JOB_KEY, dropna=False).tail(2)
+        yield _newest_two(frame)
+
+
+def _plain(frame: pd.DataFrame) -> pd.DataFrame:
+    """Runs with the microseconds they started at; keys with nulls are integers still."""
+    nulls = {name: "Int64" for name in JOB_KEY if frame[name].dtype.kind != "i"}
+    return frame[COLUMNS].astype({**nulls, "started": "datetime64[us]"}).astype({"started": "int64"})
 
 
 class LastTwo(StatefulProcessor):
-    """Keeps the newest two runs of a job in the state store, and a timer that forgets a job without new runs."""
+    """Keeps the newest two runs of the jobs of a bucket in the state store, and a timer for the first job to be forgotten."""
 
     def __init__(self, forget: timedelta | None = FORGET) -> None:
-        self.forget = forget
+        self.forget = None if forget is None else forget // timedelta(microseconds=1)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getValueState("last_two", HELD)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        before = self._two()
-        known = {(run[0], run[1]): run for run in before}
+        before = known = self._two()
+        touched = None
         for frame in rows:
-            for started, run_id, state, failed in zip(frame["started"], frame["run_id"], frame["state"], frame["failed"], strict=True):
-                known[_micros(started), int(run_id)] = (_micros(started), int(run_id), state, bool(failed))
-            known = {(run[0], run[1]): run for run in sorted(known.values(), key=lambda r: r[:2])[-2:]}
-        newest = sorted(known.values(), key=lambda r: r[:2], reverse=True)
-        if newest != before:
-            last, previous = newest[0], newest[1] if len(newest) > 1 else (None, None, None, None)
-            self.held.update((*last, *previous))
-            if self.forget is not None and (not before or before[0][0] != last[0]):
-                for timer in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(timer)
-                self.handle.registerTimer((last[0] + self.forget // timedelta(microseconds=1)) // 1000)
-        yield self._row(key, newest)
+            arrived = _plain(frame)
+            known = _newest_two(arrived if known is None else pd.concat([known, arrived]))
+            jobs = arrived[JOB_KEY].drop_duplicates()
+            touched = jobs if touched is None else pd.concat([touched, jobs]).drop_duplicates()
+        if touched is None:
+            return
+        known = known.sort_values([*JOB_KEY, "started", "run_id"], ignore_index=True)
+        if before is None or not known.equals(before):
+            self._hold(known, self._due(before))
+        yield self._rows(known).merge(touched, on=JOB_KEY)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.held.clear()
+        fired, held = expiredTimerInfo.getExpiryTimeInMs(), self._two()
+        if held is not None:
+            due = held.groupby(JOB_KEY, dropna=False)["started"].transform("max").add(self.forget) // 1000
+            left = held[due >= max(fired + 1, timerValues.getCurrentWatermarkInMs())]
+            self._hold(left, fired) if len(left) else self.held.clear()
         yield pd.DataFrame()
 
     def close(self) -> None:
         pass
 
-    def _two(self) -> list[tuple]:
+    def _two(self) -> pd.DataFrame | None:
+        """What is held, sorted by job, start and run."""
         if not self.held.exists():
-            return []
-        held = tuple(self.held.get())
-        return [run for run in (held[:4], held[4:]) if run[0] is not None]
+            return None
+        columns = dict(zip(COLUMNS, self.held.get(), strict=True))
+        kinds = {name: "Int64" if None in columns[name] else "int64" for name in JOB_KEY}
+        return pd.DataFrame({name: pd.Series(list(values), dtype=kinds.get(name)) for name, values in columns.items()})
+
+    def _hold(self, runs: pd.DataFrame, timer: int | None) -> None:
+        """Keeps the runs and moves the timer of the bucket from where it is."""
+        self.held.update(tuple([None if name in JOB_KEY and pd.isna(v) else v for v in runs[name].tolist()] for name in COLUMNS))
+        due = self._due(runs)
+        if due != timer:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(due)
+
+    def _due(self, runs: pd.DataFrame | None) -> int | None:
+        """When the first of the jobs is to be forgotten, in milliseconds."""
+        if runs is None or self.forget is None:
+            return None
+        last = ~runs.duplicated(JOB_KEY, keep="last")
+        return (int(runs["started"][last].min()) + self.forget) // 1000
 
     @staticmethod
-    def _row(key, newest: list[tuple]) -> pd.DataFrame:
-        last, previous = newest[0], newest[1] if len(newest) > 1 else None
-        return pd.DataFrame(
-            {
-                "workspace_id": [key[0]],
-                "job_id": [key[1]],
-                "last_state": [last[2]],
-                "previous_state": [previous[2] if previous else None],
-                "last_failed": [last[3]],
-                "consecutive_failure": [bool(last[3] and previous and previous[3])],
-            }
-        )
-
-
-def last_states(runs: DataFrame, late: timedelta = LATE, forget: timedelta | None = FORGET) -> DataFrame:
+    def _rows(known: pd.DataFrame) -> pd.DataFrame:
+        """A row per job from runs sorted by job, start and run."""
+        first, last = ~known.duplicated(JOB_KEY, keep="first"), ~known.duplicated(JOB_KEY, keep="last")
+        previous = known["state"].shift().where(~first, None)
+        failed_before = known["failed"].shift(fill_value=False).astype(bool) & ~first
+        found = known[JOB_KEY].assign(last_state=known["state"], previous_state=previous, last_failed=known["failed"].astype(bool))
+        return found.assign(consecutive_failure=found["last_failed"] & failed_before)[last]
+
+
+def last_states(runs: DataFrame, late: timedelta = LATE, forget: timedelta | None = FORGET, buckets: int = BUCKETS) -> DataFrame:
     """The last two states of every job that a batch touches, from a stream of runs; update mode.
 
-    State is one value per job in the state store: its two newest runs. Order of arrival does not
+    State is the two newest runs of every job, in one value of the state store per bucket of jobs, so that the
+    calls to Python and to the store are bounded by the buckets. Order of arrival does not
     matter within ``late``: a run takes its place by start time, one older than both kept runs changes
     nothing, and a run that comes twice counts once. A run that starts more than ``late`` before the newest
     run of all earlier batches is dropped, whatever its job. A job whose newest run lies ``forget`` behind the
@@ -103,7 +129,8 @@ def last_states(runs: DataFrame, late: timedelta = LATE, forget: timedelta | Non
         is_failed().alias("failed"),
     )
     reduced = arrived.mapInPandas(_two_of_each, RUN).withWatermark("started", f"{int(late.total_seconds())} seconds")
-    return reduced.groupBy(*JOB_KEY).transformWithStateInPandas(LastTwo(forget), LAST, "Update", "EventTime")
+    dealt = reduced.withColumn("bucket", F.pmod(F.xxhash64(*JOB_KEY), F.lit(buckets)).cast("int"))
+    return dealt.groupBy("bucket").transformWithStateInPandas(LastTwo(forget), LAST, "Update", "EventTime")
 
 
 def latest_per_job(written: DataFrame) -> DataFrame:

@@ -94,6 +94,28 @@ def test_jobs_without_runs_are_forgotten(spark, tmp_path):
     assert last_of(spark, path)[1, 1] == ("FAILED", None, True, False)
 
 
+def test_jobs_share_values_of_the_state(spark, tmp_path):
+    """However many jobs there are, a batch makes no more calls than there are buckets, and a job has its own result and end."""
+    source, path = f"{tmp_path}/in", f"{tmp_path}/out"
+
+    def arrive(*rows):
+        spark.createDataFrame(list(rows), RUN_SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        runs = spark.readStream.schema(spark.createDataFrame([], RUN_SCHEMA).schema).parquet(source)
+        states = failures.last_states(runs, timedelta(days=1), timedelta(days=5), buckets=3)
+        query = runner.drain_batches(states, path, runner.write_batch(path), mode="update", partitions=2, store=runner.STORE)
+        return query.recentProgress[-1].stateOperators[0].numRowsTotal
+
+    arrive(*(run(j, 2 * j + n, "FAILED" if j % 2 or n else "SUCCESS", day=1 + j % 2, hour=n) for j in range(1, 41) for n in range(2)))
+    want = {(1, j): ("FAILED", "FAILED" if j % 2 else "SUCCESS", True, bool(j % 2)) for j in range(1, 41)}
+    assert last_of(spark, path) == want
+    assert spark.read.parquet(f"{path}/rows").count() == 40
+    # Values and timers (by key and by time) of three buckets at the most.
+    assert arrive(run(7, 1000, "SUCCESS", day=20)) <= 9
+    assert arrive(run(7, 1001, "SUCCESS", day=21), run(8, 1002, "FAILED", day=21)) <= 9
+    want |= {(1, 7): ("SUCCESS", "SUCCESS", False, False), (1, 8): ("FAILED", None, True, False)}
+    assert last_of(spark, path) == want
+
+
 def stored_health(small, path):
     return sorted(map(str, rollup.health_written(small.spark, path).collect()))
 
