@@ -15,12 +15,16 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words, and stems, whose ids are kept per Python worker. When as many are known they become the older half of the
 #: memory, from which words in use are taken over, and what was the older half is forgotten.
 KEPT_WORDS = 500_000
+#: First words of texts whose ids are kept where a tokenizer tells them from others.
+KEPT_FIRSTS = 50_000
 #: Words encoded in one go, and characters of the texts handled together.
-WORDS_AT_ONCE, CHARACTERS = 2000, 2 << 20
+WORDS_AT_ONCE, CHARACTERS = 100, 4 << 20
 _TAIL = ".,!?;:"
 #: Letters whose lower case does not depend on their place in a word.
 _SIMPLE = re.compile(r"[\x00-\u012f\u0131-\u024f]*")
@@ -57,9 +61,11 @@ class Encoder:
         self.older: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
         self.older_stems: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {"": b""}
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        # The fast form finds the same ids, but no places of tokens in the text.
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _holds_special(self, text: str) -> bool:
         """Whether the text, or a word of it once that is in lower case, holds the string of a special token."""
@@ -118,21 +124,43 @@ class Encoder:
         self.known.update(zip(single, map(find, keys), strict=True))
         self.known.update(zip(composed, [b"".join(map(find, ps)) for ps in pieces], strict=True))
 
-    def _split(self, text: str) -> tuple[bytes, list[str]]:
-        """Ids of what comes before the words, and the words."""
+    def _split(self, text: str) -> tuple[bytes, str]:
+        """Ids of what comes before the words, and the text of the words."""
         if self._holds_special(text):
-            return self._ids(text).tobytes(), []
+            return self._ids(text).tobytes(), ""
         if self.spaced:
             if text[-1:] == " " or "  " in text or _ODD_FOR_BYTES.search(text):
-                return self._ids(text).tobytes(), []
-            first, *words = text.split(" ")
-            return self._ids(first).tobytes() if first else b"", words
+                return self._ids(text).tobytes(), ""
+            first, _, words = text.partition(" ")
+            return self._first(first), words
         if _ODD_SPACE.search(text):
-            return self._ids(text).tobytes(), []
-        return b"", text.split()
+            return self._ids(text).tobytes(), ""
+        return b"", text
+
+    def _first(self, word: str) -> bytes:
+        """Ids of a word without the space before it."""
+        found = self.firsts.get(word)
+        if found is None:
+            if len(self.firsts) >= KEPT_FIRSTS:
+                self.firsts = {"": b""}
+            found = self.firsts[word] = self._ids(word).tobytes()
+        return found
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words; an empty one has none."""
+        found = list(map(self.known.get, words))
+        new = [w for w, ids in zip(words, found, strict=True) if ids is None and w]
+        if len(self.known) + len(new) > KEPT_WORDS:
+            self.older, self.known = self.known, {}
+            new = [w for w in words if w]
+        if new:
+            self._learn(new)
+        self.known[""] = b""
+        return list(map(self.known.__getitem__, words))
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text."""
+        """The ids of each text. Arrow splits the texts and lays the ids of their words end to end, so that Python sees
+        each word once for the texts handled together."""
         first = 0
         while first < len(texts):
             last, size = first + 1, len(texts[first])
@@ -140,16 +168,14 @@ class Encoder:
                 size += len(texts[last])
                 last += 1
             parts = [self._split(t) for t in texts[first:last]]
-            words = set().union(*(w for _, w in parts))
-            new = [w for w in words if w not in self.known]
-            if len(self.known) + len(new) > KEPT_WORDS:
-                self.older, self.known = self.known, {}
-                new = list(words)
-            self._learn(new)
-            known = self.known
-            find = {w: known[w] for w in words}.__getitem__  # small enough to stay near the processor
-            for head, own in parts:
-                yield head + b"".join(map(find, own))
+            own = pa.array([words for _, words in parts], pa.large_string())
+            split = pc.split_pattern(own, " ") if self.spaced else pc.ascii_split_whitespace(own)
+            words = split.values.dictionary_encode()
+            ids = pa.array(self._of_words(words.dictionary.to_pylist()), pa.large_binary()).take(words.indices)
+            bounds = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[split.offsets.to_numpy()].tolist()
+            data = memoryview(ids.buffers()[2] or b"")
+            for (head, _), begin, end in zip(parts, bounds[:-1], bounds[1:], strict=True):
+                yield head + data[begin:end]
             first = last
 
 

@@ -283,6 +283,17 @@ def test_the_memory_of_words_is_bounded(monkeypatch):
         assert len(encoder.known) + len(encoder.older) <= 2 * 50
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_a_word_is_looked_up_once_for_many_texts(name):
+    encode = Encoder(tokenizer_path(name))
+    calls, asked, ids, of_words = [], [], encode._ids, encode._of_words
+    encode._ids = lambda text: calls.append(text) or ids(text)
+    encode._of_words = lambda words: asked.extend(words) or of_words(words)
+    given = [f"Same first word, then\n{i % 7} more. " + "and on " * i + "end" for i in range(200)] + ["", " ", "one", " blank before"]
+    assert list(encode(given)) == [np.array(encode.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in given]
+    assert len(calls) < 20 and len(asked) == len(set(asked)) < 30
+
+
 def test_packing(documents, odd):
     encoder = Encoder(tokenizer_path("word_bpe_49k.json"))
     for table in (documents, odd):
