@@ -26,7 +26,8 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runledger.llm import arrays
@@ -119,17 +120,30 @@ def _lists(values: np.ndarray, of: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), pa.array(values))
 
 
-def _describe(k: int, similarity: Fraction):
-    """Size of each set, two sums that tell sets apart, and the keys under which it meets others."""
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, as they travel."""
+    pack = zstandard.ZstdCompressor(level=1)
+    for part, data, offsets in arrays.slices(batches):
+        raw, at = data.tobytes(), offsets.tolist()
+        packed = [pack.compress(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), arrays.binary(packed)], ["doc_id", "digest", "packed"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        texts = [unpack.decompress(packed) for packed in batch.column("packed").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.large_binary())], ["doc_id", "text"])
+
+
+def _describe(k: int):
+    """Size of each set, and two sums that tell sets apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(similarity, 1 << 16)
         for part, data, offsets in arrays.slices(batches):
             n = part.num_rows
             found, text = shingle_sets(data, offsets, k)
             sizes = np.bincount(text, minlength=n)
-            if sizes.max(initial=0) > bands.last[-1]:
-                bands = Bands(similarity, int(sizes.max()))
             sums = []
             for salt in (0x2545F4914F6CDD1D, 0xD1342543DE82EF95):
                 total = np.zeros(n, _U)
@@ -137,16 +151,31 @@ def _describe(k: int, similarity: Fraction):
                 if len(begins):
                     total[text[begins]] = np.add.reduceat(arrays.mix(found + _U(salt)), begins)
                 sums.append(pa.array(total.view(np.int64)))
+            columns = [part.column("doc_id"), part.column("digest"), pa.array(sizes.astype(np.int64)), *sums]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n_shingles", "sum_a", "sum_b"])
+
+    return run
+
+
+def _keys(k: int, similarity: Fraction):
+    """The keys under which the set of each text meets others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(similarity, 1 << 16)
+        for part, data, offsets in arrays.slices(_unpacked(batches)):
+            found, text = shingle_sets(data, offsets, k)
+            sizes = np.bincount(text, minlength=part.num_rows)
+            if sizes.max(initial=0) > bands.last[-1]:
+                bands = Bands(similarity, int(sizes.max()))
             keys, of = part_keys(found, text, sizes, bands)
-            columns = [part.column("doc_id"), part.column("digest"), pa.array(sizes.astype(np.int64)), *sums, _lists(keys.view(np.int64), of, n)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n_shingles", "sum_a", "sum_b", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(keys.view(np.int64), of, part.num_rows)], ["doc_id", "keys"])
 
     return run
 
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in arrays.slices(batches):
+        for part, data, offsets in arrays.slices(_unpacked(batches)):
             found, text = shingle_sets(data, offsets, k)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), arrays.binary_runs(found, np.searchsorted(text, np.arange(part.num_rows + 1)))], ["doc_id", "shingles"])
 
@@ -245,7 +274,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def join(docs: DataFrame, k: int = 3, similarity: Fraction = Fraction(9, 10), group: int = GROUP) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     texts = plain_documents(docs).withColumn("digest", F.xxhash64("text"))
-    described = stored(texts.mapInArrow(_describe(k, similarity), "doc_id long, digest long, n_shingles long, sum_a long, sum_b long, keys array<long>"))
+    described = stored(texts.mapInArrow(_describe(k), "doc_id long, digest long, n_shingles long, sum_a long, sum_b long"))
     with _small_batches(docs.sparkSession):
         linked = _links(texts, described, k, similarity, group)
     return described.select("doc_id", "n_shingles").join(linked, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -262,18 +291,21 @@ def _equal_parts(allowed: list[int], similarity: Fraction, largest: Column | Non
 
 def _links(texts: DataFrame, described: DataFrame, k: int, similarity: Fraction, group: int) -> DataFrame:
     """doc_id and component_id of the documents that have links."""
-    full = described.drop("keys").where("n_shingles > 0 AND doc_id IS NOT NULL")
+    full = described.where("n_shingles > 0 AND doc_id IS NOT NULL")
     member = stored(with_least(full, ["n_shingles", "sum_a", "sum_b"], "doc_id", "first_id").select("doc_id", "digest", "n_shingles", "first_id"))
     chosen = member.where("doc_id = first_id").dropDuplicates(["doc_id", "digest"])
 
-    # Sets that meet others, and the smallest document they meet.
-    keyed = described.select("doc_id", "digest", "keys").join(chosen.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi")
-    meets = keyed.select("doc_id", F.explode("keys").alias("key"))
-    pivots = meets.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("other")).where("pivot < other").select("key", "pivot")
-    met = stored(meets.join(pivots, "key").select("key", "doc_id", "pivot"))
+    # Sets that meet others, and the smallest document they meet. Texts travel compressed and keys are made where they
+    # arrive, as a text is smaller than its keys; keys are the bulk of what is shuffled and travel once.
+    # They are dealt in any case, so that no task has a Python worker for packing and another for keys at once.
+    packed = texts.mapInArrow(_pack, "doc_id long, digest long, packed binary").repartition("doc_id", "digest")
+    keyed = packed.join(chosen.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi").select("doc_id", "packed").mapInArrow(_keys(k, similarity), "doc_id long, keys array<long>")
+    of_key = Window.partitionBy("key")
+    meets = keyed.select("doc_id", F.explode("keys").alias("key")).select("key", "doc_id", F.min("doc_id").over(of_key).alias("pivot"), F.max("doc_id").over(of_key).alias("other"))
+    met = stored(meets.where("pivot < other").select("key", "doc_id", "pivot"))
     active = met.select("doc_id").distinct()
     wanted = chosen.select("doc_id", "digest").join(active, "doc_id")
-    sets = stored(texts.select("doc_id", "digest", "text").join(wanted, ["doc_id", "digest"]).select("doc_id", "text").mapInArrow(_sets(k), "doc_id long, shingles binary")).distinct()
+    sets = stored(packed.join(wanted, ["doc_id", "digest"]).select("doc_id", "packed").mapInArrow(_sets(k), "doc_id long, shingles binary")).distinct()
 
     similar = _similar(similarity)
     asked = met.groupBy("doc_id").agg(F.min("pivot").alias("pivot")).where("pivot < doc_id")

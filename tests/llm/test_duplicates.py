@@ -5,6 +5,7 @@ from __future__ import annotations
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,6 +21,14 @@ def test_components(documents, odd, k, similarity, group):
         assert got == plain.components(texts(table), k, similarity.numerator, similarity.denominator)
 
 
+def test_texts_travel_compressed_and_whole():
+    given = [(1, "a b " * 500), (2, ""), (3, None), (4, "é\n\x00日 " * 3)]
+    batch = pa.RecordBatch.from_arrays([pa.array([g[i] for g in given]) for i in (0, 1)] + [pa.array([0] * 4)], ["doc_id", "text", "digest"])
+    packed = list(ngram_join._pack(iter([batch])))
+    assert packed[0].column("packed").nbytes < 300
+    assert [r for b in ngram_join._unpacked(packed) for r in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist())] == [(i, (t or "").encode()) for i, t in given]
+
+
 def test_components_of_near_copies_that_need_the_matrix(spark):
     """Chains of copies: neighbours are similar, ends are not, and the smallest id is not in the middle."""
     base = [f"w{i}" for i in range(200)]
