@@ -184,3 +184,30 @@ def test_hot_keys_do_not_meet_in_one_task(spark):
     assert found.where("doc_id % 3 = 0").select("component_id").distinct().count() == 1
     assert debruijn.remove_repeats(rows).where("doc_id % 3 = 0 AND n_removed = 0").count() == 1
     assert suffix_dedup.remove_repeats(rows).where("doc_id % 3 = 0 AND n_removed = 0").count() == 1
+
+
+@pytest.mark.parametrize("window", [5, 8, 50, 64])
+def test_windows_are_sorted_by_ranks_of_the_runs_that_cover_them(window, monkeypatch):
+    """Only windows are sorted to their full length, and none needs common prefixes."""
+    monkeypatch.setattr(suffix_dedup, "common_prefixes", None)
+    draw = np.random.default_rng(9)
+    sizes = [window, 90, 300, 64, 200, 200, window + 1]
+    pieces = [bytes(draw.choice([0, 97, 98], n, p=[0.1, 0.8, 0.1]).astype(np.uint8)) for n in sizes] + [b"ab" * 90, b"a" * 200, b"\0" * 80]
+    pieces += pieces[1:4]
+    data, bounds = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([0, *map(len, pieces)])
+    ends = np.repeat(bounds[1:], np.diff(bounds))
+    is_window = np.arange(len(data)) + window <= ends
+    positions, number = suffix_dedup.shard_windows(data, ends, is_window, window)
+    found = [bytes(data[p : p + window]) for p in positions]
+    assert sorted(positions.tolist()) == np.flatnonzero(is_window).tolist()
+    assert found == sorted(found)
+    assert len({(w, n) for w, n in zip(found, number.tolist(), strict=True)}) == len(set(found)) == len(set(number.tolist()))
+
+
+def test_answers_name_anchors_by_bucket_and_key():
+    distinct = np.array([1 << 20 | 1, 1 << 20 | 3, 5 << 20 | 1, 9 << 20 | 7, 1 << 63 | 1], np.uint64)  # the first two share a key
+    bucket = np.array([4, 2, 4, 7, 2])
+    keys = suffix_dedup._key(distinct)
+    rows = [{"bucket": b, "kind": suffix_dedup._ANCHORS, "first": suffix_dedup._pack(keys[[i]])} for b, i in ((2, 1), (4, 2), (2, 3), (3, 4))]
+    assert suffix_dedup._told(rows, suffix_dedup._ANCHORS, distinct, bucket).tolist() == [False, True, True, False, False]
+    assert not suffix_dedup._told(rows, suffix_dedup._HOT, distinct, bucket).any()
