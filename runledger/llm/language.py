@@ -175,13 +175,13 @@ def _lettered(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return found
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds lang_pred, score (0 to 1) and ambiguous to the documents; only the text is looked at."""
+def predict(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:
+    """Adds lang_pred, score (0 to 1) and ambiguous to the documents; only the column of the texts is looked at."""
     names = [*model.languages, UNDETERMINED]
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in arrays.slices(batches):
+        for part, data, offsets in arrays.slices(batches, column):
             n = len(offsets) - 1
             best, score, unsure = np.full(n, len(names) - 1), np.zeros(n), np.ones(n, bool)
             if model.languages and n:
@@ -208,6 +208,6 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The documents whose language could be told, with their columns as they were."""
-    texts = docs.withColumnsRenamed({c: f"in_{i}" for i, c in enumerate(docs.columns)}).withColumn("text", F.col(f"in_{docs.columns.index('text')}"))
-    found = predict(texts, learn(docs)).where((F.col("lang_pred") != UNDETERMINED) & ~F.col("ambiguous"))
+    renamed = docs.withColumnsRenamed({c: f"in_{i}" for i, c in enumerate(docs.columns)})
+    found = predict(renamed, learn(docs), f"in_{docs.columns.index('text')}").where((F.col("lang_pred") != UNDETERMINED) & ~F.col("ambiguous"))
     return found.select(*(F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -1,9 +1,8 @@
 """Token ids of whole texts with a public tokenizer, a word at a time.
 
 Both tokenizers split a text at white space, and between a letter or digit and punctuation, before anything else. So the
-ids of a text are those of its words, and the ids of a word with punctuation at its end are those of its stem and of its
-tail. Words repeat, and their ids are kept in a bounded memory. New stems are encoded many at a time, with a mark between
-them that is one token by itself. Texts with unusual white space or with the string of a special token, which gets the id
+ids of a text are those of its words. Words repeat, and their ids are kept in a bounded memory of Arrow arrays, which takes
+tens of bytes a word. New words are encoded many at a time, with a mark between them that is one token by itself. Texts with unusual white space or with the string of a special token, which gets the id
 of that token, are encoded in one go, odd words one by one.
 """
 
@@ -18,16 +17,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words, and stems, whose ids are kept per Python worker. When as many are known they become the older half of the
+#: Words whose ids are kept per Python worker. When as many are known they become the older half of the
 #: memory, from which words in use are taken over, and what was the older half is forgotten.
 KEPT_WORDS = 500_000
 #: First words of texts whose ids are kept where a tokenizer tells them from others.
 KEPT_FIRSTS = 50_000
 #: Words encoded in one go, and characters of the texts handled together.
 WORDS_AT_ONCE, CHARACTERS = 100, 4 << 20
-_TAIL = ".,!?;:"
-#: Letters whose lower case does not depend on their place in a word.
-_SIMPLE = re.compile(r"[\x00-\u012f\u0131-\u024f]*")
 _MARKS = "\u00a7\u00b6\u2020\u2022\u00a9"
 #: White space other than blanks and line breaks.
 _RARE = "\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -57,10 +53,8 @@ class Encoder:
         single = [c for c in _MARKS if len(self._ids(" " + c)) == 1]
         self.mark = single[0] if single else ""
         self.mark_id = int(self._ids(" " + self.mark)[0]) if single else -1
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-        self.older_stems: dict[str, bytes] = {}
+        self.known = self.older = pa.array([], pa.large_string())
+        self.known_ids = self.older_ids = pa.array([], pa.large_binary())
         self.firsts: dict[str, bytes] = {"": b""}
 
     def _ids(self, text: str) -> np.ndarray:
@@ -74,55 +68,27 @@ class Encoder:
         seen = text if self.spaced else text.lower()
         return any(s in seen for s in self.special)
 
-    def _pieces(self, word: str) -> list[str]:
-        """Strings that can be encoded one by one: stems with a space before them if the tokenizer keeps it, and tails."""
-        if not self.spaced:
-            if not _SIMPLE.fullmatch(word):
-                return [word]
-            stem = word.rstrip(_TAIL)
-            return [stem.lower(), word[len(stem) :]] if stem and len(stem) < len(word) and stem[-1].isalnum() else [word.lower()]
-        lines = word.split("\n")
-        if len(lines) > 1 and not all(line and line[0].isalnum() for line in lines[1:]) or not lines[0]:
-            return [" " + word]
-        found = []
-        for i, line in enumerate(lines):
-            stem = line.rstrip(_TAIL)
-            split = bool(stem) and stem[-1].isalnum() and len(stem) < len(line)
-            found += ["\n"] * bool(i) + [" " * (not i) + (stem if split else line)] + [line[len(stem) :]] * split
-        return found
-
-    def _learn(self, new: list[str]) -> None:
-        """Takes the ids of new words into the memory."""
-        again = {w: self.older[w] for w in new if w in self.older}
-        self.known.update(again)
-        new = [w for w in new if w not in again]
-        single = [w for w in new if w.isalnum()]
-        keys = [" " + w for w in single] if self.spaced else [w.lower() if _SIMPLE.fullmatch(w) else w for w in single]
-        composed = [w for w in new if not w.isalnum()]
-        pieces = [self._pieces(w) for w in composed]
-        wanted = set(keys).union(*pieces)
-        stems = [p for p in wanted if p not in self.stems]
-        if len(self.stems) + len(stems) > KEPT_WORDS:
-            self.older_stems, self.stems = self.stems, {}
-            stems = list(wanted)
-        again = {p: self.older_stems[p] for p in stems if p in self.older_stems}
-        self.stems.update(again)
-        stems = [p for p in stems if p not in again]
-        # A mark and what follows it are apart if a space or a letter follows.
-        plain = [p for p in stems if self.mark and self.mark not in p and (not self.spaced or p[0].isalnum() or (p[0] == " " and p[1:].strip()))]
-        for at in range(0, len(plain), WORDS_AT_ONCE):
-            some = plain[at : at + WORDS_AT_ONCE]
-            text = f" {self.mark}".join(some) if self.spaced else f" {self.mark} ".join(some)
-            ids = self._ids(text)
-            marks = np.flatnonzero(ids == self.mark_id)
-            raw, begins, ends = ids.tobytes(), [0, *(4 * (marks + 1)).tolist()], [*(4 * marks).tolist(), 4 * len(ids)]
-            self.stems.update(zip(some, [raw[a:b] for a, b in zip(begins, ends, strict=True)], strict=True))
-        for p in stems:
-            if p not in self.stems:
-                self.stems[p] = self._ids(p).tobytes()
-        find = self.stems.__getitem__
-        self.known.update(zip(single, map(find, keys), strict=True))
-        self.known.update(zip(composed, [b"".join(map(find, ps)) for ps in pieces], strict=True))
+    def _encoded(self, words: list[str]) -> pa.Array:
+        """The ids of words that are not known, many at a time with a mark between them. A mark and what follows it are apart
+        if a space or a letter follows."""
+        plain = [bool(w.strip()) and self.mark not in w if self.mark else False for w in words]
+        asked = [w for w, is_plain in zip(words, plain, strict=True) if is_plain]
+        between = f" {self.mark} "
+        joined = [" " * self.spaced + between.join(asked[at : at + WORDS_AT_ONCE]) for at in range(0, len(asked), WORDS_AT_ONCE)]
+        flat = [np.zeros(0, "<u4")]
+        for at in range(0, len(joined), WORDS_AT_ONCE):
+            for found in self.tokenizer.encode_batch_fast(joined[at : at + WORDS_AT_ONCE], add_special_tokens=False):
+                flat += [np.array(found.ids, "<u4"), np.array([self.mark_id], "<u4")]
+        ids = np.concatenate(flat)
+        marks = np.flatnonzero(ids == self.mark_id)
+        ends = np.concatenate([[0], marks - np.arange(len(marks))]) * 4
+        ids = np.delete(ids, marks)
+        found = pa.Array.from_buffers(pa.large_binary(), len(asked), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)])
+        if len(asked) == len(words):
+            return found
+        odd = [self._ids(" " * self.spaced + w).tobytes() for w, is_plain in zip(words, plain, strict=True) if not is_plain]
+        place = np.where(plain, np.cumsum(plain) - 1, len(asked) + np.cumsum(~np.array(plain)) - 1)
+        return pa.concat_arrays([found, pa.array(odd, pa.large_binary())]).take(pa.array(place))
 
     def _split(self, text: str) -> tuple[bytes, str]:
         """Ids of what comes before the words, and the text of the words."""
@@ -146,17 +112,27 @@ class Encoder:
             found = self.firsts[word] = self._ids(word).tobytes()
         return found
 
-    def _of_words(self, words: list[str]) -> list[bytes]:
+    def _of_words(self, words: pa.Array) -> pa.Array:
         """Ids of distinct words; an empty one has none."""
-        found = list(map(self.known.get, words))
-        new = [w for w, ids in zip(words, found, strict=True) if ids is None and w]
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.older, self.known = self.known, {}
-            new = [w for w in words if w]
-        if new:
-            self._learn(new)
-        self.known[""] = b""
-        return list(map(self.known.__getitem__, words))
+        found, ids = [pa.array([""], pa.large_string())], [pa.array([b""], pa.large_binary())]
+        left = words.filter(pc.not_equal(words, ""))
+        for known, its in ((self.known, self.known_ids), (self.older, self.older_ids)):
+            place = pc.index_in(left, value_set=known)
+            hit = pc.is_valid(place)
+            found.append(left.filter(hit))
+            ids.append(its.take(place.filter(hit)))
+            left = left.filter(pc.invert(hit))
+        found.append(left)
+        ids.append(self._encoded(left.to_pylist()))
+        self._remember(pa.concat_arrays(found[2:]), pa.concat_arrays(ids[2:]))
+        return pa.concat_arrays(ids).take(pc.index_in(words, value_set=pa.concat_arrays(found)))
+
+    def _remember(self, words: pa.Array, ids: pa.Array) -> None:
+        """Takes words that were not in the younger half of the memory into it."""
+        if len(self.known) + len(words) > KEPT_WORDS:
+            self.older, self.older_ids = self.known, self.known_ids
+            self.known, self.known_ids, words, ids = words[:0], ids[:0], words[:KEPT_WORDS], ids[:KEPT_WORDS]
+        self.known, self.known_ids = pa.concat_arrays([self.known, words]), pa.concat_arrays([self.known_ids, ids])
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text. Arrow splits the texts and lays the ids of their words end to end, so that Python sees
@@ -171,7 +147,7 @@ class Encoder:
             own = pa.array([words for _, words in parts], pa.large_string())
             split = pc.split_pattern(own, " ") if self.spaced else pc.ascii_split_whitespace(own)
             words = split.values.dictionary_encode()
-            ids = pa.array(self._of_words(words.dictionary.to_pylist()), pa.large_binary()).take(words.indices)
+            ids = self._of_words(words.dictionary).take(words.indices)
             bounds = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[split.offsets.to_numpy()].tolist()
             data = memoryview(ids.buffers()[2] or b"")
             for (head, _), begin, end in zip(parts, bounds[:-1], bounds[1:], strict=True):

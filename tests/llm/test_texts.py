@@ -294,6 +294,24 @@ def test_a_word_is_looked_up_once_for_many_texts(name):
     assert len(calls) < 20 and len(asked) == len(set(asked)) < 30
 
 
+def test_each_text_goes_to_python_once(documents, monkeypatch):
+    sent, predict = [], language.predict
+    monkeypatch.setattr(language, "predict", lambda docs, model, *rest: sent.append(docs) or predict(docs, model, *rest))
+    assert language.keep_known(documents).columns == documents.columns
+    assert len(sent[0].columns) == len(documents.columns)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_known_words_take_few_bytes(name):
+    """Words are kept in Arrow arrays, each in one of the two halves of the memory, and no word has an object of its own."""
+    encode = Encoder(tokenizer_path(name))
+    given = [" ".join(f"w{i}x{j}, w{j}." for j in range(2000)) for i in range(5)]
+    for text in given:
+        assert list(encode([text])) == [np.array(encode.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert len(encode.known) == len(set(encode.known.to_pylist())) > 11000
+    assert encode.known.nbytes + encode.known_ids.nbytes < 60 * len(encode.known)
+
+
 def test_packing(documents, odd):
     encoder = Encoder(tokenizer_path("word_bpe_49k.json"))
     for table in (documents, odd):
