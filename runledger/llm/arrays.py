@@ -76,6 +76,11 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     return run_hashes(_BYTE_CODES[data], k, _BASE)
 
 
+def release() -> None:
+    """Gives memory that Arrow holds but no longer uses back to the system, as Spark keeps idle workers."""
+    pa.default_memory_pool().release_unused()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of the batches with the bytes of their texts and the offsets of each text. A null text is empty."""
     for batch in batches:
@@ -87,6 +92,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, side="right")) - 1)
             yield batch.slice(at, end - at), data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
             at = end
+        del batch, texts, offsets, data
+        release()
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from runledger.llm import arrays
+
 #: Words whose ids are kept per Python worker. When as many are known they become the older half of the
 #: memory, from which words in use are taken over, and what was the older half is forgotten.
 KEPT_WORDS = 500_000
@@ -152,6 +154,8 @@ class Encoder:
             data = memoryview(ids.buffers()[2] or b"")
             for (head, _), begin, end in zip(parts, bounds[:-1], bounds[1:], strict=True):
                 yield head + data[begin:end]
+            del parts, own, split, words, ids, data
+            arrays.release()
             first = last
 
 

@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -301,6 +302,14 @@ def test_each_text_goes_to_python_once(documents, monkeypatch):
     assert len(sent[0].columns) == len(documents.columns)
 
 
+def test_workers_give_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr("runledger.llm.arrays.release", lambda: calls.append(1))
+    batches = [pa.RecordBatch.from_arrays([pa.array(["a b", None, ""])], ["text"])] * 3
+    assert [len(offsets) for _, _, offsets in arrays.slices(iter(batches))] == [4] * 3 and len(calls) == 3
+    assert len(list(Encoder(tokenizer_path("word_bpe_49k.json"))(["a b", "c"]))) == 2 and len(calls) == 4
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_known_words_take_few_bytes(name):
     """Words are kept in Arrow arrays, each in one of the two halves of the memory, and no word has an object of its own."""
