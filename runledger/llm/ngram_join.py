@@ -2,7 +2,8 @@
 
 Documents with equal sets are one. Two sets of which a share `similarity` is common differ in few shingles, so if the
 space of shingle hashes is cut into more parts than they may differ in, one part at least is equal in both: the sets of a
-size band meet under the hashes of their parts. How many equal parts two sets must have follows from their sizes. Candidates are not paired. First each set is compared with the smallest
+size band meet under the hashes of their parts. How many equal parts two sets must have follows from their sizes, and
+sets that have fewer are not compared. What is kept and shuffled to compare them are their texts, compressed. Candidates are not paired. First each set is compared with the smallest
 doc_id that it meets, which gives components. Then, for sets that also meet documents of other components, the token-group
 matrix decides: documents that were compared with the same one are partitioned into groups of about GROUP
 members, a group keeps the union of its members' shingles, a query's overlap with the union bounds its overlap with every
@@ -173,13 +174,12 @@ def _keys(k: int, similarity: Fraction):
     return run
 
 
-def _sets(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in arrays.slices(_unpacked(batches)):
-            found, text = shingle_sets(data, offsets, k)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), arrays.binary_runs(found, np.searchsorted(text, np.arange(part.num_rows + 1)))], ["doc_id", "shingles"])
-
-    return run
+def _sets(packed: list[bytes], k: int) -> Iterator[np.ndarray]:
+    """The set of each compressed text. Sets are made where they are compared, as a text is smaller than its set."""
+    batch = pa.RecordBatch.from_arrays([pa.nulls(len(packed), pa.int64()), arrays.binary(packed)], ["doc_id", "packed"])
+    for part, data, offsets in arrays.slices(_unpacked(iter([batch]))):
+        found, text = shingle_sets(data, offsets, k)
+        yield from np.split(found, np.searchsorted(text, np.arange(1, part.num_rows)))
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -189,33 +189,34 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
 
 
-def _similar(similarity: Fraction):
+def _similar(k: int, similarity: Fraction):
     top, bottom = similarity.numerator, similarity.denominator
 
     @F.pandas_udf("boolean")
     def similar(left: pd.Series, right: pd.Series) -> pd.Series:
-        def one(x: bytes, y: bytes) -> bool:
-            a, b = np.frombuffer(x, _U), np.frombuffer(y, _U)
+        texts = list({*left, *right})
+        sets = dict(zip(texts, _sets(texts, k), strict=True))
+
+        def one(a: np.ndarray, b: np.ndarray) -> bool:
             common = _common(a, b)
             return bottom * common >= top * (len(a) + len(b) - common)
 
-        return pd.Series([one(x, y) for x, y in zip(left, right, strict=True)])
+        return pd.Series([one(sets[x], sets[y]) for x, y in zip(left, right, strict=True)], dtype=bool)
 
     return similar
 
 
-def _open_groups(similarity: Fraction):
+def _open_groups(k: int, similarity: Fraction):
     """Links between components that a group's members and the queries of a block have."""
     top, bottom = similarity.numerator, similarity.denominator
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        members = [(c, np.frombuffer(x, _U)) for c, x in zip(*(left.column(n).to_pylist() for n in ("component", "shingles")), strict=True)]
+        members = list(zip(left.column("component").to_pylist(), _sets(left.column("packed").to_pylist(), k), strict=True))
         links: set[tuple[int, int]] = set()
         if members and right.num_rows:
             union = np.unique(np.concatenate([x for _, x in members]))
             least = min(len(x) for _, x in members)
-            for of, raw in zip(*(right.column(n).to_pylist() for n in ("of", "tokens")), strict=True):
-                query = np.frombuffer(raw, _U)
+            for of, query in zip(right.column("of").to_pylist(), _sets(right.column("text").to_pylist(), k), strict=True):
                 most = _common(query, union)  # what the query can have in common with any member
                 if bottom * most < top * len(query) or (top + bottom) * most < top * (len(query) + least):
                     continue
@@ -281,8 +282,8 @@ def join(docs: DataFrame, k: int = 3, similarity: Fraction = Fraction(9, 10), gr
 
 
 def _equal_parts(allowed: list[int], similarity: Fraction, largest: Column | None = None) -> Column:
-    """Equal parts that a query and a similar member of a group have at least: what the band allows to differ beyond what
-    sets of their sizes may differ in."""
+    """Equal parts that a set and a similar one (of at most `largest` shingles) have at least: what the band allows to differ
+    beyond what sets of their sizes may differ in."""
     top, bottom = similarity.numerator, similarity.denominator
     other = F.floor(F.col("size") * bottom / top)
     both = F.col("size") + (other if largest is None else F.least(largest, other))
@@ -292,8 +293,12 @@ def _equal_parts(allowed: list[int], similarity: Fraction, largest: Column | Non
 def _links(texts: DataFrame, described: DataFrame, k: int, similarity: Fraction, group: int) -> DataFrame:
     """doc_id and component_id of the documents that have links."""
     full = described.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    member = stored(with_least(full, ["n_shingles", "sum_a", "sum_b"], "doc_id", "first_id").select("doc_id", "digest", "n_shingles", "first_id"))
-    chosen = member.where("doc_id = first_id").dropDuplicates(["doc_id", "digest"])
+    member = stored(with_least(full, ["n_shingles", "sum_a", "sum_b"], "doc_id", "first_id"))
+    chosen = member.where("doc_id = first_id").groupBy("doc_id", "n_shingles", "sum_a", "sum_b").agg(F.min("digest").alias("digest"))
+    size = chosen.groupBy("doc_id").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("size"))
+    bands = Bands(similarity, described.agg(F.max("n_shingles")).first()[0] or 1)
+    allowed = bands.differ
+    band = F.col("key").bitwiseAND((1 << BAND_BITS) - 1).cast("int").alias("band")
 
     # Sets that meet others, and the smallest document they meet. Texts travel compressed and keys are made where they
     # arrive, as a text is smaller than its keys; keys are the bulk of what is shuffled and travel once.
@@ -303,14 +308,22 @@ def _links(texts: DataFrame, described: DataFrame, k: int, similarity: Fraction,
     of_key = Window.partitionBy("key")
     meets = keyed.select("doc_id", F.explode("keys").alias("key")).select("key", "doc_id", F.min("doc_id").over(of_key).alias("pivot"), F.max("doc_id").over(of_key).alias("other"))
     met = stored(meets.where("pivot < other").select("key", "doc_id", "pivot"))
-    active = met.select("doc_id").distinct()
+    # A set that is equal to others in too few parts is similar to none. All parts in which it equals the smallest document
+    # that it meets lie under that one's keys, so too few of them rule this pair out as well.
+    parts = stored(met.groupBy("doc_id", "pivot", band).agg(F.count("*").alias("parts")).join(size, "doc_id"))
+    enough = parts.groupBy("doc_id", "size", "band").agg(F.sum("parts").alias("parts")).where(F.col("parts") >= _equal_parts(allowed, similarity))
+    active = stored(enough.select("doc_id").distinct())
     wanted = chosen.select("doc_id", "digest").join(active, "doc_id")
-    sets = stored(packed.join(wanted, ["doc_id", "digest"]).select("doc_id", "packed").mapInArrow(_sets(k), "doc_id long, shingles binary")).distinct()
-
-    similar = _similar(similarity)
-    asked = met.groupBy("doc_id").agg(F.min("pivot").alias("pivot")).where("pivot < doc_id")
-    mine = asked.join(sets, "doc_id").withColumnRenamed("shingles", "left")
-    theirs = sets.select(F.col("doc_id").alias("pivot"), F.col("shingles").alias("right"))
+    held = stored(packed.join(wanted, ["doc_id", "digest"]).groupBy("doc_id", "digest").agg(F.first("packed").alias("packed")).select("doc_id", "packed"))
+
+    asked = parts.groupBy("doc_id").agg(F.min("pivot").alias("pivot")).where("pivot < doc_id")
+    sizes = size.select(F.col("doc_id").alias("pivot"), F.col("least").alias("pivot_least"), F.col("size").alias("pivot_size"))
+    last = F.array(*(F.lit(n) for n in bands.last))
+    of_smaller = (F.get(last, F.col("band")) >= F.least("least", "pivot_least")) & (F.coalesce(F.get(last, F.col("band") - 1), F.lit(0)) < F.least("size", "pivot_size"))
+    near = parts.join(asked, ["doc_id", "pivot"]).join(sizes, "pivot").where(of_smaller & (F.col("parts") >= _equal_parts(allowed, similarity, F.col("pivot_size"))))
+    similar = _similar(k, similarity)
+    mine = near.select("doc_id", "pivot").distinct().join(held, "doc_id").withColumnRenamed("packed", "left")
+    theirs = held.select(F.col("doc_id").alias("pivot"), F.col("packed").alias("right"))
     good = mine.join(theirs, "pivot").where(similar("left", "right")).select("doc_id", "pivot").distinct()
     grouped = roots(active.join(good, "doc_id", "left").select("doc_id", F.coalesce("pivot", "doc_id").alias("parent")))
 
@@ -319,19 +332,16 @@ def _links(texts: DataFrame, described: DataFrame, k: int, similarity: Fraction,
     labelled = stored(met.select("key", "doc_id").join(grouped, "doc_id"))
     split = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     open_keys = stored(labelled.join(split, "key"))
-    size = chosen.groupBy("doc_id").agg(F.max("n_shingles").alias("size"))
     around = stored(active.join(asked, "doc_id", "left").select("doc_id", F.coalesce("pivot", "doc_id").alias("cluster")))
-    inside = open_keys.select("component", "doc_id").distinct().join(around, "doc_id").join(size, "doc_id")
+    inside = open_keys.select("component", "doc_id").distinct().join(around, "doc_id").join(size.drop("least"), "doc_id")
     chunks = inside.groupBy("cluster").agg(F.ceil(F.count("*") / group).alias("chunks"))
     members = stored(inside.join(chunks, "cluster").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), "chunks")).drop("chunks"))
     extent = grouped.groupBy("component").agg(F.count("*").alias("extent"))
     largest = open_keys.select("key", "component").distinct().join(extent, "component").groupBy("key").agg(F.max_by("component", F.struct("extent", "component")).alias("main"))
     query = open_keys.join(largest, "key").where("component != main").join(size, "doc_id").select("key", F.col("doc_id").alias("query"), F.col("component").alias("of"), "size")
     in_group = open_keys.join(around, "doc_id").groupBy("key", "cluster").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    band = F.col("key").bitwiseAND((1 << BAND_BITS) - 1).cast("int").alias("band")
     equal = query.join(in_group, "key").where((F.col("low") != F.col("of")) | (F.col("high") != F.col("of")))
     equal = equal.groupBy("query", "of", "size", "cluster", band).agg(F.count("*").alias("parts"))
-    allowed = Bands(similarity, described.agg(F.max("n_shingles")).first()[0] or 1).differ
     equal = equal.where(F.col("parts") >= _equal_parts(allowed, similarity))
     widest = members.groupBy("cluster", "chunk").agg(F.max("size").alias("largest"))
     sized = equal.join(widest, "cluster")
@@ -339,13 +349,13 @@ def _links(texts: DataFrame, described: DataFrame, k: int, similarity: Fraction,
     # A group that many queries ask for is handed out to several tasks.
     blocks = pairs.groupBy("cluster", "chunk").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
     asking = pairs.join(blocks, ["cluster", "chunk"]).withColumn("block", F.pmod(F.xxhash64("query"), "blocks").cast("int"))
-    asking = asking.join(sets.select(F.col("doc_id").alias("query"), F.col("shingles").alias("tokens")), "query").select(
-        F.col("cluster").alias("cluster"), F.col("chunk").alias("chunk"), "block", "of", "tokens"
+    asking = asking.join(held.select(F.col("doc_id").alias("query"), F.col("packed").alias("text")), "query").select(
+        F.col("cluster").alias("cluster"), F.col("chunk").alias("chunk"), "block", "of", "text"
     )
     answering = members.join(blocks, ["cluster", "chunk"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    answering = answering.join(sets, "doc_id").select("cluster", "chunk", "block", "component", "shingles")
+    answering = answering.join(held, "doc_id").select("cluster", "chunk", "block", "component", "packed")
     where = ["cluster", "chunk", "block"]
-    edges = stored(answering.groupBy(*where).cogroup(asking.groupBy(*where)).applyInArrow(_open_groups(similarity), "a long, b long").distinct())
+    edges = stored(answering.groupBy(*where).cogroup(asking.groupBy(*where)).applyInArrow(_open_groups(k, similarity), "a long, b long").distinct())
     merged = components(edges, edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct())
     final = grouped.join(merged, F.col("component") == F.col("node"), "left").select(F.col("doc_id").alias("first_id"), F.coalesce("root", "component").alias("component"))
     found = member.select("doc_id", "first_id").join(final, "first_id", "left").select("doc_id", F.coalesce("component", "first_id").alias("component"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from runledger.llm import arrays, debruijn, decontamination, ngram_join, suffix_dedup
+from runledger.llm import arrays, debruijn, decontamination, ngram_join, storage, suffix_dedup
 from tests.llm import plain
 from tests.llm.conftest import by_id, texts
 
@@ -46,6 +46,55 @@ def test_components_of_near_copies_that_need_the_matrix(spark):
     assert len({c for _, c in want.values()}) < len(rows)
 
 
+def test_sets_are_not_written(spark, monkeypatch):
+    """Short words make sets larger than texts: what is kept to compare documents is smaller than the texts, and there once for
+    each document."""
+    kept = []
+
+    def noted(frame):
+        found = storage.stored(frame)
+        kept.extend(found.select("doc_id", F.length(name)) for name, kind in found.dtypes if kind == "binary")
+        return found
+
+    monkeypatch.setattr(ngram_join, "stored", noted)
+    draw = np.random.default_rng(4)
+    words = lambda n: [f"{x:x}" for x in draw.integers(0, 4096, n)]
+    base, rows = words(400), []
+    for i in range(30):
+        rows.append((i, " ".join([*base[: 13 * i], f"x{i}", *base[13 * i + 1 :]])))  # similar to each other
+        rows.append((100 + i, " ".join(words(400))))
+        rows.append(rows[-2])
+    found = by_id(ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 5, Fraction(4, 5)), "n_shingles", "component_id")
+    assert found == plain.components(dict(rows), 5, 4, 5)
+    sizes = [tuple(r) for frame in kept for r in frame.collect()]
+    assert sorted(i for i, _ in sizes) == list(range(30))
+    assert sum(size for _, size in sizes) < sum(len(text) for i, text in dict(rows).items() if i < 30)
+
+
+@pytest.mark.parametrize(("k", "similarity"), [(3, Fraction(9, 10)), (5, Fraction(4, 5))])
+def test_similar_sets_share_the_parts_that_are_asked_for(spark, k, similarity):
+    """In the band of the smaller one, whatever the sizes and however the differences lie."""
+    draw, rows = np.random.default_rng(6), []
+    bands = ngram_join.Bands(similarity, 3000)
+    for n in (12, 30, 31, 60, 77, 150, 400, 900):
+        for taken in (0, 0.25, 0.5, 1):
+            most = int(n * (1 - similarity) / similarity)  # what the other may have beyond these, if it has them all
+            gone, more = round(taken * n * float(1 - similarity) * 0.9), round((1 - taken) * most * 0.9)
+            a = draw.integers(0, 1 << 63, n).astype(np.uint64)
+            b = np.concatenate([a[gone:], draw.integers(0, 1 << 63, more).astype(np.uint64)])
+            if similarity.denominator * (n - gone) < similarity.numerator * (n + more):
+                continue
+            found, text = np.concatenate([np.sort(a), np.sort(b)]), np.repeat([0, 1], [len(a), len(b)])
+            keys, of = ngram_join.part_keys(found, text, np.array([len(a), len(b)]), bands)
+            common = np.intersect1d(keys[of == 0], keys[of == 1]).astype(np.int64) & (1 << ngram_join.BAND_BITS) - 1
+            band = int(np.searchsorted(bands.last_size, min(len(a), len(b))))
+            rows += [(x, y, band, int((common == band).sum())) for x, y in ((len(a), len(b)), (len(b), len(a)))]
+    table = spark.createDataFrame(rows, "size long, other long, band int, parts long")
+    for largest in (None, F.col("other")):
+        assert not table.where(F.col("parts") < ngram_join._equal_parts(bands.differ, similarity, largest)).collect()
+    assert table.where("parts > 1").count() > 20
+
+
 def test_bands_hold_all_similar_sizes():
     for similarity in (Fraction(9, 10), Fraction(4, 5)):
         bands = ngram_join.Bands(similarity, 3000)
