@@ -36,9 +36,11 @@ BITS = 22
 SLOTS = 1 << BITS
 NEIGHBOURS, CLOSENESS, PRIOR_WEIGHT = 16, 0.05, 0.5
 #: Terms of most examples that are multiplied densely, queries handled together, and more than single precision errs by.
-DENSE, QUERIES, ROUNDING = 2048, 64, 1e-4
+DENSE, QUERIES, ROUNDING = 2048, 128, 1e-4
 #: Examples in a block, dimensions in which they are grouped, and blocks that a query opens before it has a bound to reach.
 BLOCK, SKETCH, FIRST = 64, 128, 1
+#: Queries of a batch for which blocks are bounded in any case, and the share of opened blocks from which on the others take all.
+PROBES, WORTH = 4, 0.25
 #: Terms of fewer examples are bounded by the maxima of their runs.
 POSTED = 8
 #: Examples whose weights are worked out together.
@@ -120,6 +122,7 @@ class Tables:
     posted: np.ndarray
 
     def __post_init__(self) -> None:
+        self.term_begin = self.run_begin[self.runs]
         begin = self.run_begin[:-1]
         self.run_block = (self.member[begin] // BLOCK).astype(np.int16)
         self.run_most = np.maximum.reduceat(self.posted, begin) if len(begin) else self.posted
@@ -176,7 +179,8 @@ class Index:
     SKETCH dimensions, differ most. Terms that many examples have are multiplied densely. For all others the index keeps
     postings, a run for each term and block, and the greatest weight in each run. The largest dense product in a block and the
     query's product with these maxima bound its cosine with every member. The blocks with the best bounds are opened first,
-    and of the others those whose bound reaches the k-th best cosine found so far; the runs of closed blocks are not read.
+    and of the others those whose bound reaches the k-th best cosine found so far. Where the first queries of a batch open so
+    many blocks that bounds cost more than they save, the rest of the batch opens all; the neighbours are the same.
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> None:
@@ -280,48 +284,41 @@ class Index:
         often = np.zeros((len(queries), len(tables.dense)), np.float32)
         for q, query in enumerate(queries):
             often[q, query.dense] = query.dense_weight
-        hidden = [(q, int(np.flatnonzero(tables.order == e)[0])) for q, e in enumerate(without) if e >= 0]
-        about = often @ tables.dense
-        bounds = np.maximum.reduceat(about, np.arange(0, self.n, BLOCK), axis=1) if self.n else np.zeros((len(queries), 0), np.float32)
-        for q, query in enumerate(queries):
-            bounds[q] += query.bounds(tables, n_blocks)
-        for q, member in hidden:
-            about[q, member] = 0
-        rest = np.zeros((len(queries), self.n))
-        opened = np.zeros(bounds.shape, bool)
-        np.put_along_axis(opened, np.argsort(-bounds, axis=1, kind="stable")[:, :FIRST], True, axis=1)
-        opened &= bounds > 0
-        self._open(about, rest, opened, queries, hidden)
-        if self.n > k:
-            least = np.array([np.partition(row, -k)[-k] for row in about]) - ROUNDING
-            more = (bounds > 0) & (bounds + ROUNDING >= least[:, None]) & ~opened
-            self._open(about, rest, more, queries, hidden)
-            opened |= more
-        self.met += opened.size
-        self.opened += int(opened.sum())
-        for query, row, other in zip(queries, about, rest, strict=True):
-            least = np.partition(row, -k)[-k] - ROUNDING if self.n > k else 0
-            near = np.flatnonzero((row > 0) & (row >= least))
+        dense, met, opened = often @ tables.dense, self.met, self.opened
+        for q, (query, about, left_out) in enumerate(zip(queries, dense, without, strict=True)):
+            hidden = np.flatnonzero(tables.order == left_out) if left_out >= 0 else np.zeros(0, np.int64)
+            rest, posts = np.zeros(self.n), Posts(tables, query)
+            if q < PROBES or self.opened - opened <= WORTH * (self.met - met):
+                bounds = np.maximum.reduceat(about, np.arange(0, self.n, BLOCK)) if self.n else np.zeros(0, np.float32)
+                self._open_best(about, rest, bounds + query.bounds(tables, n_blocks), posts, k, hidden)
+            else:
+                self._open(about, rest, np.ones(n_blocks, bool), posts, hidden)
+            least = np.partition(about, -k)[-k] - ROUNDING if self.n > k else 0
+            near = np.flatnonzero((about > 0) & (about >= least))
             # The sums of the dense terms once more in double precision, one term after the other, whatever the batch holds.
-            cosines = other[near] + np.add.reduce(tables.dense[query.dense[:, None], near] * query.dense_weight[:, None], axis=0)
+            cosines = rest[near] + np.add.reduce(tables.dense[query.dense[:, None], near] * query.dense_weight[:, None], axis=0)
             best = np.lexsort((tables.order[near], -np.round(cosines, 9)))[:k]
             yield Hits(tables.order[near[best]], np.minimum(cosines[best], 1.0))
 
-    def _open(self, about: np.ndarray, rest: np.ndarray, opened: np.ndarray, queries: list[Query], hidden: list[tuple[int, int]]) -> None:
+    def _open_best(self, about: np.ndarray, rest: np.ndarray, bounds: np.ndarray, posts: Posts, k: int, hidden: np.ndarray) -> None:
+        """Opens the blocks with the best bounds, and of the others those that may hold one of the k nearest."""
+        about[hidden] = 0
+        first = np.zeros(len(bounds), bool)
+        first[np.argsort(-bounds, kind="stable")[:FIRST]] = True
+        first &= bounds > 0
+        self._open(about, rest, first, posts, hidden)
+        if self.n > k:
+            self._open(about, rest, (bounds > 0) & (bounds + ROUNDING >= np.partition(about, -k)[-k] - ROUNDING) & ~first, posts, hidden)
+            self.met -= len(bounds)
+
+    def _open(self, about: np.ndarray, rest: np.ndarray, opened: np.ndarray, posts: Posts, hidden: np.ndarray) -> None:
         """Adds what the terms that are not dense add for members of opened blocks."""
-        tables = self._tables
-        for q, query in enumerate(queries):
-            mine = np.flatnonzero(opened[q][tables.run_block[query.runs]])
-            if len(mine):
-                run = query.runs[mine]
-                begin = tables.run_begin[run]
-                sizes = tables.run_begin[run + 1] - begin
-                posts, of = _each(begin, sizes)
-                found = np.bincount(tables.member[posts], weights=tables.posted[posts] * query.run_weight[mine][of], minlength=self.n)
-                rest[q] += found
-                about[q] += found
-        for q, member in hidden:
-            about[q, member] = 0
+        self.met += len(opened)
+        self.opened += int(opened.sum())
+        found = posts.sums(self._tables, opened)
+        rest += found
+        about += found
+        about[hidden] = 0
 
 
 class Query:
@@ -333,10 +330,6 @@ class Query:
         dense, rare = np.flatnonzero((where >= 0) & (where < n_dense)), np.flatnonzero(where >= n_dense)
         self.dense, self.dense_weight = where[dense], weights[dense]
         self.rare, self.rare_weight = where[rare] - n_dense, weights[rare]
-        begin = tables.runs[self.rare]
-        sizes = tables.runs[self.rare + 1] - begin
-        self.runs, of = _each(begin, sizes)
-        self.run_weight = self.rare_weight[of]
 
     def bounds(self, tables: Tables, n_blocks: int) -> np.ndarray:
         """What the terms that are not dense add to the cosine with any member of each block, at most."""
@@ -349,6 +342,26 @@ class Query:
         return most + np.bincount(tables.run_block[run], weights=tables.run_most[run] * self.rare_weight[~leveled][of], minlength=n_blocks)
 
 
+class Posts:
+    """Postings of the terms of a query that are not dense, those of a term one after the other as the index holds them: runs
+    are short, so postings of closed blocks are passed over one by one and no run is looked up."""
+
+    def __init__(self, tables: Tables, query: Query) -> None:
+        begin = tables.term_begin[query.rare]
+        sizes = tables.term_begin[query.rare + 1] - begin
+        self.place = np.repeat(begin - np.cumsum(sizes, dtype=np.int32) + sizes, sizes)
+        self.place += np.arange(len(self.place), dtype=np.int32)
+        self.member, self.weight = tables.member[self.place], np.repeat(query.rare_weight, sizes)
+
+    def sums(self, tables: Tables, opened: np.ndarray) -> np.ndarray:
+        """What they add to the cosine with each member of the opened blocks."""
+        place, member, weight = self.place, self.member, self.weight
+        if not opened.all():
+            mine = np.flatnonzero(opened[member // BLOCK])
+            place, member, weight = place[mine], member[mine], weight[mine]
+        return np.bincount(member, weights=tables.posted[place] * weight, minlength=len(tables.order))
+
+
 class Model:
     """Weights of the slots, index, labels, and the map from votes to calibrated scores."""
 

@@ -253,6 +253,29 @@ def test_blocks_that_stay_closed_hold_no_neighbour(monkeypatch):
     assert sent.opened < 0.5 * sent.met
 
 
+def test_blocks_are_not_bounded_where_all_would_open(monkeypatch):
+    """Examples without topics: bounds are worked out for the first queries of a batch only, and the neighbours of the others are
+    those of one query at a time."""
+    monkeypatch.setattr(toxicity, "DENSE", 20)
+    draw, bounded, bounds = np.random.default_rng(7), [], toxicity.Query.bounds
+    monkeypatch.setattr(toxicity.Query, "bounds", lambda self, *of: bounded.append(self) or bounds(self, *of))
+    vectors = []
+    for _ in range(600):
+        terms = np.sort(draw.choice(300, 40, replace=False))
+        weight = draw.random(40)
+        vectors.append((terms, weight / np.linalg.norm(weight)))
+    index = toxicity.Index(vectors, 300)
+    at, (terms, weights) = np.arange(101) * 40, (np.concatenate([v[i] for v in vectors[:100]]) for i in (0, 1))
+    left_out = np.where(np.arange(100) % 3, -1, np.arange(100))
+    found = list(index.nearest_of(at, terms, weights, 16, left_out))
+    assert len(bounded) == toxicity.PROBES
+    assert index.met == 100 * 10
+    for (own, weight), hits, hidden in zip(vectors, found, left_out, strict=False):
+        alone = index.nearest(own, weight, 16, without=hidden)
+        assert hits.example.tolist() == alone.example.tolist()
+        assert hits.cosine.tolist() == alone.cosine.tolist()
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_ids_of_words_are_ids_of_texts(documents, odd, name):
     encoder = Encoder(tokenizer_path(name))
