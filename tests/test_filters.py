@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import fnmatch
+from collections import Counter
 from datetime import timedelta
 
 import pytest
@@ -105,6 +106,59 @@ def test_presets_with_short_and_open_patterns(spark):
     assert spans["team"] == ("2024-01-24", "2024-01-31")
 
 
+PRESET_SCHEMA = "id string, team string, job_id string, job_name_patterns string, time_range string, start_date string, end_date string"
+
+
+def test_presets_of_jobs_that_share_a_name(spark):
+    """Names of many jobs and of few; presets that come twice, with and without patterns, without an id, and for one job."""
+    many = [job(i, "etl-load", team="red" if i % 2 else "blue") for i in range(FL.SHARED_BY + 2)]
+    names = jobs(spark, [*many, job(7, "etl-load", ws=2), job(5000, "ETL-one", team="red"), job(5001, "x", team="red"), job(5002, None, team="")])
+    week = ("7d", None, None)
+    presets = spark.createDataFrame(
+        [
+            ("two", "red", None, "etl*,*load", *week),
+            ("two", "red", None, "*one, *load", *week),
+            ("plain", "red", None, "", *week),
+            ("plain", "red", None, " , ", *week),
+            (None, None, None, "*-one,x", *week),
+            ("job", None, "7", "x,*LOAD", *week),
+            ("job", "blue", "7", None, *week),
+            ("no job", None, "7", "x", *week),
+            ("blank", "", None, "job-50*", *week),
+            ("bare", None, "etl", None, *week),
+        ],
+        PRESET_SCHEMA,
+    )
+    found = Counter((r.preset_id, r.workspace_id, r.job_id) for r in FL.apply_presets(presets, names, AS_OF).collect())
+    red = [(1, i) for i in range(FL.SHARED_BY + 2) if i % 2] + [(1, 5000)]
+    assert found == Counter(
+        [("two", *k) for k in red]
+        + [("plain", *k) for k in [*red, (1, 5001)] * 2]
+        + [(None, 1, 5000), (None, 1, 5001), ("job", 1, 7), ("job", 2, 7), ("blank", 1, 5002)]
+    )
+
+
+def _rows_out(node) -> list[tuple[str, int]]:
+    """Names of a finished plan's operators with the rows that each returned."""
+    if node.nodeName() == "AdaptiveSparkPlan":
+        return _rows_out(node.executedPlan())
+    if node.nodeName().endswith("QueryStage"):
+        return _rows_out(node.plan())
+    metric, children = node.metrics().get("numOutputRows"), node.children()
+    own = [(node.nodeName(), metric.get().value())] if metric.isDefined() else []
+    return own + [x for i in range(children.size()) for x in _rows_out(children.apply(i))]
+
+
+def test_pairs_of_presets_and_names_are_only_made_in_the_last_join(spark):
+    """400 presets with one list of patterns, and 400 names: their 160,000 pairs are the rows of one operator."""
+    names = jobs(spark, [job(i, f"etl-{i}-load") for i in range(400)])
+    presets = spark.createDataFrame([(str(i), None, None, "etl*,*load", "7d", None, None) for i in range(400)], PRESET_SCHEMA)
+    result = FL.apply_presets(presets, names, AS_OF)
+    assert len(result.collect()) == 160_000
+    large = [x for x in _rows_out(result._jdf.queryExecution().executedPlan()) if x[1] >= 160_000]
+    assert large == [("SortMergeJoin", 160_000)]
+
+
 def test_preset_changes(spark):
     schema = "id string, name string"
     table = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "c")], schema)
